@@ -10,6 +10,12 @@ from .common import read_table
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import find_repeats
+
+    return find_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -28,8 +34,14 @@ def op7_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(read_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import link_documents
+
+    return link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_mix_sources, op7_sstable_tokens)}
+    return {f.__name__: f for f in (op2_suffix_array_dedup, op10_minhash_near_dedup, op4_best_fit_packing, op5_mix_sources, op7_sstable_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
