@@ -10,12 +10,25 @@ from .common import read_table
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import find_repeats
 
     return find_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -28,12 +41,32 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(read_table(spark, sf_dir, "documents"))
+
+
 def op7_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import token_tables
 
     return token_tables(read_table(spark, sf_dir, "documents"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract, fit
+
+    pages = read_table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
+
+
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import link_documents
 
@@ -41,7 +74,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op10_minhash_near_dedup, op4_best_fit_packing, op5_mix_sources, op7_sstable_tokens)}
+    found = (
+        op1_quality_rules, op2_suffix_array_dedup, op3_language_id, op4_best_fit_packing, op5_mix_sources,
+        op6_jpeg_media, op7_sstable_tokens, op8_html_main_text, op9_quality_neighbours, op10_minhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
