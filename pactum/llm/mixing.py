@@ -23,10 +23,13 @@ table gives no rows; runs agree whatever the partitioning.
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize
 
@@ -105,10 +108,26 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     )
 
 
-def take_words(text: Column, words: Column) -> Column:
-    """The text up to the end of its first ``words`` words."""
-    pattern = F.concat(F.lit("^([\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){"), (words - 1).cast("string"), F.lit("}[^\\x20\\x09-\\x0D]++)"))
-    return F.when(words > 0, F.regexp_extract(text, pattern, 1))
+def take_words(docs: DataFrame) -> DataFrame:
+    """``docs`` without its last column, a number of words after which each text ends."""
+    schema = StructType(docs.schema.fields[:-1])
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            counts = batch.column(batch.num_columns - 1).to_pylist()
+            cut = [_first_words(t, n) for t, n in zip(batch.column(at).to_pylist(), counts, strict=True)]
+            columns = [pa.array(cut, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _first_words(text: str, n: int) -> str:
+    for k, word in enumerate(re.finditer("[^\\x20\\x09-\\x0D]+", text), 1):
+        if k == n:
+            return text[: word.end()]
+    return text
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -117,7 +136,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     mixed = mix(docs, carry=tuple(c for c in columns if c not in ("doc_id", "source")), **options)
     whole = mixed.where("size > 0").withColumn("epochs", F.floor(F.col("taken") / F.col("size")))
     repeated = whole.where("epochs > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*columns)
-    cut = whole.where("taken % size > 0").withColumn("text", take_words(F.col("text"), F.col("taken") % F.col("size")))
+    partly = whole.where("taken % size > 0")
+    cut = take_words(partly.select(*columns, (F.col("taken") % F.col("size")).alias("words to take")))
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return reduce(DataFrame.unionByName, [repeated, cut.select(*columns)])

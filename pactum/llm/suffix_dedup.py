@@ -398,7 +398,7 @@ def _covered(batch: Batch, codes: np.ndarray, windows=None, window_codes=None) -
     return np.cumsum(change[:-1]) > 0
 
 
-RESULT_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -432,9 +432,9 @@ def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
                 mask = gone[start:end]
                 kept = b.data[start:end][~mask].tobytes()
                 spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                rows.append((doc if known else None, end - start, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                rows.append((doc if known else None, end - start, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
                 start = end
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RESULT_FIELDS.split(", ")])
 
     def answered(frame: DataFrame, partial: bool, tag: str) -> DataFrame:
@@ -456,12 +456,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes removed from ``text``; incomplete characters at the cuts become U+FFFD.
+    """``docs`` with the repeated bytes removed from ``text``; what a cut leaves of a character goes too.
 
     Documents of which nothing is left go. Ids must be unique and not null here.
     """
     left = _solve(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("kept"))
-    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
+    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept"))
     joined = docs.join(left, docs["doc_id"] == left["cut_id"], "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("cut_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
