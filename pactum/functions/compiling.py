@@ -250,7 +250,7 @@ class Compiler:
         c = self(n.operand)
         value = c.value.isNotNull() if n.negated else c.value.isNull()
         if c.nan is not None:
-            value = F.lit(n.negated) if False else F.when(c.nan, F.lit(n.negated)).otherwise(value)
+            value = F.when(c.nan, F.lit(n.negated)).otherwise(value)
         return Compiled(value, "boolean", c.fault)
 
     def on_between(self, n: s.Between) -> Compiled:
@@ -414,8 +414,8 @@ class Compiler:
             divisor = F.when(y.value != 0, y.value)
             rest = F.when(y.value == -1, F.when(x.value.isNotNull(), F.lit(0).cast("bigint"))).otherwise(F.try_mod(x.value, divisor))
             value = F.when((rest != 0) & ((rest < 0) != (y.value < 0)), rest + y.value).otherwise(rest)
-            fixed = isinstance(node.arguments[1], s.Literal) and node.arguments[1].value
-            if fixed:
+            divided_by = node.arguments[1].operand if isinstance(node.arguments[1], s.Negative) else node.arguments[1]
+            if isinstance(divided_by, s.Literal) and divided_by.value:
                 return Compiled(value, "int", fault)
             nan = x.value.isNotNull() & y.value.eqNullSafe(F.lit(0).cast("bigint"))
             # a NaN must not look like a null to what only asks for nullness

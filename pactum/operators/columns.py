@@ -26,12 +26,16 @@ def reach(column: Column, steps: list) -> Column:
             column = F.flatten(column) if crossed else column
             crossed = True
         elif crossed:
-            column = F.transform(column, lambda x, name=step: x.getField(name))
+            column = F.transform(column, _field(step))
         else:
             column = column.getField(step)
     return column
 
 
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
 def outside_values(column: Column, steps: list, allowed: list[str]) -> Column:
     """How many values under ``column`` are outside ``allowed``, per row."""
     if None not in steps:
