@@ -38,6 +38,8 @@ SHARE = 1.5
 CAP = 2.0
 SEED = 20_240_501
 CELL_ROWS = 4096
+#: Up to so many sources (a checked number of rows of about 50 bytes) the plan is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -90,6 +92,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     )
     # The key's upper 53 bits as a fraction of 1 choose the cell: equal widths, so cells of one source are about even.
     fraction = F.shiftrightunsigned(F.col("key"), 11).cast("double") / float(1 << 53)
+    if len(totals) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)  # else a shuffled join, whose hot sources are split at run time
     rows = sized.join(plan, "group").withColumn("cell", F.floor(fraction * F.col("cells")))
     order = [F.shiftrightunsigned(F.col("key"), 1), F.col("key").bitwiseAND(F.lit(1)), F.col("doc_id").asc_nulls_first(), F.col("tie")]
     sums = rows.groupBy("group", "cell").agg(F.sum("size").alias("cell_size"))
