@@ -143,7 +143,7 @@ def _any_null(*values: Column) -> Column:
     return out
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _similar(subject, pattern):
     """1 match, 0 none, 2 bad pattern, null for a null operand."""
     import pandas as pd
@@ -211,7 +211,9 @@ class Compiler:
         a, b = _plain(a), _plain(b)
         fault = _faults(a.fault, b.fault)
         if n.op != "/" and a.kind == b.kind == "int":
-            return self.overflowing({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[n.op](a.value, b.value), a, b)
+            # The optimizer would regroup a chain of sums or products, and other partial results can overflow.
+            v, w = (F.when(c.value.isNotNull(), c.value) if isinstance(m, s.Arithmetic) else c.value for m, c in ((n.left, a), (n.right, b)))
+            return self.overflowing({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[n.op](v, w), a, b)
         x, y = as_float(a), as_float(b)
         if n.op == "/":
             return Compiled(F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y)), "float", fault)
@@ -393,7 +395,7 @@ class Compiler:
         if digits:
             d = as_float(digits[0])
             whole = F.when(d < 0, F.ceil(F.greatest(d, F.lit(-400.0)))).otherwise(F.floor(F.least(d, F.lit(400.0))))
-            factor = F.pow(F.lit(10.0), whole.cast("double"))
+            factor = F.when(d.isNotNull(), F.pow(F.lit(10.0), whole.cast("double")))
         else:
             factor = F.lit(1.0)
         scaled = v * factor
