@@ -14,6 +14,7 @@ Rules every operator here follows:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 _OWN_DIR: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -128,11 +130,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def sample_rows(df: DataFrame, order_key: str, limit: int) -> DataFrame:
-    """``limit`` rows chosen by the hash of a column: the same rows on every run.
+    """``limit`` rows with the least hashes of a column: the same rows on every run.
 
-    Only for fitting models; never for results.
+    Only for fitting models; never for results. Rows whose hash lies far above
+    the expected bound go first, so that tasks do not each send ``limit`` rows.
     """
-    return df.orderBy(F.xxhash64(F.col(order_key)), F.col(order_key)).limit(limit)
+    digest = F.xxhash64(F.col(order_key))
+    rows = df.count()
+    if rows > 4 * limit:
+        bound = int((2 * limit + 1000) / rows * (1 << 64)) - (1 << 63)
+        if bound < (1 << 63) - 1:
+            few = df.where(digest < F.lit(bound))
+            if few.count() >= limit:  # ids that repeat may fall short
+                df = few
+    return df.orderBy(digest, F.col(order_key)).limit(limit)
+
+
+def steady_memory() -> None:
+    """In a Python worker: give freed arrays back to the system instead of keeping them for later."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, so that it does not grow with what was freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Whole texts go to Python: fewer rows per Arrow batch than the default of 10,000 keep both sides small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def batches_of(items: Iterable, size: int) -> Iterator[list]:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_slices, texts_of
+from .common import materialize, mix64, steady_memory, text_slices, texts_of
 from .components import connected_components
 
 WORDS = 5
@@ -135,6 +135,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the class key (k1, k2), band keys and odd sketch of every text."""
 
     def run(batches):
+        steady_memory()
         for batch in batches:
             ids = batch.column(0)
             for a, b in text_slices(batch):
@@ -199,6 +200,7 @@ def links_in_block(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sk
 
 def _confirm(batches):
     """Rows sorted by (family, i, j): groups are consecutive."""
+    steady_memory()
     unpack = zstandard.ZstdDecompressor()
 
     def solve(rows):

@@ -43,14 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, materialize, mix64, text_slices, texts_of
+from .common import materialize, mix64, steady_memory, text_slices, texts_of
 
 WINDOW = 50
 GRAM = 16
 #: Windows that are handled in one pass over a long text.
-PASS_WINDOWS = 1 << 22
+PASS_WINDOWS = 1 << 20
+#: Text per batch.
+BATCH_BYTES = 4 << 20
 #: Text per shard of the family.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 
 _B1 = 0x9E3779B97F4A7C15 | 1
 _B2 = 0xD6E8FEB86659FD93
@@ -253,6 +255,7 @@ def _resolve_shards(batches, partial: bool):
             b, c = zip(*answers, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([shard] * len(b), pa.int32()), pa.array(c, pa.binary())], names=["batch", "shard", "codes"])
 
+    steady_memory()
     now, runs = None, []
     for batch in batches:
         for shard, number, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -296,7 +299,7 @@ def cut_batches(docs: DataFrame) -> DataFrame:
             for a, b in text_slices(batch):
                 for doc, text in zip(column[a:b], texts_of(batch, a, b), strict=True):
                     data = (text or "").encode("utf-8", "surrogatepass")
-                    if texts and held + len(data) > SLICE_BYTES:
+                    if texts and held + len(data) > BATCH_BYTES:
                         yield out()
                         ids, texts, held = [], [], 0
                     ids.append(doc)
@@ -318,6 +321,7 @@ ANSWER_SCHEMA = "batch long, shard int, codes binary"
 
 def _opened(batches):
     """Each row of a frame of batches as (row dict, indexed Batch)."""
+    steady_memory()
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for k in range(batch.num_rows):
