@@ -189,6 +189,12 @@ class Compiler:
     def on_column(self, n: s.Column) -> Compiled:
         return read_column(self.schema, n.path)
 
+    def stored(self, n: s.Node) -> Compiled:
+        """A bare column as it is stored, for what asks only whether it is null."""
+        if isinstance(n, s.Column) and field_type(self.schema, n.path) is not None:
+            return Compiled(column_ref(n.path), "other")
+        return self(n)
+
     def on_negative(self, n: s.Negative) -> Compiled:
         c = _plain(self(n.operand))
         if c.kind == "int":
@@ -249,7 +255,7 @@ class Compiler:
         return Compiled(self.compared(n.op, a, b), "boolean", _faults(a.fault, b.fault))
 
     def on_isnull(self, n: s.IsNull) -> Compiled:
-        c = self(n.operand)
+        c = self.stored(n.operand)
         value = c.value.isNotNull() if n.negated else c.value.isNull()
         if c.nan is not None:
             value = F.when(c.nan, F.lit(n.negated)).otherwise(value)
@@ -462,7 +468,7 @@ def fold(node: s.Call, schema: T.StructType, now: dt.datetime) -> Fold:
     if node.name == "ROW_COUNT":
         return Fold("int", F.count(F.lit(1)), None)
     argument = node.arguments[0]
-    c = Compiler(schema, now)(argument)
+    c = Compiler(schema, now).stored(argument) if node.name == "COUNT" else Compiler(schema, now)(argument)
     plain = _plain(c)
     fault = None if c.fault is None else F.max(c.fault)
     if node.name == "COUNT":
