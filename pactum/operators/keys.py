@@ -8,7 +8,7 @@ of values (all NaNs one value, both zeros one value).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,6 @@ def duplicate_rows(df: DataFrame, keys: list[Column], carry: list[Column]) -> Da
     return joined.where(held[ROW] > again["first"]).select(*[held[c] for c in held.columns if c not in names])
 
 
-def numbered_duplicates(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """The same by a window; for small inputs and tests."""
-    return df.where(_known(keys)).withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(ROW))).where("occurrence > 1")
-
-
 # ----------------------------------------------------------------- foreign keys
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -92,5 +87,5 @@ def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFra
         return held.select(*carry, F.col(ROW))
     same = lambda c, t: c if t == to else c.try_cast(to)
     probe = held.select(*carry, F.col(ROW), same(key, key_type).alias("__key__"))
-    known = parent.select(same(target, target_type).alias("__target__")).where("__target__ is not null").distinct()
+    known = parent.select(same(target, target_type).alias("__target__")).where("__target__ is not null")  # a primary key: nothing to deduplicate, and an anti-join would not mind
     return probe.join(known, F.col("__key__") == F.col("__target__"), "left_anti").drop("__key__")
