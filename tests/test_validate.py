@@ -141,3 +141,27 @@ def test_several_files_have_absolute_rows(spark, tmp_path):
     text = HEAD + f"  - {{name: t, source: {{parquet: t.parquet}}, columns: [{{name: a, {NUM}, constraints: [{{assert: a <> 3 AND a <> 4}}]}}]}}\n"
     r = validate(spark, str(tmp_path / "d.yaml"), text=text)
     assert [dict(p.extra)["rows"] for p in r.problems] == [[4, 5]]
+
+
+def test_json_is_not_compared(spark, tmp_path):
+    notes = pa.array(['{"a":1}', '{"a": 1}'], pa.json_(pa.string()))
+    pq.write_table(pa.table({"k": notes}), tmp_path / "c.parquet")
+    pq.write_table(pa.table({"id": ["x"]}), tmp_path / "p.parquet")
+    kind = "type: string, examples: [x]"
+    text = HEAD + f"  - {{name: c, source: {{parquet: c.parquet}}, columns: [{{name: k, {kind}, constraints: [unique, foreign_key]}}]}}\n  - {{name: p, source: {{parquet: p.parquet}}, columns: [{{name: id, {kind}, constraints: [primary_key]}}]}}\nrelationships: [{{join: c.k = p.id, cardinality: many-to-one}}]\n"
+    r = validate(spark, str(tmp_path / "d.yaml"), text=text)
+    assert [(p.code, p.severity) for p in r.problems] == [("D03", "warning"), ("D06", "warning")]
+    assert {s.outcome for s in r.steps if s.code in ("D02", "D05") and s.table == "c"} == {"unevaluated"}
+
+
+def test_footer_statistics(spark, tmp_path):
+    from pactum.sources.parquet import column_tree, footer_stats, row_count
+
+    t = pa.table({"a": pa.array([1, None, 3], pa.uint64()), "d": pa.array([1.5, None, None]), "s": pa.array([{"x": [1]}, None, {"x": None}])})
+    pq.write_table(t, tmp_path / "t.parquet")
+    path = str(tmp_path / "t.parquet")
+    assert (footer_stats(spark, path, "d").rows, footer_stats(spark, path, "d").nulls) == (3, 2)
+    assert row_count(spark, path) == 3
+    a, d, s = column_tree(spark, path)
+    assert (a.type, a.readable, d.readable) == ("number", False, True)
+    assert s.child("x").label() == "list(number)"
