@@ -6,7 +6,7 @@ document with a smaller id.
 *Sparse suffixes.* Of the ``WINDOW - GRAM + 1`` grams in a window, the one with
 the least hash is its anchor; equal windows have equal anchors at equal places.
 Consecutive windows with one anchor form a run. A suffix is kept per run (about
-every 18th position): the anchor's hash, the hash of the run's whole span, and
+every 14th position): the anchor's hash, the hash of the run's whole span, and
 the document. Sorted by these two hashes they are the suffix array of a batch.
 
 *Index family.* Batches are cut from the input (4 MB of text each) and hashed
@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from .common import materialize, mix64, steady_memory, text_slices, texts_of
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 #: Windows that are handled in one pass over a long text.
 PASS_WINDOWS = 1 << 20
 #: Text per batch.
@@ -81,12 +81,9 @@ class Spans:
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all ``GRAM``-byte grams (a power of two), by doubling."""
-    h, width, base = data.astype(np.uint64) + np.uint64(1), 1, _B2
-    while width < GRAM:
-        h = h[:-width] * np.uint64(pow(base, width, 1 << 64)) + h[width:]
-        width *= 2
-    return mix64(h)
+    """Hashes of all ``GRAM``-byte grams."""
+    spans = Spans(data, _B2)
+    return mix64((spans.sums[GRAM:] - spans.sums[:-GRAM]) * spans.inverse[: len(data) - GRAM + 1])
 
 
 def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -381,9 +378,8 @@ def _open_windows(batch: Batch, codes: np.ndarray):
 def _covered(batch: Batch, codes: np.ndarray, windows=None, window_codes=None) -> np.ndarray:
     """Which bytes of the batch are to go."""
     whole = ~batch.least | (codes == 1)[batch.entry] if len(batch.entry) else np.empty(0, bool)
-    change = np.zeros(len(batch.data) + 1, dtype=np.int64)
-    np.add.at(change, batch.first[whole], 1)
-    np.add.at(change, batch.first[whole] + batch.count[whole] + WINDOW - 1, -1)
+    size = len(batch.data) + 1
+    change = np.bincount(batch.first[whole], minlength=size) - np.bincount(batch.first[whole] + batch.count[whole] + WINDOW - 1, minlength=size)
     if windows is not None and len(windows[1]):
         _, entries, total, window, larger = windows
         gone = larger | (window_codes[window] == 1)
@@ -397,8 +393,7 @@ def _covered(batch: Batch, codes: np.ndarray, windows=None, window_codes=None) -
         within = np.arange(len(run)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         start = batch.first[runs][run] + within
         start = start[gone[offset[k][run] + within]]
-        np.add.at(change, start, 1)
-        np.add.at(change, start + WINDOW, -1)
+        change += np.bincount(start, minlength=size) - np.bincount(start + WINDOW, minlength=size)
     return np.cumsum(change[:-1]) > 0
 
 
