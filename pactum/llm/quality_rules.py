@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out_column, materialize, text_slices, texts_of
+from .common import held_out_column, materialize, sample_rows, text_slices, texts_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -198,7 +198,8 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     """doc_id, base statistics, base_failed, the anomaly score and kept for every row."""
     stats = materialize(statistics(docs), "rule-stats")
     marks = labels.where(F.col("quality").isNotNull() & ~held_out_column()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
-    fits = stats.where("n_words >= 1").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(fit_rows).select(*COUNTS).toPandas().to_numpy()
+    fits = sample_rows(stats.where("n_words >= 1"), "doc_id", fit_rows).select(*COUNTS).toPandas().to_numpy()
+    fits = fits[np.lexsort(fits.T)]  # the order of arrival is not fixed
     if not len(fits):
         scored, threshold = stats.withColumn("anomaly", F.lit(0.0)), 2.0
     else:
