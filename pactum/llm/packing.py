@@ -170,7 +170,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "part", "length",
         F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    placed = pieces.join(before, ["part", "length"])
+    placed = pieces.join(before.hint("merge"), ["part", "length"])  # one row per task and length: grows with the data, so never broadcast
     names = [f.name for f in pieces.schema.fields if f.name not in ("part", "rank")]
     schema = T.StructType([pieces.schema[n] for n in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
