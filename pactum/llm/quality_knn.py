@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_column, text_slices, texts_of
+from .common import held_out_column, sample_rows, text_slices, texts_of
 from .language import hash_of
 from .ngrams import case_shapes, document_frequencies, ngram_counts, vectors_of
 
@@ -47,6 +47,10 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (np.sqrt(share) * idf).astype(np.float32)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     idf: np.ndarray
@@ -56,8 +60,7 @@ class QualityModel:
     labels: np.ndarray
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        v = (weighted(counts, self.idf) - self.centre) @ self.basis
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        return unit((weighted(counts, self.idf) - self.centre) @ self.basis)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         return vote(self.embed(counts), self.vectors, self.labels)
@@ -87,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     """Learn from the labels of rows that are not held out."""
     df, rows = document_frequencies(docs, BITS, features)
     marks = labels.where(F.col("quality").isNotNull() & ~held_out_column()).groupBy(F.col("doc_id").alias("labelled")).agg(F.avg("quality").alias("quality"))
-    some = marks.orderBy(F.xxhash64("labelled"), "labelled").limit(fit_rows)  # the bounded sample
+    some = sample_rows(marks, "labelled", fit_rows)  # the bounded sample
     known = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).dropDuplicates(["doc_id"])
     counts, marked = vectors_of(known, "quality", features, BITS)
     if not len(counts):
@@ -96,9 +99,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     counts, y = counts[order], np.array([float(marked[i]) for i in order], dtype=np.float32)
     idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
     x = weighted(counts, idf)
+    del counts
     centre = x.mean(axis=0)
-    model = QualityModel(idf, centre, latent_basis(x - centre, DIMENSIONS), np.empty(0), y)
-    return QualityModel(idf, centre, model.basis, model.embed(counts), y)
+    x -= centre
+    basis = latent_basis(x, DIMENSIONS)
+    return QualityModel(idf, centre, basis, unit(x @ basis), y)
 
 
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
