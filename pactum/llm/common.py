@@ -14,6 +14,7 @@ Rules every operator here follows:
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -156,6 +157,30 @@ def steady_memory() -> None:
         pass
 
 
+@contextlib.contextmanager
+def one_blas_thread():
+    """Many small products on the driver: threads of the linear-algebra library would only wait for each other."""
+    change, before = None, 1
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+        for path in paths:
+            lib = ctypes.CDLL(path)
+            for ends in ("64_", ""):
+                for starts in ("scipy_openblas", "openblas"):
+                    if change is None and hasattr(lib, f"{starts}_set_num_threads{ends}"):
+                        change, before = getattr(lib, f"{starts}_set_num_threads{ends}"), getattr(lib, f"{starts}_get_num_threads{ends}")()
+    except (OSError, AttributeError):
+        pass
+    if change:
+        change(1)
+    try:
+        yield
+    finally:
+        if change:
+            change(before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Whole texts go to Python: fewer rows per Arrow batch than the default of 10,000 keep both sides small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
