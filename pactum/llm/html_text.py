@@ -2,7 +2,7 @@
 
 A bidirectional LSTM in numpy reads the leaf blocks of a page in order. Each
 block is a bag of its hashed path (element names and the words of ``class``,
-``id`` and ``role``), a bag of its hashed words, and a few measures (length,
+``id`` and ``role``), a bag of all its hashed words, and a few measures (length,
 share of link text, place in the page, punctuation); the two passes give every
 block the context of the whole page before and after it, and a logistic layer
 labels it as main text or not.
@@ -71,8 +71,8 @@ def block_features(blocks: list[Block]) -> np.ndarray:
             seen_path[b.path] = held
         row[: 1 << PATH_BITS] = held
         words = b.text.lower().split()
-        weight = 1 / np.sqrt(min(len(words), 64))
-        for w in words[:64] if len(words) > 64 else words:
+        weight = 1 / np.sqrt(len(words))
+        for w in words:
             row[words_at + _slot(w, WORD_BITS)] += weight
         n = len(b.text)
         row[measures_at:] = (

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pactum.llm import html_text, jpeg, media, mixing, packing, sstable
-from pactum.llm.html_blocks import leaf_blocks
+from pactum.llm.html_blocks import Block, leaf_blocks
 from pactum.llm.tokens import WordEncoder, default_vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, group string, length int, key string"
@@ -270,6 +270,19 @@ def test_labeller_on_unseen_pages(labeller):
     assert np.mean(np.concatenate([a == y for a, (_, y) in zip(found, pages, strict=True)])) > 0.97
 
 
+def test_features_hold_every_word():
+    """Blocks that differ after their 64th word only have different bags, and each bag is that of all words."""
+    starts = "the article goes on " * 16
+    blocks = [Block(starts + tail, ("p",), 0.0) for tail in ("advert now " * 40 + "end.", "winter sea " * 40 + "end.")]
+    bags = html_text.block_features(blocks)[:, 1 << html_text.PATH_BITS : -html_text.MEASURES]
+    assert not np.allclose(bags[0], bags[1])
+    for block, bag in zip(blocks, bags, strict=True):
+        want = np.zeros(1 << html_text.WORD_BITS)
+        for w in block.text.split():
+            want[html_text._slot(w, html_text.WORD_BITS)] += 1
+        assert np.allclose(bag, want / np.sqrt(len(block.text.split())), atol=1e-4)
+
+
 def test_gradients_match_differences():
     model = html_text.Labeller.fresh()
     rng = np.random.default_rng(0)
