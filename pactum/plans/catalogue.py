@@ -481,6 +481,15 @@ def _join_equality(spark, sf_dir):
     return join_tables("lineitem.l_orderkey = orders.o_orderkey", frames).select("lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_partkey", "lineitem.l_suppkey", "orders.o_custkey")
 
 
+@query("join_equality_whole", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def _join_equality_whole(spark, sf_dir):
+    """Every row of both tables reaches the join; ``join_equality`` joins large quantities only, as its SQL does."""
+    from .relationships import join_tables
+
+    frames = {name: table(spark, sf_dir, name) for name in ("lineitem", "orders")}
+    return join_tables("lineitem.l_orderkey = orders.o_orderkey", frames).select("lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_partkey", "lineitem.l_suppkey", "orders.o_custkey")
+
+
 @query("join_self_alias", "SELECT a.s_suppkey AS left_key, b.s_suppkey AS right_key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 def _join_self(spark, sf_dir):
     from .relationships import join_tables
