@@ -1,7 +1,10 @@
 """HTML as a sequence of leaf blocks: text with the path of its open elements.
 
-A forgiving single pass over tags. Scripts, styles, comments, templates and the
-document head are no text. Block-level elements end a block; ``br`` and inline
+A forgiving pass over tags. Scripts, styles, titles, comments, templates, frames,
+drawings, media with their fallbacks, and the document head are no text; formulas
+are. Without an end tag, raw text (``RAW``) runs to the end of the page, as in
+browsers; any other silent element is only its tag then, and a head that
+``body`` or a block starts in before it ends is that too. Block-level elements end a block; ``br`` and inline
 elements do not (``br`` counts as white space). Character references are
 decoded after the tags are gone.
 """
@@ -12,19 +15,23 @@ import html as _html
 import re
 from typing import NamedTuple
 
-#: Elements that separate blocks, never have content, or whose content is no text.
+#: Elements that separate blocks, never have content, whose content is no text (raw up to their end tag, or with elements), or in which "/" ends an element.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas head title audio video".split())
+RAW = frozenset("script style title iframe".split())
+SILENT = frozenset("noscript template svg object canvas audio video".split())
+FOREIGN = frozenset("svg math".split())
 #: An element of the key ends an open element of the value.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = BLOCK - {"button", "option", "optgroup", "select", "textarea", "legend", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|head|title|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(script|style|title|iframe|noscript|template|svg|object|canvas|audio|video)(?=[\s/>])((?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*)>"
+    r"|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -44,6 +51,59 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class Token(NamedTuple):
+    start: int
+    end: int
+    name: str  # empty where nothing but the place counts
+    closing: bool
+    attributes: str
+
+
+def _tokens(page: str) -> list[Token]:
+    """Tags, comments and declarations; a raw-text element is one nameless token."""
+    out, at, foreign = [], 0, 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name, closing, attributes = (m[1] or m[4] or "").lower(), bool(m[3]), m[2] if m[1] else m[5] or ""
+        if name in FOREIGN:
+            if closing:
+                foreign = max(0, foreign - 1)
+            elif not attributes.endswith("/"):
+                foreign += 1
+        elif name in RAW and not closing:
+            if not (foreign and attributes.endswith("/")):
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            name = ""
+        out.append(Token(m.start(), at, name, closing, attributes))
+    return out
+
+
+def _silent_spans(tokens: list[Token]) -> dict[int, int]:
+    """From the start tags of silent elements to their end tags, as places in ``tokens``."""
+    spans: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for k, t in enumerate(tokens):
+        if t.name in SILENT:
+            held = opened.setdefault(t.name, [])
+            if not t.closing:
+                if not (t.name in FOREIGN and t.attributes.endswith("/")):
+                    held.append(k)
+            elif held:
+                spans[held.pop()] = k
+    head, k = None, 0
+    while k < len(tokens):
+        t = tokens[k]
+        if t.name == "head":
+            if t.closing and head is not None:
+                spans[head] = k
+            head = None if t.closing else k
+        elif not t.closing and (t.name == "body" or t.name in BLOCK):
+            head = None
+        k = spans.get(k, k) + 1
+    return spans
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks of a page with text, in page order."""
     blocks: list[Block] = []
@@ -69,24 +129,27 @@ def leaf_blocks(page: str | None) -> list[Block]:
         del stack[k:]
         path = None
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    tokens = _tokens(page)
+    spans, silent_to = _silent_spans(tokens), -1
+    for k_token, t in enumerate(tokens):
+        if k_token <= silent_to:
+            at = t.end
+            continue
+        if t.start > at:
+            piece = page[at : t.start]
             pieces.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
+        at = t.end
+        name = t.name
+        silent_to = spans.get(k_token, -1)
         if name == "br":
             pieces.append(" ")
         elif name == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if t.closing else 1
         elif name in BLOCK:
             close()
-            if m[2]:
+            if t.closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         pop(k)
@@ -98,8 +161,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 ends = ENDS.get(name)
                 while ends and stack and stack[-1][0] in ends:
                     pop(len(stack) - 1)
-                if name != "hr" and not m[4].endswith("/"):
-                    stack.append((name, _names(m[4])))
+                if name != "hr" and not t.attributes.endswith("/"):
+                    stack.append((name, _names(t.attributes)))
                     path = None
     if at < len(page):
         pieces.append(page[at:])

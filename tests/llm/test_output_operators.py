@@ -259,6 +259,27 @@ def test_leaf_blocks():
     assert leaf_blocks(PAGE)[0].link_share == 1.0 and leaf_blocks(PAGE)[4].path[-1] == "p"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>One.</p><p>Two.</p>", ["One.", "Two."]),
+        ("<head><meta charset=utf-8><p>One.<p>Two.", ["One.", "Two."]),
+        ("<head>gone<noscript><p>gone</p></noscript></head><p>One.", ["One."]),
+        ("<p>One <svg/>two.</p><p>Three <svg viewBox='0 0 1 1' />four.</p>", ["One two.", "Three four."]),
+        ("<p>One <svg><title/><path d='M0'/><text>gone</text></svg>two.</p><p>Three.", ["One two.", "Three."]),
+        ("<p>One <video-player>two</video-player> three.</p><p>Four.", ["One two three.", "Four."]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", ["Let x=2 be."]),
+        ("<p>One.</p><math/><p>Two.</p>", ["One.", "Two."]),
+        ("<p>One.</p><video src=a><p>Two.</p><object>gone</object><p>Three.", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><object>gone<object>gone</object>gone</object><p>Two.", ["One.", "Two."]),
+        ("<p>One.</p><script src=\"a>var x = '<p>gone';</script ><p>Two.</p><style>p {}", ["One.", "Two."]),
+        ("<p>One.</p><SCRIPT>gone</SCRIPT><svg><g>gone</g></svg><template><p>gone</p></template><iframe>gone", ["One."]),
+    ],
+)
+def test_silent_elements_end(page, want):
+    assert [b.text for b in leaf_blocks(page)] == want
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return html_text.fit()
