@@ -4,8 +4,9 @@
   ``log(1 + count) * idf`` at unit length. Document frequencies cover every
   row that may be learnt from.
 * Training: follow-the-regularised-leader with per-coordinate rates and
-  elastic-net (L1 and L2) penalties, on at most ``FIT_ROWS`` rows chosen by
-  the hash of their ids; L1 leaves the weights sparse.
+  elastic-net (L1 and L2) penalties, on at most ``FIT_ROWS`` rows, shared among
+  all languages of the known rows and chosen by the hash of their ids; L1 leaves
+  the weights sparse. Beyond ``FIT_ROWS`` languages the most frequent take part.
 * Calibration: one temperature, chosen on rows that the weights were not
   fitted to, to least log loss.
 
@@ -21,14 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out_column, one_blas_thread, sample_rows, text_slices, texts_of
+from .common import held_out_column, one_blas_thread, text_slices, texts_of
 from .ngrams import document_frequencies, ngram_counts, vectors_of
 
 BITS = 13
-FIT_ROWS = 3000
+FIT_ROWS = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.0005
 UNDETERMINED = "und"
@@ -93,6 +94,44 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(tried[int(np.argmin(losses))])
 
 
+def shares(counts: dict, limit: int) -> dict:
+    """How many of ``limit`` rows each label gets: a quarter of the limit is shared equally, the rest by count."""
+    total = sum(counts.values())
+    if total <= limit:
+        return counts
+    floor = max(1, limit // (4 * len(counts)))
+    least = {g: min(n, floor) for g, n in counts.items()}
+    held = sum(least.values())
+    return {g: least[g] + (n - least[g]) * (limit - held) // (total - held) for g, n in counts.items()}
+
+
+def sample_languages(known: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows (text, lang), of each language those with the least hashes of their ids."""
+    some = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(limit).collect()  # one row per language
+    counts = {r["lang"]: r["n"] for r in some}
+    quota, top = shares(counts, limit), (1 << 63) - 1
+    # rows whose hash lies far above the expected bound go first, so that no task gets a whole language
+    bound = {g: min(top, int((2 * q + 100) / counts[g] * (1 << 64)) - (1 << 63)) for g, q in quota.items()}
+
+    def below(bound: dict) -> DataFrame:
+        plan = known.sparkSession.createDataFrame([(g, q, bound[g]) for g, q in quota.items()], f"lang {known.schema['lang'].dataType.simpleString()}, quota long, bound long")
+        digest = F.xxhash64("doc_id")
+        return known.select("doc_id", "text", "lang", digest.alias("digest")).join(F.broadcast(plan), "lang").where("digest <= bound")
+
+    found = {r["lang"]: r["n"] for r in below(bound).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bound = {g: b if found.get(g, 0) >= quota[g] else top for g, b in bound.items()}  # ids that repeat may fall short
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("digest", "doc_id"))
+    return below(bound).withColumn("rank", rank).where("rank <= quota").select("text", "lang")
+
+
+def set_aside(y: np.ndarray) -> np.ndarray:
+    """Every fifth row of each class, so that every class has rows to learn from."""
+    out = np.zeros(len(y), dtype=bool)
+    for c in np.unique(y):
+        out[np.flatnonzero(y == c)[4::5]] = True
+    return out
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel | None:
     """Learn from ``text`` and non-null ``lang`` of rows that are not held out."""
     known = docs.where(~held_out_column() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -100,13 +139,13 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel | None:
     if not rows:
         return None
     idf = np.log((1 + rows) / (1 + df)) + 1
-    counts, labels = vectors_of(sample_rows(known.select("doc_id", "text", "lang"), "doc_id", fit_rows), "lang", features, BITS)
+    counts, labels = vectors_of(sample_languages(known, fit_rows), "lang", features, BITS)
     order = np.argsort([hash_of(c) for c in counts], kind="stable")  # arrival order of rows is not fixed
     counts, labels = counts[order], [labels[i] for i in order]
     classes = tuple(sorted(set(labels)))
     y = np.array([classes.index(label) for label in labels])
     x = scaled(counts, idf.astype(np.float32), in_place=True)
-    aside = np.arange(len(y)) % 5 == 4
+    aside = set_aside(y)
     if aside.any():
         with one_blas_thread():
             w = train_ftrl(x[~aside], y[~aside], len(classes))

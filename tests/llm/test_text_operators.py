@@ -212,6 +212,27 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_language_is_fitted(spark):
+    """A language of 24 rows in 3000 is learnt though the fit takes 200 rows."""
+    rng = random.Random(8)
+    syllables = {"en": "the an er on re".split(), "de": "ung ver sch ein ö".split(), "xx": "zyk wqo jjü".split()}
+    rows = [(i, " ".join("".join(rng.choice(syllables[g]) for _ in range(3)) for _ in range(12)), g, "a") for i in range(3000) for g in ["xx" if i % 125 == 1 else rng.choice(["en", "de"])]]
+    docs = frame(spark, rows)
+    model = language.fit(docs, 200)
+    assert model.classes == ("de", "en", "xx")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert all(got[i] == "xx" for i, _, g, _ in rows if g == "xx")
+    assert language.sample_languages(docs, 200).count() <= 200
+
+
+def test_shares_of_the_fit():
+    got = language.shares({"a": 10**9, "b": 10**6, "c": 3, "d": 1}, 4000)
+    assert got["c"] == 3 and got["d"] == 1 and got["b"] >= 250 and 3990 < sum(got.values()) <= 4000
+    assert language.shares({"a": 5, "b": 2}, 10) == {"a": 5, "b": 2}
+    assert language.shares({k: 1 + k for k in range(10)}, 10) == dict.fromkeys(range(10), 1)
+    assert not language.set_aside(np.array([0, 1, 0, 0, 0, 1, 1, 1])).any()
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = np.zeros((400, 64), np.float32)
