@@ -146,6 +146,17 @@ def _unicode_trim(spark, sf_dir):
     return df.where(trimmed != F.col("text")).select("doc_id", trimmed.alias("t"))
 
 
+#: White space of several kinds, put around texts that have none at their ends.
+PADDING = "\t\n \u0085\u00a0\u1680\u2003\u2028\u202f\u3000"
+
+
+@query("expr_unicode_trim_padded", f"SELECT doc_id, trim('{PADDING}' || text || '{PADDING}', '{PADDING}') AS t FROM documents")
+def _unicode_trim_padded(spark, sf_dir):
+    """Every row; ``expr_unicode_trim`` shows changed texts only, and its tables have none."""
+    df = table(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit(PADDING), "text", F.lit(PADDING)))
+    return df.select("doc_id", value_of(df, "TRIM(text)").alias("t"))
+
+
 # ------------------------------------------------------------ definitions
 
 DEFINITIONS = {"bulk": "l_quantity > 20", "total": "SUM(l_quantity)", "price": "l_extendedprice * (1 - l_discount)", "dear": "price > 30000"}

@@ -23,3 +23,10 @@ def test_join_takes_every_row(spark):
     assert got == want
     lines, few = catalogue.table(spark, SF, "lineitem"), sum(both(spark, "join_equality", "lineitem", "orders")[0].values())
     assert sum(got.values()) == lines.count() > few
+
+
+def test_trim_has_something_to_remove(spark):
+    got, want = both(spark, "expr_unicode_trim_padded", "documents")
+    assert got == want
+    plain = {r["doc_id"]: r["text"] for r in catalogue.table(spark, SF, "documents").select("doc_id", "text").collect()}
+    assert {i: t for i, t in got} == {i: None if t is None else t.strip() for i, t in plain.items()} and len(plain) > 0
