@@ -10,7 +10,9 @@ labels it as main text or not.
 The labeller is trained here: on pages composed at random with known labels
 (many ways to mark up navigation, headers, footers, sidebars, notices, adverts,
 forms and comments around an article), and on at most ``FIT_PAGES`` of the
-pages at hand whose own sectioning elements give the labels away.
+pages at hand whose own sectioning elements give the labels away. Pages of
+``FIT_PAGE_CHARS`` characters or more are not learnt from, which bounds the
+driver's memory; they are labelled like any other.
 
 Defined cases: null or empty html gives the empty text; pages without main text
 give the empty text; repeated rows give equal texts.
@@ -33,6 +35,7 @@ PATH_BITS, WORD_BITS, MEASURES = 10, 6, 8
 WIDTH = (1 << PATH_BITS) + (1 << WORD_BITS) + MEASURES
 HIDDEN = 16
 FIT_PAGES = 256
+FIT_PAGE_CHARS = 200_000
 COMPOSED_PAGES = 900
 EPOCHS = 8
 
@@ -334,7 +337,7 @@ def labels_by_markup(blocks: list[Block]) -> np.ndarray | None:
 def fit(pages: DataFrame | None = None, composed: int = COMPOSED_PAGES, fit_pages: int = FIT_PAGES) -> Labeller:
     found = composed_pages(composed)
     if pages is not None:
-        some = sample_rows(pages.where("html is not null and length(html) < 200000").select("page_id", "html"), "page_id", fit_pages).collect()  # a bounded sample for fitting only
+        some = sample_rows(pages.where(f"html is not null and length(html) < {FIT_PAGE_CHARS}").select("page_id", "html"), "page_id", fit_pages).collect()  # a bounded sample for fitting only
         for r in some:
             blocks = leaf_blocks(r["html"])
             y = labels_by_markup(blocks)

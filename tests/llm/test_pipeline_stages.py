@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from test_text_operators import corpus, frame, labelled, linked_by_force
 
-from pactum.llm import quality_knn
+from pactum.llm import html_text, quality_knn
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -69,3 +69,16 @@ def test_repeat_stage_equals_brute_force(spark):
     want = cut_by_force(rows)
     assert {i: t or "" for i, t in got.items()} == want
     assert sum(len(t) for t in want.values()) < sum(len(t or "") for _, t, *_ in rows)
+
+
+def test_long_pages_are_bounded_by_a_parameter(spark, monkeypatch):
+    """Pages that reach the bound are not fitted to, and are labelled all the same."""
+    page = "<article>" + "<p>One two three.</p>" * 4 + "</article>"
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", page * 5)], "page_id long, url string, html string")
+    taken = []
+    monkeypatch.setattr(html_text, "train", lambda found: taken.append(len(found)) or html_text.Labeller.fresh())
+    monkeypatch.setattr(html_text, "FIT_PAGE_CHARS", len(page) + 1)
+    model = html_text.fit(pages, composed=3)
+    monkeypatch.setattr(html_text, "FIT_PAGE_CHARS", 10**6)
+    html_text.fit(pages, composed=3)
+    assert taken == [4, 5] and html_text.extract(pages, model).count() == 2
