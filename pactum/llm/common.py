@@ -16,14 +16,16 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import pickle
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles at once.
@@ -34,15 +36,16 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is set."""
+    """The folder all executors share; a private one only where none is set and all tasks run in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="pactum-")
@@ -60,7 +63,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -69,6 +74,23 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def materialize_counted(df: DataFrame, tag: str) -> tuple[DataFrame, int, object]:
+    """:func:`materialize`, with the number of rows and an order-free checksum of its long columns taken while writing."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest")
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), digest), tag)
+    found = seen.get
+    return out, found.get("rows") or 0, found.get("digest")
+
+
+def free(df: DataFrame) -> None:
+    """Delete the table behind a frame of :func:`materialize` that nothing reads any more."""
+    path = getattr(df, "_scratch", None)
+    for held in [x for x in _SCRATCH if x[1] == path]:
+        _SCRATCH.remove(held)
+        remove(*held)
+
+
 def release_scratch() -> None:
     """Delete every scratch table; results that still read them become invalid."""
     while _SCRATCH:
@@ -117,6 +139,11 @@ def held_out_column(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def crc_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
@@ -130,6 +157,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fit_in_task(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
+    """``train`` applied to a bounded sample, in one task of an executor; only the model comes to the driver.
+
+    The sample's size must be bounded by a parameter of the caller.
+    """
+    schema = sample.columns
+
+    def run(batches):
+        steady_memory()
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else pa.table({n: [] for n in schema})
+        del held
+        with one_blas_thread():
+            model = train(table)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(found[0]["model"]) if found else train(pa.table({n: [] for n in schema}))
+
+
 def sample_rows(df: DataFrame, order_key: str, limit: int) -> DataFrame:
     """``limit`` rows with the least hashes of a column: the same rows on every run.
 
@@ -159,7 +206,7 @@ def steady_memory() -> None:
 
 @contextlib.contextmanager
 def one_blas_thread():
-    """Many small products on the driver: threads of the linear-algebra library would only wait for each other."""
+    """Many small products in one process: threads of the linear-algebra library would only wait for each other."""
     change, before = None, 1
     try:
         with open("/proc/self/maps") as f:
@@ -182,7 +229,7 @@ def one_blas_thread():
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Whole texts go to Python: fewer rows per Arrow batch than the default of 10,000 keep both sides small."""
+    """For applications (the queries and the pipeline), never called by an operator: fewer rows per Arrow batch than the default of 10,000 keep both sides small where whole texts go to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

@@ -10,9 +10,12 @@ labels it as main text or not.
 The labeller is trained here: on pages composed at random with known labels
 (many ways to mark up navigation, headers, footers, sidebars, notices, adverts,
 forms and comments around an article), and on at most ``FIT_PAGES`` of the
-pages at hand whose own sectioning elements give the labels away. Pages of
-``FIT_PAGE_CHARS`` characters or more are not learnt from, which bounds the
-driver's memory; they are labelled like any other.
+pages at hand whose own sectioning elements give the labels away, of at most
+``FIT_BLOCKS`` blocks together. The fit is one task of an executor; long pages
+are learnt from in stretches of ``STRETCH`` blocks, and labelled whole.
+
+Inputs are sparse: the product with the input weights adds up rows of the
+weights, so a block costs its words and names and not the width of the layer.
 
 Defined cases: null or empty html gives the empty text; pages without main text
 give the empty text; repeated rows give equal texts.
@@ -20,22 +23,28 @@ give the empty text; repeated rows give equal texts.
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import one_blas_thread, sample_rows, text_slices, texts_of
+from .common import fit_in_task, one_blas_thread, sample_rows, text_slices, texts_of
 from .html_blocks import Block, leaf_blocks
+from .ngrams import SparseRows
 
 PATH_BITS, WORD_BITS, MEASURES = 10, 6, 8
 WIDTH = (1 << PATH_BITS) + (1 << WORD_BITS) + MEASURES
 HIDDEN = 16
 FIT_PAGES = 256
-FIT_PAGE_CHARS = 200_000
+FIT_BLOCKS = 100_000
+STRETCH = 512
+#: Input entries that are multiplied at once.
+STEP_ENTRIES = 1 << 16
 COMPOSED_PAGES = 900
 EPOCHS = 8
 
@@ -56,33 +65,35 @@ def _slot(word: str, bits: int) -> int:
     return found
 
 
-def block_features(blocks: list[Block]) -> np.ndarray:
-    """One row per block."""
-    x = np.zeros((len(blocks), WIDTH), dtype=np.float32)
+def block_rows(blocks: list[Block]) -> SparseRows:
+    """One sparse row per block; entries of one feature add up."""
     words_at = 1 << PATH_BITS
     measures_at = words_at + (1 << WORD_BITS)
-    seen_path: dict[tuple[str, ...], np.ndarray] = {}
+    seen_path: dict[tuple[str, ...], list[int]] = {}
+    features, values, sizes = array("i"), array("f"), array("q")
     for k, b in enumerate(blocks):
-        row = x[k]
         held = seen_path.get(b.path)
         if held is None:
-            held = np.zeros(1 << PATH_BITS, dtype=np.float32)
-            for name in b.path:
-                held[_slot(name, PATH_BITS)] = 1
-            if b.path:
-                held[_slot("in " + b.path[-1], PATH_BITS)] = 1
-            seen_path[b.path] = held
-        row[: 1 << PATH_BITS] = held
-        words = b.text.lower().split()
-        weight = 1 / np.sqrt(len(words))
-        for w in words:
-            row[words_at + _slot(w, WORD_BITS)] += weight
-        n = len(b.text)
-        row[measures_at:] = (
-            np.log1p(n) / 6, b.link_share, k / len(blocks), (len(blocks) - k) / len(blocks),
-            np.log1p(len(words)) / 5, b.text[-1] in ".!?…", min(1, b.text.count("|") / 4), "©" in b.text,
-        )
-    return x
+            held = seen_path[b.path] = sorted({_slot(name, PATH_BITS) for name in b.path} | ({_slot("in " + b.path[-1], PATH_BITS)} if b.path else set()))
+        words, n = b.text.lower().split(), len(b.text)
+        weight = 1 / math.sqrt(len(words))
+        features.extend(held)
+        values.extend([1.0] * len(held))
+        features.extend([words_at + _slot(w, WORD_BITS) for w in words])
+        values.extend([weight] * len(words))
+        features.extend(range(measures_at, measures_at + MEASURES))
+        values.extend((
+            math.log1p(n) / 6, b.link_share, k / len(blocks), (len(blocks) - k) / len(blocks),
+            math.log1p(len(words)) / 5, float(b.text[-1] in ".!?…"), min(1.0, b.text.count("|") / 4), float("©" in b.text),
+        ))
+        sizes.append(len(held) + len(words) + MEASURES)
+    offsets = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))]).astype(np.int64)
+    return SparseRows(offsets, np.array(features, dtype=np.int32), np.array(values, dtype=np.float32))
+
+
+def block_features(blocks: list[Block]) -> np.ndarray:
+    """The same as a dense matrix: to look at, not to compute with."""
+    return block_rows(blocks).dense(WIDTH)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,15 +118,27 @@ class Labeller:
         w["bias"] = np.zeros(1, np.float32)
         return Labeller(w)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states over time (axis 1); padding leaves the state as it is."""
-        n, steps, _ = x.shape
-        z = x @ self.weights[f"x{d}"] + self.weights[f"c{d}"]
+    def _inputs(self, x: SparseRows) -> np.ndarray:
+        """For each block its input to the gates of both directions and to the output: rows of the weights, added up."""
+        weights = np.concatenate([self.weights["xf"], self.weights["xb"], self.weights["out"][2 * HIDDEN :, None]], axis=1)
+        out = np.empty((len(x), weights.shape[1]), np.float32)
+        a = 0
+        while a < len(x):  # about STEP_ENTRIES entries at once
+            b = max(a + 1, int(np.searchsorted(x.offsets, x.offsets[a] + STEP_ENTRIES, side="right")) - 1)
+            out[a:b] = x.take(np.arange(a, b)).times(weights)
+            a = b
+        return out
+
+    def _pass(self, z: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+        """Hidden states over time (axis 1) from gate inputs; padding leaves the state as it is."""
+        n, steps, _ = z.shape
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
         out = np.zeros((n, steps, HIDDEN), np.float32)
+        recurrent, bias = self.weights[f"h{d}"], self.weights[f"c{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = z[:, t] + h @ self.weights[f"h{d}"]
-            i, f, o = (_sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+            g = z[:, t] + bias + h @ recurrent
+            gates = _sigmoid(g[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             u = np.tanh(g[:, 3 * HIDDEN :])
             m = mask[:, t : t + 1]
             c_new = f * c + i * u
@@ -126,22 +149,40 @@ class Labeller:
             out[:, t] = h
         return out
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        state = np.concatenate([self._pass(x, mask, "f"), self._pass(x, mask, "b"), x], axis=2)
-        return _sigmoid(state @ self.weights["out"] + self.weights["bias"])
+    def _forward(self, x: SparseRows | np.ndarray, mask: np.ndarray, keep: dict[str, list] | None = None) -> tuple[SparseRows, list[np.ndarray], np.ndarray]:
+        """The input rows, hidden states of both directions, and the probability of each place; ``x`` has a row for each place that ``mask`` has, or is dense."""
+        if isinstance(x, np.ndarray):
+            x = SparseRows.of(x[mask])
+        z = np.zeros((*mask.shape, 8 * HIDDEN + 1), np.float32)
+        z[mask] = self._inputs(x)
+        hidden = [self._pass(z[:, :, k * 4 * HIDDEN : (k + 1) * 4 * HIDDEN], mask, d, None if keep is None else keep[d]) for k, d in enumerate("fb")]
+        out = self.weights["out"]
+        return x, hidden, _sigmoid(hidden[0] @ out[:HIDDEN] + hidden[1] @ out[HIDDEN : 2 * HIDDEN] + z[:, :, -1] + self.weights["bias"])
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def probabilities(self, x: SparseRows | np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return self._forward(x, mask)[2]
+
+    def gradients(self, x: SparseRows | np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         kept = {"f": [], "b": []}
-        hidden = [self._pass(x, mask, d, kept[d]) for d in "fb"]
-        state = np.concatenate([*hidden, x], axis=2)
-        p = _sigmoid(state @ self.weights["out"] + self.weights["bias"])
+        x, hidden, p = self._forward(x, mask, kept)
         e = ((p - y) * mask / max(1, mask.sum())).astype(np.float32)
-        g = {"out": np.einsum("nt,ntk->k", e, state), "bias": np.array([e.sum()], np.float32)}
+        by_feature = np.argsort(x.features, kind="stable")
+        present, starts = np.unique(x.features[by_feature], return_index=True)
+        owner, values = x.owner()[by_feature], x.values[by_feature]
+
+        def of_inputs(per_block: np.ndarray) -> np.ndarray:
+            """The product of the transposed input rows with rows per block."""
+            out = np.zeros((WIDTH, per_block.shape[1]), np.float32)
+            if len(present):
+                out[present] = np.add.reduceat(values[:, None] * per_block[owner], starts, axis=0)
+            return out
+
+        g = {"out": np.concatenate([np.einsum("nt,ntk->k", e, h) for h in hidden] + [of_inputs(e[mask][:, None])[:, 0]]), "bias": np.array([e.sum()], np.float32)}
         for k, d in enumerate("fb"):
             dh_out = e[:, :, None] * self.weights["out"][k * HIDDEN : (k + 1) * HIDDEN]
-            dz = np.zeros((x.shape[0], x.shape[1], 4 * HIDDEN), np.float32)
+            dz = np.zeros((*mask.shape, 4 * HIDDEN), np.float32)
             recurrent = np.zeros_like(self.weights[f"h{d}"])
-            dh, dc = np.zeros((len(x), HIDDEN), np.float32), np.zeros((len(x), HIDDEN), np.float32)
+            dh, dc = np.zeros((len(mask), HIDDEN), np.float32), np.zeros((len(mask), HIDDEN), np.float32)
             for t, h, c, i, f, o, u, tc, m in reversed(kept[d]):
                 dh = dh + dh_out[:, t]
                 live, dc_t = np.where(m, dh, 0), np.where(m, dc, 0)
@@ -151,8 +192,7 @@ class Labeller:
                 recurrent += h.T @ step
                 dh = np.where(m, step @ self.weights[f"h{d}"].T, dh)
                 dc = np.where(m, dc_t * f, dc)
-            flat = dz.reshape(-1, 4 * HIDDEN)
-            g |= {f"x{d}": x.reshape(-1, WIDTH).T @ flat, f"h{d}": recurrent, f"c{d}": flat.sum(axis=0)}
+            g |= {f"x{d}": of_inputs(dz[mask]), f"h{d}": recurrent, f"c{d}": dz.reshape(-1, 4 * HIDDEN).sum(axis=0)}
         return g
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
@@ -164,27 +204,31 @@ class Labeller:
             longest = len(pages[order[min(at + 63, len(order) - 1)]])
             some = order[at : at + max(1, min(64, 8192 // longest))]
             at += len(some)
-            x, mask = padded([block_features(pages[k]) for k in some])
+            x, mask = padded([block_rows(pages[k]) for k in some])
             p = self.probabilities(x, mask)
             for k, row in zip(some, p, strict=True):
                 out[k] = row[: len(pages[k])] >= 0.5
         return out
 
 
-def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, rows))
-    x, mask = np.zeros((len(rows), steps, WIDTH), np.float32), np.zeros((len(rows), steps), bool)
-    for k, r in enumerate(rows):
-        x[k, : len(r)], mask[k, : len(r)] = r, True
-    return x, mask
+def padded(rows: list[SparseRows]) -> tuple[SparseRows, np.ndarray]:
+    """The rows of several pages one after another, and which places of the padded grid they take."""
+    mask = np.arange(max(map(len, rows))) < np.array([len(r) for r in rows])[:, None]
+    starts = np.cumsum([0, *(len(r.values) for r in rows)])
+    offsets = np.concatenate([[0], *(r.offsets[1:] + a for r, a in zip(rows, starts, strict=False))])
+    return SparseRows(offsets, np.concatenate([r.features for r in rows]), np.concatenate([r.values for r in rows])), mask
 
 
 def train(pages: list[tuple[list[Block], np.ndarray]], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 9) -> Labeller:
-    """Adam on the mean logistic loss of blocks."""
+    """Adam on the mean logistic loss of blocks; pages are cut into stretches of ``STRETCH`` blocks."""
     model = Labeller.fresh()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     rng = np.random.default_rng(seed)
-    data = [(block_features(b), y.astype(np.float32)) for b, y in pages if b]
+    data = []
+    for blocks, y in pages:
+        rows = block_rows(blocks) if blocks else None
+        for a in range(0, len(blocks), STRETCH):
+            data.append((rows.take(np.arange(a, min(a + STRETCH, len(blocks)))), y[a : a + STRETCH].astype(np.float32)))
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(data))
@@ -334,17 +378,28 @@ def labels_by_markup(blocks: list[Block]) -> np.ndarray | None:
     return y if y.any() else None
 
 
+def markup_examples(pages: list[str | None], limit: int = FIT_BLOCKS) -> list[tuple[list[Block], np.ndarray]]:
+    """Blocks and labels of the pages whose own elements give them away, of ``limit`` blocks in all; the page that reaches the limit is learnt from in part."""
+    found = []
+    for page in pages:
+        blocks = leaf_blocks(page)
+        y = labels_by_markup(blocks)
+        if y is not None and limit > 0:
+            found.append((blocks[:limit], y[:limit]))
+            limit -= len(blocks)
+    return found
+
+
 def fit(pages: DataFrame | None = None, composed: int = COMPOSED_PAGES, fit_pages: int = FIT_PAGES) -> Labeller:
-    found = composed_pages(composed)
-    if pages is not None:
-        some = sample_rows(pages.where(f"html is not null and length(html) < {FIT_PAGE_CHARS}").select("page_id", "html"), "page_id", fit_pages).collect()  # a bounded sample for fitting only
-        for r in some:
-            blocks = leaf_blocks(r["html"])
-            y = labels_by_markup(blocks)
-            if y is not None:
-                found.append((blocks, y))
-    with one_blas_thread():
-        return train(found)
+    if pages is None:
+        with one_blas_thread():
+            return train(composed_pages(composed))
+
+    def learn(table: pa.Table) -> Labeller:
+        rows = sorted(zip(*(table.column(n).to_pylist() for n in ("page_id", "html")), strict=True), key=lambda r: (str(r[0]), r[1] or ""))
+        return train(composed_pages(composed) + markup_examples([r[1] for r in rows]))
+
+    return fit_in_task(sample_rows(pages.select("page_id", "html"), "page_id", fit_pages), learn)  # a bounded sample for fitting only
 
 
 def main_text(model: Labeller, pages: list[str | None]) -> list[str]:

@@ -247,12 +247,16 @@ def decode_luminance(frames: list[Frame]) -> list[np.ndarray | JpegError]:
         try:
             chosen, data = _luminance_scan(f)
             layout, mcus = _layout(f, chosen)
-            key = (tuple(layout), tuple((f.tables[d], f.tables[0x10 | a]) for _, d, a in chosen))
+            if 2 * mcus * len(layout) > 8 * len(data):  # a code for the DC step and one for the end of each block
+                out[k] = JpegError("scan too short for its dimensions")
+                continue
+            # lanes of about equal length together: arrays are as long as the longest
+            key = (tuple(layout), tuple((f.tables[d], f.tables[0x10 | a]) for _, d, a in chosen), (f.interval or mcus).bit_length())
         except (KeyError, StopIteration):
             out[k] = JpegError("missing table or scan")
             continue
         groups.setdefault(key, []).append((k, f, data, mcus))
-    for (layout, tables), members in groups.items():
+    for (layout, tables, _), members in groups.items():
         lookups = [(huffman_lookup(d[:16], d[16:]), huffman_lookup(a[:16], a[16:])) for d, a in tables]
         for (k, f, _, _), found in zip(members, _decode_lanes(members, list(layout), lookups), strict=True):
             out[k] = found if isinstance(found, JpegError) else _arrange(f, found)
@@ -306,7 +310,10 @@ def _decode_lanes(members, layout: list[int], lookups) -> list:
 
     live = np.arange(lanes)
     for mcu in range(int(mcus.max())):
+        bad[live] |= bit[live] > limit[live]
         live = live[(mcus[live] > mcu) & ~bad[live]]
+        if not len(live):
+            break
         slot = mcu * wanted
         for component in layout:
             dc, ac = lookups[component]
@@ -374,9 +381,9 @@ def _arrange(f: Frame, values: np.ndarray) -> np.ndarray:
 
 
 def parse_all(data: bytes) -> list[Frame]:
-    """All images of a stream of images."""
+    """All images of a stream of images; bytes after an image that start no other one are ignored."""
     frames, at = [], 0
-    while at < len(data):
+    while at < len(data) and (not frames or data[at : at + 2] == b"\xff\xd8"):
         frames.append(parse(data, at))
         at = frames[-1].end
     if not frames:

@@ -6,7 +6,8 @@
 * Training: follow-the-regularised-leader with per-coordinate rates and
   elastic-net (L1 and L2) penalties, on at most ``FIT_ROWS`` rows, shared among
   all languages of the known rows and chosen by the hash of their ids; L1 leaves
-  the weights sparse. Beyond ``FIT_ROWS`` languages the most frequent take part.
+  the weights sparse, and rows and weights are stored as such. The fit is one task of
+  an executor. Beyond ``FIT_ROWS`` languages the most frequent take part.
 * Calibration: one temperature, chosen on rows that the weights were not
   fitted to, to least log loss.
 
@@ -17,7 +18,7 @@ rows get equal predictions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out_column, one_blas_thread, text_slices, texts_of
-from .ngrams import document_frequencies, ngram_counts, vectors_of
+from .common import fit_in_task, held_out_column, text_slices, texts_of
+from .ngrams import SparseRows, document_frequencies, gathered, ngram_counts, sparse_rows, sparse_vectors
 
 BITS = 13
 FIT_ROWS = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.0005
+MAX_WEIGHT = 64.0
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -40,12 +42,11 @@ def features(text: str | None) -> np.ndarray:
     return ngram_counts(text, BITS)
 
 
-def scaled(counts: np.ndarray, idf: np.ndarray, in_place: bool = False) -> np.ndarray:
-    """``log(1 + count) * idf`` at unit length, by row; ``in_place`` takes the memory of float counts."""
-    x = np.log1p(counts, out=counts if in_place else None)
-    x *= idf
-    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
-    return x.astype(np.float32, copy=False)
+def scaled(counts: SparseRows, idf: np.ndarray) -> SparseRows:
+    """``log(1 + count) * idf`` at unit length, by row."""
+    x = np.log1p(counts.values) * idf[counts.features]
+    norm = np.maximum(np.sqrt(counts.sums(x * x)), 1e-12)
+    return replace(counts, values=(x / norm[counts.owner()]).astype(np.float32))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -55,20 +56,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """``place`` has for each feature the row of ``weights`` it has kept, or the row of zeros at the end."""
+
     classes: tuple[str, ...]
     idf: np.ndarray
-    weights: np.ndarray  # features and a bias, by class
+    place: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
     temperature: float
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
-        x = scaled(counts, self.idf)
-        return softmax((x @ self.weights[:-1] + self.weights[-1]) / self.temperature)
+    @staticmethod
+    def of(classes: tuple[str, ...], idf: np.ndarray, w: np.ndarray, temperature: float) -> LanguageModel:
+        """From dense weights (features and a bias, by class): what the L1 penalty made 0 is not stored."""
+        kept = np.flatnonzero(w[:-1].any(axis=1))
+        place = np.full(len(w) - 1, len(kept), dtype=np.int32)
+        place[kept] = np.arange(len(kept))
+        weights = np.concatenate([w[kept], np.zeros((1, w.shape[1]))]).astype(np.float32)
+        return LanguageModel(classes, idf.astype(np.float32), place, weights, w[-1].astype(np.float32), temperature)
+
+    def logits(self, x: SparseRows) -> np.ndarray:
+        return replace(x, features=self.place[x.features]).times(self.weights) + self.bias
+
+    def scores(self, counts: SparseRows) -> np.ndarray:
+        return softmax(self.logits(scaled(counts, self.idf)) / self.temperature)
 
 
-def train_ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, batch: int = 16) -> np.ndarray:
-    """FTRL-proximal on mini-batches; weights of (features + bias) by class."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    z = np.zeros((x.shape[1], classes), np.float64)
+def train_ftrl(x: SparseRows | np.ndarray, y: np.ndarray, classes: int, width: int | None = None, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, batch: int = 16, weight: np.ndarray | None = None) -> np.ndarray:
+    """FTRL-proximal on mini-batches of sparse rows; weights of (``width`` features + bias) by class.
+
+    Only the coordinates that a mini-batch has are touched; ``weight`` is that of each row's loss.
+    """
+    if isinstance(x, np.ndarray):
+        x, width = SparseRows.of(x), x.shape[1]
+    z = np.zeros((width + 1, classes), np.float64)
     n = np.zeros_like(z)
     w = np.zeros_like(z)
     rng = np.random.default_rng(7)
@@ -76,10 +96,16 @@ def train_ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = EPOCHS,
         order = rng.permutation(len(x))
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]
-            seen = np.flatnonzero(x[rows].any(axis=0))
-            xb = x[np.ix_(rows, seen)].astype(np.float64)
+            some = x.take(rows)
+            seen, at = np.unique(some.features, return_inverse=True)
+            seen = np.append(seen, width).astype(np.int64)
+            xb = np.zeros((len(rows), len(seen)))
+            xb[some.owner(), at] = some.values
+            xb[:, -1] = 1
             p = softmax(xb @ w[seen])
             p[np.arange(len(rows)), y[rows]] -= 1
+            if weight is not None:
+                p *= weight[rows][:, None]
             g = xb.T @ p / len(rows)
             sigma = (np.sqrt(n[seen] + g * g) - np.sqrt(n[seen])) / alpha
             z[seen] += g - sigma * w[seen]
@@ -132,33 +158,36 @@ def set_aside(y: np.ndarray) -> np.ndarray:
     return out
 
 
+def balance(y: np.ndarray) -> np.ndarray:
+    """Weights of rows that give every class the same share, up to ``MAX_WEIGHT``: a rare language is not drowned."""
+    counts = np.bincount(y)
+    return np.minimum(MAX_WEIGHT, len(y) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[y]
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel | None:
     """Learn from ``text`` and non-null ``lang`` of rows that are not held out."""
     known = docs.where(~held_out_column() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, rows = document_frequencies(known, BITS, features)
     if not rows:
         return None
-    idf = np.log((1 + rows) / (1 + df)) + 1
-    counts, labels = vectors_of(sample_languages(known, fit_rows), "lang", features, BITS)
-    order = np.argsort([hash_of(c) for c in counts], kind="stable")  # arrival order of rows is not fixed
-    counts, labels = counts[order], [labels[i] for i in order]
-    classes = tuple(sorted(set(labels)))
-    y = np.array([classes.index(label) for label in labels])
-    x = scaled(counts, idf.astype(np.float32), in_place=True)
-    aside = set_aside(y)
-    if aside.any():
-        with one_blas_thread():
-            w = train_ftrl(x[~aside], y[~aside], len(classes))
-        temperature = fit_temperature(x[aside] @ w[:-1] + w[-1], y[aside])
-    else:
-        w, temperature = train_ftrl(x, y, len(classes)), 1.0
-    return LanguageModel(classes, idf.astype(np.float32), w.astype(np.float32), temperature)
-
-
-def hash_of(row: np.ndarray) -> int:
-    import zlib
-
-    return zlib.crc32(np.ascontiguousarray(row).tobytes())
+    idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
+
+    def learn(table: pa.Table) -> LanguageModel | None:
+        counts, labels = gathered(table)
+        if not labels:
+            return None
+        x = scaled(counts, idf)
+        classes = tuple(sorted(set(labels)))
+        y = np.array([classes.index(label) for label in labels])
+        aside = set_aside(y)
+        w = train_ftrl(x.take(np.flatnonzero(~aside)), y[~aside], len(classes), 1 << BITS, weight=balance(y[~aside]))
+        model = LanguageModel.of(classes, idf, w, 1.0)
+        if not aside.any():
+            return model
+        return replace(model, temperature=fit_temperature(model.logits(x.take(np.flatnonzero(aside))), y[aside]))
+
+    some = sample_languages(known, fit_rows).select("text", F.col("lang").cast("string").alias("lang"))
+    return fit_in_task(sparse_vectors(some, "lang", features), learn)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -175,7 +204,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     at = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
                     for c in range(0, len(at), 256):
                         part = at[c : c + 256]
-                        p = model.scores(np.stack([features(texts[k]) for k in part]))
+                        p = model.scores(sparse_rows([features(texts[k]) for k in part]))
                         best = p.argmax(axis=1)
                         for k, i, v in zip(part, best.tolist(), p.max(axis=1).tolist(), strict=True):
                             label[k], score[k] = model.classes[i], min(1.0, v)

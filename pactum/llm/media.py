@@ -8,7 +8,9 @@ thumbnail and reports dimensions and hashes.
 
 Defined cases: a null text is the empty text, whose payload is 576 bytes of
 255; null media give null results; media that cannot be read give null results
-and the reason in ``error``; payloads too long for one image are stored as a
+and the reason in ``error`` (also where a scan ends before its image, or is too
+short for the dimensions it claims); bytes after an image that start no other
+one are ignored; payloads too long for one image are stored as a
 sequence of images.
 """
 
@@ -16,11 +18,11 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import crc_of, text_slices, texts_of
+from .common import crc_of, named, text_slices, texts_of
 from .jpeg import JpegError, decode_luminance, encode_payloads, parse_all, thumbnail_hash
 
 UNIT = 576
@@ -47,19 +49,21 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-MEDIA_FIELDS = "width int, height int, images int, samples binary, media_bytes long, media_sha256 string, feature string, error string"
+MEDIA_FIELDS = "width int, height int, images int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
 
-def _read(blobs: list[bytes | None], with_samples: bool) -> list[tuple]:
+def _read(blobs: list[bytes | None]) -> list[tuple]:
+    """The result fields of each column value."""
     frames, of, rows = [], [], []
     for k, blob in enumerate(blobs):
         if blob is None:
-            rows.append((None,) * 8)
+            rows.append((None,) * 10)
             continue
         try:
             found = parse_all(blob)
         except JpegError as e:
-            rows.append((None, None, None, None, len(blob), hashlib.sha256(blob).hexdigest(), None, str(e)))
+            rows.append((*(None,) * 6, len(blob), hashlib.sha256(blob).hexdigest(), None, str(e)))
             continue
         rows.append(found)
         frames += found
@@ -72,54 +76,42 @@ def _read(blobs: list[bytes | None], with_samples: bool) -> list[tuple]:
         base = (len(blob), hashlib.sha256(blob).hexdigest())
         wrong = next((t for t in held if isinstance(t, JpegError)), None)
         if wrong is not None:
-            rows[k] = (None, None, None, None, *base, None, str(wrong))
+            rows[k] = (*(None,) * 6, *base, None, str(wrong))
             continue
         feature = f"{found[0].width}x{found[0].height}:" + "-".join(map(thumbnail_hash, held))
-        samples = b"".join(t.tobytes() for t in held) if with_samples else None
-        rows[k] = (found[0].width, found[0].height, len(found), samples, *base, feature, None)
+        samples = b"".join(t.tobytes() for t in held)
+        rows[k] = (found[0].width, found[0].height, len(found), len(samples), hashlib.sha256(samples).hexdigest(), crc_of(samples[-32:]), *base, feature, None)
     return rows
 
 
-def describe_media(df: DataFrame, column: str = "media", with_samples: bool = False) -> DataFrame:
-    """The columns of ``df`` without ``column``, and ``MEDIA_FIELDS`` for it; ``samples`` are the thumbnails' bytes if asked for."""
+def describe_media(df: DataFrame, column: str = "media") -> DataFrame:
+    """The columns of ``df`` without ``column``, and ``MEDIA_FIELDS`` for it.
+
+    The payload is the thumbnail of component 0, a byte per block: its length,
+    hash and the checksum of its last 32 bytes are taken where it is decoded. A
+    field whose name ``df`` has already is called after the column,
+    as ``media_width``.
+    """
     others = [c for c in df.columns if c != column]
-    clash = set(others) & {f.split()[0] for f in MEDIA_FIELDS.split(", ")}
-    if clash:
-        raise ValueError(f"columns of the input clash with results: {sorted(clash)}")
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others] + [MEDIA_FIELDS])
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string())
+    names, kinds = [], []
+    for name, kind in (f.split() for f in MEDIA_FIELDS.split(", ")):
+        kinds.append(kind)
+        while name in others or name in names:
+            name = f"{column}_{name}"
+        names.append(name)
+    schema = T.StructType([*(df.schema[c] for c in others), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names, kinds, strict=True))])
 
     def run(batches):
         for batch in batches:
             for a, b in text_slices(batch, column, SLICE):
-                rows = _read(texts_of(batch, a, b, column), with_samples)
+                rows = _read(texts_of(batch, a, b, column))
                 kept = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in others]
-                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*kept, *found], names=[*others, *(f.split()[0] for f in MEDIA_FIELDS.split(", "))])
-
-    return df.select(*others, column).mapInArrow(run, schema)
-
+                found = [pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=[*others, *names])
 
-def payload_digests(described: DataFrame) -> DataFrame:
-    """The digest columns of the stored payloads, from what was read back."""
-
-    def tail(batches):
-        for batch in batches:
-            held = [s.as_py() for s in batch.column(batch.schema.get_field_index("samples"))]
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    columns["doc_id"], columns["n_bytes"], pa.array([len(s) for s in held], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in held]),
-                    pa.array(np.array([crc_of(s[-32:]) for s in held], dtype=np.int64)), columns["media_bytes"], columns["media_sha256"], columns["feature"],
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    first = described.schema["doc_id"].dataType.simpleString()
-    return described.select("doc_id", "n_bytes", "samples", "media_bytes", "media_sha256", "feature").mapInArrow(
-        tail, f"doc_id {first}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return df.select(*[named(c) for c in (*others, column)]).mapInArrow(run, schema)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    return payload_digests(describe_media(store_texts(docs), with_samples=True))
+    """Store every text, read it back, and return the digests of what was read."""
+    return describe_media(store_texts(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -5,8 +5,8 @@
    source, and what is cut off is shared again by weight. That is water
    filling, ``target = min(cap * size, level * weight)``, solved on one row per
    source.
-2. *Order.* Every document gets a hash-random key from its id and the seed; a
-   source's documents are taken in key order, ids breaking ties, then texts.
+2. *Order.* Every document gets a hash-random key from its id, its text and the
+   seed, so rows without an id spread as well; a source's documents are taken in key order, ids breaking ties, then texts.
 3. *Prefix sums.* Keys are uniform, so a source is range-split into cells of
    equal key width, as many as its documents need. Cell sums are prefix-summed
    (one row per cell), and rows are prefix-summed within their own cell only:
@@ -24,14 +24,13 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialize
+from .common import materialize, named
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,12 +72,13 @@ def _cells_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and the columns to carry."""
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and with ``carry`` the whole row of ``docs`` as the struct ``row``."""
     size = word_count(F.col("text")) if size is None else size
     sized = docs.select(
         F.col("doc_id"), F.col("source"), size.alias("size"),
-        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("key"), F.xxhash64(F.col("text"), F.lit(seed)).alias("tie"), *[F.col(c).alias(f"carried_{c}") for c in carry],
+        F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("key"), F.xxhash64(F.col("text"), F.lit(seed)).alias("tie"),
+        *[F.struct(*[named(c) for c in docs.columns]).alias("row")] * carry,
     )
     sized = materialize(sized.withColumn("group", _cells_key("source")), "mix-sizes")
     spark = docs.sparkSession
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (epochs * F.col("size") + last).cast("long").alias("taken"),
-        *[F.col(f"carried_{c}").alias(c) for c in carry],
+        *["row"] * carry,
     )
 
 
@@ -136,12 +136,10 @@ def _first_words(text: str, n: int) -> str:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself, with the columns of ``docs``: a document is repeated once per whole epoch, and one that the budget cuts ends with the words it takes."""
-    columns = docs.columns
-    mixed = mix(docs, carry=tuple(c for c in columns if c not in ("doc_id", "source")), **options)
-    whole = mixed.where("size > 0").withColumn("epochs", F.floor(F.col("taken") / F.col("size")))
-    repeated = whole.where("epochs > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*columns)
-    partly = whole.where("taken % size > 0")
-    cut = take_words(partly.select(*columns, (F.col("taken") % F.col("size")).alias("words to take")))
-    if "n_chars" in columns:
+    whole = mix(docs, carry=True, **options).where("size > 0").select("row", "size", "taken")
+    epochs = F.floor(F.col("taken") / F.col("size")).cast("int")
+    repeated = whole.where("taken >= size").select("row", F.explode(F.sequence(F.lit(1), epochs)).alias("copy")).select("row.*")
+    cut = take_words(whole.where("taken % size > 0").select("row.*", (F.col("taken") % F.col("size")).alias("words to take")))
+    if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return reduce(DataFrame.unionByName, [repeated, cut.select(*columns)])
+    return repeated.union(cut)

@@ -2,17 +2,20 @@
 
 1. Every whole text becomes its set of hashed word shingles. Texts with equal
    sets form one class; only the smallest document of a class goes on.
-2. MinHash samples of the set give band keys. Each bucket links its members to
-   its smallest one (linear in the bucket), and the components of these links
-   are *families*: all pairs that share any band lie inside one family.
-3. The samples, folded into a parity bitmap (odd sketch), estimate high
-   similarities from the population count of an XOR. Inside a family the sketch
-   discards pairs that are far from the threshold; the rest is confirmed by
-   exact intersections of full sets. Pairs that are already connected need no
-   test. A family is cut into blocks of bounded size, and each pair of blocks
-   is a task of its own, so no task holds an unbounded group; a task returns at
-   most one edge per member.
-4. Components of the confirmed edges, then back to all documents by class.
+2. MinHash samples of the set give band keys; documents with a common key are
+   candidates. The samples, folded into a parity bitmap (odd sketch), estimate
+   high similarities from the population count of an XOR.
+3. *Hubs first.* In every bucket each member is compared with the smallest one
+   only: as many pairs as members. Sketches and set sizes discard pairs before
+   any text moves; what stays is confirmed by exact intersections of full sets,
+   one text per pair and one per hub being shuffled. The components of these
+   links hold almost all of a family of near copies.
+4. *What is still open.* Buckets whose members lie in several components are
+   compared by sketch in blocks of bounded size, each pair of blocks a task of
+   its own, across components only and each pair in the first band it shares.
+   Only documents with a pair that passes send their texts to the blocks where
+   it did, and a task returns at most one link per member.
+5. Components of all links, then back to all documents by class.
 
 With 24 bands of 5 rows a pair at the threshold of 0.85 shares no band with a
 probability of 8e-7; the sketch loses one with a probability of about 1e-9.
@@ -26,13 +29,15 @@ name unless all members have null ids.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, steady_memory, text_slices, texts_of
+from .common import free, materialize, materialize_counted, mix64, steady_memory, text_slices, texts_of
 from .components import connected_components
 
 WORDS = 5
@@ -42,7 +47,8 @@ ROWS = 5
 SKETCH_BITS = 512
 #: Samples of 120 that may differ at 85 %: 46 is over seven standard deviations; each differing sample sets two bits at most.
 SKETCH_LIMIT = 2 * 46
-BLOCK_DOCS = 1024
+#: Members of an open bucket, and their shingles, that one block holds.
+BLOCK_DOCS = 2048
 BLOCK_SHINGLES = 2_000_000
 SEED = 0x5DEECE66D
 
@@ -132,7 +138,10 @@ def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the class key (k1, k2), band keys and odd sketch of every text."""
+    """doc_id, n_shingles, the class key (k1, k2), band keys and odd sketch (as 64-bit words) of every text."""
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.view(np.int64).ravel()))
 
     def run(batches):
         steady_memory()
@@ -141,93 +150,183 @@ def describe(docs: DataFrame) -> DataFrame:
             for a, b in text_slices(batch):
                 sets = shingle_sets(texts_of(batch, a, b))
                 sig = signatures(sets)
-                bands = band_keys(sig).view(np.int64)
                 k1, k2 = set_keys(sets)
-                n = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
-                        pa.array([s.tobytes() for s in odd_sketches(sig)], pa.binary()),
-                    ],
+                    [ids.slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), lists(band_keys(sig)), lists(odd_sketches(sig))],
                     names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
-
-
-def links_in_block(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sketches: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """For each member the smallest id it is connected with here.
-
-    ``side`` is the block of each member; with two blocks only pairs across
-    them are tested (each block with itself is another task).
-    """
-    n = len(ids)
-    order = np.argsort(ids, kind="stable")
-    ids, side, sketches, sets = ids[order], side[order], sketches[order], [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(tokens.max() + 1 if len(tokens) else 0, dtype=bool)
-    component = np.arange(n)
-    across = len(np.unique(side)) > 1
-    for i in range(n - 1):
-        later = slice(i + 1, n)
-        open_ = component[later] != component[i]
-        if across:
-            open_ &= side[later] != side[i]
-        small, large = np.minimum(sizes[later], sizes[i]), np.maximum(sizes[later], sizes[i])
-        open_ &= 100 * small >= percent * large
-        js = np.flatnonzero(open_)
-        if not len(js):
-            continue
-        js = js[np.bitwise_count(sketches[i + 1 + js] ^ sketches[i]).sum(axis=1) <= SKETCH_LIMIT] + i + 1
-        if not len(js):
-            continue
-        own = tokens[bounds[i] : bounds[i + 1]]
-        mark[own] = True
-        held = mark[np.concatenate([tokens[bounds[j] : bounds[j + 1]] for j in js])].astype(np.int64)
-        mark[own] = False
-        common = np.add.reduceat(held, np.concatenate([[0], np.cumsum(sizes[js])[:-1]]))
-        linked = js[100 * common >= percent * (sizes[js] + sizes[i] - common)]
-        if len(linked):
-            joined = np.unique(np.concatenate([component[linked], [component[i]]]))
-            component[np.isin(component, joined)] = joined[0]
-    root = np.empty(n, dtype=np.int64)
-    root[order] = ids[component]
-    return root
-
-
-def _confirm(batches):
-    """Rows sorted by (family, i, j): groups are consecutive."""
-    steady_memory()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(id, packed) of every text that is not null."""
+
+    def squeeze(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for a, b in text_slices(batch):
+                held = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts_of(batch, a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(held, pa.binary())], names=["id", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").mapInArrow(squeeze, "id long, packed binary")
+
+
+def _unpacked_sets(packed: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+    """Shingle sets and their first keys."""
     unpack = zstandard.ZstdDecompressor()
+    sets = shingle_sets([unpack.decompress(x) for x in packed])
+    return sets, set_keys(sets)[0].tolist()
+
+
+def alike(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets are as similar as the threshold."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(small) + len(large) - common)
 
-    def solve(rows):
-        sets = shingle_sets([unpack.decompress(r[6]) for r in rows])
-        keys = set_keys(sets)[0].tolist()
-        good = {r[3]: k for k, r in enumerate(rows) if keys[k] == r[5]}  # one row per id: the one of its class
-        take = list(good.values())
-        if len(take) < 2:
-            return
-        ids = np.array([rows[k][3] for k in take], dtype=np.int64)
-        sketches = np.stack([np.frombuffer(rows[k][7], dtype=np.uint64) for k in take])
-        root = links_in_block(ids, np.array([rows[k][4] for k in take]), [sets[k] for k in take], sketches)
-        moved = root != ids
-        if moved.any():
-            yield ids[moved], root[moved]
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
+def _confirm_pairs(batches):
+    """Rows (a, ka, packed_a, b, kb, packed_b); rows of one hub ``b`` mostly follow each other, so its set is kept."""
+    steady_memory()
+    hub, hub_set, hub_key = None, None, None
+    for batch in batches:
+        ids_a, keys_a, ids_b, keys_b = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("a", "ka", "b", "kb"))
+        texts_b = batch.column(batch.schema.get_field_index("packed_b"))
+        for start, end in text_slices(batch, "packed_a", 1 << 19):
+            sets, keys = _unpacked_sets(texts_of(batch, start, end, "packed_a"))
+            found = []
+            for k in range(start, end):
+                if keys[k - start] != keys_a[k]:
+                    continue  # another text of the same id
+                packed = texts_b[k].as_py()
+                if packed != hub:
+                    hub = packed
+                    (hub_set,), (hub_key,) = _unpacked_sets([packed])
+                if hub_key == keys_b[k] and alike(sets[k - start], hub_set):
+                    found.append((ids_a[k], ids_b[k]))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) among candidate ``pairs(a, ka, b, kb)``: each text of ``a`` is sent once per pair, that of a hub once per hub."""
+    texts = packed_texts(docs)
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("packed_a")), "a")
+    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("packed_b")), "b")
+    return with_b.select("a", "ka", "packed_a", "b", "kb", "packed_b").mapInArrow(_confirm_pairs, "a long, b long").distinct()
+
+
+OPEN_FIELDS = "bucket long, i int, j int, id long, block int, band int, component long, k1 long, n long, bands array<long>, sketch array<long>"
+_NAMES = [f.split()[0] for f in OPEN_FIELDS.split(", ")]
+
+
+class Members:
+    """The members of one pair of blocks of an open bucket, as arrays; :meth:`partners` gives whom a member is to be compared with."""
+
+    def __init__(self, rows: list[dict]):
+        self.ids, self.block, self.component, self.sizes = (np.array([r[n] for r in rows], dtype=np.int64) for n in ("id", "block", "component", "n"))
+        self.sketch = np.array([r["sketch"] for r in rows], dtype=np.int64).view(np.uint64)
+        self.earlier = np.array([r["bands"][: rows[0]["band"]] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+        self.across = rows[0]["i"] != rows[0]["j"]
+
+    def partners(self, k: int, percent: int = PERCENT) -> np.ndarray:
+        """Members in other components (and across the blocks, if there are two) whose size and sketch allow a link and that share no earlier band."""
+        open_ = self.component != self.component[k]
+        if self.across:
+            open_ &= self.block != self.block[k]
+        small, large = np.minimum(self.sizes, self.sizes[k]), np.maximum(self.sizes, self.sizes[k])
+        at = np.flatnonzero(open_ & (100 * small >= percent * large))
+        at = at[np.bitwise_count(self.sketch[at] ^ self.sketch[k]).sum(axis=1) <= SKETCH_LIMIT]
+        return at[~(self.earlier[at] == self.earlier[k]).any(axis=1)] if self.earlier.shape[1] else at
+
+    def outside(self) -> np.ndarray:
+        """Members that are not in the largest component: every pair across components has one."""
+        names, counts = np.unique(self.component, return_counts=True)
+        return np.flatnonzero(self.component != names[counts.argmax()])
+
+
+def _by_block_pair(batches):
+    """The rows of each (bucket, i, j), which follow each other."""
     group, rows = None, []
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[:3] != group:
-                yield from map(out, solve(rows) if rows else ())
-                group, rows = row[:3], []
+        for row in batch.to_pylist():
+            key = (row["bucket"], row["i"], row["j"])
+            if key != group:
+                if rows:
+                    yield rows
+                group, rows = key, []
             rows.append(row)
-    yield from map(out, solve(rows) if rows else ())
+    if rows:
+        yield rows
+
+
+def _passing(batches):
+    """The rows of members that have a pair which passes the sketches."""
+    for rows in _by_block_pair(batches):
+        members = Members(rows)
+        hit = np.zeros(len(rows), dtype=bool)
+        for k in members.outside().tolist():
+            at = members.partners(k)
+            hit[at] = True
+            hit[k] |= len(at) > 0
+        kept = np.flatnonzero(hit).tolist()
+        for a in range(0, len(kept), 1024):
+            some = [rows[k] for k in kept[a : a + 1024]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], t) for n, t in zip(_NAMES, _OPEN_KINDS, strict=True)], names=_NAMES)
+
+
+_OPEN_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+
+def links_in_block(members: Members, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A link for each merge of two components by a confirmed pair: at most one less than there are members."""
+    found = []
+    for k in members.outside().tolist():
+        for at in members.partners(k).tolist():
+            if members.component[at] != members.component[k] and alike(sets[at], sets[k]):
+                found.append((int(members.ids[at]), int(members.ids[k])))
+                members.component[members.component == members.component[at]] = members.component[k]
+    return found
+
+
+def _confirm_blocks(batches):
+    steady_memory()
+    for rows in _by_block_pair(batches):
+        sets, keys = _unpacked_sets([r["packed"] for r in rows])
+        good = [k for k, r in enumerate(rows) if keys[k] == r["k1"]]  # not other texts of the same id
+        if len(good) > 1:
+            found = links_in_block(Members([rows[k] for k in good]), [sets[k] for k in good])
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def open_links(docs: DataFrame, reps: DataFrame, crowded: DataFrame, components: DataFrame) -> DataFrame | None:
+    """Links across ``components`` in buckets of three or more members (``crowded(bucket)``); None if no bucket is open."""
+    placed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket")).join(crowded.select("bucket"), "bucket")
+    placed = materialize(placed.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-crowded")
+    state = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"), F.min("component").alias("least"), F.max("component").alias("most"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes, buckets, _ = materialize_counted(state.where("least <> most").select("bucket", blocks.alias("blocks")), "near-open")
+    if not buckets:
+        return None
+    told = reps.select(F.col("doc_id").alias("id"), "k1", "bands", "sketch")
+    inside = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(told, "id")
+    paired = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = paired.select(*_NAMES).repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    passed, rows, _ = materialize_counted(ordered.mapInArrow(_passing, OPEN_FIELDS).select(*_NAMES), "near-passed")
+    free(placed)
+    free(sizes)
+    if not rows:
+        return None
+    sent = passed.join(packed_texts(docs), "id").select(*_NAMES, "packed").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sent.mapInArrow(_confirm_blocks, "a long, b long")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -236,32 +335,25 @@ def link_documents(docs: DataFrame) -> DataFrame:
     classes = described.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "near-classes")
     reps = described.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+    reps = materialize(reps.select("doc_id", "k1", "n_shingles", "bands", "sketch"), "near-reps")
     members = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b <> top")
-    stars = members.join(buckets.select("bucket", "b"), "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    families = materialize(connected_components(stars), "near-families")
-
-    inside = families.join(reps.select(F.col("doc_id").alias("id"), "k1", "n_shingles", "sketch"), "id")
-    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
-    blocks = sizes.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    inside = inside.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-    def squeeze(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for a, b in text_slices(batch):
-                held = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts_of(batch, a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(held, pa.binary())], names=["id", "packed"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").mapInArrow(squeeze, "id long, packed binary")
-    placed = inside.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = placed.select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "id", "block", "k1", "packed", "sketch",
-    )
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = tasks.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm, "a long, b long")
-    linked = connected_components(edges)
+    hubs = members.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("docs"))
+    hubs = materialize(hubs.where("b <> top").drop("top"), "near-hubs")
+    stars = members.join(hubs.select("bucket", "b"), "bucket").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    for side in "ab":
+        told = reps.select(F.col("doc_id").alias(side), F.col("k1").alias(f"k{side}"), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        stars = stars.join(told, side)
+    odd = reduce(Column.__add__, [F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH_BITS // 64)])
+    sized = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+    pairs = materialize(stars.where(sized & (odd <= SKETCH_LIMIT)).select("a", "ka", "b", "kb"), "near-pairs")
+    linked = connected_components(confirmed(pairs, docs))
+    rest = open_links(docs, reps, hubs.where("docs > 2"), linked)
+    if rest is not None:
+        more, found, _ = materialize_counted(rest, "near-rest")
+        if found:
+            linked = connected_components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    for done in (hubs, pairs, reps):
+        free(done)
 
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     whole = described.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
@@ -270,6 +362,6 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that stay: the smallest of each component."""
-    kept = link_documents(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The documents of ``docs`` that stay: the smallest of each component. An id that repeats stays if one of its rows does."""
+    gone = link_documents(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("stays")).where("not stays").select("gone_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

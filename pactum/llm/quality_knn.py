@@ -4,7 +4,7 @@
   shapes; ``log(1 + count) * idf``. Document frequencies cover all documents.
 * Latent space: a truncated singular value decomposition (randomised range
   finder) of at most ``FIT_ROWS`` labelled documents, chosen by the hash of
-  their ids. Their unit vectors and labels are broadcast: at most ``FIT_ROWS``
+  their ids, in one task of an executor. Their unit vectors and labels are broadcast: at most ``FIT_ROWS``
   by ``DIMENSIONS`` floats, whatever the size of the corpus.
 * Score: exact cosine products of every document with every labelled vector,
   in blocks; the ``NEIGHBOURS`` most similar vote with their label, weighted
@@ -12,7 +12,8 @@
 
 Defined cases: a null or empty text has the features of the empty text, and is
 scored like any other; repeated rows get equal scores; without labels
-every score is 0.5; several labels of one id count by their mean.
+every score is 0.5; several labels of one id count by their mean, and of several
+texts of one labelled id the least is learnt from.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_column, sample_rows, text_slices, texts_of
-from .language import hash_of
-from .ngrams import case_shapes, document_frequencies, ngram_counts, vectors_of
+from .common import fit_in_task, held_out_column, sample_rows, text_slices, texts_of
+from .ngrams import case_shapes, document_frequencies, gathered, ngram_counts, sparse_vectors
 
 BITS = 12
 FIT_ROWS = 4000
@@ -89,21 +89,30 @@ def latent_basis(x: np.ndarray, dimensions: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel | None:
     """Learn from the labels of rows that are not held out."""
     df, rows = document_frequencies(docs, BITS, features)
-    marks = labels.where(F.col("quality").isNotNull() & ~held_out_column()).groupBy(F.col("doc_id").alias("labelled")).agg(F.avg("quality").alias("quality"))
-    some = sample_rows(marks, "labelled", fit_rows)  # the bounded sample
-    known = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).dropDuplicates(["doc_id"])
-    counts, marked = vectors_of(known, "quality", features, BITS)
-    if not len(counts):
-        return None
-    order = np.argsort([hash_of(c) for c in counts], kind="stable")
-    counts, y = counts[order], np.array([float(marked[i]) for i in order], dtype=np.float32)
     idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
-    x = weighted(counts, idf)
-    del counts
-    centre = x.mean(axis=0)
-    x -= centre
-    basis = latent_basis(x, DIMENSIONS)
-    return QualityModel(idf, centre, basis, unit(x @ basis), y)
+    marks = labels.where(F.col("quality").isNotNull() & ~held_out_column()).groupBy(F.col("doc_id").alias("labelled")).agg(F.avg("quality").alias("label"))
+    some = sample_rows(marks, "labelled", fit_rows)  # the bounded sample
+    known = docs.select(F.col("doc_id").alias("own_id"), "text").join(F.broadcast(some), F.col("own_id") == F.col("labelled")).groupBy("own_id", "label").agg(F.min("text").alias("text"))
+
+    def learn(table: pa.Table) -> QualityModel | None:
+        counts, marked = gathered(table)
+        if not len(counts):
+            return None
+        x = weighted(counts.dense(1 << BITS), idf)
+        centre = x.mean(axis=0)
+        x -= centre
+        basis = latent_basis(x, DIMENSIONS)
+        return QualityModel(idf, centre, basis, unit(x @ basis), np.array(marked, dtype=np.float32))
+
+    return fit_in_task(sparse_vectors(known, "label", features), learn)
+
+
+def _scores(model: QualityModel | None, texts: list[str | None]) -> np.ndarray:
+    out = np.full(len(texts), 0.5)
+    if model:
+        for c in range(0, len(texts), 256):
+            out[c : c + 256] = np.clip(model.scores(np.stack([features(t) for t in texts[c : c + 256]])), 0, 1)
+    return out
 
 
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
@@ -111,21 +120,21 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_ROWS
 
     def run(batches):
-        model = held.value
         for batch in batches:
             for a, b in text_slices(batch):
-                texts = texts_of(batch, a, b)
-                out = np.full(len(texts), 0.5)
-                if model:
-                    for c in range(0, len(texts), 256):
-                        out[c : c + 256] = np.clip(model.scores(np.stack([features(t) for t in texts[c : c + 256]])), 0, 1)
+                out = _scores(held.value, texts_of(batch, a, b))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out), pa.array((out >= ACCEPT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", held_out_column().alias("held_out"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with the columns of ``docs``."""
-    model = fit(docs, labels)
-    rejected = score(docs, model).where("predicted = 0").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
+    """The documents that the classifier accepts, with the columns of ``docs``: one pass, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # bounded by FIT_ROWS
+
+    def run(batches):
+        for batch in batches:
+            for a, b in text_slices(batch):
+                yield batch.slice(a, b - a).filter(pa.array(_scores(held.value, texts_of(batch, a, b)) >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table as plain_table
+from .common import small_batches
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)  # these queries send whole texts to Python
+    return plain_table(spark, sf_dir, name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

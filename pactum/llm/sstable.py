@@ -16,14 +16,15 @@ block. Shards are written by the task that holds the range, under a temporary
 name that is then renamed, so a task that runs twice leaves one file.
 
 Defined cases: a null text is the empty text (the end id alone); a null id is
-a key of its own that sorts first; repeated ids keep one entry each; an empty
-table leaves no shards and gives no rows.
+a key of its own that sorts first; repeated ids keep one entry each, in the order
+of their compressed texts; an empty table leaves no shards and gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -34,12 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of, scratch_path, text_slices, texts_of
+from .common import crc_of, materialize_counted, scratch_path, text_slices, texts_of
 from .tokens import default_vocabulary, encoder_for
 
 END_ID = 2
 BLOCK_BYTES = 64 << 10
 SHARD_TEXT_BYTES = 24 << 20
+#: Tasks that write; beyond so many, each writes several shards, one after another.
+MAX_TASKS = 1 << 15
 BLOOM_BITS_PER_KEY = 10
 BLOOM_PROBES = 7
 #: Fixed values of the file format.
@@ -164,13 +167,22 @@ def _put(uri: str, name: str, data: bytes) -> None:
 
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path, recursive=True)
-    hidden = f"{path}/_{name}.{hashlib.blake2b(data, digest_size=6).hexdigest()}.part"
+    hidden = f"{path}/_{name}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(hidden) as f:
         f.write(data)
-    system.move(hidden, f"{path}/{name}")
+    target = f"{path}/{name}"
+    there = lambda: system.get_file_info(target).type != fs.FileType.NotFound
+    if not there():
+        try:
+            system.move(hidden, target)
+            return
+        except OSError:  # a second run of the task was faster: it wrote the same bytes
+            if not there():
+                raise
+    system.delete_file(hidden)
 
 
-SHARD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("path", T.StringType()), ("entries", T.LongType()), ("ids", T.LongType()), ("bytes", T.LongType()))])
+SHARD_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("shard", T.LongType()), ("path", T.StringType()), ("entries", T.LongType()), ("ids", T.LongType()), ("bytes", T.LongType()))])
 
 
 def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id: int = END_ID, shard_text_bytes: int = SHARD_TEXT_BYTES) -> DataFrame:
@@ -181,7 +193,7 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
     vocabulary = vocabulary or default_vocabulary()
     end = int(end_id).to_bytes(4, "little")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    shards = max(1, -(-total // shard_text_bytes))
+    tasks = min(MAX_TASKS, max(1, -(-total // shard_text_bytes)))
 
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -194,37 +206,54 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
     def write(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        task, number = TaskContext.get().partitionId(), 0
         encoder, unpack = encoder_for(vocabulary), zstandard.ZstdDecompressor()
 
-        def entries():
-            for batch in batches:
-                for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield doc_id, encoder.encode(unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass")) + end
-
-        data = build_shard(entries())
-        reader = ShardReader(data)
-        if reader.entries:
-            name = f"shard-{shard:06d}.sst"
+        def out(held):
+            data = build_shard(held)
+            name = f"shard-{task:06d}-{number:06d}.sst"
             _put(uri, name, data)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, f"{uri}/{name}", reader.entries, reader.ids, len(data)), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=SHARD_SCHEMA.names)
+            reader = ShardReader(data)
+            row = (task << 32 | number, f"{uri}/{name}", reader.entries, reader.ids, len(data))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=SHARD_SCHEMA.names)
+
+        held, size = [], 0
+        for batch in batches:
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = unpack.decompress(packed.as_py())
+                if held and size + len(text) > 2 * shard_text_bytes:
+                    yield out(held)
+                    held, size, number = [], 0, number + 1
+                held.append((doc_id, encoder.encode(text.decode("utf-8", "surrogatepass")) + end))
+                size += len(text)
+        if held:
+            yield out(held)
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, packed binary")
-    ordered = packed.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id")
+    ordered = packed.repartitionByRange(int(tasks), "doc_id").sortWithinPartitions("doc_id", "packed")
     return ordered.mapInArrow(write, SHARD_SCHEMA)
 
 
+def _shard_number(path: str) -> int:
+    task, number = path.rpartition("shard-")[2].split(".")[0].split("-")
+    return int(task) << 32 | int(number)
+
+
 READ_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "doc_id", "start", "n_tokens", "ids_crc32")])
 
 
-def read_shards(spark, uri: str) -> DataFrame:
-    """One row per entry of every shard under ``uri``; ``start`` counts all ids before it."""
+def read_shards(spark, uri: str, written: DataFrame | None = None) -> DataFrame:
+    """One row per entry of every shard under ``uri``; ``start`` counts all ids before it.
+
+    ``written`` is what :func:`write_shards` returned; without it the footers
+    are read for the number of ids of each shard.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.sst").load(uri)
 
     def read(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard, rows, start = int(path.rpartition("shard-")[2].split(".")[0]), [], 0
+                shard, rows, start = _shard_number(path), [], 0
                 for doc_id, value in ShardReader(content.as_py()):
                     n = len(value) // 4
                     rows.append((shard, doc_id, start, n, crc_of(value)))
@@ -232,11 +261,20 @@ def read_shards(spark, uri: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=READ_SCHEMA.names)
 
     entries = files.select("path", "content").mapInArrow(read, READ_SCHEMA)
-    totals = footers(files)
-    before = totals.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per shard
+    before = ids_before(footers(files) if written is None else written.select("shard", "ids"))
     return entries.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def ids_before(totals: DataFrame) -> DataFrame:
+    """(shard, before): prefix sums of ``totals(shard, ids)``, first over the tasks and then over the shards of each."""
+    task = totals.withColumn("task", F.shiftright("shard", 32))
+    up_to = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = task.groupBy("task").agg(F.sum("ids").alias("ids"))  # at most MAX_TASKS rows
+    tasks = tasks.select("task", up_to(Window.orderBy("task")).alias("before_task"))
+    inside = task.withColumn("before_shard", up_to(Window.partitionBy("task").orderBy("shard")))
+    return inside.join(tasks, "task").select("shard", (F.col("before_task") + F.col("before_shard")).alias("before"))
+
+
 def ids_in_footer(tail: bytes) -> int:
     return FOOTER.unpack(tail[-FOOTER.size :])[5]
 
@@ -244,7 +282,7 @@ def ids_in_footer(tail: bytes) -> int:
 def footers(files: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
-            found = [(int(p.rpartition("shard-")[2].split(".")[0]), ids_in_footer(c.as_py())) for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            found = [(_shard_number(p), ids_in_footer(c.as_py())) for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["shard", "ids"])
 
     size = FOOTER.size
@@ -257,7 +295,7 @@ def token_tables(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
     spark = docs.sparkSession
     uri = scratch_path(spark, "sstable")
     uri = uri if "://" in uri else "file://" + uri
-    written = write_shards(docs, uri, vocabulary, end_id).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if not written:
+    written, shards, _ = materialize_counted(write_shards(docs, uri, vocabulary, end_id), "sstable-shards")
+    if not shards:
         return spark.createDataFrame([], T.StructType(READ_SCHEMA.fields[1:]))
-    return read_shards(spark, uri)
+    return read_shards(spark, uri, written)

@@ -5,36 +5,50 @@ document with a smaller id.
 
 *Sparse suffixes.* Of the ``WINDOW - GRAM + 1`` grams in a window, the one with
 the least hash is its anchor; equal windows have equal anchors at equal places.
-Consecutive windows with one anchor form a run. A suffix is kept per run (about
-every 14th position): the anchor's hash, the hash of the run's whole span, and
-the document. Sorted by these two hashes they are the suffix array of a batch.
-
-*Index family.* Batches are cut from the input (4 MB of text each) and hashed
-ranges of suffixes go to shards. In a shard every batch's array is merged into
-the family: levels of about equal size merge geometrically, so an entry takes
-part in a logarithmic number of merges. A merge meets equal entries side by
-side: of two equal spans the one in the larger document is covered, and only
-the smaller document's stays in the family. What ends in the last level with
-equal anchors but different spans can match in part; those few runs are
-resolved window by window, in a second family that is keyed by the hashes of
-the windows themselves.
+Consecutive windows with one anchor form a run, and the suffix at the anchor is
+kept, one for each run (about every 14th position). The suffix array of a batch
+holds these suffixes in the order of their bytes: the first ``GRAM`` bytes are
+compared as they are; what lies beyond, to the right and to the left of the
+anchor as far as the run's windows reach, is compared by a hash of the whole
+span.
+
+*Index family.* Batches are cut from the input (4 MB of text each); suffixes go
+to shards by a hash of their first bytes. In a shard every batch's array is
+merged into the family: levels of about equal size merge geometrically, so an
+entry takes part in a logarithmic number of merges. A merge meets equal entries
+side by side: of two equal spans the one in the larger document is covered, and
+only the smaller document's stays in the family. A scan of the last level finds
+neighbours whose longest common prefix is at least ``GRAM`` although their
+spans differ. A window around the gram needs ``WINDOW - GRAM`` bytes more, so at
+least half of these on one side: neighbours with equal hashes of so many bytes
+on neither side have no window in common. The few others are resolved window
+by window, in a second family that is keyed by the hashes of the windows
+themselves.
 
 *Hot strings.* A batch sends one entry per distinct span, so a passage that a
 third of all documents share costs a shard one entry per batch, not one per
 document; copies of whole texts collapse in the same way.
 
-Two entries count as equal if 88 bits of two independent hashes agree.
+*Scale.* A task takes several shards, one after another, so it holds one at a
+time whatever their number. A batch sends at most ``MAX_GROUPS`` rows, however
+many shards there are; a task splits what it got into its shards, which Spark
+sorts (and spills) there.
+
+Two entries count as equal if their first 24 bytes and 48 bits of a hash of the
+span agree (in the second family: 88 bits of two independent hashes).
 
 Defined cases: a null text is the empty text; texts shorter than a window lose
 nothing; a null id is neither smaller nor larger than any other, so its text
 takes no part in matching; rows with the same id do not match each other;
-further columns are ignored by :func:`find_repeats` and kept by
-:func:`remove_repeats`.
+further columns are ignored by :func:`find_repeats` and kept, whatever their
+names, by :func:`remove_repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +57,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, steady_memory, text_slices, texts_of
+from .common import crc_of, materialize, mix64, named, steady_memory, text_slices, texts_of
 
 WINDOW = 50
 GRAM = 24
@@ -51,8 +65,13 @@ GRAM = 24
 PASS_WINDOWS = 1 << 20
 #: Text per batch.
 BATCH_BYTES = 4 << 20
-#: Text per shard of the family.
+#: Text per shard of the family, and shards per task where there are fewer than MAX_GROUPS.
 SHARD_BYTES = 6 << 20
+TASK_SHARDS = 4
+#: Rows that a batch sends at most; each holds the entries of one shard or, beyond, of several.
+MAX_GROUPS = 1 << 14
+#: Of the bytes that a window has besides its gram, this many lie on one side of it at least.
+SIDE = (WINDOW - GRAM) // 2
 
 _B1 = 0x9E3779B97F4A7C15 | 1
 _B2 = 0xD6E8FEB86659FD93
@@ -87,14 +106,14 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows of one pass: anchor hash, span hash, first window, number of windows.
+    """Runs of windows of one pass: place of the anchor, span hash, first window, number of windows.
 
     ``owner_end[i]`` is the end of the document that byte ``i`` belongs to.
     """
-    none = np.empty(0, np.uint64)
+    none = np.empty(0, np.int64)
     windows = len(data) - WINDOW + 1
     if windows <= 0:
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+        return none, none.astype(np.uint64), none, none
     valid = np.arange(windows) + WINDOW <= owner_end[:windows]
     h = _gram_hashes(data)
     low = np.uint64((1 << 23) - 1)
@@ -107,14 +126,32 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
         key = np.minimum(key[: windows], key[wanted - width : wanted - width + windows])
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+        return none, none.astype(np.uint64), none, none
     anchor = (key[at] & low).astype(np.int64)
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
     starts = np.flatnonzero(new)
     count = np.diff(np.concatenate([starts, [len(at)]]))
     first, anchor = at[starts], anchor[starts]
     span = Spans(data, _B1).of(first, first + count + WINDOW - 1)
-    return h[anchor], mix64(span + (anchor - first).astype(np.uint64)), first, count
+    return anchor, mix64(span + (anchor - first).astype(np.uint64)), first, count
+
+
+def first_bytes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ``GRAM`` bytes from each place on, as big-endian words: their order is that of the bytes."""
+    held = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at] if len(at) else np.empty((0, GRAM), np.uint8)
+    words = np.ascontiguousarray(held).view(">u8")
+    return [words[:, k].astype(np.uint64) for k in range(GRAM // 8)]
+
+
+def side_hashes(data: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit hashes of the ``SIDE`` bytes before and after each anchor's gram; 0 where the run, from ``begin`` to ``end``, has fewer."""
+    spans = Spans(data, _B2)
+    before, after = np.zeros(len(anchor), np.uint16), np.zeros(len(anchor), np.uint16)
+    has = anchor - SIDE >= begin
+    before[has] = (spans.of(anchor[has] - SIDE, anchor[has]) >> np.uint64(48)).astype(np.uint16) | 1
+    has = anchor + GRAM + SIDE <= end
+    after[has] = (spans.of(anchor[has] + GRAM, anchor[has] + GRAM + SIDE) >> np.uint64(48)).astype(np.uint16) | 1
+    return before, after
 
 
 class Batch:
@@ -134,31 +171,48 @@ class Batch:
             doc = np.repeat(np.arange(first, last + 1), sizes)
             yield a, self.data[a:b], doc, np.repeat(ends - a, sizes)
 
-    def index(self) -> None:
-        """Sort the runs by (anchor, span, id); equal (anchor, span) form one entry."""
-        found = [[], [], [], [], []]
+    def index(self, shards: int) -> None:
+        """The sparse suffix array, by shard: runs in the order of (shard, bytes, span, id); runs with equal bytes and span form one entry."""
+        kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16)
+        found: list[list] = [[] for _ in kinds]
         for a, data, doc, ends in self.passes():
             anchor, span, first, count = runs_of(data, ends)
             owner = doc[first]
+            before, after = side_hashes(data, anchor, first, first + count + WINDOW - 1)
             keep = self.known[owner]
-            for to, x in zip(found, (anchor, span, first + a, count, owner), strict=True):
+            for to, x in zip(found, (*first_bytes(data, anchor), span, first + a, count, owner, before, after), strict=True):
                 to.append(x[keep])
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-        anchor, span, first, count, owner = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(found, kinds, strict=True))
-        anchor, span = anchor >> np.uint64(16), span >> np.uint64(24)
-        order = np.lexsort((self.ids[owner], span, anchor))
-        self.anchor, self.span, self.first, self.count = anchor[order], span[order], first[order], count[order]
-        doc = self.ids[owner[order]]
-        new = np.concatenate([[True], (self.anchor[1:] != self.anchor[:-1]) | (self.span[1:] != self.span[:-1])]) if len(order) else np.empty(0, bool)
+        *keys, first, count, owner, before, after = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(found, kinds, strict=True))
+        keys[-1] >>= np.uint64(16)
+        order = np.lexsort((self.ids[owner], *reversed(keys)))
+        if shards > 1:
+            shard = shard_of(keys, shards)
+            order = order[np.argsort(shard[order].astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")]
+        self.first, self.count = first[order], count[order]
+        keys, doc = [k[order] for k in keys], self.ids[owner[order]]
+        new = starts_of(keys)
         self.entry_at = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
-        self.least = doc == doc[self.entry_at][self.entry] if len(order) else np.empty(0, bool)  # runs of the entry's smallest document
         self.entry_doc = doc[self.entry_at]
+        self.least = doc == self.entry_doc[self.entry]  # runs of the entry's smallest document
+        self.keys = [k[self.entry_at] for k in keys]
+        self.before, self.after = before[order][self.entry_at], after[order][self.entry_at]
+
+
+def shard_of(keys: list[np.ndarray], shards: int) -> np.ndarray:
+    """By the upper bits of a hash of the first bytes: even, whatever the texts."""
+    h = mix64(keys[0])
+    for k in keys[1 : GRAM // 8]:
+        h = mix64(h + k)
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def shards(self, anchors: np.ndarray, shards: int) -> np.ndarray:
-        """Where each shard's entries begin among sorted anchors of 48 bits."""
-        bounds = -(-(np.arange(shards + 1, dtype=object) << 48) // shards)
-        return np.searchsorted(anchors, np.array([min(int(x), (1 << 48)) for x in bounds], dtype=np.uint64))
+
+def starts_of(keys: list[np.ndarray]) -> np.ndarray:
+    """Where neighbours in sorted arrays differ."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    if len(new):
+        new[1:] = reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
+    return new
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -171,26 +225,48 @@ def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def pack_entries(anchor: np.ndarray, span: np.ndarray, doc: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
-    n = len(anchor)
-    return n.to_bytes(4, "little") + pack.compress(_planes(anchor, 6) + _planes(span, 5) + _planes(doc.view(np.uint64), 8))
+class Form:
+    """How the entries of a family are laid out: bytes of each key, and whether side hashes follow."""
+
+    def __init__(self, widths: tuple[int, ...], sides: bool):
+        self.widths, self.sides = widths, sides
 
+    def pack(self, keys: list[np.ndarray], doc: np.ndarray, sides: tuple[np.ndarray, ...], pack: zstandard.ZstdCompressor) -> bytes:
+        parts = [_planes(k, w) for k, w in zip(keys, self.widths, strict=True)] + [x.tobytes() for x in sides] + [_planes(doc.view(np.uint64), 8)]
+        return len(doc).to_bytes(4, "little") + pack.compress(b"".join(parts))
 
-def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    data = zstandard.ZstdDecompressor().decompress(blob[4:])
-    return _unplanes(data[: 6 * n], n, 6), _unplanes(data[6 * n : 11 * n], n, 5), _unplanes(data[11 * n :], n, 8).view(np.int64)
+    def unpack(self, blob: bytes) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+        n, at = int.from_bytes(blob[:4], "little"), 0
+        data = zstandard.ZstdDecompressor().decompress(blob[4:])
+
+        def take(width: int) -> bytes:
+            nonlocal at
+            at += width * n
+            return data[at - width * n : at]
+
+        keys = [_unplanes(take(w), n, w) for w in self.widths]
+        sides = [np.frombuffer(take(2), dtype=np.uint16) for _ in range(2 * self.sides)]
+        return keys, _unplanes(take(8), n, 8).view(np.int64), sides
+
+
+SUFFIXES = Form((8,) * (GRAM // 8) + (6,), True)
+WINDOWS = Form((6, 5), False)
 
 
 class IndexFamily:
-    """Levels of merged suffix arrays; sizes at least double from each level to the one below."""
+    """Levels of merged suffix arrays; sizes at least double from each level to the one below.
+
+    A level is its keys, most significant first, then document, batch and
+    ordinal of each entry, and further columns.
+    """
 
-    def __init__(self):
+    def __init__(self, keys: int):
+        self.keys = keys
         self.levels: list[tuple[np.ndarray, ...]] = []
         self.covered: list[tuple[np.ndarray, np.ndarray]] = []  # (batch, ordinal) of entries that a smaller document has
 
-    def add(self, batch: int, anchor: np.ndarray, span: np.ndarray, doc: np.ndarray) -> None:
-        level = (anchor, span, doc, np.full(len(anchor), batch, dtype=np.int32), np.arange(len(anchor), dtype=np.int32))
+    def add(self, batch: int, keys: list[np.ndarray], doc: np.ndarray, more: list[np.ndarray] = ()) -> None:
+        level = (*keys, doc, np.full(len(doc), batch, dtype=np.int32), np.arange(len(doc), dtype=np.int32), *more)
         while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
             level = self._merge(self.levels.pop(), level)
         self.levels.append(level)
@@ -200,16 +276,15 @@ class IndexFamily:
         order = np.argsort(both[0], kind="stable")  # two sorted runs: one merging pass
         both = [p[order] for p in both]
         same = both[0][1:] == both[0][:-1]
-        if same.any():  # order what has equal anchors by span and document
-            tied = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            at = np.flatnonzero(tied)
-            fix = at[np.lexsort((both[2][at], both[1][at], both[0][at]))]
+        if same.any():  # order what has an equal first word by the rest of its keys and the document
+            at = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            fix = at[np.lexsort([p[at] for p in reversed(both[: self.keys + 1])])]
             for p in both:
                 p[at] = p[fix]
-            new = np.concatenate([[True], ~same | (both[1][1:] != both[1][:-1])])
-            least = both[2][np.flatnonzero(new)][np.cumsum(new) - 1]
-            stays = both[2] == least
-            self.covered.append((both[3][~stays], both[4][~stays]))
+            new = starts_of(both[: self.keys])
+            doc = both[self.keys]
+            stays = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            self.covered.append((both[self.keys + 1][~stays], both[self.keys + 2][~stays]))
             both = [p[stays] for p in both]
         return tuple(both)
 
@@ -220,37 +295,50 @@ class IndexFamily:
         return self.levels[0]
 
 
-def resolve(runs: list[tuple[int, bytes]], partial: bool) -> list[tuple[int, bytes]]:
-    """Answers for the batches of one shard: a code per entry, 1 if a smaller document has it; 2 (``partial``) if others share its anchor only."""
-    family, sizes = IndexFamily(), []
+def partly_matching(level: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Entries of the last level that share their first ``GRAM`` bytes and the bytes on one side with an entry of another document."""
+    new = starts_of(level[: GRAM // 8])  # a longest common prefix of less than GRAM begins a group
+    group = np.cumsum(new) - 1
+    doc, before, after = level[len(SUFFIXES.widths)], level[-2], level[-1]
+    crowded = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if len(group) else np.empty(0, np.int64)
+    out = np.zeros(len(group), dtype=bool)
+    for side in (before, after):
+        at = crowded[side[crowded] > 0]
+        at = at[np.lexsort((side[at], group[at]))]
+        if len(at):
+            starts = np.flatnonzero(starts_of([group[at], side[at]]))
+            mixed = np.minimum.reduceat(doc[at], starts) != np.maximum.reduceat(doc[at], starts)
+            out[at] |= np.repeat(mixed, np.diff(np.append(starts, len(at))))
+    return out
+
+
+def resolve(runs: list[tuple[int, bytes]], form: Form) -> list[tuple[int, bytes]]:
+    """Answers for the batches of one shard: a code per entry, 1 if a smaller document has it; 2 (of suffixes) if another document has a part of it."""
+    family, sizes, keys = IndexFamily(len(form.widths)), [], len(form.widths)
     for k, (_, blob) in enumerate(runs):
-        anchor, span, doc = unpack_entries(blob)
-        sizes.append(len(anchor))
-        family.add(k, anchor, span, doc)
-    anchor, span, doc, source, ordinal = family.finish()
+        held, doc, sides = form.unpack(blob)
+        sizes.append(len(doc))
+        family.add(k, held, doc, sides)
+    last = family.finish()
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.zeros(bounds[-1], dtype=np.uint8)
     for batch, at in family.covered:
         codes[bounds[batch] + at] = 1
-    if partial and len(anchor):
-        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        mixed = (np.minimum.reduceat(span, starts) != np.maximum.reduceat(span, starts)) & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
-        hit = mixed[group]
-        codes[bounds[source[hit]] + ordinal[hit]] = 2
+    if form.sides:
+        hit = partly_matching(last)
+        codes[bounds[last[keys + 1][hit]] + last[keys + 2][hit]] = 2
     pack = zstandard.ZstdCompressor(level=1)
     return [(batch, pack.compress(codes[a:b].tobytes())) for (batch, _), a, b in zip(runs, bounds[:-1], bounds[1:], strict=True) if codes[a:b].any()]
 
 
-def _resolve_shards(batches, partial: bool):
+def _resolve_shards(batches, form: Form):
     """Rows (shard, batch, entries), sorted by shard."""
 
     def out(shard, runs):
-        answers = resolve(runs, partial)
+        answers = resolve(runs, form)
         if answers:
             b, c = zip(*answers, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([shard] * len(b), pa.int32()), pa.array(c, pa.binary())], names=["batch", "shard", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([shard] * len(b), pa.int64()), pa.array(c, pa.binary())], names=["batch", "shard", "codes"])
 
     steady_memory()
     now, runs = None, []
@@ -312,11 +400,11 @@ BATCH_SCHEMA = T.StructType([
     T.StructField("batch", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("known", T.BinaryType()),
     T.StructField("lengths", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("bytes", T.LongType()),
 ])
-ENTRY_SCHEMA = "shard int, batch long, entries binary"
-ANSWER_SCHEMA = "batch long, shard int, codes binary"
+ENTRY_SCHEMA = "sent int, batch long, pieces array<struct<shard: bigint, entries: binary>>"
+ANSWER_SCHEMA = "batch long, shard long, codes binary"
 
 
-def _opened(batches):
+def _opened(batches, shards: int):
     """Each row of a frame of batches as (row dict, indexed Batch)."""
     steady_memory()
     unpack = zstandard.ZstdDecompressor()
@@ -326,26 +414,45 @@ def _opened(batches):
             lengths = np.frombuffer(row["lengths"], dtype="<i8")
             data = np.frombuffer(unpack.decompress(row.pop("payload")), dtype=np.uint8) if lengths.sum() else np.empty(0, np.uint8)
             opened = Batch(np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["known"], dtype=np.uint8).astype(bool), lengths, data)
-            opened.index()
+            opened.index(shards)
             yield row, opened
 
 
-def _entries_by_shard(number: int, bounds: np.ndarray, anchor, span, doc):
-    pack = zstandard.ZstdCompressor(level=1)
-    full = [s for s in range(len(bounds) - 1) if bounds[s] < bounds[s + 1]]
-    if full:
-        blobs = [pack_entries(*(x[bounds[s] : bounds[s + 1]] for x in (anchor, span, doc)), pack) for s in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "batch", "entries"])
+def _sections(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that sorted entries have, and where each begins (and the last one ends)."""
+    starts = np.flatnonzero(starts_of([shard]))
+    return shard[starts], np.append(starts, len(shard))
 
 
-def _codes(batch: Batch, answers: list | None, bounds: np.ndarray, size: int) -> np.ndarray:
-    codes = np.zeros(size, dtype=np.uint8)
+def _entries_by_shard(number: int, shard: np.ndarray, shards: int, form: Form, keys, doc, sides=()):
+    """At most ``MAX_GROUPS`` rows for a batch, each with the entries of consecutive shards."""
+    pack = zstandard.ZstdCompressor(level=1)
+    present, bounds = _sections(shard)
+    if not len(present):
+        return
+    groups = min(shards, MAX_GROUPS)
+    blobs = [form.pack([k[a:b] for k in keys], doc[a:b], tuple(x[a:b] for x in sides), pack) for a, b in itertools.pairwise(bounds.tolist())]
+    sent = present * groups // shards
+    rows, offsets = _sections(sent)
+    pieces = pa.StructArray.from_arrays([pa.array(present, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "entries"])
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces)], names=["sent", "batch", "pieces"])
+
+
+def _codes(answers: list | None, shard: np.ndarray) -> np.ndarray:
+    """The codes of a batch's sorted entries."""
+    codes = np.zeros(len(shard), dtype=np.uint8)
+    present, bounds = _sections(shard)
     for answer in answers or ():
-        a, b = bounds[answer["shard"]], bounds[answer["shard"] + 1]
-        codes[a:b] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer["codes"]), dtype=np.uint8)
+        k = int(np.searchsorted(present, answer["shard"]))
+        codes[bounds[k] : bounds[k + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer["codes"]), dtype=np.uint8)
     return codes
 
 
+def _window_shards(one: np.ndarray, shards: int) -> np.ndarray:
+    """Of sorted 48-bit window hashes."""
+    return ((one >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def _open_windows(batch: Batch, codes: np.ndarray):
     """Sorted distinct windows of the entries with code 2, and of each such run's windows which one it is.
 
@@ -397,71 +504,79 @@ def _covered(batch: Batch, codes: np.ndarray, windows=None, window_codes=None) -
     return np.cumsum(change[:-1]) > 0
 
 
-RESULT_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+RESULT_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+TEXT_FIELDS = ", kept string, crc long"
 
 
 def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
-    spark = docs.sparkSession
+    """The result fields of every row; with the text that is kept and a checksum of the old one if ``with_text``."""
+    fields = RESULT_FIELDS + TEXT_FIELDS * with_text
     table = materialize(cut_batches(docs), "suffix-batches")
     total = table.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, int(-(-total // SHARD_BYTES)))
 
     def entries(batches):
-        for row, b in _opened(batches):
-            anchor = b.anchor[b.entry_at]
-            yield from _entries_by_shard(row["batch"], b.shards(anchor, shards), anchor, b.span[b.entry_at], b.entry_doc)
+        for row, b in _opened(batches, shards):
+            yield from _entries_by_shard(row["batch"], shard_of(b.keys, shards), shards, SUFFIXES, b.keys, b.entry_doc, (b.before, b.after))
 
     def windows(batches):
-        for row, b in _opened(batches):
-            codes = _codes(b, row["answers"], b.shards(b.anchor[b.entry_at], shards), len(b.entry_at))
+        for row, b in _opened(batches, shards):
+            codes = _codes(row["answers"], shard_of(b.keys, shards))
             if (codes == 2).any():
                 (one, two, doc), *_ = _open_windows(b, codes)
-                yield from _entries_by_shard(row["batch"], b.shards(one, shards), one, two, doc)
+                yield from _entries_by_shard(row["batch"], _window_shards(one, shards), shards, WINDOWS, (one, two), doc)
 
     def result(batches):
-        for row, b in _opened(batches):
-            codes = _codes(b, row["answers"], b.shards(b.anchor[b.entry_at], shards), len(b.entry_at))
+        for row, b in _opened(batches, shards):
+            codes = _codes(row["answers"], shard_of(b.keys, shards))
             held = window_codes = None
             if (codes == 2).any():
                 held = _open_windows(b, codes)
-                window_codes = _codes(b, row["window_answers"], b.shards(held[0][0], shards), len(held[0][0]))
+                window_codes = _codes(row["window_answers"], _window_shards(held[0][0], shards))
             gone = _covered(b, codes, held, window_codes)
             rows, start = [], 0
             for doc, known, end in zip(b.ids.tolist(), b.known.tolist(), b.ends.tolist(), strict=True):
                 mask = gone[start:end]
                 kept = b.data[start:end][~mask].tobytes()
                 spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                rows.append((doc if known else None, end - start, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                text = (kept.decode("utf-8", "ignore"), crc_of(b.data[start:end].tobytes())) if with_text else ()
+                rows.append((doc if known else None, end - start, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), *text))
                 start = end
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RESULT_FIELDS.split(", ")])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())[: len(rows[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in fields.split(", ")])
 
-    def answered(frame: DataFrame, partial: bool, tag: str) -> DataFrame:
-        sent = frame.repartition(int(shards), "shard").sortWithinPartitions("shard", "batch")
-        return materialize(sent.mapInArrow(lambda batches: _resolve_shards(batches, partial), ANSWER_SCHEMA), tag)
+    def answered(frame: DataFrame, form: Form, tag: str) -> DataFrame:
+        tasks = max(1, -(-min(shards, MAX_GROUPS) // TASK_SHARDS))
+        pieces = frame.repartition(tasks, "sent").select("batch", F.explode("pieces").alias("piece")).select("piece.shard", "batch", "piece.entries")
+        return materialize(pieces.sortWithinPartitions("shard", "batch").mapInArrow(lambda batches: _resolve_shards(batches, form), ANSWER_SCHEMA), tag)
 
     def by_batch(answers: DataFrame, name: str) -> DataFrame:
         """All answers of a batch: no more bytes than the batch has entries."""
         return answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "codes")).alias(name))
 
-    first = by_batch(answered(table.mapInArrow(entries, ENTRY_SCHEMA), True, "suffix-answers"), "answers")
-    second = by_batch(answered(table.join(first, "batch").mapInArrow(windows, ENTRY_SCHEMA), False, "suffix-windows"), "window_answers")
-    return table.join(first.join(second, "batch", "left"), "batch", "left").mapInArrow(result, RESULT_FIELDS)
+    first = by_batch(answered(table.mapInArrow(entries, ENTRY_SCHEMA), SUFFIXES, "suffix-answers"), "answers")
+    second = by_batch(answered(table.join(first, "batch").mapInArrow(windows, ENTRY_SCHEMA), WINDOWS, "suffix-windows"), "window_answers")
+    return table.join(first.join(second, "batch", "left"), "batch", "left").mapInArrow(result, fields)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what is left of every text."""
-    return _solve(docs, with_text=False).drop("kept")
+    return _solve(docs, with_text=False)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes removed from ``text``; what a cut leaves of a character goes too.
 
-    Documents of which nothing is left go. Ids must be unique and not null here.
+    Documents of which nothing is left go. Rows with a null id stay as they are;
+    rows that share an id are cut each by its own text.
     """
-    left = _solve(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("kept"))
-    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept"))
-    joined = docs.join(left, docs["doc_id"] == left["cut_id"], "left").withColumn("text", text)
+    cut = _solve(docs, with_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "n_bytes", "crc"])
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"))  # names of the input cannot clash with ours
+    own = lambda c: F.col("row").getField(c)
+    same = (own("doc_id") == F.col("doc_id")) & (F.octet_length(own("text")) == F.col("n_bytes")) & (F.crc32(own("text")) == F.col("crc"))
+    uncut = F.col("doc_id").isNull()
+    changed = {"text": F.when(uncut, own("text")).otherwise(F.col("kept"))}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("cut_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.where("cut_id is null or length(text) > 0").select(*docs.columns)
+        changed["n_chars"] = F.when(uncut, own("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    joined = rows.join(cut, same, "left").where(uncut | (F.length("kept") > 0))
+    return joined.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])

@@ -25,9 +25,23 @@ _UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0̀-ͯ ᠎ -‏ -  -
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = string.punctuation.replace("'", "")
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(16)]
-#: The shape of normaliser and splitter for which the short cut above is exact.
-_KNOWN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-_KNOWN_PRETOKENIZERS = ["Split", "ByteLevel"]
+#: The normaliser and the splitter for which the short cut above is exact.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def splits_by_word(spec: dict) -> bool:
+    """Whether a tokenizer's whole specification of what precedes its model is the known one."""
+    return all(spec.get(k) == v for k, v in _KNOWN.items()) and all(t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
 
 
 def _byte_characters() -> list[str]:
@@ -53,8 +67,7 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        kinds = lambda part, key: [x["type"] for x in (part or {}).get(key, [])]
-        self.by_word = kinds(spec.get("normalizer"), "normalizers") == _KNOWN_NORMALIZERS and kinds(spec.get("pre_tokenizer"), "pretokenizers") == _KNOWN_PRETOKENIZERS
+        self.by_word = splits_by_word(spec)
         self.tokenize = self.tokenizer.model.tokenize
         self.shown = _byte_characters()
 

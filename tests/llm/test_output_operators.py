@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -241,9 +242,27 @@ def test_decoder_reads_colour_images(restart):
 
 def test_damaged_media_are_reported():
     good = jpeg.encode_payloads([media.payload_of("abc" * 500)])[0]
-    rows = media._read([None, b"", b"GIF89a", good[:200], good[:-30] + b"\xff\xd9", good, good + good], True)
-    assert [r[7] is None for r in rows] == [True, False, False, False, False, True, True]
-    assert rows[0][4] is None and rows[6][2] == 2
+    rows = media._read([None, b"", b"GIF89a", good[:200], good[:-30] + b"\xff\xd9", good, good + good, good + b"\0\0trailer"])
+    assert [r[9] is None for r in rows] == [True, False, False, False, False, True, True, True]
+    assert rows[0][6] is None and rows[6][2] == 2
+    assert rows[7][3:6] == rows[5][3:6] and rows[7][6] == rows[5][6] + 9  # what follows the image is ignored
+
+
+@pytest.mark.parametrize("scan", [b"\x55" * 1900, b"\x00\x11" * 40_000, b"\xfe" * 900_000])
+def test_claimed_dimensions_do_not_cost(scan):
+    """A header that claims 12800 x 12800 pixels over a short or damaged scan without restarts."""
+    head = jpeg.header(1600, 1600).replace(b"\xff\xdd\x00\x04\x00" + bytes([jpeg.INTERVAL]), b"")
+    began = time.time()
+    (row,) = media._read([head + scan + b"\xff\xd9"])
+    assert row[0] is None and row[9] and time.time() - began < 5
+
+
+def test_media_columns_that_clash(spark):
+    media_of = jpeg.encode_payloads([media.payload_of("abc")])[0]
+    df = spark.createDataFrame([(1, media_of, "mine", 5)], "doc_id long, media binary, feature string, width int")
+    got = media.describe_media(df).first()
+    assert (got["feature"], got["width"], got["media_width"]) == ("mine", 5, 8 * jpeg.INTERVAL) and got["media_feature"]
+    assert media.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>

@@ -71,14 +71,8 @@ def test_repeat_stage_equals_brute_force(spark):
     assert sum(len(t) for t in want.values()) < sum(len(t or "") for _, t, *_ in rows)
 
 
-def test_long_pages_are_bounded_by_a_parameter(spark, monkeypatch):
-    """Pages that reach the bound are not fitted to, and are labelled all the same."""
-    page = "<article>" + "<p>One two three.</p>" * 4 + "</article>"
-    pages = spark.createDataFrame([(1, "u", page), (2, "u", page * 5)], "page_id long, url string, html string")
-    taken = []
-    monkeypatch.setattr(html_text, "train", lambda found: taken.append(len(found)) or html_text.Labeller.fresh())
-    monkeypatch.setattr(html_text, "FIT_PAGE_CHARS", len(page) + 1)
-    model = html_text.fit(pages, composed=3)
-    monkeypatch.setattr(html_text, "FIT_PAGE_CHARS", 10**6)
-    html_text.fit(pages, composed=3)
-    assert taken == [4, 5] and html_text.extract(pages, model).count() == 2
+def test_long_pages_are_learnt_from_in_part():
+    """No page is left out for its length; the blocks of all fitting pages together are bounded."""
+    page = "<article>" + "<p>One two three.</p>" * 40 + "</article>"
+    got = html_text.markup_examples([page, None, page * 5, page, page], limit=250)
+    assert [len(y) for _, y in got] == [40, 200, 10] and all(y.all() for _, y in got)

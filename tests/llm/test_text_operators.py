@@ -118,6 +118,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, small):
     if small:  # many batches, shards and passes
         monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
         monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 5000)
+        monkeypatch.setattr(suffix_dedup, "MAX_GROUPS", 4)
         monkeypatch.setattr(suffix_dedup, "PASS_WINDOWS", 700)
     rows = corpus(4)[:50] + [(None, "n" * 200, None, None), (1000, "ab" * 200, None, None), (1001, "ab" * 90, None, None), (1001, "ab" * 90, None, None)]
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect())
@@ -134,11 +135,11 @@ def test_repeats_edges(spark):
 
 def test_index_family_levels_stay_geometric():
     rng = np.random.default_rng(1)
-    family, best = suffix_dedup.IndexFamily(), {}
+    family, best = suffix_dedup.IndexFamily(2), {}
     for batch in range(33):
         keys = np.unique(rng.integers(0, 500, 64, dtype=np.uint64))
         docs = rng.integers(0, 1000, len(keys))
-        family.add(batch, keys, keys * np.uint64(3), docs)
+        family.add(batch, [keys, keys * np.uint64(3)], docs)
         for k, d in zip(keys.tolist(), docs.tolist(), strict=True):
             best[k] = min(best.get(k, d), d)
         assert len(family.levels) <= 12
