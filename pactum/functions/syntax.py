@@ -196,7 +196,7 @@ def tokens(text: str) -> list[Token]:
     while at < len(text):
         m = _TOKEN.match(text, at)
         if m is None:
-            what = {"'": "unterminated string", "`": "empty or unterminated quoted name"}.get(text[at], f"unexpected character `{text[at]}`")
+            what = {"'": "unterminated string", "`": "a quoted name without text or without its closing quote"}.get(text[at], f"unexpected character `{text[at]}`")
             raise SyntaxProblem(what, at, len(text) if text[at] in "'`" else at + 1)
         if m.lastgroup != "space":
             out.append(Token(m.lastgroup, m[0], at, m.end()))

@@ -2,9 +2,9 @@
 
 One aggregate pass folds every aggregate of every assertion; its single row is
 joined (by broadcast: it is one row) for the row pass, which counts violations
-and finds first faults of all row-level assertions at once. Counts of distinct
-values run as passes of their own: several in one aggregate would multiply the
-input.
+and finds first faults of all row-level assertions at once. A single count of
+distinct values shares that pass; several run as passes of their own, since in
+one aggregate they would multiply the input.
 """
 
 from __future__ import annotations
@@ -76,21 +76,23 @@ def prepare(typed: checking.Typed, scope: checking.Scope, schema: T.StructType,
 
 def fold_all(df: DataFrame, prepared: list[Prepared], now: dt.datetime) -> Folded:
     out, expressions = Folded(), []
-    for p in prepared:
-        for one in p.instances if p.barrier is None else ():
-            for node in compiling.aggregate_nodes(one.tree):
-                k = len(out.values)
-                f = compiling.fold(node, df.schema, now)
-                if f.distinct is None:
-                    expressions.append(f.value.alias(f"__v{k}"))
-                else:
-                    counted = df.select(f.distinct.alias("x")).where("x is not null").distinct().agg(F.count(F.lit(1)).alias(f"__v{k}"))
-                    out.frames.append(counted)
-                fault = None
-                if f.fault is not None:
-                    expressions.append(F.coalesce(f.fault, F.lit(0)).alias(f"__f{k}"))
-                    fault = F.col(f"__f{k}")
-                out.values[id(node)] = Compiled(F.col(f"__v{k}"), f.kind, fault)
+    nodes = [n for p in prepared if p.barrier is None for one in p.instances for n in compiling.aggregate_nodes(one.tree)]
+    folds = [compiling.fold(n, df.schema, now) for n in nodes]
+    alone = sum(f.distinct is not None for f in folds) == 1
+    for node, f in zip(nodes, folds, strict=True):
+        k = len(out.values)
+        if f.distinct is None:
+            expressions.append(f.value.alias(f"__v{k}"))
+        elif alone:  # one distinct count shares the pass with the other aggregates
+            expressions.append(F.count_distinct(f.distinct).alias(f"__v{k}"))
+        else:
+            counted = df.select(f.distinct.alias("x")).where("x is not null").distinct().agg(F.count(F.lit(1)).alias(f"__v{k}"))
+            out.frames.append(counted)
+        fault = None
+        if f.fault is not None:
+            expressions.append(F.coalesce(f.fault, F.lit(0)).alias(f"__f{k}"))
+            fault = F.col(f"__f{k}")
+        out.values[id(node)] = Compiled(F.col(f"__v{k}"), f.kind, fault)
     if expressions:
         out.frames.append(df.agg(*expressions))
     return out

@@ -30,8 +30,14 @@ def repeated_keys(df: DataFrame, keys: list[Column]) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """One row: how many rows repeat a key that an earlier row has."""
-    return repeated_keys(df, keys).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    """One row: how many rows repeat a key that an earlier row has.
+
+    Only the keys are shuffled, without row numbers: rows are located later, and
+    only where the count is not 0.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    counted = df.where(_known(keys)).select(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame, keys: list[Column], carry: list[Column]) -> DataFrame:
@@ -81,11 +87,20 @@ def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFra
     Without a common type every non-null key is an orphan; so is a value that
     the common type can't represent.
     """
+    return _without_parent(child, key, key_type, parent, target, target_type, [*carry, F.col(ROW)])
+
+
+def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType) -> DataFrame:
+    """One row: how many rows of ``child`` are orphans; only keys are shuffled."""
+    return _without_parent(child, key, key_type, parent, target, target_type, [F.lit(1).alias("one")]).agg(F.count(F.lit(1)).alias("orphans"))
+
+
+def _without_parent(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, carry: list[Column]) -> DataFrame:
     held = child.where(key.isNotNull())
     to = common_type(key_type, target_type)
     if to is None:
-        return held.select(*carry, F.col(ROW))
+        return held.select(*carry)
     same = lambda c, t: c if t == to else c.try_cast(to)
-    probe = held.select(*carry, F.col(ROW), same(key, key_type).alias("__key__"))
+    probe = held.select(*carry, same(key, key_type).alias("__key__"))
     known = parent.select(same(target, target_type).alias("__target__")).where("__target__ is not null")  # a primary key: nothing to deduplicate, and an anti-join would not mind
     return probe.join(known, F.col("__key__") == F.col("__target__"), "left_anti").drop("__key__")

@@ -426,12 +426,38 @@ def _profile_nested(spark, sf_dir):
     return elements.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(F.lit(1)).alias("n"))
 
 
-@query("profile_samples")
+@query("profile_samples", "SELECT DISTINCT p_name AS value FROM part")
 def _samples(spark, sf_dir):
+    """All values: ``part`` has fewer distinct names than the pool may hold."""
     pool = profiling.sample_pool(table(spark, sf_dir, "part"), F.col("p_name"))
     return pool.orderBy("value")
 
 
+@query(
+    "profile_histogram_rule",
+    """WITH e AS (SELECT min(p_size) AS lo, max(p_size) AS hi, greatest(5, least(50, CAST(round(cbrt(2 * count(*))) AS INTEGER))) AS wanted FROM part),
+    w AS (SELECT lo, hi, greatest(1, CAST(ceil((hi - lo) / CAST(wanted AS DOUBLE)) AS INTEGER)) AS width FROM e),
+    b AS (SELECT unnest(generate_series(0, CAST(ceil((hi - lo) / CAST(width AS DOUBLE)) AS INTEGER) - 1)) AS bin FROM w),
+    h AS (SELECT greatest(CAST(ceil((p_size - lo) / CAST(width AS DOUBLE)) AS INTEGER) - 1, 0) AS bin, count(*) AS n FROM part, w GROUP BY 1)
+    SELECT CAST(b.bin AS INTEGER) AS bin, CAST(coalesce(h.n, 0) AS BIGINT) AS n FROM b LEFT JOIN h ON b.bin = h.bin""",
+)
+def _histogram_rule(spark, sf_dir):
+    """The bins of a whole profile, empty ones included; their number follows from the number of rows."""
+    p = profiling.profile(table(spark, sf_dir, "part").select("p_size"), {"x": F.col("p_size")}, most_bins=50)["x"]
+    return spark.createDataFrame([(k, b.count) for k, b in enumerate(p.bins)], "bin int, n long")
+
+
+@query(
+    "profile_nested",
+    "SELECT count(*) AS rows_, count(*) - count(x) AS nulls, min(x) AS low, max(x) AS high, count(*) AS binned FROM (SELECT unnest(embedding) AS x FROM embeddings)",
+)
+def _nested_profile(spark, sf_dir):
+    """The profile of a list's elements."""
+    elements, x = profiling.element_column(table(spark, sf_dir, "embeddings"), F.col("embedding"), [None])
+    p = profiling.profile(elements, {"x": x})["x"]
+    return spark.createDataFrame([(p.rows, p.nulls, p.low, p.high, sum(b.count for b in p.bins))], "rows_ long, nulls long, low float, high float, binned long")
+
+
 # --------------------------------------------------------- whole dictionaries
 
 DICTIONARY = """
@@ -474,7 +500,11 @@ def _validate_data(spark, sf_dir):
     return problems_frame(spark, run).where("severity = 'error'").select("code", "columns", "count")
 
 
-@query("validate_meta_undocumented")
+@query(
+    "validate_meta_undocumented",
+    """SELECT 'M03' AS code, 'lineitem' AS "table", column_name AS columns FROM (DESCRIBE lineitem) WHERE column_name NOT IN ('l_orderkey', 'l_linenumber', 'l_returnflag', 'l_quantity')
+    UNION ALL SELECT 'M03', 'orders', column_name FROM (DESCRIBE orders) WHERE column_name NOT IN ('o_orderkey', 'o_custkey')""",
+)
 def _validate_meta(spark, sf_dir):
     from .validate import problems_frame, validate
 
@@ -484,17 +514,17 @@ def _validate_meta(spark, sf_dir):
 # ------------------------------------------------------ relationship joins
 
 
-@query("join_equality", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49")
+@query("join_equality", "SELECT l_orderkey, l_linenumber, l_quantity, l_suppkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def _join_equality(spark, sf_dir):
     from .relationships import join_tables
 
-    frames = {"lineitem": table(spark, sf_dir, "lineitem").where("l_quantity > 49"), "orders": table(spark, sf_dir, "orders")}
-    return join_tables("lineitem.l_orderkey = orders.o_orderkey", frames).select("lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_partkey", "lineitem.l_suppkey", "orders.o_custkey")
+    frames = {name: table(spark, sf_dir, name) for name in ("lineitem", "orders")}
+    return join_tables("lineitem.l_orderkey = orders.o_orderkey", frames).select("lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_quantity", "lineitem.l_suppkey", "orders.o_orderpriority")
 
 
 @query("join_equality_whole", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def _join_equality_whole(spark, sf_dir):
-    """Every row of both tables reaches the join; ``join_equality`` joins large quantities only, as its SQL does."""
+    """As ``join_equality``, with the keys of part and customer."""
     from .relationships import join_tables
 
     frames = {name: table(spark, sf_dir, name) for name in ("lineitem", "orders")}
@@ -510,6 +540,32 @@ def _join_self(spark, sf_dir):
     return joined.select(F.col("a.s_suppkey").alias("left_key"), F.col("b.s_suppkey").alias("right_key"))
 
 
+@query(
+    "join_bounds",
+    "SELECT l_orderkey, l_linenumber, l_quantity, p_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity >= p_size AND l_linenumber <= p_size",
+)
+def _join_bounds(spark, sf_dir):
+    """An equality and two bounds: the bounds are the equality join's residual condition."""
+    from .relationships import join_tables
+
+    frames = {name: table(spark, sf_dir, name) for name in ("lineitem", "part")}
+    joined = join_tables("lineitem.l_partkey = part.p_partkey AND lineitem.l_quantity >= part.p_size AND lineitem.l_linenumber <= part.p_size", frames)
+    return joined.select("lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_quantity", "part.p_partkey", "part.p_size")
+
+
+@query(
+    "join_range",
+    "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 50",
+)
+def _join_range(spark, sf_dir):
+    """Bounds alone: customers whose balance is within 50 above a supplier's."""
+    from .relationships import join_tables
+
+    bands = table(spark, sf_dir, "supplier").withColumn("upto", F.col("s_acctbal") + 50)
+    joined = join_tables("customer.c_acctbal >= band.s_acctbal AND customer.c_acctbal < band.upto", {"customer": table(spark, sf_dir, "customer"), "band": bands})
+    return joined.select("customer.c_custkey", "band.s_suppkey")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

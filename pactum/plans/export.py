@@ -338,7 +338,7 @@ def draft_table(spark: SparkSession, name: str, path: str) -> str:
 def draft(spark: SparkSession, tables: dict[str, str], existing: str | None = None) -> str:
     """A new dictionary of Parquet tables by name, or ``existing`` with the tables it lacks appended; its own bytes stay as they are."""
     if existing is None:
-        head = '$version: "0.1.0"\n$learn_more: https://example.org/data-dictionaries\ntables:\n'
+        head = '$version: "0.1.0"\n$learn_more: https://example.org/contracts\ntables:\n'
         return head + "".join(_indent(draft_table(spark, n, p)) for n, p in tables.items())
     d, problems = source.load_text(existing)
     if d is None:

@@ -27,6 +27,24 @@ from .spec_checks import check_spec, reference_of, scope_of
 SAMPLE = 5
 REPORT_VERSION = "0.1.0"
 TOOL = {"name": "pactum", "version": "0.1.0"}
+#: Fixed values of the report format: the kind of each problem, by its code.
+KINDS = {
+    "M01": "type_mismatch",
+    "M02": "missing_in_data",
+    "M03": "extra_in_data",
+    "M04": "missing_source",
+    "M05": "unreadable_source",
+    "D01": "nulls_in_required",
+    "D02": "duplicate_values",
+    "D03": "uniqueness_not_verified",
+    "D04": "values_outside_enum",
+    "D05": "foreign_key_not_found",
+    "D06": "referential_integrity_not_verified",
+    "D07": "assertion_violated",
+    "D08": "assertion_not_checked",
+    "D09": "assertion_overflow",
+    "D07 of the table": "assertion_false",
+}
 
 
 @dataclass
@@ -159,7 +177,7 @@ class Validator:
                 for t in tables:
                     if t.name in self.frames:
                         self.references(t)
-        return Run(self.d.path or "data-dict.yaml", self.level, self.only, dt.datetime.now(dt.UTC), self.steps, self.problems)
+        return Run(self.d.path or source.DEFAULT_NAME, self.level, self.only, dt.datetime.now(dt.UTC), self.steps, self.problems)
 
     # ------------------------------------------------------------ steps
 
@@ -217,7 +235,7 @@ class Validator:
         (step,) = self.of(t, "M04")
         if t.source is None:
             step.outcome = "fail"
-            self.report("M04", "missing_source", "has no `source`", "A table must declare its source to be validated against data.", t, step, location=t.span)
+            self.report("M04", KINDS["M04"], "has no `source`", "Checking data needs a `source` to read.", t, step, location=t.span)
             return
         path = self.d.source_path(t)
         try:
@@ -226,7 +244,7 @@ class Validator:
             self.counts[t.name] = df.count()
         except NotReadable as e:
             step.outcome = "fail"
-            self.report("M05", "unreadable_source", str(e), "A table's `source` must point at a readable Parquet file.", t, step, location=t.source_span)
+            self.report("M05", KINDS["M05"], str(e), "The file named by `source` has to open as Parquet.", t, step, location=t.source_span)
             return
         self.frames[t.name] = df
         self.settle(step)
@@ -241,13 +259,13 @@ class Validator:
             if leaf is None:
                 step.outcome, step.rows, step.failed = "fail", self.counts[t.name], 0
                 self.bad.add((t.name, name))
-                self.report("M02", "missing_in_data", "is not in the data", "A column of the dictionary must be in the data.", t, step, [name], c.span)
+                self.report("M02", KINDS["M02"], "is not in the data", "What the dictionary lists has to be stored.", t, step, [name], c.span)
                 continue
             if c.type is not None and not compatible(c.type, leaf):
                 step.outcome, step.rows, step.failed = "fail", self.counts[t.name], 0
                 self.bad.add((t.name, name))
                 kind = c.node.get("type")
-                self.report("M01", "type_mismatch", f"is declared {c.type}, but the data is {leaf.label()}", "A column's type must match its data.", t, step, [name], kind.span, (c.span,), declared=c.type, actual=leaf.label())
+                self.report("M01", KINDS["M01"], f"is declared {c.type}, but the data is {leaf.label()}", "Declared and stored types have to agree.", t, step, [name], kind.span, (c.span,), declared=c.type, actual=leaf.label())
                 continue
             self.settle(step)
             if c.fields:
@@ -259,7 +277,7 @@ class Validator:
         for leaf in found:
             if leaf.name not in names:
                 name = ".".join((*above, leaf.name))
-                self.report("M03", "extra_in_data", "is not in the dictionary", "A column of the data should be in the dictionary.", t, None, [name], severity="warning", actual=leaf.label())
+                self.report("M03", KINDS["M03"], "is not in the dictionary", "Stored columns are best described as well.", t, None, [name], severity="warning", actual=leaf.label())
 
     def usable(self, t: Table, path: tuple[str, ...]) -> bool:
         return not any((t.name, ".".join(path[:k])) in self.bad for k in range(1, len(path) + 1))
@@ -293,7 +311,7 @@ class Validator:
                     c = s.subject
                     rows = [r[ROW] for r in columns.first_rows(with_rows(df), condition, [], self.sample).collect()]
                     at = c.constraints.get("required") or c.constraints.get("primary_key")
-                    self.report("D01", "nulls_in_required", f"has {count} null(s)", "A required column must not contain nulls.", t, s, s.columns, at, (c.span,), count=count, rows=rows)
+                    self.report("D01", KINDS["D01"], f"has {count} null(s)", "Every row needs a value here.", t, s, s.columns, at, (c.span,), count=count, rows=rows)
                 continue
             self.settle(s, found[f"r{k}"])
             if count:
@@ -302,7 +320,7 @@ class Validator:
                 held = columns.first_rows(with_rows(df), condition, [] if hidden else [sample.alias("v")], self.sample).collect()
                 values = None if hidden else [{s.columns[0]: rendered(r["v"])} for r in held]
                 self.report(
-                    "D04", "values_outside_enum", f"has {count} value(s) outside the allowed set", "An enum column's values must all be among its declared `values`.",
+                    "D04", KINDS["D04"], f"has {count} value(s) outside the allowed set", "Only the listed `values` may occur.",
                     t, s, s.columns, c.node.get("values").span, (c.span,), count=count, rows=[r[ROW] for r in held], values=values, redacted=hidden,
                 )
 
@@ -328,18 +346,18 @@ class Validator:
             at = cols[0].constraints.get("unique" if len(s.subject) == 1 and "unique" in cols[0].constraints else "primary_key")
             barrier = next((x for c in cols if (x := self.leaf(t, c.name)) is not None and not x.comparable), None)
             if barrier is not None:
-                self.report("D03", "uniqueness_not_verified", f"uniqueness was not checked: {barrier.reason}", "A unique column's values must be comparable to be checked.", t, s, s.columns, at, (cols[0].span,), "warning", reason=barrier.reason)
+                self.report("D03", KINDS["D03"], f"uniqueness was not checked: {barrier.reason}", "Duplicates can only be looked for among values that compare.", t, s, s.columns, at, (cols[0].span,), "warning", reason=barrier.reason)
                 continue
-            df = with_rows(self.frames[t.name], [c.name for c in cols])
             keyed = [spark_path((c.name,)) for c in cols]
-            count = keys.duplicate_count(df, keyed).first()["duplicates"]
+            count = keys.duplicate_count(self.frames[t.name], keyed).first()["duplicates"]
             self.settle(s, count)
             if count:
+                df = with_rows(self.frames[t.name], [c.name for c in cols])
                 hidden = [c.name for c in cols if c.restricted]
                 shown = [c for c in cols if not c.restricted]
                 rows = keys.duplicate_rows(df, keyed, [spark_path((c.name,)).alias(f"v{k}") for k, c in enumerate(shown)]).orderBy(ROW).limit(self.sample).collect()
                 values = [{c.name: rendered(r[f"v{k}"]) for k, c in enumerate(shown)} for r in rows] if shown else None
-                self.report("D02", "duplicate_values", f"has {count} repeated occurrence(s)", "A unique column must not contain duplicate values." if len(cols) == 1 else "A primary key must identify every row.", t, s, s.columns, at, (cols[0].span,), count=count, rows=[r[ROW] for r in rows], values=values, redacted=bool(hidden))
+                self.report("D02", KINDS["D02"], f"has {count} repeated occurrence(s)", "No two rows may have the same value here." if len(cols) == 1 else "No two rows may have the same key.", t, s, s.columns, at, (cols[0].span,), count=count, rows=[r[ROW] for r in rows], values=values, redacted=bool(hidden))
 
     def references(self, t: Table) -> None:
         for s in self.of(t, "D05"):
@@ -362,16 +380,17 @@ class Validator:
             at = c.constraints["foreign_key"]
             barrier = next((x for x in (self.leaf(t, c.name), self.leaf(target, key.name)) if not x.comparable), None)
             if barrier is not None:
-                self.report("D06", "referential_integrity_not_verified", f"the reference was not checked: {barrier.reason}", "Foreign keys must be comparable to be checked.", t, s, s.columns, at, (c.span,), "warning", column=c.name, references=refers, reason=barrier.reason)
+                self.report("D06", KINDS["D06"], f"the reference was not checked: {barrier.reason}", "References can only be followed between values that compare.", t, s, s.columns, at, (c.span,), "warning", column=c.name, references=refers, reason=barrier.reason)
                 continue
-            child, parent = with_rows(self.frames[t.name], [c.name]), self.frames[target.name]
-            lost = keys.orphans(child, spark_path((c.name,)), child.schema[c.name].dataType, parent, spark_path((key.name,)), parent.schema[key.name].dataType, [spark_path((c.name,)).alias("v")])
-            count = lost.count()
+            child, parent = self.frames[t.name], self.frames[target.name]
+            pair = (spark_path((c.name,)), child.schema[c.name].dataType, parent, spark_path((key.name,)), parent.schema[key.name].dataType)
+            count = keys.orphan_count(child, *pair).first()["orphans"]
             self.settle(s, count)
             if count:
+                lost = keys.orphans(with_rows(child, [c.name]), *pair, [spark_path((c.name,)).alias("v")])
                 rows = lost.orderBy(ROW).limit(self.sample).collect()
                 values = None if c.restricted else [{c.name: rendered(r["v"])} for r in rows]
-                self.report("D05", "foreign_key_not_found", f"has {count} value(s) that `{target.name}.{key.name}` lacks", "A foreign key's values must be in the primary key it references.", t, s, s.columns, at, (c.span,), column=c.name, references=refers, count=count, rows=[r[ROW] for r in rows], values=values, redacted=c.restricted)
+                self.report("D05", KINDS["D05"], f"has {count} value(s) that `{target.name}.{key.name}` lacks", "Each value needs its row in the table referred to.", t, s, s.columns, at, (c.span,), column=c.name, references=refers, count=count, rows=[r[ROW] for r in rows], values=values, redacted=c.restricted)
 
     # ------------------------------------------------------ assertions
 
@@ -399,14 +418,14 @@ class Validator:
             if v.outcome == "holds":
                 self.settle(s)
             elif v.outcome == "unreadable":
-                put("D08", "assertion_not_checked", f"was not checked: {v.barrier}", "An assertion's columns must be readable as their declared types.", column=".".join(v.barrier.path), reason=str(v.barrier))
+                put("D08", KINDS["D08"], f"was not checked: {v.barrier}", "A rule needs columns that read as declared.", column=".".join(v.barrier.path), reason=str(v.barrier))
             elif v.outcome == "bad_pattern":
-                put("D08", "assertion_not_checked", "was not checked: a pattern from the data is malformed", "A pattern must be a regular expression.", reason=f"row {v.row} holds a malformed pattern")
+                put("D08", KINDS["D08"], "was not checked: a pattern from the data is malformed", "Patterns taken from rows have to be valid.", reason=f"row {v.row} holds a malformed pattern")
             elif v.outcome == "overflow":
-                put("D09", "assertion_overflow", "integer arithmetic left the 64-bit range", "An assertion's arithmetic must have a result.", row=v.row)
+                put("D09", KINDS["D09"], "integer arithmetic left the 64-bit range", "The arithmetic of a rule has to stay in range.", row=v.row)
             elif v.outcome == "false":
                 s.outcome, s.rows, s.failed = "fail", self.counts[t.name], 0
-                put("D07", "assertion_false", "is false", "An assertion must hold for the table.")
+                put("D07", KINDS["D07 of the table"], "is false", "The table as a whole has to satisfy this rule.")
             else:
                 self.settle(s, v.count)
                 shown = [path for path in p.typed.columns if not t.column(path[0]).restricted]
@@ -414,7 +433,7 @@ class Validator:
                 carry = [spark_path(path).alias(f"v{i}") for i, path in enumerate(shown)]
                 rows = columns.first_rows(folded.onto(df), j.violated, carry, self.sample).collect()
                 values = [{".".join(path): rendered(r[f"v{i}"]) for i, path in enumerate(shown)} for r in rows] if shown else None
-                put("D07", "assertion_violated", f"is false for {v.count} row(s)", "An assertion must hold for every row.", count=v.count, rows=[r[ROW] for r in rows], values=values, redacted=hidden)
+                put("D07", KINDS["D07"], f"is false for {v.count} row(s)", "No row may make this rule false.", count=v.count, rows=[r[ROW] for r in rows], values=values, redacted=hidden)
 
     def unreadable(self, t: Table, path: tuple[str, ...]) -> bool:
         leaf = self.leaf(t, path[0])
@@ -446,7 +465,7 @@ def validate(spark: SparkSession | None, path: str | None = None, level: str = "
     """Validate a dictionary file (or its text, whose sources are relative to ``path``)."""
     d, problems = source.load_text(text, path) if text is not None else source.load(path)
     if d is None:
-        return Run(path or "data-dict.yaml", level, table, dt.datetime.now(dt.UTC), [], problems)
+        return Run(path or source.DEFAULT_NAME, level, table, dt.datetime.now(dt.UTC), [], problems)
     if table is not None and d.table(table) is None:
         raise ValueError(f"no table `{table}` in the dictionary")
     run = Validator(spark, d, level, table, now).run()

@@ -1,4 +1,4 @@
-"""Data dictionaries in YAML: document, shape, model.
+"""Contracts in YAML: document, shape, model.
 
 The document is read with positions (lines and columns from 0, in characters).
 Its shape is checked whole (codes ``S60`` to ``S69``) before it becomes the
@@ -423,10 +423,14 @@ def build_model(document: Value, path: str | None = None) -> Dictionary:
     return Dictionary(document, tables, relationships, path)
 
 
+#: The file that is looked for in a folder.
+DEFAULT_NAME = "contract.yaml"
+
+
 def locate(path: str | None) -> str:
     """A dictionary file, a folder that has one, or the current folder."""
     path = path or "."
-    return os.path.join(path, "data-dict.yaml") if os.path.isdir(path) else path
+    return os.path.join(path, DEFAULT_NAME) if os.path.isdir(path) else path
 
 
 def load_text(text: str, path: str | None = None) -> tuple[Dictionary | None, list[Problem]]:

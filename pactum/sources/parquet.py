@@ -3,11 +3,12 @@
 A scan is ``spark.read.parquet`` with a projection; Spark prunes columns and
 splits files. Row numbers are 1-based and run over the table's files in path
 order: within a file they come from ``_metadata.row_index``, and the rows of
-earlier files are added from one count per file (answered from footers).
+earlier files are added from one count per file (a scan without columns).
 
 Footers are read where Spark's schema says too little: annotations that it
-erases (ENUM, JSON, BSON, UUID), unsigned 64-bit integers, time-of-day, half
-floats and nanosecond timestamps.
+erases (ENUM, JSON, BSON, UUID) and unsigned 64-bit integers. Tables with half
+floats, times of day or nanosecond timestamps, which Spark's reader refuses, are
+read by Arrow in tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "__row__"
+#: Of tables read by Arrow: each row's file, and its number there.
+FILE, IN_FILE = "__path__", "__in_file__"
+#: Up to so many files (a checked number of rows of about 200 bytes) their first row numbers are broadcast.
+BROADCAST_FILES = 100_000
 
 
 class NotReadable(ValueError):
@@ -45,22 +50,93 @@ class Leaf:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``; columns whose stored types Spark's reader refuses come through Arrow (:func:`arrow_table`)."""
     try:
         return spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001 - whatever the reader says, the source is unreadable
-        raise NotReadable(str(e).split("\n")[0][:300]) from e
+        found = arrow_table(spark, path) if "PARQUET_TYPE" in str(e) else None
+        if found is None:
+            raise NotReadable(str(e).split("\n")[0][:300]) from e
+        return found
+
+
+def _readable_type(kind):
+    """What a column is read as where Spark's reader refuses its stored type; else None."""
+    import pyarrow as pa
+
+    if pa.types.is_float16(kind):
+        return pa.float32()
+    if pa.types.is_time(kind):
+        return pa.int64()  # microseconds or nanoseconds of the day, as stored
+    if pa.types.is_timestamp(kind) and kind.unit == "ns":
+        return pa.timestamp("us", kind.tz)
+    return None
+
+
+def _as_readable(column, kind):
+    import pyarrow as pa
+
+    if kind is None:
+        return column
+    if pa.types.is_time32(column.type):
+        return column.cast(pa.int32()).cast(kind)
+    return column.cast(kind, safe=False) if pa.types.is_timestamp(kind) else column.cast(kind)
+
+
+def arrow_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table with half floats, times of day or nanosecond timestamps, read row group by row group with Arrow.
+
+    Half floats become floats, times of day whole numbers, and nanoseconds are
+    cut to microseconds. Each row has its file and its number in it, so row
+    numbers work as for Spark's own scans. None where the files can't be opened
+    from here, or where such a type is nested.
+    """
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    names = sorted(spark.read.schema("nothing int").parquet(path).inputFiles())
+    try:
+        system, first = fs.FileSystem.from_uri(names[0])
+        with system.open_input_file(first) as f:
+            schema = pq.ParquetFile(f).schema_arrow
+        fields = [T.StructField(x.name, from_arrow_type(_readable_type(x.type) or x.type, prefer_timestamp_ntz=True)) for x in schema]
+    except Exception:  # noqa: BLE001 - a store that only Spark reads, or a nested type without a counterpart
+        return None
+    held = T.StructType([*fields, T.StructField(FILE, T.StringType()), T.StructField(IN_FILE, T.LongType())])
+
+    def read(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(name)
+                with system.open_input_file(at) as f:
+                    start = 0
+                    for rows in pq.ParquetFile(f).iter_batches(8192):
+                        columns = [_as_readable(c, _readable_type(c.type)) for c in rows.columns]
+                        numbers = pa.array(range(start + 1, start + rows.num_rows + 1), pa.int64())
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * rows.num_rows), numbers], names=held.names)
+                        start += rows.num_rows
+
+    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names))
+    return files.mapInArrow(read, held)
 
 
 def with_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of a Parquet frame and their row number in ``ROW``."""
-    chosen = [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if columns is None else columns)]
-    local = F.col("_metadata.row_index").cast("bigint") + 1
-    if len(df.inputFiles()) <= 1:
+    read_by_arrow = FILE in df.columns
+    chosen = [F.col("`" + c.replace("`", "``") + "`") for c in ([c for c in df.columns if c not in (FILE, IN_FILE)] if columns is None else columns)]
+    local = F.col(IN_FILE) if read_by_arrow else F.col("_metadata.row_index").cast("bigint") + 1
+    path = F.col(FILE) if read_by_arrow else F.col("_metadata.file_path")
+    many = BROADCAST_FILES if read_by_arrow else len(df.inputFiles())  # names that Spark's index of the table has on the driver already
+    if many <= 1:
         return df.select(*chosen, local.alias(ROW))
-    path = F.col("_metadata.file_path")
     files = df.groupBy(path.alias("__file__")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__file__").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = files.select(F.col("__file__").alias("__of__"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before__"))
+    if many <= BROADCAST_FILES:
+        starts = F.broadcast(starts)  # a row per file: the table itself is not shuffled
     placed = df.select(*chosen, local.alias("__local__"), path.alias("__file__"))
     return placed.join(starts, placed["__file__"] == starts["__of__"]).select(*chosen, (F.col("__local__") + F.col("__before__")).alias(ROW))
 
@@ -71,7 +147,7 @@ def _arrow_schema(spark: SparkSession, path: str):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        first = sorted(spark.read.parquet(path).inputFiles())[0]
+        first = sorted(spark.read.schema("nothing int").parquet(path).inputFiles())[0]
         system, name = fs.FileSystem.from_uri(first)
         with system.open_input_file(name) as f:
             file = pq.ParquetFile(f)
@@ -112,7 +188,7 @@ def _from_arrow(name: str, kind, path: str, annotations: dict) -> Leaf:
         return Leaf(name, "unknown", False, "the logical type is unknown")
     if pa.types.is_uint64(kind):
         return Leaf(name, "number", True, None, readable=False)
-    if pa.types.is_float16(kind) or pa.types.is_time(kind):
+    if pa.types.is_time(kind):
         return Leaf(name, "number", True, None, readable=False)
     if pa.types.is_integer(kind) or pa.types.is_floating(kind):
         return Leaf(name, "number")
@@ -123,7 +199,7 @@ def _from_arrow(name: str, kind, path: str, annotations: dict) -> Leaf:
     if pa.types.is_date(kind):
         return Leaf(name, "date")
     if pa.types.is_timestamp(kind):
-        return Leaf(name, "datetime", readable=kind.unit != "ns" or physical == "INT96")
+        return Leaf(name, "datetime")
     return Leaf(name, "string")
 
 

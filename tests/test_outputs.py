@@ -81,7 +81,7 @@ def test_translations(shop):
     out = {x["target"]: x for x in translate.translate("l_quantity BETWEEN 1 AND 5 OR STARTS_WITH(l_returnflag, '5%')", t)["translations"]}
     assert out["SQL(duckdb)"]["code"] == "\"l_quantity\" BETWEEN 1 AND 5 OR starts_with(\"l_returnflag\", '5%')"
     assert "ESCAPE" in out["SQL(ANSI)"]["code"]
-    assert out["R(tidyverse)"]["code"].startswith("between(l_quantity, 1L, 5L) |")
+    assert out["R(dplyr)"]["code"].startswith("between(l_quantity, 1L, 5L) |")
     refused = translate.translate("IS_NAN(l_quantity)", t, ["SQL"])["translations"][0]
     assert refused["fidelity"] == "unsupported" and "code" not in refused
     with pytest.raises(ValueError):

@@ -19,7 +19,7 @@ def run(spark, tmp_path, table, columns, constraints="", **more):
     if constraints:
         text += "    constraints:\n" + "".join(f"      - {{assert: {c!r}}}\n".replace("'", '"') if '"' not in c else c for c in constraints)
     text += more.get("rest", "")
-    return validate(spark, str(tmp_path / "data-dict.yaml"), text=text, now=dt.datetime(2024, 1, 1))
+    return validate(spark, str(tmp_path / "contract.yaml"), text=text, now=dt.datetime(2024, 1, 1))
 
 
 def found(r):
@@ -165,3 +165,21 @@ def test_footer_statistics(spark, tmp_path):
     a, d, s = column_tree(spark, path)
     assert (a.type, a.readable, d.readable) == ("number", False, True)
     assert s.child("x").label() == "list(number)"
+
+
+def test_types_that_spark_refuses_are_read_by_arrow(spark, tmp_path):
+    """Half floats, times of day and nanoseconds: other columns are checked as ever, and these by their values."""
+    t = pa.table({
+        "id": pa.array([1, 2, 2, 4], pa.int64()),
+        "half": pa.array([0.0, -0.0, 1.5, None], pa.float16()),
+        "at": pa.array([1000, 2000, 1000, 3000], pa.time32("ms")),
+        "seen": pa.array([1, 2_000, 3_000, 4_000], pa.timestamp("ns")),
+    })
+    r = run(spark, tmp_path, t, [
+        f"{{name: id, {NUM}, constraints: [unique]}}", f"{{name: half, {NUM}, constraints: [required, unique, {{assert: half < 1}}]}}",
+        f"{{name: at, {NUM}, constraints: [unique]}}", "{name: seen, type: datetime, range: [1969-01-01T00:00:00Z, 2030-01-01T00:00:00Z], constraints: [unique]}",
+    ])
+    assert [(p.code, p.columns, dict(p.extra).get("rows")) for p in r.problems if p.severity == "error"] == [
+        ("D01", ("half",), [4]), ("D02", ("id",), [3]), ("D02", ("half",), [2]), ("D02", ("at",), [3]), ("D07", ("half",), [3]),
+    ]
+    assert not [p for p in r.problems if p.code == "M05"]
