@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import syntax as s
-from .checking import AGGREGATES, UNITS, Typed
+from .checking import AGGREGATES, UNITS, Typed, regex_problem
 
 OVERFLOW, BAD_PATTERN = 1, 2
 LONG_MIN = -(1 << 63)
@@ -145,22 +145,22 @@ def _any_null(*values: Column) -> Column:
 
 @F.pandas_udf(T.IntegerType())
 def _similar(subject, pattern):
-    """1 match, 0 none, 2 bad pattern, null for a null operand."""
-    import pandas as pd
+    """1 match, 0 none, 2 bad pattern, null for a null operand.
 
-    compiled: dict = {}
+    Patterns from the data obey the same rules as those in a contract, and each
+    distinct one of a batch is checked and compiled once.
+    """
+    import pandas as pd
 
-    def one(text, p):
-        if text is None or p is None:
-            return None
-        if p not in compiled:
-            try:
-                compiled[p] = re.compile(p, re.ASCII)
-            except re.error:
-                compiled[p] = None
-        return 2 if compiled[p] is None else int(compiled[p].fullmatch(text) is not None)
-
-    return pd.Series([one(t, p) for t, p in zip(subject, pattern, strict=True)], dtype="Int32")
+    out = pd.Series(pd.NA, index=subject.index, dtype="Int32")
+    known = subject.notna() & pattern.notna()
+    for p, texts in subject[known].groupby(pattern[known], sort=False):
+        if regex_problem(p) is not None:
+            out[texts.index] = 2
+        else:
+            whole = re.compile(p, re.ASCII).fullmatch
+            out[texts.index] = [int(whole(t) is not None) for t in texts]
+    return out
 
 
 class Compiler:

@@ -183,3 +183,13 @@ def test_types_that_spark_refuses_are_read_by_arrow(spark, tmp_path):
         ("D01", ("half",), [4]), ("D02", ("id",), [3]), ("D02", ("half",), [2]), ("D02", ("at",), [3]), ("D07", ("half",), [3]),
     ]
     assert not [p for p in r.problems if p.code == "M05"]
+
+
+def test_patterns_from_rows_obey_the_rules_of_literal_ones(spark, tmp_path):
+    """A look-ahead or a back reference in the data is a malformed pattern, as in a contract."""
+    columns = ["{name: s, type: string, examples: [x], constraints: [{assert: s SIMILAR TO p}]}", "{name: p, type: string, examples: [x]}"]
+    for bad in ("(?=a)a", "(a)\\1", "a++", "a(?<=a)"):
+        t = pa.table({"s": ["a", "b", None, "aa"], "p": ["a", "[bc]", "x", bad]})
+        assert [(p.code, dict(p.extra)["reason"]) for p in run(spark, tmp_path, t, columns).problems] == [("D08", "row 4 holds a malformed pattern")]
+    t = pa.table({"s": ["a", "b", None, "aa", "a\nb", "é"], "p": ["a", "[bc]", "x", "a+", "a.b", "\\w"]})
+    assert found(run(spark, tmp_path, t, columns)) == [("D07", ("s", "p"), {"assertion": "s SIMILAR TO p", "count": 2, "rows": [5, 6], "values": [{"s": "a\nb", "p": "a.b"}, {"s": "é", "p": "\\w"}], "redacted": False})]
