@@ -21,7 +21,7 @@ from ..functions.checking import check
 from ..operators import assertions, columns, keys
 from ..sources import dictionary as source
 from ..sources.dictionary import Assertion, Column, Dictionary, Problem, Table
-from ..sources.parquet import ROW, Leaf, NotReadable, column_tree, read_table, with_rows
+from ..sources.parquet import ROW, FooterStats, Leaf, NotReadable, column_tree, footer_table, read_table, with_rows
 from .spec_checks import check_spec, reference_of, scope_of
 
 SAMPLE = 5
@@ -155,6 +155,7 @@ class Validator:
         self.frames: dict[str, DataFrame] = {}
         self.counts: dict[str, int] = {}
         self.trees: dict[str, list[Leaf]] = {}
+        self.footers: dict[str, dict[str, FooterStats]] = {}
         self.bad: set[tuple[str, str]] = set()  # (table, top-level column) whose data checks can't run
 
     def run(self) -> Run:
@@ -247,6 +248,7 @@ class Validator:
             self.report("M05", KINDS["M05"], str(e), "The file named by `source` has to open as Parquet.", t, step, location=t.source_span)
             return
         self.frames[t.name] = df
+        self.footers[t.name] = footer_table(self.spark, path) if self.level == "data" and (self.of(t, "D01") or self.of(t, "D02")) else {}
         self.settle(step)
         steps = {s.columns[0]: s for s in self.of(t, "M01")}
         self.compare(t, t.columns, self.trees[t.name], (), steps)
@@ -289,6 +291,10 @@ class Validator:
         df, metrics, plans = self.frames[t.name], [], []
         for s in self.of(t, "D01"):
             if self.usable(t, (s.subject.name,)):
+                known = self.footers[t.name].get(s.subject.name)
+                if known is not None and known.nulls == 0:  # nulls are located by a scan; their absence needs none
+                    self.settle(s)
+                    continue
                 metrics.append(columns.count_where(spark_path((s.subject.name,)).isNull()).alias(f"m{len(plans)}"))
                 plans.append((s, spark_path((s.subject.name,)).isNull(), None))
         for s in self.of(t, "D04"):
@@ -348,6 +354,10 @@ class Validator:
             if barrier is not None:
                 self.report("D03", KINDS["D03"], f"uniqueness was not checked: {barrier.reason}", "Duplicates can only be looked for among values that compare.", t, s, s.columns, at, (cols[0].span,), "warning", reason=barrier.reason)
                 continue
+            known = self.footers[t.name].get(cols[0].name) if len(cols) == 1 else None
+            if known is not None and known.nulls == 0 and known.distinct == known.rows:
+                self.settle(s)
+                continue
             keyed = [spark_path((c.name,)) for c in cols]
             count = keys.duplicate_count(self.frames[t.name], keyed).first()["duplicates"]
             self.settle(s, count)

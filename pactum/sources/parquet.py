@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "__row__"
+#: Footers of up to so many files are read for statistics.
+FOOTER_FILES = 64
 #: Of tables read by Arrow: each row's file, and its number there.
 FILE, IN_FILE = "__path__", "__in_file__"
 #: Up to so many files (a checked number of rows of about 200 bytes) their first row numbers are broadcast.
@@ -230,14 +232,22 @@ class FooterStats:
     distinct: int | None  # known only if one row group covers the file
 
 
-def footer_stats(spark: SparkSession, path: str, column: str) -> FooterStats | None:
-    """What the footers alone say about a flat column: rows, nulls, and sometimes distinct values."""
+def footer_table(spark: SparkSession, path: str, most_files: int = FOOTER_FILES) -> dict[str, FooterStats]:
+    """What the footers alone say about each flat column: rows, nulls, and sometimes distinct values.
+
+    Footers are read one after another from here, so only of tables of up to
+    ``most_files`` files; nothing is known of others, and they are scanned.
+    """
     try:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        rows, nulls, distinct, groups = 0, 0, None, 0
-        for name in spark.read.parquet(path).inputFiles():
+        names = spark.read.schema("nothing int").parquet(path).inputFiles()
+        if len(names) > most_files:
+            return {}
+        out: dict[str, FooterStats] = {}
+        rows, groups = 0, 0
+        for name in names:
             system, p = fs.FileSystem.from_uri(name)
             with system.open_input_file(p) as f:
                 meta = pq.ParquetFile(f).metadata
@@ -246,16 +256,17 @@ def footer_stats(spark: SparkSession, path: str, column: str) -> FooterStats | N
                 groups += 1
                 for k in range(meta.num_columns):
                     c = meta.row_group(g).column(k)
-                    if c.path_in_schema == column:
-                        s = c.statistics
-                        if s is None or not s.has_null_count or nulls is None:
-                            nulls = None
-                        else:
-                            nulls += s.null_count
-                        distinct = s.distinct_count if s is not None and s.has_distinct_count else None
-        return FooterStats(rows, nulls, distinct if groups == 1 else None)
+                    s, seen = c.statistics, out.get(c.path_in_schema, FooterStats(0, 0, None))
+                    nulls = seen.nulls + s.null_count if s is not None and s.has_null_count and seen.nulls is not None else None
+                    out[c.path_in_schema] = FooterStats(0, nulls, s.distinct_count if s is not None and s.has_distinct_count else None)
+        return {n: FooterStats(rows, s.nulls, s.distinct if groups == 1 else None) for n, s in out.items()}
     except Exception:  # noqa: BLE001 - no footer from here: the caller scans
-        return None
+        return {}
+
+
+def footer_stats(spark: SparkSession, path: str, column: str) -> FooterStats | None:
+    """:func:`footer_table` of one column."""
+    return footer_table(spark, path).get(column)
 
 
 def row_count(spark: SparkSession, path: str) -> int:

@@ -193,3 +193,23 @@ def test_patterns_from_rows_obey_the_rules_of_literal_ones(spark, tmp_path):
         assert [(p.code, dict(p.extra)["reason"]) for p in run(spark, tmp_path, t, columns).problems] == [("D08", "row 4 holds a malformed pattern")]
     t = pa.table({"s": ["a", "b", None, "aa", "a\nb", "é"], "p": ["a", "[bc]", "x", "a+", "a.b", "\\w"]})
     assert found(run(spark, tmp_path, t, columns)) == [("D07", ("s", "p"), {"assertion": "s SIMILAR TO p", "count": 2, "rows": [5, 6], "values": [{"s": "a\nb", "p": "a.b"}, {"s": "é", "p": "\\w"}], "redacted": False})]
+
+
+def test_footers_settle_what_they_can(spark, tmp_path, monkeypatch):
+    """Columns without nulls need no scan; nulls are located by one; statistics that are absent say nothing."""
+    from pactum.plans import validate as module
+    from pactum.sources.parquet import FooterStats, footer_stats, footer_table
+
+    t = pa.table({"id": [1, 2, 3, 4], "x": pa.array([1, None, 3, None], pa.int64())})
+    columns = [f"{{name: id, {NUM}, constraints: [required, unique]}}", f"{{name: x, {NUM}, constraints: [required]}}"]
+    scanned = []
+    monkeypatch.setattr(module.columns, "count_where", lambda c, real=module.columns.count_where: scanned.append(c) or real(c))
+    assert found(run(spark, tmp_path, t, columns)) == [("D01", ("x",), {"count": 2, "rows": [2, 4]})] and len(scanned) == 1
+    path = str(tmp_path / "t.parquet")
+    assert footer_table(spark, path)["x"] == FooterStats(4, 2, None) and footer_table(spark, path, most_files=0) == {}
+    pq.write_table(t, path, write_statistics=False)
+    assert footer_stats(spark, path, "x").nulls is None
+    # one row group whose writer gives distinct counts
+    monkeypatch.setattr(module, "footer_table", lambda *_: {"id": FooterStats(4, 0, 4), "x": FooterStats(4, 2, 2)})
+    monkeypatch.setattr(module.keys, "duplicate_count", None)  # must not be asked
+    assert found(run(spark, tmp_path, t, columns)) == [("D01", ("x",), {"count": 2, "rows": [2, 4]})]
