@@ -2,11 +2,14 @@
 
 * nulls, least and greatest finite value and the three non-finite tallies of
   every column come from one aggregate pass;
-* frequent values come from a grouped count, which combines before the
-  shuffle; the exact distinct count falls out of it up to ``EXACT_DISTINCT``,
-  beyond that an approximate count with about 1 % error is reported;
-* representative samples are spread over at most ``SAMPLE_POOL`` distinct
-  values with the least hashes;
+* frequent values of all columns come from one more aggregate with a sketch of
+  ``TRACKED`` items per column. Up to ``EXACT_DISTINCT`` distinct values it holds
+  every value with its exact count, so the exact distinct count falls out of it;
+  beyond, it gives the values that are frequent for certain, with estimated
+  counts, and an approximate distinct count with about 1 % error is reported;
+* representative samples come from the same aggregate: they are spread over at
+  most ``SAMPLE_POOL`` distinct values with the least hashes, of which a task
+  keeps only those below the bound that the distinct count leads to expect;
 * histograms of all binnable columns come from one more aggregate pass, with
   right-closed bins of equal width (whole-number width for whole numbers).
 """
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 EXACT_DISTINCT = 1000
 TOP_VALUES = 20
 SAMPLE_POOL = 128
+TRACKED = 10_000
 SAMPLES = 20
 RELATIVE_ERROR = 0.0081
 DAY = 86_400_000_000
@@ -152,8 +156,7 @@ def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, valu
             metrics += [F.min(finite).alias(f"low{k}"), F.max(finite).alias(f"high{k}")]
         elif kind != "boolean":
             metrics += [F.min(c).alias(f"low{k}"), F.max(c).alias(f"high{k}")]
-        if kind != "float":
-            metrics.append(F.approx_count_distinct(c, RELATIVE_ERROR).alias(f"about{k}"))
+        metrics.append(F.approx_count_distinct(c, RELATIVE_ERROR).alias(f"about{k}"))
     found = df.agg(*metrics).first()
     out: dict[str, Profile] = {}
     binned = []
@@ -167,24 +170,48 @@ def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, valu
         if kind != "boolean":
             p.low, p.high = found[f"low{k}"], found[f"high{k}"]
         if kind != "float":
-            about = found[f"about{k}"]
-            if about <= EXACT_DISTINCT * 1.05:
-                exact = df.select(c.alias("value")).where("value is not null").distinct().count()
-                p.distinct, p.approximate = (exact, False) if exact <= EXACT_DISTINCT else (about, True)
-            else:
-                p.distinct, p.approximate = about, True
-        if name in shown:
-            if kind in ("text", "boolean") or not p.approximate and p.distinct is not None and kind != "float":
-                p.top = [(r["value"], r["n"]) for r in frequent(df, c).collect()]
-            p.samples = spread(sorted(r["value"] for r in sample_pool(df, c).collect() if r["value"] == r["value"]))
-            if kind in ("integer", "float", "date", "datetime") and p.low is not None:
-                n = found[f"held{k}"] if kind == "float" else p.rows - p.nulls
-                binned.append((name, c, kind, n))
+            p.distinct, p.approximate = found[f"about{k}"], True
+        if name in shown and kind in ("integer", "float", "date", "datetime") and p.low is not None:
+            binned.append((name, c, kind, found[f"held{k}"] if kind == "float" else p.rows - p.nulls))
+    of_values(df, columns, out, {n: found[f"about{k}"] for k, n in enumerate(columns) if out[n].supported}, shown)
     if binned:
         histograms(df, out, binned, most_bins)
     return out
 
 
+def pool_bound(about: int) -> int:
+    """Of hashes: about two and a half times the pool lies at or below it."""
+    share = min(1.0, (2.5 * SAMPLE_POOL + 64) / max(1, about))
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
+def of_values(df: DataFrame, columns: dict[str, Column], out: dict[str, Profile], about: dict[str, int], shown: set[str]) -> None:
+    """Frequent values, samples and exact distinct counts of all columns, in one aggregate of bounded size."""
+    metrics = []
+    for k, (name, c) in enumerate(columns.items()):
+        if name not in about:
+            continue
+        few = about[name] <= EXACT_DISTINCT * 1.05
+        if out[name].kind != "float" and (few or name in shown and out[name].kind == "text"):
+            metrics.append(F.call_function("approx_top_k", c, F.lit(int(EXACT_DISTINCT * 1.2)), F.lit(TRACKED)).alias(f"top{k}"))
+        if name in shown:
+            digest = F.xxhash64(c)
+            metrics.append(F.collect_set(F.when(c.isNotNull() & (digest <= pool_bound(about[name])), F.struct(digest.alias("h"), c.alias("v")))).alias(f"pool{k}"))
+    if not metrics:
+        return
+    found = df.agg(*metrics).first().asDict()
+    for k, name in enumerate(columns):
+        p = out[name]
+        counted = sorted(((r["item"], r["count"]) for r in found.get(f"top{k}") or () if r["item"] is not None), key=lambda r: r[0])
+        if name in about and about[name] <= EXACT_DISTINCT * 1.05 and f"top{k}" in found and len(counted) <= EXACT_DISTINCT:
+            p.distinct, p.approximate = len(counted), False
+        if name in shown:
+            if p.kind in ("text", "boolean") or not p.approximate:
+                p.top = sorted(counted, key=lambda r: -r[1])[:TOP_VALUES]
+            pool = sorted((r["h"], r["v"]) for r in found.get(f"pool{k}") or () if r["v"] == r["v"])[:SAMPLE_POOL]
+            p.samples = spread(sorted(v for _, v in pool))
+
+
 def histograms(df: DataFrame, out: dict[str, Profile], binned: list, most: int) -> None:
     """One pass: every row gives its bin in every column, counted by (column, bin)."""
     ends = [x for name, _, kind, _ in binned for x in (scale(kind, F.lit(out[name].low)), scale(kind, F.lit(out[name].high)))]

@@ -191,7 +191,7 @@ def profile_json(p: Profile, c: Column | None = None) -> dict:
         out["sample_values"] = [scalar(v) for v in p.samples]
     if p.kind in ("text", "boolean"):
         if p.top:
-            out["common_values"] = {"approximate": False, "values": [{"value": scalar(v), "count": n} for v, n in p.top]}
+            out["common_values"] = {"approximate": p.approximate, "values": [{"value": scalar(v), "count": n} for v, n in p.top]}
         return out
     if p.low is not None:
         out["range"] = {"min": scalar(p.low), "max": scalar(p.high)}

@@ -150,3 +150,25 @@ def test_now_is_bound_once():
     scope = checking.Scope([checking.Declared("t", "datetime")])
     assert checking.check(syntax.parse("t < NOW()"), scope).ok
     assert dt.datetime(2024, 1, 1) < dt.datetime.now()
+
+
+def test_profile_of_many_distinct_values_is_bounded(spark):
+    """Beyond the exact limit: a heavy value is found, the distinct count is about right, samples are drawn from all values."""
+    from pactum.operators.profiling import SAMPLES, profile
+
+    df = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 'heavy' ELSE concat('v', id) END AS s", "id % 900 AS few", "id * 1.5D AS x", "id AS whole", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 = 0 END AS flag",
+    )
+    columns = {c: df[c] for c in df.columns}
+    sc = spark.sparkContext
+    sc.setJobGroup("profile", "five columns")
+    p = profile(df, columns)
+    few_jobs = len(sc.statusTracker().getJobIdsForGroup("profile"))
+    sc.setJobGroup("profile-twice", "ten columns")
+    profile(df, columns | {c + "2": df[c] for c in df.columns})
+    assert len(sc.statusTracker().getJobIdsForGroup("profile-twice")) == few_jobs  # jobs don't grow with columns
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert p["s"].approximate and p["s"].top[0][0] == "heavy" and abs(p["s"].top[0][1] - 10_000) < 100 and abs(p["s"].distinct - 10_001) < 300
+    assert not p["few"].approximate and p["few"].distinct == 900 and p["few"].top[0] == (0, 23) and len(p["few"].top) == 20
+    assert sorted(p["flag"].top) == [(False, 6667), (True, 6666)] and p["flag"].nulls == 6667
+    assert len(p["s"].samples) == len(p["x"].samples) == SAMPLES and p["x"].samples == sorted(p["x"].samples) and set(p["whole"].samples) <= set(range(20_000))
