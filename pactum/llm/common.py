@@ -91,6 +91,26 @@ def free(df: DataFrame) -> None:
         remove(*held)
 
 
+@contextlib.contextmanager
+def scratch_made() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The scratch tables that are written inside the block, for :func:`drop_scratch`."""
+    before = set(_SCRATCH)
+    made: list[tuple[SparkSession, str]] = []
+    try:
+        yield made
+    finally:
+        made += [x for x in _SCRATCH if x not in before]
+
+
+def drop_scratch(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete scratch tables that no frame reads any more."""
+    while tables:
+        held = tables.pop()
+        if held in _SCRATCH:
+            _SCRATCH.remove(held)
+            remove(*held)
+
+
 def release_scratch() -> None:
     """Delete every scratch table; results that still read them become invalid."""
     while _SCRATCH:
@@ -151,10 +171,11 @@ def crc_of(data: bytes) -> int:
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser with full avalanche on uint64 arrays."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def fit_in_task(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:

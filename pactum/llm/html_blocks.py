@@ -6,7 +6,7 @@ are. Without an end tag, raw text (``RAW``) runs to the end of the page, as in
 browsers; any other silent element is only its tag then, and a head that
 ``body`` or a block starts in before it ends is that too. Block-level elements end a block; ``br`` and inline
 elements do not (``br`` counts as white space). Character references are
-decoded after the tags are gone.
+decoded in each piece of text between tags, so no tag can lie inside one.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def close() -> None:
         nonlocal linked, path
-        text = " ".join(_html.unescape("".join(pieces)).split())
+        text = " ".join("".join(pieces).split())
         if text:
             if path is None:
                 path = tuple(x for tag, names in stack for x in (tag, *names))
@@ -136,7 +136,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             at = t.end
             continue
         if t.start > at:
-            piece = page[at : t.start]
+            piece = _html.unescape(page[at : t.start])
             pieces.append(piece)
             if in_link:
                 linked += len(piece.strip())
@@ -165,6 +165,6 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     stack.append((name, _names(t.attributes)))
                     path = None
     if at < len(page):
-        pieces.append(page[at:])
+        pieces.append(_html.unescape(page[at:]))
     close()
     return blocks

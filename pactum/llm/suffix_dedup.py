@@ -7,10 +7,10 @@ document with a smaller id.
 the least hash is its anchor; equal windows have equal anchors at equal places.
 Consecutive windows with one anchor form a run, and the suffix at the anchor is
 kept, one for each run (about every 14th position). The suffix array of a batch
-holds these suffixes in the order of their bytes: the first ``GRAM`` bytes are
-compared as they are; what lies beyond, to the right and to the left of the
-anchor as far as the run's windows reach, is compared by a hash of the whole
-span.
+holds these suffixes in the order of their bytes: the first ``PREFIX`` bytes are
+compared as they are, the rest of the gram by a hash; what lies beyond, to the
+right and to the left of the anchor as far as the run's windows reach, is
+compared by a hash of the whole span.
 
 *Index family.* Batches are cut from the input (4 MB of text each); suffixes go
 to shards by a hash of their first bytes. In a shard every batch's array is
@@ -34,8 +34,9 @@ time whatever their number. A batch sends at most ``MAX_GROUPS`` rows, however
 many shards there are; a task splits what it got into its shards, which Spark
 sorts (and spills) there.
 
-Two entries count as equal if their first 24 bytes and 48 bits of a hash of the
-span agree (in the second family: 88 bits of two independent hashes).
+Two entries count as equal if their first 16 bytes, 16 bits for the rest of the
+gram and 40 bits for the span agree (in the second family: 88 bits of two
+independent hashes).
 
 Defined cases: a null text is the empty text; texts shorter than a window lose
 nothing; a null id is neither smaller nor larger than any other, so its text
@@ -62,7 +63,9 @@ from .common import crc_of, materialize, mix64, named, steady_memory, text_slice
 WINDOW = 50
 GRAM = 24
 #: Windows that are handled in one pass over a long text.
-PASS_WINDOWS = 1 << 20
+PASS_WINDOWS = 1 << 19
+#: Bytes of a suffix that are kept as they are.
+PREFIX = 16
 #: Text per batch.
 BATCH_BYTES = 4 << 20
 #: Text per shard of the family, and shards per task where there are fewer than MAX_GROUPS.
@@ -93,31 +96,40 @@ class Spans:
         power, self.inverse = _powers(base, len(data) + 1)
         self.sums = np.empty(len(data) + 1, dtype=np.uint64)
         self.sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.sums[1:])
+        weighted = data.astype(np.uint64)
+        weighted += np.uint64(1)
+        weighted *= power[:-1]
+        np.cumsum(weighted, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(_B2))
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all ``GRAM``-byte grams."""
+    """Hashes of all ``GRAM``-byte grams; their upper bits decide, so one round of mixing does."""
     spans = Spans(data, _B2)
-    return mix64((spans.sums[GRAM:] - spans.sums[:-GRAM]) * spans.inverse[: len(data) - GRAM + 1])
+    h = spans.sums[GRAM:] - spans.sums[:-GRAM]
+    h *= spans.inverse[: len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h
 
 
 def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows of one pass: place of the anchor, span hash, first window, number of windows.
+    """Runs of windows of one pass: place of the anchor, span hash, first window, number of windows, and the side hashes.
 
     ``owner_end[i]`` is the end of the document that byte ``i`` belongs to.
     """
     none = np.empty(0, np.int64)
+    nothing = (none, none.astype(np.uint64), none, none, [none.astype(np.uint8)] * 2)
     windows = len(data) - WINDOW + 1
     if windows <= 0:
-        return none, none.astype(np.uint64), none, none
+        return nothing
     valid = np.arange(windows) + WINDOW <= owner_end[:windows]
     h = _gram_hashes(data)
     low = np.uint64((1 << 23) - 1)
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    key = h & ~low
+    key |= np.arange(len(h), dtype=np.uint64)
     width, wanted = 1, WINDOW - GRAM + 1
     while 2 * width <= wanted:
         key = np.minimum(key[:-width], key[width:])
@@ -126,32 +138,35 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
         key = np.minimum(key[: windows], key[wanted - width : wanted - width + windows])
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none.astype(np.uint64), none, none
+        return nothing
     anchor = (key[at] & low).astype(np.int64)
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
     starts = np.flatnonzero(new)
     count = np.diff(np.concatenate([starts, [len(at)]]))
     first, anchor = at[starts], anchor[starts]
-    span = Spans(data, _B1).of(first, first + count + WINDOW - 1)
-    return anchor, mix64(span + (anchor - first).astype(np.uint64)), first, count
+    del h, key
+    spans = Spans(data, _B1)
+    end = first + count + WINDOW - 1
+    span = mix64(spans.of(first, end) + (anchor - first).astype(np.uint64))
+    return anchor, span, first, count, side_hashes(spans, anchor, first, end)
 
 
 def first_bytes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The ``GRAM`` bytes from each place on, as big-endian words: their order is that of the bytes."""
+    """The ``PREFIX`` bytes from each place on, as big-endian words (their order is that of the bytes), and 16 bits of a hash of the rest of the gram."""
     held = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at] if len(at) else np.empty((0, GRAM), np.uint8)
     words = np.ascontiguousarray(held).view(">u8")
-    return [words[:, k].astype(np.uint64) for k in range(GRAM // 8)]
+    literal = [words[:, k].astype(np.uint64) for k in range(PREFIX // 8)]
+    return [*literal, mix64(words[:, PREFIX // 8].astype(np.uint64)) >> np.uint64(48)]
 
 
-def side_hashes(data: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit hashes of the ``SIDE`` bytes before and after each anchor's gram; 0 where the run, from ``begin`` to ``end``, has fewer."""
-    spans = Spans(data, _B2)
-    before, after = np.zeros(len(anchor), np.uint16), np.zeros(len(anchor), np.uint16)
-    has = anchor - SIDE >= begin
-    before[has] = (spans.of(anchor[has] - SIDE, anchor[has]) >> np.uint64(48)).astype(np.uint16) | 1
-    has = anchor + GRAM + SIDE <= end
-    after[has] = (spans.of(anchor[has] + GRAM, anchor[has] + GRAM + SIDE) >> np.uint64(48)).astype(np.uint16) | 1
-    return before, after
+def side_hashes(spans: Spans, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """8-bit hashes of the ``SIDE`` bytes before and after each anchor's gram; 0 where the run, from ``begin`` to ``end``, has fewer."""
+    out = []
+    for start, has in ((anchor - SIDE, anchor - SIDE >= begin), (anchor + GRAM, anchor + GRAM + SIDE <= end)):
+        side = np.zeros(len(anchor), np.uint8)
+        side[has] = (spans.of(start[has], start[has] + SIDE) % np.uint64(255)).astype(np.uint8) + 1
+        out.append(side)
+    return out
 
 
 class Batch:
@@ -173,36 +188,58 @@ class Batch:
 
     def index(self, shards: int) -> None:
         """The sparse suffix array, by shard: runs in the order of (shard, bytes, span, id); runs with equal bytes and span form one entry."""
-        kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16)
+        kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8)
         found: list[list] = [[] for _ in kinds]
         for a, data, doc, ends in self.passes():
-            anchor, span, first, count = runs_of(data, ends)
+            anchor, span, first, count, sides = runs_of(data, ends)
             owner = doc[first]
-            before, after = side_hashes(data, anchor, first, first + count + WINDOW - 1)
             keep = self.known[owner]
-            for to, x in zip(found, (*first_bytes(data, anchor), span, first + a, count, owner, before, after), strict=True):
-                to.append(x[keep])
-        *keys, first, count, owner, before, after = (np.concatenate(x) if x else np.empty(0, k) for x, k in zip(found, kinds, strict=True))
-        keys[-1] >>= np.uint64(16)
-        order = np.lexsort((self.ids[owner], *reversed(keys)))
+            for to, x, kind in zip(found, (*first_bytes(data, anchor), span >> np.uint64(24), first + a, count, owner, *sides), kinds, strict=True):
+                to.append(x[keep].astype(kind, copy=False))
+        columns = []
+        for kind in kinds:
+            held = found.pop(0)
+            columns.append(np.concatenate(held) if held else np.empty(0, kind))
+        keys, (first, count, owner, before, after) = columns[:4], columns[4:]
+        order = sorted_order([*keys, self.ids[owner]])
         if shards > 1:
             shard = shard_of(keys, shards)
             order = order[np.argsort(shard[order].astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")]
-        self.first, self.count = first[order], count[order]
-        keys, doc = [k[order] for k in keys], self.ids[owner[order]]
+        self.first, self.count = first[order], count[order].astype(np.int64)
+        for k in range(len(keys)):
+            keys[k] = keys[k][order]
+        doc = self.ids[owner[order]]
         new = starts_of(keys)
         self.entry_at = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
         self.entry_doc = doc[self.entry_at]
         self.least = doc == self.entry_doc[self.entry]  # runs of the entry's smallest document
-        self.keys = [k[self.entry_at] for k in keys]
+        for k in range(len(keys)):
+            keys[k] = keys[k][self.entry_at]
+        self.keys = keys
         self.before, self.after = before[order][self.entry_at], after[order][self.entry_at]
 
 
+#: Keys that stand for the gram: the words of its prefix and the hash of the rest.
+GRAM_KEYS = PREFIX // 8 + 1
+
+
+def sorted_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order by all keys, most significant first: by the first one, then by the others where that is equal."""
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    same = first[1:] == first[:-1]
+    at = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(order) else order
+    if len(at):
+        rows = order[at]
+        order[at] = rows[np.lexsort([k[rows] for k in reversed(keys)])]
+    return order
+
+
 def shard_of(keys: list[np.ndarray], shards: int) -> np.ndarray:
     """By the upper bits of a hash of the first bytes: even, whatever the texts."""
     h = mix64(keys[0])
-    for k in keys[1 : GRAM // 8]:
+    for k in keys[1:GRAM_KEYS]:
         h = mix64(h + k)
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -245,11 +282,11 @@ class Form:
             return data[at - width * n : at]
 
         keys = [_unplanes(take(w), n, w) for w in self.widths]
-        sides = [np.frombuffer(take(2), dtype=np.uint16) for _ in range(2 * self.sides)]
+        sides = [np.frombuffer(take(1), dtype=np.uint8) for _ in range(2 * self.sides)]
         return keys, _unplanes(take(8), n, 8).view(np.int64), sides
 
 
-SUFFIXES = Form((8,) * (GRAM // 8) + (6,), True)
+SUFFIXES = Form((8,) * (PREFIX // 8) + (2, 5), True)
 WINDOWS = Form((6, 5), False)
 
 
@@ -296,8 +333,8 @@ class IndexFamily:
 
 
 def partly_matching(level: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Entries of the last level that share their first ``GRAM`` bytes and the bytes on one side with an entry of another document."""
-    new = starts_of(level[: GRAM // 8])  # a longest common prefix of less than GRAM begins a group
+    """Entries of the last level that share their gram and the bytes on one side of it with an entry of another document."""
+    new = starts_of(level[:GRAM_KEYS])  # a longest common prefix of less than GRAM begins a group
     group = np.cumsum(new) - 1
     doc, before, after = level[len(SUFFIXES.widths)], level[-2], level[-1]
     crowded = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if len(group) else np.empty(0, np.int64)
@@ -485,8 +522,9 @@ def _open_windows(batch: Batch, codes: np.ndarray):
 def _covered(batch: Batch, codes: np.ndarray, windows=None, window_codes=None) -> np.ndarray:
     """Which bytes of the batch are to go."""
     whole = ~batch.least | (codes == 1)[batch.entry] if len(batch.entry) else np.empty(0, bool)
-    size = len(batch.data) + 1
-    change = np.bincount(batch.first[whole], minlength=size) - np.bincount(batch.first[whole] + batch.count[whole] + WINDOW - 1, minlength=size)
+    change = np.zeros(len(batch.data) + 1, dtype=np.int32)  # first windows of runs are distinct, and so are last ones
+    change[batch.first[whole]] += 1
+    change[batch.first[whole] + batch.count[whole] + WINDOW - 1] -= 1
     if windows is not None and len(windows[1]):
         _, entries, total, window, larger = windows
         gone = larger | (window_codes[window] == 1)
@@ -500,7 +538,8 @@ def _covered(batch: Batch, codes: np.ndarray, windows=None, window_codes=None) -
         within = np.arange(len(run)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         start = batch.first[runs][run] + within
         start = start[gone[offset[k][run] + within]]
-        change += np.bincount(start, minlength=size) - np.bincount(start + WINDOW, minlength=size)
+        change[start] += 1
+        change[start + WINDOW] -= 1
     return np.cumsum(change[:-1]) > 0
 
 

@@ -172,6 +172,10 @@ def test_a_page_of_300000_blocks_fits_in_a_worker():
     assert resource.RLIMIT_AS  # the figure is that of the whole process
 
 
+def test_references_are_decoded_piece_by_piece():
+    assert [b.text for b in leaf_blocks("<p>a &amp; b &am<i></i>p; &<b>lt;</b> &#65;</p>")] == ["a & b &amp; &lt; A"]
+
+
 def test_votes_of_repeated_ids_are_defined(spark):
     rows = [(1, "b b b b", "en", "a"), (1, "a a a a", "en", "a"), (2, "c d e f", "en", "a"), (3, "g h i j k", "en", "a")]
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
@@ -312,7 +316,7 @@ def test_suffixes_are_in_the_order_of_their_bytes():
     data = b"".join(texts)
     batch = suffix_dedup.Batch(np.arange(5), np.ones(5, bool), np.array([len(t) for t in texts]), np.frombuffer(data, dtype=np.uint8))
     batch.index(1)
-    held = [b"".join(int(w).to_bytes(8, "big") for w in row) for row in zip(*batch.keys[:3], strict=True)]
+    held = [b"".join(int(w).to_bytes(8, "big") for w in row) for row in zip(*batch.keys[:2], strict=True)]
     assert held == sorted(held) and all(h in data for h in held[::17])
 
 
