@@ -2,14 +2,18 @@
 
 Each stage is a function of ``(spark, docs, sf_dir)``; what it returns is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. When a stage begins, what the one
+before it has left in the shared folder is deleted: its result has been written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm.common import materialize, read_table
+from pactum.llm.common import drop_scratch, free, materialize, read_table, scratch_made, small_batches
 from pactum.llm.mixing import mix_documents
 from pactum.llm.neardup import drop_near_duplicates
 from pactum.llm.packing import pack_documents
@@ -17,26 +21,49 @@ from pactum.llm.quality_knn import drop_low_quality
 from pactum.llm.suffix_dedup import remove_repeats
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_LEFT: list = []
+
+
+def _after(stage: Stage) -> Stage:
+    """A stage that deletes the scratch tables of the one before."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(_LEFT)
+        with scratch_made() as made:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[:] = made
+        return out
+
+    return run_stage
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)  # for this and the following stages: whole texts go to Python
     return drop_low_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
+@_after
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest document stays."""
     return drop_near_duplicates(docs)
 
 
+@_after
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that an earlier document has are cut from the texts."""
     return remove_repeats(docs)
 
 
+@_after
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or cut to their exact word budgets."""
     return mix_documents(docs)
 
 
+@_after
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens get a place in a sequence."""
     return pack_documents(docs)
@@ -57,7 +84,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{k}")
-    return docs
+        kept = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return kept
+        kept = materialize(kept, f"pipeline-{k}")
+        free(docs)
+        docs = kept
