@@ -143,6 +143,9 @@ def sample_pool(df: DataFrame, c: Column) -> DataFrame:
 def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, values: set[str] | None = None) -> dict[str, Profile]:
     """Profiles by name; ``columns`` are expressions over ``df``. ``values`` names the columns whose values may be shown (all by default)."""
     types = {n: df.select(c).schema.fields[0].dataType for n, c in columns.items()}
+    for n, kind in types.items():  # bytes without an annotation are text if all of them are
+        if isinstance(kind, T.BinaryType):
+            columns, types[n] = columns | {n: columns[n].cast("string")}, T.StringType()
     shown = set(columns) if values is None else values
     metrics = [F.count(F.lit(1)).alias("rows")]
     for k, (name, c) in enumerate(columns.items()):
@@ -156,6 +159,8 @@ def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, valu
             metrics += [F.min(finite).alias(f"low{k}"), F.max(finite).alias(f"high{k}")]
         elif kind != "boolean":
             metrics += [F.min(c).alias(f"low{k}"), F.max(c).alias(f"high{k}")]
+        if kind == "text":
+            metrics.append(F.count_if(~F.is_valid_utf8(c)).alias(f"invalid{k}"))
         metrics.append(F.approx_count_distinct(c, RELATIVE_ERROR).alias(f"about{k}"))
     found = df.agg(*metrics).first()
     out: dict[str, Profile] = {}
@@ -163,6 +168,8 @@ def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, valu
     for k, (name, c) in enumerate(columns.items()):
         kind, ok = kind_of(types[name])
         p = out[name] = Profile(kind, ok, found["rows"], found[f"nulls{k}"])
+        if kind == "text" and found[f"invalid{k}"]:  # bytes that are no text: rows and nulls are all that is told
+            p.kind, p.supported, ok = "binary", False, False
         if not ok:
             continue
         if kind == "float":

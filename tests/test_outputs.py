@@ -172,3 +172,13 @@ def test_profile_of_many_distinct_values_is_bounded(spark):
     assert not p["few"].approximate and p["few"].distinct == 900 and p["few"].top[0] == (0, 23) and len(p["few"].top) == 20
     assert sorted(p["flag"].top) == [(False, 6667), (True, 6666)] and p["flag"].nulls == 6667
     assert len(p["s"].samples) == len(p["x"].samples) == SAMPLES and p["x"].samples == sorted(p["x"].samples) and set(p["whole"].samples) <= set(range(20_000))
+
+
+def test_bytes_that_are_no_text_are_not_summarised(spark):
+    from pactum.operators.profiling import profile
+
+    df = spark.createDataFrame([(b"otter", b"\xff\xfe"), (b"seal", b"ok"), (None, None)], "good binary, bad binary")
+    df = df.withColumn("worse", df["bad"].cast("string"))
+    p = profile(df, {c: df[c] for c in df.columns})
+    assert p["good"].supported and (p["good"].low, p["good"].distinct, p["good"].nulls) == ("otter", 2, 1)
+    assert [(p[c].kind, p[c].supported, p[c].nulls, p[c].top, p[c].low) for c in ("bad", "worse")] == [("binary", False, 1, [], None)] * 2
