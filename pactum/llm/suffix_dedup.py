@@ -7,10 +7,9 @@ document with a smaller id.
 the least hash is its anchor; equal windows have equal anchors at equal places.
 Consecutive windows with one anchor form a run, and the suffix at the anchor is
 kept, one for each run (about every 14th position). The suffix array of a batch
-holds these suffixes in the order of their bytes: the first ``PREFIX`` bytes are
-compared as they are, the rest of the gram by a hash; what lies beyond, to the
-right and to the left of the anchor as far as the run's windows reach, is
-compared by a hash of the whole span.
+holds these suffixes in the order of their bytes: the gram's bytes are compared
+as they are; what lies beyond, to the right and to the left of it as far as the
+run's windows reach, is compared by a hash of the whole span.
 
 *Index family.* Batches are cut from the input (4 MB of text each); suffixes go
 to shards by a hash of their first bytes. In a shard every batch's array is
@@ -19,11 +18,11 @@ entry takes part in a logarithmic number of merges. A merge meets equal entries
 side by side: of two equal spans the one in the larger document is covered, and
 only the smaller document's stays in the family. A scan of the last level finds
 neighbours whose longest common prefix is at least ``GRAM`` although their
-spans differ. A window around the gram needs ``WINDOW - GRAM`` bytes more, so at
-least half of these on one side: neighbours with equal hashes of so many bytes
-on neither side have no window in common. The few others are resolved window
-by window, in a second family that is keyed by the hashes of the windows
-themselves.
+spans differ. A window around the gram has ``WINDOW - GRAM`` bytes more: two
+thirds of these on one side, or a third on both. Neighbours that differ in the
+hashes of these three surroundings have no window in common. The few others are
+resolved window by window, in a second family that is keyed by the hashes of
+the windows themselves.
 
 *Hot strings.* A batch sends one entry per distinct span, so a passage that a
 third of all documents share costs a shard one entry per batch, not one per
@@ -34,9 +33,8 @@ time whatever their number. A batch sends at most ``MAX_GROUPS`` rows, however
 many shards there are; a task splits what it got into its shards, which Spark
 sorts (and spills) there.
 
-Two entries count as equal if their first 16 bytes, 16 bits for the rest of the
-gram and 40 bits for the span agree (in the second family: 88 bits of two
-independent hashes).
+Two entries count as equal if the 16 bytes of the gram and 40 bits of a hash of
+the span agree (in the second family: 88 bits of two independent hashes).
 
 Defined cases: a null text is the empty text; texts shorter than a window lose
 nothing; a null id is neither smaller nor larger than any other, so its text
@@ -47,8 +45,10 @@ names, by :func:`remove_repeats`.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
+import time
 from functools import reduce
 
 import numpy as np
@@ -61,20 +61,24 @@ from pyspark.sql import types as T
 from .common import crc_of, materialize, mix64, named, steady_memory, text_slices, texts_of
 
 WINDOW = 50
-GRAM = 24
-#: Windows that are handled in one pass over a long text.
-PASS_WINDOWS = 1 << 19
-#: Bytes of a suffix that are kept as they are.
-PREFIX = 16
+GRAM = 16
+#: Words of a gram.
+GRAM_KEYS = GRAM // 8
+#: Windows that are handled in one pass over a long text: its arrays stay in the processor's cache.
+PASS_WINDOWS = 1 << 16
 #: Text per batch.
 BATCH_BYTES = 4 << 20
+#: Texts are packed once, and shuffled and read twice.
+PACK_LEVEL = 6
 #: Text per shard of the family, and shards per task where there are fewer than MAX_GROUPS.
 SHARD_BYTES = 6 << 20
 TASK_SHARDS = 4
 #: Rows that a batch sends at most; each holds the entries of one shard or, beyond, of several.
 MAX_GROUPS = 1 << 14
-#: Of the bytes that a window has besides its gram, this many lie on one side of it at least.
-SIDE = (WINDOW - GRAM) // 2
+#: Bytes before and after the gram of which a window has one pair at least.
+FAR = -(-2 * (WINDOW - GRAM) // 3)
+NEAR = WINDOW - GRAM - FAR + 1
+SIDES = ((FAR, 0), (0, FAR), (NEAR, NEAR))
 
 _B1 = 0x9E3779B97F4A7C15 | 1
 _B2 = 0xD6E8FEB86659FD93
@@ -121,7 +125,7 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
     ``owner_end[i]`` is the end of the document that byte ``i`` belongs to.
     """
     none = np.empty(0, np.int64)
-    nothing = (none, none.astype(np.uint64), none, none, [none.astype(np.uint8)] * 2)
+    nothing = (none, none.astype(np.uint64), none, none, [none.astype(np.uint8)] * len(SIDES))
     windows = len(data) - WINDOW + 1
     if windows <= 0:
         return nothing
@@ -152,19 +156,20 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def first_bytes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """The ``PREFIX`` bytes from each place on, as big-endian words (their order is that of the bytes), and 16 bits of a hash of the rest of the gram."""
+    """The gram at each place as big-endian words: their order is that of the bytes."""
     held = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at] if len(at) else np.empty((0, GRAM), np.uint8)
     words = np.ascontiguousarray(held).view(">u8")
-    literal = [words[:, k].astype(np.uint64) for k in range(PREFIX // 8)]
-    return [*literal, mix64(words[:, PREFIX // 8].astype(np.uint64)) >> np.uint64(48)]
+    return [words[:, k].astype(np.uint64) for k in range(GRAM_KEYS)]
 
 
 def side_hashes(spans: Spans, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """8-bit hashes of the ``SIDE`` bytes before and after each anchor's gram; 0 where the run, from ``begin`` to ``end``, has fewer."""
+    """8-bit hashes of each gram with the surroundings ``SIDES``; 0 where the run, from ``begin`` to ``end``, has fewer bytes."""
     out = []
-    for start, has in ((anchor - SIDE, anchor - SIDE >= begin), (anchor + GRAM, anchor + GRAM + SIDE <= end)):
+    for before, after in SIDES:
+        start, stop = anchor - before, anchor + GRAM + after
+        has = (start >= begin) & (stop <= end)
         side = np.zeros(len(anchor), np.uint8)
-        side[has] = (spans.of(start[has], start[has] + SIDE) % np.uint64(255)).astype(np.uint8) + 1
+        side[has] = (spans.of(start[has], stop[has]) % np.uint64(255)).astype(np.uint8) + 1
         out.append(side)
     return out
 
@@ -188,7 +193,7 @@ class Batch:
 
     def index(self, shards: int) -> None:
         """The sparse suffix array, by shard: runs in the order of (shard, bytes, span, id); runs with equal bytes and span form one entry."""
-        kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8)
+        kinds = (*[np.uint64] * (GRAM_KEYS + 1), np.int64, np.int32, np.int32, *[np.uint8] * len(SIDES))
         found: list[list] = [[] for _ in kinds]
         for a, data, doc, ends in self.passes():
             anchor, span, first, count, sides = runs_of(data, ends)
@@ -200,7 +205,7 @@ class Batch:
         for kind in kinds:
             held = found.pop(0)
             columns.append(np.concatenate(held) if held else np.empty(0, kind))
-        keys, (first, count, owner, before, after) = columns[:4], columns[4:]
+        keys, (first, count, owner, *sides) = columns[: GRAM_KEYS + 1], columns[GRAM_KEYS + 1 :]
         order = sorted_order([*keys, self.ids[owner]])
         if shards > 1:
             shard = shard_of(keys, shards)
@@ -217,11 +222,7 @@ class Batch:
         for k in range(len(keys)):
             keys[k] = keys[k][self.entry_at]
         self.keys = keys
-        self.before, self.after = before[order][self.entry_at], after[order][self.entry_at]
-
-
-#: Keys that stand for the gram: the words of its prefix and the hash of the rest.
-GRAM_KEYS = PREFIX // 8 + 1
+        self.sides = [x[order][self.entry_at] for x in sides]
 
 
 def sorted_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -263,12 +264,12 @@ def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
 
 
 class Form:
-    """How the entries of a family are laid out: bytes of each key, and whether side hashes follow."""
+    """How the entries of a family are laid out: bytes of each key, and how many side hashes follow."""
 
-    def __init__(self, widths: tuple[int, ...], sides: bool):
+    def __init__(self, widths: tuple[int, ...], sides: int):
         self.widths, self.sides = widths, sides
 
-    def pack(self, keys: list[np.ndarray], doc: np.ndarray, sides: tuple[np.ndarray, ...], pack: zstandard.ZstdCompressor) -> bytes:
+    def pack(self, keys: list[np.ndarray], doc: np.ndarray, sides: list[np.ndarray], pack: zstandard.ZstdCompressor) -> bytes:
         parts = [_planes(k, w) for k, w in zip(keys, self.widths, strict=True)] + [x.tobytes() for x in sides] + [_planes(doc.view(np.uint64), 8)]
         return len(doc).to_bytes(4, "little") + pack.compress(b"".join(parts))
 
@@ -282,12 +283,12 @@ class Form:
             return data[at - width * n : at]
 
         keys = [_unplanes(take(w), n, w) for w in self.widths]
-        sides = [np.frombuffer(take(1), dtype=np.uint8) for _ in range(2 * self.sides)]
+        sides = [np.frombuffer(take(1), dtype=np.uint8) for _ in range(self.sides)]
         return keys, _unplanes(take(8), n, 8).view(np.int64), sides
 
 
-SUFFIXES = Form((8,) * (PREFIX // 8) + (2, 5), True)
-WINDOWS = Form((6, 5), False)
+SUFFIXES = Form((8,) * GRAM_KEYS + (5,), len(SIDES))
+WINDOWS = Form((6, 5), 0)
 
 
 class IndexFamily:
@@ -333,13 +334,13 @@ class IndexFamily:
 
 
 def partly_matching(level: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Entries of the last level that share their gram and the bytes on one side of it with an entry of another document."""
+    """Entries of the last level that share their gram and one of its surroundings with an entry of another document."""
     new = starts_of(level[:GRAM_KEYS])  # a longest common prefix of less than GRAM begins a group
     group = np.cumsum(new) - 1
-    doc, before, after = level[len(SUFFIXES.widths)], level[-2], level[-1]
+    doc = level[len(SUFFIXES.widths)]
     crowded = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if len(group) else np.empty(0, np.int64)
     out = np.zeros(len(group), dtype=bool)
-    for side in (before, after):
+    for side in level[-len(SIDES) :]:
         at = crowded[side[crowded] > 0]
         at = at[np.lexsort((side[at], group[at]))]
         if len(at):
@@ -397,7 +398,7 @@ def cut_batches(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=PACK_LEVEL)
         ids: list = []
         texts: list[bytes] = []
 
@@ -468,7 +469,7 @@ def _entries_by_shard(number: int, shard: np.ndarray, shards: int, form: Form, k
     if not len(present):
         return
     groups = min(shards, MAX_GROUPS)
-    blobs = [form.pack([k[a:b] for k in keys], doc[a:b], tuple(x[a:b] for x in sides), pack) for a, b in itertools.pairwise(bounds.tolist())]
+    blobs = [form.pack([k[a:b] for k in keys], doc[a:b], [x[a:b] for x in sides], pack) for a, b in itertools.pairwise(bounds.tolist())]
     sent = present * groups // shards
     rows, offsets = _sections(sent)
     pieces = pa.StructArray.from_arrays([pa.array(present, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "entries"])
@@ -547,6 +548,18 @@ RESULT_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_s
 TEXT_FIELDS = ", kept string, crc long"
 
 
+def _tidy(spark) -> None:
+    """What was shuffled for a table that is written by now goes from the executors' disks once the driver has forgotten it.
+
+    Frames are forgotten by Python first, then by the driver's JVM, whose
+    cleaner sees the shuffle's last reference go in a second collection.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
     """The result fields of every row; with the text that is kept and a checksum of the old one if ``with_text``."""
     fields = RESULT_FIELDS + TEXT_FIELDS * with_text
@@ -556,7 +569,7 @@ def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
 
     def entries(batches):
         for row, b in _opened(batches, shards):
-            yield from _entries_by_shard(row["batch"], shard_of(b.keys, shards), shards, SUFFIXES, b.keys, b.entry_doc, (b.before, b.after))
+            yield from _entries_by_shard(row["batch"], shard_of(b.keys, shards), shards, SUFFIXES, b.keys, b.entry_doc, b.sides)
 
     def windows(batches):
         for row, b in _opened(batches, shards):
@@ -594,7 +607,9 @@ def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
         return answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "codes")).alias(name))
 
     first = by_batch(answered(table.mapInArrow(entries, ENTRY_SCHEMA), SUFFIXES, "suffix-answers"), "answers")
+    _tidy(docs.sparkSession)
     second = by_batch(answered(table.join(first, "batch").mapInArrow(windows, ENTRY_SCHEMA), WINDOWS, "suffix-windows"), "window_answers")
+    _tidy(docs.sparkSession)
     return table.join(first.join(second, "batch", "left"), "batch", "left").mapInArrow(result, fields)
 
 
