@@ -278,6 +278,8 @@ class _Composer:
         return self.words(3, 16).capitalize() + "."
 
     def prose(self) -> str:
+        if self.chance(0.04):  # one word again and again
+            return " ".join([self.word().capitalize()] * self.rng.randrange(5, 300))
         return " ".join(self.sentence() for _ in range(self.rng.randrange(1, 7))) if self.chance(0.85) else self.pick(self.words(1, 4).capitalize() + ".", " | ".join(self.word() for _ in range(12)), self.words(5, 60).upper() + "!!")
 
     def links(self, low: int = 3, high: int = 9) -> list[str]:
@@ -341,7 +343,11 @@ class _Composer:
                 return f"<table><tr><td>\x02{self.words(1, 4)}</td><td>\x02{self.words(1, 4)}</td></tr></table>"
             return self.pick(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<div><p>{text}</p></div>")
 
-        parts = [paragraph() for _ in range(self.rng.randrange(1, 10))]
+        if self.chance(0.06):  # many short paragraphs, alike or not
+            same = self.words(1, 5).capitalize() + "."
+            parts = [f"<p>\x02{same if self.chance(0.5) else self.sentence()}</p>" for _ in range(self.rng.randrange(20, 140))]
+        else:
+            parts = [paragraph() for _ in range(self.rng.randrange(1, 10))]
         if self.chance(0.8):
             parts.insert(0, f"<h1>\x02{self.words(2, 10)}</h1>")
         for extra, p in ((self.advert, 0.2), (self.aside, 0.08), (self.form, 0.08), (self.nav, 0.05)):
