@@ -161,7 +161,8 @@ def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, valu
             metrics += [F.min(c).alias(f"low{k}"), F.max(c).alias(f"high{k}")]
         if kind == "text":
             metrics.append(F.count_if(~F.is_valid_utf8(c)).alias(f"invalid{k}"))
-        metrics.append(F.approx_count_distinct(c, RELATIVE_ERROR).alias(f"about{k}"))
+        # of floats it is not reported: it only bounds the pool of samples
+        metrics.append(F.approx_count_distinct(c, 0.05 if kind == "float" else RELATIVE_ERROR).alias(f"about{k}"))
     found = df.agg(*metrics).first()
     out: dict[str, Profile] = {}
     binned = []
