@@ -181,7 +181,7 @@ def test_merging_batches_of_a_bucket_gives_the_final_counts(rows):
     held, total = None, {}
     for batch in range(5):
         mine = [(t, t, i, p, t, 1, False) for t, i, p, _, b in rows if b == batch]
-        new = pd.DataFrame(mine, columns=["high", "low", "doc_id", "part", "bits", "n", "settled"]).astype({"settled": bool, "n": np.int64})
+        new = pd.DataFrame(mine, columns=["high", "low", "doc_id", "part", "bits", "n", "settled"]).astype({"settled": bool, "part": object} | dict.fromkeys(["high", "low", "doc_id", "bits", "n"], np.int64))
         held, changes = filter_audit.merge(held, new)
         for p, bits, n in changes[["part", "bits", "n"]].itertuples(index=False):
             total[p, bits] = total.get((p, bits), 0) + n
