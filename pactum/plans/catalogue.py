@@ -566,6 +566,50 @@ def _join_range(spark, sf_dir):
     return joined.select("customer.c_custkey", "band.s_suppkey")
 
 
+@query(
+    "join_range_text",
+    "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_name >= 'Customer#' || substr(s_name, 10) AND c_name < 'Customer#' || lpad(CAST(s_suppkey + 20 AS VARCHAR), 9, '0')",
+)
+def _join_range_text(spark, sf_dir):
+    """Bounds that are texts."""
+    from .relationships import join_tables
+
+    first = F.concat(F.lit("Customer#"), F.substring("s_name", 10, 9))
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", first.alias("first"), F.concat(F.lit("Customer#"), F.lpad((F.col("s_suppkey") + 20).cast("string"), 9, "0")).alias("upto"))
+    joined = join_tables("customer.c_name >= band.first AND customer.c_name < band.upto", {"customer": table(spark, sf_dir, "customer"), "band": bands})
+    return joined.select("customer.c_custkey", "band.s_suppkey")
+
+
+@query(
+    "join_range_dates",
+    "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON CAST(o_orderdate AS DATE) >= DATE '1992-01-01' + CAST(c_custkey AS INTEGER) AND CAST(o_orderdate AS DATE) <= DATE '1992-01-03' + CAST(c_custkey AS INTEGER)",
+)
+def _join_range_dates(spark, sf_dir):
+    """Bounds that are dates: orders of the three days from a customer's own."""
+    from .relationships import join_tables
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    day = F.col("c_custkey").cast("int")
+    bands = table(spark, sf_dir, "customer").select("c_custkey", F.date_add(F.lit("1992-01-01").cast("date"), day).alias("first"), F.date_add(F.lit("1992-01-03").cast("date"), day).alias("last"))
+    joined = join_tables("orders.day >= offer.first AND orders.day <= offer.last", {"orders": orders, "offer": bands})
+    return joined.select("orders.o_orderkey", "offer.c_custkey")
+
+
+@query(
+    "join_range_decimals",
+    "SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON CAST(l_extendedprice AS DECIMAL(12,2)) > CAST(s_acctbal AS DECIMAL(12,2)) AND CAST(l_extendedprice AS DECIMAL(12,2)) <= CAST(s_acctbal AS DECIMAL(12,2)) + 25",
+)
+def _join_range_decimals(spark, sf_dir):
+    """Bounds that are decimals, over whole lineitem."""
+    from .relationships import join_tables
+
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    balance = F.col("s_acctbal").cast("decimal(12,2)")
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", balance.alias("above"), (balance + F.lit(25).cast("decimal(12,2)")).alias("upto"))
+    joined = join_tables("lineitem.price > band.above AND lineitem.price <= band.upto", {"lineitem": points, "band": bands})
+    return joined.select("lineitem.l_orderkey", "lineitem.l_linenumber", "band.s_suppkey")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -8,12 +8,9 @@ from operator import and_, eq, ge, gt, le, lt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import between_join
 from ..sources.dictionary import Relationship, parse_join
 
-#: Ranges of a range join, and the columns that number them.
-RANGES = 128
-RANGE, RANGE_OF = "__range__", "__range_of__"
-
 _COMPARE = {"=": eq, "<": lt, "<=": le, ">": gt, ">=": ge}
 
 
@@ -22,8 +19,9 @@ def join_tables(text: str, frames: dict[str, DataFrame], aliases: dict[str, str]
 
     The conjunction stays declarative: equalities become the join's keys, the
     rest its residual condition. An inner join without an equality, in which a
-    column of one side lies between two of the other, is joined by ranges
-    (:func:`between_join`), since Spark would compare all pairs.
+    column of one side lies between two of the other, is joined by ranges of
+    that column's own type (:mod:`pactum.operators.ranges`), since Spark would
+    compare all pairs.
     """
     pairs, aliases = parse_join(text), aliases or {}
     names = list(dict.fromkeys(n for a, _, b in pairs for n in (a[0], b[0])))
@@ -50,23 +48,6 @@ def between(pairs: list) -> tuple | None:
     return next(((x, lower[x], upper[x]) for x in lower if x in upper), None)
 
 
-def between_join(points: DataFrame, point: Column, bands: DataFrame, low: Column, high: Column, conditions: list[Column], ranges: int = RANGES) -> DataFrame:
-    """Points with the bands they lie in, as an equality join on ranges of the points.
-
-    The ranges hold about equal numbers of points (approximate percentiles, one
-    pass), so many equal points do not share a range with others; a band has a
-    row for each range it touches, a point lies in one range only, so each pair
-    is found once.
-    """
-    ends = points.agg(F.percentile_approx(point, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    splits = sorted(set(ends or ()))
-    held = F.array(*[F.lit(s) for s in splits]) if splits else F.array().cast("array<double>")
-    number = lambda c: F.size(F.filter(held, lambda s: s <= c))
-    placed = points.where(point.isNotNull()).withColumn(RANGE, number(point))
-    cut = bands.where(low <= high).withColumn(RANGE_OF, F.explode(F.sequence(number(low), number(high))))
-    return placed.join(cut, reduce(and_, [F.col(RANGE) == F.col(RANGE_OF), *conditions])).drop(RANGE, RANGE_OF)
-
-
 def normalized(r: Relationship) -> dict:
     """Pairs with the many side on the left."""
     swap = r.cardinality == "one-to-many"
