@@ -4,10 +4,21 @@ Both start from aggregates that combine before the shuffle. Duplicates are
 counted as the sum of ``count - 1`` over keys; rows are located only for keys
 that really repeat. Spark's grouping and joins already use the identity order
 of values (all NaNs one value, both zeros one value).
+
+Whole numbers and dates that lie densely are counted as bits instead: a key is
+one bit of a word of 64, words are combined by OR before the shuffle, and what
+is shuffled is two bits a key instead of the key. One pass over the keys
+before finds whether they are dense enough (:class:`Dense`); composite keys are
+when the product of their ranges is. References compare the words of both
+sides, and only children with bits that the parent lacks are ever joined.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +40,87 @@ def repeated_keys(df: DataFrame, keys: list[Column]) -> DataFrame:
     return held.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first")).where("n > 1")
 
 
+#: Keys are counted as bits if the tasks would send at most this many words a key.
+WORDS_A_KEY = 0.25
+_WORD, _BITS = "__word__", "__bits__"
+
+
+@dataclass
+class Dense:
+    """Whole-numbered keys as one number from 0 on: each part's least value, and its range."""
+
+    low: list[int]
+    size: list[int]
+
+    def index(self, keys: list[Column]) -> Column:
+        parts, stride = [], 1
+        for k, low, size in reversed(list(zip(keys, self.low, self.size, strict=True))):
+            parts.append((k - F.lit(low).cast("long")) * F.lit(stride).cast("long"))
+            stride *= size
+        return reduce(add, reversed(parts))
+
+    def within(self, keys: list[Column]) -> Column:
+        """Whether a key is in the ranges: others have no number."""
+        out = F.lit(True)
+        for k, low, size in zip(keys, self.low, self.size, strict=True):
+            out = out & k.between(F.lit(low).cast("long"), F.lit(low + size - 1).cast("long"))
+        return out
+
+
+def whole(df: DataFrame, keys: list[Column]) -> list[Column] | None:
+    """The keys as longs; None if one of them is neither a whole number nor a date."""
+    out = []
+    for k, f in zip(keys, df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).schema.fields, strict=True):
+        if isinstance(f.dataType, _INTEGERS):
+            out.append(k.cast("long"))
+        elif isinstance(f.dataType, T.DateType):
+            out.append(F.unix_date(k).cast("long"))
+        else:
+            return None
+    return out
+
+
+def dense(df: DataFrame, keys: list[Column]) -> Dense | None:
+    """Whether whole-numbered keys are dense, found by one pass that sends a row a task.
+
+    A task sends at most as many words as its keys' own range has, whatever the
+    table's, so keys that are clustered in files count as dense however sparse
+    the whole is, and keys that are in random order only if all tasks together
+    send few. (Of composite keys this is an estimate: a task never sends more
+    words than keys.)
+    """
+    n, ends = len(keys), [x for i, k in enumerate(keys) for x in (F.min(k).alias(f"l{i}"), F.max(k).alias(f"h{i}"))]
+    tasks = df.where(_known(keys)).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), *ends)
+    span = F.lit(1.0)
+    for i in range(n):
+        span = span * (F.col(f"h{i}").cast("double") - F.col(f"l{i}") + 1)
+    words = F.sum(F.least(F.col("n").cast("double"), span / 64 + 1))
+    found = tasks.agg(F.sum("n").alias("n"), words.alias("words"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(n)], *[F.max(f"h{i}").alias(f"h{i}") for i in range(n)]).first()
+    if not found["n"] or found["words"] > WORDS_A_KEY * found["n"] + 100_000:
+        return None
+    low, size, total = [found[f"l{i}"] for i in range(n)], [found[f"h{i}"] - found[f"l{i}"] + 1 for i in range(n)], 1
+    for x in size:
+        total *= x
+    return Dense(low, size) if total < 1 << 62 else None
+
+
+def _bit(index: Column) -> Column:
+    """The bit of a key's number in its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), index.bitwiseAND(F.lit(63)).cast("int"))
+
+
 def duplicate_count(df: DataFrame, keys: list[Column]) -> DataFrame:
     """One row: how many rows repeat a key that an earlier row has.
 
-    Only the keys are shuffled, without row numbers: rows are located later, and
-    only where the count is not 0.
+    Only the keys are shuffled, or their bits, without row numbers: rows are
+    located later, and only where the count is not 0.
     """
+    numbers = whole(df, keys)
+    shape = dense(df, numbers) if numbers is not None else None
+    if shape is not None:
+        held = df.where(_known(numbers)).select(shape.index(numbers).alias("i"))
+        counted = held.groupBy(F.shiftright("i", 6).alias(_WORD)).agg(F.bit_or(_bit(F.col("i"))).alias(_BITS), F.count(F.lit(1)).alias("n"))
+        return counted.agg(F.coalesce(F.sum(F.col("n") - F.bit_count(_BITS)), F.lit(0)).cast("long").alias("duplicates"))
     names = [f"k{i}" for i in range(len(keys))]
     counted = df.where(_known(keys)).select(*[k.alias(n) for k, n in zip(keys, names, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
@@ -91,15 +177,52 @@ def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFra
 
 
 def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType) -> DataFrame:
-    """One row: how many rows of ``child`` are orphans; only keys are shuffled."""
-    return _without_parent(child, key, key_type, parent, target, target_type, [F.lit(1).alias("one")]).agg(F.count(F.lit(1)).alias("orphans"))
-
-
-def _without_parent(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, carry: list[Column]) -> DataFrame:
+    """One row: how many rows of ``child`` are orphans; only keys are shuffled, or their bits where the parent's are dense."""
+    shape = _dense_reference(child, key, key_type, parent, target, target_type)
+    if shape is not None:
+        compared = _compared_words(shape, child, key, parent, target)
+        if compared.agg(F.coalesce(F.sum(F.bit_count(_BITS)), F.lit(0)).alias("lost")).first()["lost"] == 0:
+            outside = child.where(key.isNotNull() & ~shape.within([key.cast("long")]))
+            return outside.agg(F.count(F.lit(1)).alias("orphans"))
+    return _without_parent(child, key, key_type, parent, target, target_type, [F.lit(1).alias("one")], shape).agg(F.count(F.lit(1)).alias("orphans"))
+
+
+def _dense_reference(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType) -> Dense | None:
+    """The parent's range, if its keys and the child's within it are dense."""
+    if not (isinstance(key_type, _INTEGERS) and isinstance(target_type, _INTEGERS)):
+        return None
+    shape = dense(parent, [target.cast("long")])
+    if shape is None or dense(child.where(shape.within([key.cast("long")])), [key.cast("long")]) is None:
+        return None
+    return shape
+
+
+def _compared_words(shape: Dense, child: DataFrame, key: Column, parent: DataFrame, target: Column) -> DataFrame:
+    """Words with the bits of keys that children have and parents lack; children outside the parent's range are not in it."""
+    long = key.cast("long")
+    of_child = child.where(shape.within([long])).select(shape.index([long]).alias("i"), F.lit(True).alias("child"))
+    of_parent = parent.where(target.isNotNull()).select(shape.index([target.cast("long")]).alias("i"), F.lit(False).alias("child"))
+    bit, none = _bit(F.col("i")), F.lit(0).cast("long")
+    words = of_child.unionAll(of_parent).groupBy(F.shiftright("i", 6).alias(_WORD)).agg(
+        F.bit_or(F.when(F.col("child"), bit).otherwise(none)).alias("c"), F.bit_or(F.when(F.col("child"), none).otherwise(bit)).alias("p")
+    )
+    return words.select(_WORD, F.col("c").bitwiseAND(F.bitwise_not("p")).alias(_BITS))
+
+
+def _without_parent(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, carry: list[Column], shape: Dense | None = None) -> DataFrame:
     held = child.where(key.isNotNull())
     to = common_type(key_type, target_type)
     if to is None:
         return held.select(*carry)
+    shape = shape or _dense_reference(child, key, key_type, parent, target, target_type)
+    if shape is not None:
+        # children meet only words in which the parent lacks something, few where references hold
+        long = key.cast("long")
+        lost = _compared_words(shape, child, key, parent, target).where(F.col(_BITS) != 0)
+        probe = held.select(*carry, F.when(shape.within([long]), shape.index([long])).alias("__key__"))
+        has_bit = F.col(_BITS).bitwiseAND(_bit(F.col("__key__"))) != 0
+        found = probe.where("__key__ is not null").join(lost, (F.shiftright("__key__", 6) == F.col(_WORD)) & has_bit).drop("__key__", _WORD, _BITS)
+        return found.unionAll(probe.where("__key__ is null").drop("__key__"))
     same = lambda c, t: c if t == to else c.try_cast(to)
     probe = held.select(*carry, same(key, key_type).alias("__key__"))
     known = parent.select(same(target, target_type).alias("__target__")).where("__target__ is not null")  # a primary key: nothing to deduplicate, and an anti-join would not mind
