@@ -2,9 +2,10 @@
 
 One aggregate pass folds every aggregate of every assertion; its single row is
 joined (by broadcast: it is one row) for the row pass, which counts violations
-and finds first faults of all row-level assertions at once. A single count of
-distinct values shares that pass; several run as passes of their own, since in
-one aggregate they would multiply the input.
+and finds first faults of all row-level assertions at once; other checks of
+rows can share it. A single count of distinct values shares the first pass;
+several share one pass of their own, with one shuffle for all of them, since
+beside them every other aggregate's input would be multiplied too.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +76,7 @@ def prepare(typed: checking.Typed, scope: checking.Scope, schema: T.StructType,
 
 
 def fold_all(df: DataFrame, prepared: list[Prepared], now: dt.datetime) -> Folded:
-    out, expressions = Folded(), []
+    out, expressions, distinct = Folded(), [], []
     nodes = [n for p in prepared if p.barrier is None for one in p.instances for n in compiling.aggregate_nodes(one.tree)]
     folds = [compiling.fold(n, df.schema, now) for n in nodes]
     alone = sum(f.distinct is not None for f in folds) == 1
@@ -86,15 +87,13 @@ def fold_all(df: DataFrame, prepared: list[Prepared], now: dt.datetime) -> Folde
         elif alone:  # one distinct count shares the pass with the other aggregates
             expressions.append(F.count_distinct(f.distinct).alias(f"__v{k}"))
         else:
-            counted = df.select(f.distinct.alias("x")).where("x is not null").distinct().agg(F.count(F.lit(1)).alias(f"__v{k}"))
-            out.frames.append(counted)
+            distinct.append(F.count_distinct(f.distinct).alias(f"__v{k}"))
         fault = None
         if f.fault is not None:
             expressions.append(F.coalesce(f.fault, F.lit(0)).alias(f"__f{k}"))
             fault = F.col(f"__f{k}")
         out.values[id(node)] = Compiled(F.col(f"__v{k}"), f.kind, fault)
-    if expressions:
-        out.frames.append(df.agg(*expressions))
+    out.frames += [df.agg(*e) for e in (distinct, expressions) if e]
     return out
 
 
@@ -119,21 +118,26 @@ def judge(p: Prepared, schema: T.StructType, now: dt.datetime, folded: Folded) -
     return Judged(violated, fault)
 
 
-def evaluate(df: DataFrame, prepared: list[Prepared], now: dt.datetime) -> tuple[list[Verdict], Folded, list[Judged | None]]:
-    """Verdicts in order; ``df`` has ``ROW``. Two jobs for any number of assertions."""
+def evaluate(df: DataFrame, prepared: list[Prepared], now: dt.datetime, others_metrics: list[Column] = ()) -> tuple[list[Verdict], Folded, list[Judged | None], Row | None]:
+    """Verdicts in order; ``df`` has ``ROW`` if there are assertions of rows. Two jobs for any number of assertions.
+
+    ``others_metrics`` are aggregates of other checks that share the row pass;
+    they come back in its row.
+    """
     folded = fold_all(df, prepared, now)
     judged = [judge(p, df.schema, now, folded) if p.barrier is None else None for p in prepared]
     rows = [k for k, p in enumerate(prepared) if p.barrier is None and p.by_row]
     others = [k for k, p in enumerate(prepared) if p.barrier is None and not p.by_row]
     verdicts = [Verdict("unreadable", barrier=p.barrier) if p.barrier else Verdict("holds") for p in prepared]
-    if rows:
-        metrics = []
+    found = None
+    if rows or others_metrics:
+        metrics = list(others_metrics)
         for k in rows:
             metrics += [
                 F.count_if(judged[k].violated).alias(f"n{k}"),
                 F.min(F.when(judged[k].fault != 0, F.struct(F.col(ROW), judged[k].fault.alias("fault")))).alias(f"f{k}"),
             ]
-        found = folded.onto(df).agg(*metrics).first()
+        found = (folded.onto(df) if rows else df).agg(*metrics).first()
         for k in rows:
             if found[f"f{k}"] is not None:
                 row, fault = found[f"f{k}"]
@@ -141,10 +145,10 @@ def evaluate(df: DataFrame, prepared: list[Prepared], now: dt.datetime) -> tuple
             elif found[f"n{k}"]:
                 verdicts[k] = Verdict("violated", found[f"n{k}"])
     if others:
-        found = folded.alone(df.sparkSession).select(*[x for k in others for x in (judged[k].violated.alias(f"n{k}"), judged[k].fault.alias(f"f{k}"))]).first()
+        alone = folded.alone(df.sparkSession).select(*[x for k in others for x in (judged[k].violated.alias(f"n{k}"), judged[k].fault.alias(f"f{k}"))]).first()
         for k in others:
-            if found[f"f{k}"]:
-                verdicts[k] = Verdict("bad_pattern" if found[f"f{k}"] == BAD_PATTERN else "overflow")
-            elif found[f"n{k}"]:
+            if alone[f"f{k}"]:
+                verdicts[k] = Verdict("bad_pattern" if alone[f"f{k}"] == BAD_PATTERN else "overflow")
+            elif alone[f"n{k}"]:
                 verdicts[k] = Verdict("false")
-    return verdicts, folded, judged
+    return verdicts, folded, judged, found

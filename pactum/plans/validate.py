@@ -1,15 +1,15 @@
 """Validation runs: which checks a dictionary asks for, their jobs, and the report.
 
 Per table, nulls, enum membership and all row-level assertions are counted by
-one fused aggregate pass each; offending rows are read only for checks that
-failed, and only the first few. Keys and references are grouped and joined.
+one fused aggregate pass; one more pass locates the first few offending rows of
+all checks that failed. Keys and references are grouped and joined.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,23 @@ class Step:
     subject: object = None
 
 
+@dataclass
+class Result:
+    """A check of rows: how it is counted and located, and what was found."""
+
+    step: Step
+    metrics: list[SparkColumn]
+    condition: SparkColumn | None
+    tops: list[str]  # the top-level columns that it reads
+    carry: list[SparkColumn] = field(default_factory=list)
+    count: int = 0
+    failed: int = 0
+    prepared: assertions.Prepared | None = None
+    verdict: assertions.Verdict | None = None
+    shown: list[tuple[str, ...]] = field(default_factory=list)
+    rows: list = field(default_factory=list)
+
+
 @dataclass
 class Run:
     dictionary: str
@@ -172,9 +189,10 @@ class Validator:
             if self.level == "data":
                 for t in tables:
                     if t.name in self.frames:
-                        self.scan(t)
+                        checks = self.rows(t)
+                        self.scan(t, checks)
                         self.unique(t)
-                        self.asserts(t)
+                        self.asserts(t, checks)
                 for t in tables:
                     if t.name in self.frames:
                         self.references(t)
@@ -284,51 +302,77 @@ class Validator:
     def usable(self, t: Table, path: tuple[str, ...]) -> bool:
         return not any((t.name, ".".join(path[:k])) in self.bad for k in range(1, len(path) + 1))
 
-    # ------------------------------------------------- nulls and enums
+    # ------------------------------------------------- checks of rows
 
-    def scan(self, t: Table) -> None:
-        """D01 and D04 of a table in one aggregate."""
-        df, metrics, plans = self.frames[t.name], [], []
+    def rows(self, t: Table) -> list[Result]:
+        """D01, D04 and D07 of a table: one pass counts what breaks them all, one more locates it for those that failed."""
+        base = self.frames[t.name]
+        checks = [*self.nulls(t), *self.outsiders(t)]
+        live, prepared, tops = self.prepared(t)
+        by_row = any(p.by_row and p.barrier is None for p in prepared)
+        metrics = [m.alias(f"m{k}_{i}") for k, c in enumerate(checks) for i, m in enumerate(c.metrics)]
+        df = base
+        if prepared:
+            shown = dict.fromkeys([*tops, *(x for c in checks for x in c.tops)])
+            df = with_rows(base, list(shown)) if by_row else base
+        verdicts, folded, judged, found = assertions.evaluate(df, prepared, self.now, metrics)
+        for k, c in enumerate(checks):
+            c.count, c.failed = found[f"m{k}_0"] or 0, found[f"m{k}_{len(c.metrics) - 1}"] or 0
+        for s, p, v, j in zip(live, prepared, verdicts, judged, strict=True):
+            shown = [path for path in p.typed.columns if not t.column(path[0]).restricted]
+            checks.append(Result(s, [], j.violated if j else None, [path[0] for path in p.typed.columns], [spark_path(path) for path in shown], v.count, v.count, p, v, shown))
+        lost = [c for c in checks if c.count]
+        if lost:
+            shown = dict.fromkeys(x for c in lost for x in c.tops)
+            numbered = with_rows(base, list(shown))
+            if any(c.verdict for c in lost):
+                numbered = folded.onto(numbered)
+            for c, rows in zip(lost, columns.first_rows_each(numbered, [(c.condition, c.carry) for c in lost], self.sample), strict=True):
+                c.rows = rows
+        return checks
+
+    def nulls(self, t: Table) -> list[Result]:
+        out = []
         for s in self.of(t, "D01"):
             if self.usable(t, (s.subject.name,)):
                 known = self.footers[t.name].get(s.subject.name)
                 if known is not None and known.nulls == 0:  # nulls are located by a scan; their absence needs none
                     self.settle(s)
                     continue
-                metrics.append(columns.count_where(spark_path((s.subject.name,)).isNull()).alias(f"m{len(plans)}"))
-                plans.append((s, spark_path((s.subject.name,)).isNull(), None))
+                condition = spark_path((s.subject.name,)).isNull()
+                out.append(Result(s, [columns.count_where(condition)], condition, [s.subject.name]))
+        return out
+
+    def outsiders(self, t: Table) -> list[Result]:
+        out = []
         for s in self.of(t, "D04"):
             c, path = s.subject
-            if not self.usable(t, path):
-                continue
-            steps, top = self.steps_to(t, path, c), spark_path(path[:1])
-            n = columns.outside_values(top, steps, c.values)
-            k = len(plans)
-            metrics += [F.sum(n).alias(f"m{k}"), columns.count_where(n > 0).alias(f"r{k}")]
-            plans.append((s, n > 0, columns.outside_sample(top, steps, c.values)))
-        if not metrics:
-            return
-        found = df.agg(*metrics).first()
-        for k, (s, condition, sample) in enumerate(plans):
-            count = found[f"m{k}"] or 0
-            if sample is None:
-                self.settle(s, count)
-                if count:
+            if self.usable(t, path):
+                steps, top = self.steps_to(t, path, c), spark_path(path[:1])
+                n = columns.outside_values(top, steps, c.values)
+                sample = [] if t.column(path[0]).restricted else [columns.outside_sample(top, steps, c.values)]
+                out.append(Result(s, [F.sum(n), columns.count_where(n > 0)], n > 0, [path[0]], sample))
+        return out
+
+    def scan(self, t: Table, checks: list[Result]) -> None:
+        for r in checks:
+            s = r.step
+            if s.code == "D01":
+                self.settle(s, r.count)
+                if r.count:
                     c = s.subject
-                    rows = [r[ROW] for r in columns.first_rows(with_rows(df), condition, [], self.sample).collect()]
                     at = c.constraints.get("required") or c.constraints.get("primary_key")
-                    self.report("D01", KINDS["D01"], f"has {count} null(s)", "Every row needs a value here.", t, s, s.columns, at, (c.span,), count=count, rows=rows)
-                continue
-            self.settle(s, found[f"r{k}"])
-            if count:
-                c, path = s.subject
-                hidden = t.column(path[0]).restricted
-                held = columns.first_rows(with_rows(df), condition, [] if hidden else [sample.alias("v")], self.sample).collect()
-                values = None if hidden else [{s.columns[0]: rendered(r["v"])} for r in held]
-                self.report(
-                    "D04", KINDS["D04"], f"has {count} value(s) outside the allowed set", "Only the listed `values` may occur.",
-                    t, s, s.columns, c.node.get("values").span, (c.span,), count=count, rows=[r[ROW] for r in held], values=values, redacted=hidden,
-                )
+                    self.report("D01", KINDS["D01"], f"has {r.count} null(s)", "Every row needs a value here.", t, s, s.columns, at, (c.span,), count=r.count, rows=[x[ROW] for x in r.rows])
+            elif s.code == "D04":
+                self.settle(s, r.failed)
+                if r.count:
+                    c, path = s.subject
+                    hidden = t.column(path[0]).restricted
+                    values = None if hidden else [{s.columns[0]: rendered(x["v0"])} for x in r.rows]
+                    self.report(
+                        "D04", KINDS["D04"], f"has {r.count} value(s) outside the allowed set", "Only the listed `values` may occur.",
+                        t, s, s.columns, c.node.get("values").span, (c.span,), count=r.count, rows=[x[ROW] for x in r.rows], values=values, redacted=hidden,
+                    )
 
     def steps_to(self, t: Table, path: tuple[str, ...], c: Column) -> list:
         """How to reach a nested column from its top-level one: names, and None through lists."""
@@ -404,25 +448,25 @@ class Validator:
 
     # ------------------------------------------------------ assertions
 
-    def asserts(self, t: Table) -> None:
+    def prepared(self, t: Table) -> tuple[list[Step], list[assertions.Prepared], list[str]]:
+        """The assertions whose columns can be used, ready to run, and the columns that they read."""
         steps, scope = self.of(t, "D07"), scope_of(t)
         typed = [check(syntax.parse(s.subject.text), scope) for s in steps]
         live = [k for k, x in enumerate(typed) if all(self.usable(t, p) for p in x.columns)]
-        if not live:
-            return
-        base = self.frames[t.name]
-        tops = list(dict.fromkeys(p[0] for k in live for p in typed[k].columns))
-        df = with_rows(base, tops)
-        prepared = []
+        out = []
         for k in live:
-            p = assertions.prepare(typed[k], scope, df.schema, self.now)
+            p = assertions.prepare(typed[k], scope, self.frames[t.name].schema, self.now)
             unreadable = next((path for path in typed[k].columns if self.unreadable(t, path)), None)
             if unreadable and p.barrier is None and not self.only_null_tests(typed[k], unreadable):
                 p.barrier = compiling.Unreadable(unreadable, "its stored type can't be read as its declared type")
-            prepared.append(p)
-        verdicts, folded, judged = assertions.evaluate(df, prepared, self.now)
-        for k, p, v, j in zip(live, prepared, verdicts, judged, strict=True):
-            s, a = steps[k], steps[k].subject
+            out.append(p)
+        return [steps[k] for k in live], out, list(dict.fromkeys(p[0] for k in live for p in typed[k].columns))
+
+    def asserts(self, t: Table, checks: list[Result]) -> None:
+        for r in checks:
+            if r.verdict is None:
+                continue
+            s, a, v = r.step, r.step.subject, r.verdict
             context = (t.column(a.column).span,) if a.column else ()
             put = lambda code, kind, message, expected, **extra: self.report(code, kind, message, expected, t, s, s.columns, a.span, context, assertion=a.text, **extra)  # noqa: E731,B023
             if v.outcome == "holds":
@@ -438,12 +482,9 @@ class Validator:
                 put("D07", KINDS["D07 of the table"], "is false", "The table as a whole has to satisfy this rule.")
             else:
                 self.settle(s, v.count)
-                shown = [path for path in p.typed.columns if not t.column(path[0]).restricted]
-                hidden = len(shown) < len(p.typed.columns)
-                carry = [spark_path(path).alias(f"v{i}") for i, path in enumerate(shown)]
-                rows = columns.first_rows(folded.onto(df), j.violated, carry, self.sample).collect()
-                values = [{".".join(path): rendered(r[f"v{i}"]) for i, path in enumerate(shown)} for r in rows] if shown else None
-                put("D07", KINDS["D07"], f"is false for {v.count} row(s)", "No row may make this rule false.", count=v.count, rows=[r[ROW] for r in rows], values=values, redacted=hidden)
+                hidden = len(r.shown) < len(r.prepared.typed.columns)
+                values = [{".".join(path): rendered(x[f"v{i}"]) for i, path in enumerate(r.shown)} for x in r.rows] if r.shown else None
+                put("D07", KINDS["D07"], f"is false for {v.count} row(s)", "No row may make this rule false.", count=v.count, rows=[x[ROW] for x in r.rows], values=values, redacted=hidden)
 
     def unreadable(self, t: Table, path: tuple[str, ...]) -> bool:
         leaf = self.leaf(t, path[0])
