@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+import zlib
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements that separate blocks, never have content, whose content is no text (raw up to their end tag, or with elements), or in which "/" ends an element.
@@ -25,20 +27,58 @@ FOREIGN = frozenset("svg math".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = BLOCK - {"button", "option", "optgroup", "select", "textarea", "legend", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|title|iframe|noscript|template|svg|object|canvas|audio|video)(?=[\s/>])((?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*)>"
-    r"|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
-    re.S | re.I,
-)
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: Names that mark boilerplate or main text in sectioning elements, classes and ids.
+APART = frozenset("nav aside footer header form ad ads advert advertisement banner sponsored promo cookie consent notice popup modal overlay newsletter subscribe sidebar widget related recommended share social comment comments reply discussion menu breadcrumb breadcrumbs pagination login search navbar topbar masthead toolbar".split())
+MAIN = frozenset(("article", "main"))
+#: Names of a path are hashed to so many bits.
+PATH_BITS = 10
+
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)", re.S)
+_STOP = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
+_HASHES: dict[tuple[str, int], int] = {}
+
+
+def slot(word: str, bits: int) -> int:
+    """A word's hash of ``bits`` bits."""
+    key = (word, bits)
+    found = _HASHES.get(key)
+    if found is None:
+        if len(_HASHES) > 200_000:
+            _HASHES.clear()
+        found = _HASHES[key] = (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)
+    return found
+
+
+class Path:
+    """What is told of a block's open elements: the hashed names of all, the last name, and whether one is set apart or main.
+
+    An element whose names occur above it already shares its parent's set, so
+    paths take memory by their different names, however deep they are.
+    """
+
+    __slots__ = ("slots", "last", "apart", "main")
+
+    def __init__(self, slots: frozenset[int], last: str, apart: bool, main: bool):
+        self.slots, self.last, self.apart, self.main = slots, last, apart, main
+
+    def below(self, tag: str, names: tuple[str, ...]) -> Path:
+        own = {slot(x, PATH_BITS) for x in (tag, *names)}
+        slots = self.slots if own <= self.slots else self.slots | own
+        every = {tag, *names}
+        return Path(slots, names[-1] if names else tag, self.apart or not APART.isdisjoint(every), self.main or not MAIN.isdisjoint(every))
+
+
+ROOT = Path(frozenset(), "", False, False)
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]
+    path: Path
     link_share: float
 
 
@@ -59,12 +99,40 @@ class Token(NamedTuple):
     attributes: str
 
 
+def _tag_end(page: str, at: int, no_tag_inside: bool, unpaired: set[str]) -> tuple[int, int]:
+    """Where a tag's attributes end and where the tag does, from the end of its name.
+
+    A ``>`` in quotes does not end it. A quote that is never closed, or that
+    would take in a ``<`` where ``no_tag_inside``, is an ordinary character; a
+    tag without ``>`` runs to the end of the page. All that is looked at belongs
+    to the tag, but for the search of a missing quote, which ``unpaired`` allows once.
+    """
+    while m := _STOP.search(page, at):
+        c, at = m[0], m.end()
+        if c == ">":
+            return m.start(), at
+        if c in unpaired:
+            continue
+        end = page.find(c, at)
+        if end < 0:
+            unpaired.add(c)
+        elif not (no_tag_inside and page.find("<", at, end) >= 0):
+            at = end + 1
+    return len(page), len(page)
+
+
 def _tokens(page: str) -> list[Token]:
-    """Tags, comments and declarations; a raw-text element is one nameless token."""
+    """Tags, comments and declarations; a raw-text element is one nameless token. One pass, whatever the page."""
     out, at, foreign = [], 0, 0
-    while m := _TOKEN.search(page, at):
+    unpaired: set[str] = set()
+    while m := _START.search(page, at):
         at = m.end()
-        name, closing, attributes = (m[1] or m[4] or "").lower(), bool(m[3]), m[2] if m[1] else m[5] or ""
+        if m[2] is None:
+            out.append(Token(m.start(), at, "", False, ""))
+            continue
+        name, closing = m[2].lower(), bool(m[1])
+        stop, end = _tag_end(page, at, not closing and (name in RAW or name in SILENT), unpaired)
+        attributes, at = page[at:stop], end
         if name in FOREIGN:
             if closing:
                 foreign = max(0, foreign - 1)
@@ -72,8 +140,8 @@ def _tokens(page: str) -> list[Token]:
                 foreign += 1
         elif name in RAW and not closing:
             if not (foreign and attributes.endswith("/")):
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+                found = _RAW_END[name].search(page, at)
+                at = found.end() if found else len(page)
             name = ""
         out.append(Token(m.start(), at, name, closing, attributes))
     return out
@@ -109,25 +177,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
     blocks: list[Block] = []
     if not page:
         return blocks
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     linked, in_link, at = 0, 0, 0
-    path: tuple[str, ...] | None = None
 
     def close() -> None:
-        nonlocal linked, path
+        nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            if path is None:
-                path = tuple(x for tag, names in stack for x in (tag, *names))
-            blocks.append(Block(text, path, min(1.0, linked / len(text))))
+            blocks.append(Block(text, stack[-1][1] if stack else ROOT, min(1.0, linked / len(text))))
         pieces.clear()
         linked = 0
 
-    def pop(k: int) -> None:
-        nonlocal path
-        del stack[k:]
-        path = None
+    def pop() -> str:
+        tag, _ = stack.pop()
+        open_tags[tag] -= 1
+        return tag
 
     tokens = _tokens(page)
     spans, silent_to = _silent_spans(tokens), -1
@@ -150,20 +216,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif name in BLOCK:
             close()
             if t.closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        pop(k)
-                        in_link = 0
-                        break
+                if open_tags[name]:
+                    while pop() != name:
+                        pass
+                    in_link = 0
             else:
                 if name in _ENDS_P and stack and stack[-1][0] == "p":
-                    pop(len(stack) - 1)
+                    pop()
                 ends = ENDS.get(name)
                 while ends and stack and stack[-1][0] in ends:
-                    pop(len(stack) - 1)
+                    pop()
                 if name != "hr" and not t.attributes.endswith("/"):
-                    stack.append((name, _names(t.attributes)))
-                    path = None
+                    stack.append((name, (stack[-1][1] if stack else ROOT).below(name, _names(t.attributes))))
+                    open_tags[name] += 1
     if at < len(page):
         pieces.append(_html.unescape(page[at:]))
     close()

@@ -11,7 +11,7 @@ The labeller is trained here: on pages composed at random with known labels
 (many ways to mark up navigation, headers, footers, sidebars, notices, adverts,
 forms and comments around an article), and on at most ``FIT_PAGES`` of the
 pages at hand whose own sectioning elements give the labels away, of at most
-``FIT_BLOCKS`` blocks together. The fit is one task of an executor; long pages
+``FIT_BLOCKS`` blocks and about ``FIT_CHARS`` characters together. The fit is one task of an executor; long pages
 are learnt from in stretches of ``STRETCH`` blocks, and labelled whole.
 
 Inputs are sparse: the product with the input weights adds up rows of the
@@ -25,61 +25,46 @@ from __future__ import annotations
 
 import math
 import random
-import zlib
 from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .common import fit_in_task, one_blas_thread, sample_rows, text_slices, texts_of
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import PATH_BITS, Block, Path, leaf_blocks, slot
 from .ngrams import SparseRows
 
-PATH_BITS, WORD_BITS, MEASURES = 10, 6, 8
+WORD_BITS, MEASURES = 6, 8
 WIDTH = (1 << PATH_BITS) + (1 << WORD_BITS) + MEASURES
 HIDDEN = 16
 FIT_PAGES = 256
 FIT_BLOCKS = 100_000
+#: No further page joins the fitting sample once it has so many characters.
+FIT_CHARS = 64 << 20
 STRETCH = 512
 #: Input entries that are multiplied at once.
 STEP_ENTRIES = 1 << 16
 COMPOSED_PAGES = 900
 EPOCHS = 8
 
-#: Names that mark boilerplate or main text in sectioning elements, classes and ids.
-APART = frozenset("nav aside footer header form ad ads advert advertisement banner sponsored promo cookie consent notice popup modal overlay newsletter subscribe sidebar widget related recommended share social comment comments reply discussion menu breadcrumb breadcrumbs pagination login search navbar topbar masthead toolbar".split())
-MAIN = frozenset(("article", "main"))
-
-_HASHES: dict[tuple[str, int], int] = {}
-
-
-def _slot(word: str, bits: int) -> int:
-    key = (word, bits)
-    found = _HASHES.get(key)
-    if found is None:
-        if len(_HASHES) > 200_000:
-            _HASHES.clear()
-        found = _HASHES[key] = (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)
-    return found
-
-
 def block_rows(blocks: list[Block]) -> SparseRows:
     """One sparse row per block; entries of one feature add up."""
     words_at = 1 << PATH_BITS
     measures_at = words_at + (1 << WORD_BITS)
-    seen_path: dict[tuple[str, ...], list[int]] = {}
+    seen_path: dict[Path, list[int]] = {}
     features, values, sizes = array("i"), array("f"), array("q")
     for k, b in enumerate(blocks):
         held = seen_path.get(b.path)
         if held is None:
-            held = seen_path[b.path] = sorted({_slot(name, PATH_BITS) for name in b.path} | ({_slot("in " + b.path[-1], PATH_BITS)} if b.path else set()))
+            held = seen_path[b.path] = sorted(b.path.slots | ({slot("in " + b.path.last, PATH_BITS)} if b.path.slots else set()))
         words, n = b.text.lower().split(), len(b.text)
         weight = 1 / math.sqrt(len(words))
         features.extend(held)
         values.extend([1.0] * len(held))
-        features.extend([words_at + _slot(w, WORD_BITS) for w in words])
+        features.extend([words_at + slot(w, WORD_BITS) for w in words])
         values.extend([weight] * len(words))
         features.extend(range(measures_at, measures_at + MEASURES))
         values.extend((
@@ -380,7 +365,7 @@ def composed_pages(n: int, seed: int = 1) -> list[tuple[list[Block], np.ndarray]
 
 def labels_by_markup(blocks: list[Block]) -> np.ndarray | None:
     """Labels where a page's own sectioning elements tell: inside an article or main element and inside nothing that is set apart."""
-    y = np.array([bool(MAIN & set(b.path)) and not APART & set(b.path) for b in blocks], dtype=bool)
+    y = np.array([b.path.main and not b.path.apart for b in blocks], dtype=bool)
     return y if y.any() else None
 
 
@@ -405,7 +390,9 @@ def fit(pages: DataFrame | None = None, composed: int = COMPOSED_PAGES, fit_page
         rows = sorted(zip(*(table.column(n).to_pylist() for n in ("page_id", "html")), strict=True), key=lambda r: (str(r[0]), r[1] or ""))
         return train(composed_pages(composed) + markup_examples([r[1] for r in rows]))
 
-    return fit_in_task(sample_rows(pages.select("page_id", "html"), "page_id", fit_pages), learn)  # a bounded sample for fitting only
+    sample = sample_rows(pages.select("page_id", "html"), "page_id", fit_pages)  # a bounded sample for fitting only
+    before = Window.orderBy(F.xxhash64("page_id"), "page_id").rowsBetween(Window.unboundedPreceding, -1)  # over the sample's few rows
+    return fit_in_task(sample.withColumn("before", F.sum(F.length("html")).over(before)).where(f"before is null or before < {FIT_CHARS}").drop("before"), learn)
 
 
 def main_text(model: Labeller, pages: list[str | None]) -> list[str]:
