@@ -33,8 +33,10 @@ time whatever their number. A batch sends at most ``MAX_GROUPS`` rows, however
 many shards there are; a task splits what it got into its shards, which Spark
 sorts (and spills) there.
 
-Two entries count as equal if the 16 bytes of the gram and 40 bits of a hash of
-the span agree (in the second family: 88 bits of two independent hashes).
+Two entries count as equal if the 16 bytes of the gram and 88 bits of two
+independent hashes of the span agree (in the second family: 88 bits of two
+hashes of the window), so that among 10¹² spans around one gram a false match
+has a probability of about 0.002.
 
 Defined cases: a null text is the empty text; texts shorter than a window lose
 nothing; a null id is neither smaller nor larger than any other, so its text
@@ -45,10 +47,8 @@ names, by :func:`remove_repeats`.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
-import time
 from functools import reduce
 
 import numpy as np
@@ -64,6 +64,10 @@ WINDOW = 50
 GRAM = 16
 #: Words of a gram.
 GRAM_KEYS = GRAM // 8
+#: Bytes of a gram that differ from the second one before, of ``GRAM - 2``, if it is no rule or padding.
+VARIED = 6
+#: Keys of an entry: the gram, and two hashes of the span.
+SUFFIX_KEYS = GRAM_KEYS + 2
 #: Windows that are handled in one pass over a long text: its arrays stay in the processor's cache.
 PASS_WINDOWS = 1 << 16
 #: Text per batch.
@@ -109,28 +113,36 @@ class Spans:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(_B2))
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all ``GRAM``-byte grams; their upper bits decide, so one round of mixing does."""
-    spans = Spans(data, _B2)
+def _gram_hashes(data: np.ndarray, spans: Spans) -> np.ndarray:
+    """Hashes of all ``GRAM``-byte grams; their upper bits decide, so one round of mixing does.
+
+    Grams of which most bytes equal the second one before (rules, padding) have
+    the largest ones, so that only windows of nothing else are anchored at them.
+    """
     h = spans.sums[GRAM:] - spans.sums[:-GRAM]
     h *= spans.inverse[: len(h)]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
+    differs = np.zeros(len(data) + 1, np.int32)  # up to each byte: how many differ from the second one before
+    np.cumsum(data[2:] != data[:-2], out=differs[3:])
+    h >>= np.uint64(1)
+    h[differs[GRAM:] - differs[2 : len(h) + 2] < VARIED] |= np.uint64(1 << 63)
     return h
 
 
 def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows of one pass: place of the anchor, span hash, first window, number of windows, and the side hashes.
+    """Runs of windows of one pass: place of the anchor, two hashes of the span, first window, number of windows, and the side hashes.
 
     ``owner_end[i]`` is the end of the document that byte ``i`` belongs to.
     """
     none = np.empty(0, np.int64)
-    nothing = (none, none.astype(np.uint64), none, none, [none.astype(np.uint8)] * len(SIDES))
+    nothing = (none, none.astype(np.uint64), none.astype(np.uint64), none, none, [none.astype(np.uint8)] * len(SIDES))
     windows = len(data) - WINDOW + 1
     if windows <= 0:
         return nothing
     valid = np.arange(windows) + WINDOW <= owner_end[:windows]
-    h = _gram_hashes(data)
+    others = Spans(data, _B2)
+    h = _gram_hashes(data, others)
     low = np.uint64((1 << 23) - 1)
     key = h & ~low
     key |= np.arange(len(h), dtype=np.uint64)
@@ -151,8 +163,8 @@ def runs_of(data: np.ndarray, owner_end: np.ndarray) -> tuple[np.ndarray, ...]:
     del h, key
     spans = Spans(data, _B1)
     end = first + count + WINDOW - 1
-    span = mix64(spans.of(first, end) + (anchor - first).astype(np.uint64))
-    return anchor, span, first, count, side_hashes(spans, anchor, first, end)
+    place = (anchor - first).astype(np.uint64)
+    return anchor, mix64(spans.of(first, end) + place), mix64(others.of(first, end) + place), first, count, side_hashes(spans, anchor, first, end)
 
 
 def first_bytes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -193,19 +205,19 @@ class Batch:
 
     def index(self, shards: int) -> None:
         """The sparse suffix array, by shard: runs in the order of (shard, bytes, span, id); runs with equal bytes and span form one entry."""
-        kinds = (*[np.uint64] * (GRAM_KEYS + 1), np.int64, np.int32, np.int32, *[np.uint8] * len(SIDES))
+        kinds = (*[np.uint64] * SUFFIX_KEYS, np.int64, np.int32, np.int32, *[np.uint8] * len(SIDES))
         found: list[list] = [[] for _ in kinds]
         for a, data, doc, ends in self.passes():
-            anchor, span, first, count, sides = runs_of(data, ends)
+            anchor, span, check, first, count, sides = runs_of(data, ends)
             owner = doc[first]
             keep = self.known[owner]
-            for to, x, kind in zip(found, (*first_bytes(data, anchor), span >> np.uint64(24), first + a, count, owner, *sides), kinds, strict=True):
+            for to, x, kind in zip(found, (*first_bytes(data, anchor), span, check >> np.uint64(40), first + a, count, owner, *sides), kinds, strict=True):
                 to.append(x[keep].astype(kind, copy=False))
         columns = []
         for kind in kinds:
             held = found.pop(0)
             columns.append(np.concatenate(held) if held else np.empty(0, kind))
-        keys, (first, count, owner, *sides) = columns[: GRAM_KEYS + 1], columns[GRAM_KEYS + 1 :]
+        keys, (first, count, owner, *sides) = columns[:SUFFIX_KEYS], columns[SUFFIX_KEYS:]
         order = sorted_order([*keys, self.ids[owner]])
         if shards > 1:
             shard = shard_of(keys, shards)
@@ -287,7 +299,7 @@ class Form:
         return keys, _unplanes(take(8), n, 8).view(np.int64), sides
 
 
-SUFFIXES = Form((8,) * GRAM_KEYS + (5,), len(SIDES))
+SUFFIXES = Form((8,) * GRAM_KEYS + (8, 3), len(SIDES))
 WINDOWS = Form((6, 5), 0)
 
 
@@ -548,18 +560,6 @@ RESULT_FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_s
 TEXT_FIELDS = ", kept string, crc long"
 
 
-def _tidy(spark) -> None:
-    """What was shuffled for a table that is written by now goes from the executors' disks once the driver has forgotten it.
-
-    Frames are forgotten by Python first, then by the driver's JVM, whose
-    cleaner sees the shuffle's last reference go in a second collection.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
     """The result fields of every row; with the text that is kept and a checksum of the old one if ``with_text``."""
     fields = RESULT_FIELDS + TEXT_FIELDS * with_text
@@ -607,9 +607,7 @@ def _solve(docs: DataFrame, with_text: bool) -> DataFrame:
         return answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "codes")).alias(name))
 
     first = by_batch(answered(table.mapInArrow(entries, ENTRY_SCHEMA), SUFFIXES, "suffix-answers"), "answers")
-    _tidy(docs.sparkSession)
     second = by_batch(answered(table.join(first, "batch").mapInArrow(windows, ENTRY_SCHEMA), WINDOWS, "suffix-windows"), "window_answers")
-    _tidy(docs.sparkSession)
     return table.join(first.join(second, "batch", "left"), "batch", "left").mapInArrow(result, fields)
 
 
