@@ -58,6 +58,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Hadoop gives it: one without a scheme lies in the cluster's default file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(where).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", uri)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     path = scratch_path(df.sparkSession, tag)

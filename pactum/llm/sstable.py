@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of, materialize_counted, scratch_path, text_slices, texts_of
+from .common import crc_of, materialize_counted, qualified, scratch_path, text_slices, texts_of
 from .tokens import default_vocabulary, encoder_for
 
 END_ID = 2
@@ -293,8 +293,7 @@ def footers(files: DataFrame) -> DataFrame:
 def token_tables(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the documents' ids as shards in the shared folder and return what reading the files back gives."""
     spark = docs.sparkSession
-    uri = scratch_path(spark, "sstable")
-    uri = uri if "://" in uri else "file://" + uri
+    uri = qualified(spark, scratch_path(spark, "sstable"))
     written, shards, _ = materialize_counted(write_shards(docs, uri, vocabulary, end_id), "sstable-shards")
     if not shards:
         return spark.createDataFrame([], T.StructType(READ_SCHEMA.fields[1:]))
