@@ -23,8 +23,9 @@ probability of 8e-7; the sketch loses one with a probability of about 1e-9.
 Defined cases: a text without words (or null) has an empty set and is linked
 with nothing; a text with fewer words than a shingle has one shingle, its whole
 word sequence; rows that share a document id count as one document in links,
-and each gets a row; a null id takes part with its text but is no component's
-name unless all members have null ids.
+and each gets a row. A row with a null id cannot be named by a link: it is in the
+component of the rows whose set equals its own, and linked with no other set; a
+class of null ids only is a component of its own, with a null name.
 """
 
 from __future__ import annotations

@@ -32,6 +32,8 @@ BITS = 12
 FIT_ROWS = 4000
 DIMENSIONS = 48
 NEIGHBOURS = 15
+#: Cosines that differ by no more are equal: what rounding leaves between equal vectors.
+TIE = 1e-6
 PRIOR = 0.2
 ACCEPT = 0.3
 
@@ -67,12 +69,19 @@ class QualityModel:
 
 
 def vote(x: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS, prior: float = PRIOR) -> np.ndarray:
-    """Similarity-weighted mean label of the ``k`` nearest labelled vectors."""
+    """Similarity-weighted mean label of the ``k`` nearest labelled vectors.
+
+    Vectors as near as the ``k``-th (within ``TIE``) share the places that nearer
+    ones leave, in equal parts, so the order of the labelled rows decides nothing.
+    """
     k = min(k, len(vectors))
     cos = x @ vectors.T
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** 2
-    return (prior * labels.mean() + (weight * labels[near]).sum(axis=1)) / (prior + weight.sum(axis=1))
+    last = np.partition(cos, len(vectors) - k, axis=1)[:, len(vectors) - k, None]
+    near = (cos > last + TIE).astype(np.float32)
+    tied = np.abs(cos - last) <= TIE
+    near += tied * ((k - near.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True))
+    near *= np.maximum(cos, 0) ** 2
+    return (prior * labels.mean() + near @ labels) / (prior + near.sum(axis=1))
 
 
 def latent_basis(x: np.ndarray, dimensions: int) -> np.ndarray:
