@@ -395,3 +395,93 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
     assert DOCS and common.shared_dir(spark)
+
+
+def test_runs_of_one_sign_and_padding_do_not_fill_a_shard():
+    """Rules and padding in every line anchor nothing while there is other text in the window."""
+    rng = random.Random(3)
+    for filler in ("_" * 16, "_" * 20, "_" * 30, " " * 24, "- " * 14):
+        text = "\n".join(prose(rng, 1)[:60] + str(rng.randrange(10**6)) + filler for _ in range(5000)).encode()
+        batch = suffix_dedup.Batch(np.arange(1), np.ones(1, bool), np.array([len(text)]), np.frombuffer(text, dtype=np.uint8))
+        batch.index(100)
+        sizes = np.bincount(suffix_dedup.shard_of(batch.keys, 100), minlength=100)
+        assert sizes.max() < 3 * sizes.mean(), filler
+
+
+def test_spans_are_told_apart_by_88_bits():
+    assert sum(suffix_dedup.SUFFIXES.widths[suffix_dedup.GRAM_KEYS :]) == 11 and sum(suffix_dedup.WINDOWS.widths) == 11
+
+
+def test_order_of_equal_labelled_vectors_does_not_matter():
+    from pactum.llm import quality_knn
+
+    rng = np.random.default_rng(4)
+    base, x = quality_knn.unit(rng.standard_normal((64, 16)).astype(np.float32)), quality_knn.unit(rng.standard_normal((256, 16)).astype(np.float32))
+    vectors, labels = np.repeat(base, 20, axis=0), np.tile(np.array([0, 1, 1, 0], np.float32), 320)
+    labels[rng.random(1280) < 0.3] = 1
+    scores = quality_knn.vote(x, vectors, labels)
+    for _ in range(3):
+        order = rng.permutation(1280)
+        assert np.abs(quality_knn.vote(x, vectors[order], labels[order]) - scores).max() < 1e-5
+
+
+MEGABYTE = 1_000_000
+ODD_PAGES = [
+    "<script " * 125_000 + '"', "a<b " * 250_000 + "'", "<a " * 333_000 + '"', '<a x=">" ' * 100_000 + "'", '<svg a=">" ' * 90_000 + 'b="<"', "<script>" + "</script " * 110_000,
+    "<div>x" * 160_000, "<div>" * 100_000 + "</p>x" * 100_000, "<p \"'" * 200_000, "<a href='\"" * 100_000, "<" * MEGABYTE, "<!--" * 250_000, "<head>" * 160_000, "<li>x" * 160_000,
+]
+
+
+@pytest.mark.parametrize("page", ODD_PAGES, ids=[p[:12] for p in ODD_PAGES])
+def test_odd_pages_take_time_in_proportion(page):
+    import time
+
+    from pactum.llm.html_blocks import leaf_blocks
+
+    start = time.process_time()
+    leaf_blocks(page)
+    assert time.process_time() - start < 8
+
+
+def test_paths_of_deep_pages_share_their_names():
+    from pactum.llm.html_blocks import leaf_blocks
+
+    blocks = leaf_blocks("".join(f'<div class="{c}">x' for c in "abcdefgh" * 5000))
+    assert len(blocks) == 40_000 and len({id(b.path.slots) for b in blocks}) <= 9
+    assert blocks[-1].path.last == "h" and blocks[0].path.last == "a" and len(blocks[-1].path.slots) == 9
+
+
+def test_tags_in_quotes_and_missing_ends():
+    from pactum.llm.html_blocks import leaf_blocks
+
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    assert texts('<p title="a > b">one</p><p>two') == ["one", "two"]
+    assert texts("<p title='it>one</p><p>two</p>") == ["one", "two"]  # a quote without its pair is a character
+    assert texts("<p>one</p><p class=") == ["one"] and texts("<script>x</script ") == [] and texts("<div>a</section>b</div>c") == ["a", "b", "c"]
+    assert texts('<svg a="<"><p>in</p></svg><p>out</p>') == ["out"]
+    assert leaf_blocks(None) == [] and leaf_blocks("") == []
+
+
+def test_results_of_the_pipeline_live_side_by_side(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    packed = pipeline.pack(spark, docs, "/root/testdata/sf0.001")
+    thinned = pipeline.keep_one_of_near_duplicates(spark, docs, "/root/testdata/sf0.001")
+    again = pipeline.pack(spark, docs, "/root/testdata/sf0.001")
+    assert packed.count() == again.count() and 0 < thinned.count() <= docs.count()
+
+
+def test_shard_paths_get_the_file_system_of_the_cluster(spark):
+    from pactum.llm.common import qualified
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert qualified(spark, "/shared/ckpt") == "file:///shared/ckpt" and qualified(spark, "file:///x/y") == "file:///x/y"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./shared", "file:///tmp")
+    try:
+        assert qualified(spark, "/shared/ckpt") == "viewfs://store/shared/ckpt"
+    finally:
+        conf.set("fs.defaultFS", before)
+        conf.unset("fs.viewfs.mounttable.store.link./shared")
