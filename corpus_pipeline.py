@@ -2,14 +2,15 @@
 
 Each stage is a function of ``(spark, docs, sf_dir)``; what it returns is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``. When a stage begins, what the one
-before it has left in the shared folder is deleted: its result has been written.
+last return the columns of ``documents``. :func:`run` deletes what a stage left
+in the shared folder when its result has been written; the last stage's tables,
+and those of stages that are called one by one, stay until the session ends, since
+results that are not written yet read them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +23,6 @@ from pactum.llm.suffix_dedup import remove_repeats
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_LEFT: list = []
-
-
-def _after(stage: Stage) -> Stage:
-    """A stage that deletes the scratch tables of the one before."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(_LEFT)
-        with scratch_made() as made:
-            out = stage(spark, docs, sf_dir)
-        _LEFT[:] = made
-        return out
-
-    return run_stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,31 +31,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return drop_low_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
-@_after
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest document stays."""
     return drop_near_duplicates(docs)
 
 
-@_after
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that an earlier document has are cut from the texts."""
     return remove_repeats(docs)
 
 
-@_after
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or cut to their exact word budgets."""
     return mix_documents(docs)
 
 
-@_after
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens get a place in a sequence."""
     return pack_documents(docs)
 
 
-STAGES = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", keep_quality),
     ("near-duplicate removal", keep_one_of_near_duplicates),
     ("repeated-string removal", cut_repeats),
@@ -82,11 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        kept = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return kept
+    docs, last = read_table(spark, sf_dir, "documents"), STAGES[-1][1]
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_made() as left:
+            kept = stage(spark, docs, sf_dir)
         kept = materialize(kept, f"pipeline-{k}")
+        drop_scratch(left)
         free(docs)
         docs = kept
+    return last(spark, docs, sf_dir)
