@@ -21,7 +21,8 @@ from ..functions.checking import check
 from ..operators import assertions, columns, keys
 from ..sources import dictionary as source
 from ..sources.dictionary import Assertion, Column, Dictionary, Problem, Table
-from ..sources.parquet import ROW, FooterStats, Leaf, NotReadable, column_tree, footer_table, read_table, with_rows
+from ..sources.footers import Footers, Leaf, read_footers
+from ..sources.parquet import ROW, NotReadable, column_tree, narrowed, read_table, unified, with_rows
 from .spec_checks import check_spec, reference_of, scope_of
 
 SAMPLE = 5
@@ -172,7 +173,7 @@ class Validator:
         self.frames: dict[str, DataFrame] = {}
         self.counts: dict[str, int] = {}
         self.trees: dict[str, list[Leaf]] = {}
-        self.footers: dict[str, dict[str, FooterStats]] = {}
+        self.footers: dict[str, Footers | None] = {}
         self.bad: set[tuple[str, str]] = set()  # (table, top-level column) whose data checks can't run
 
     def run(self) -> Run:
@@ -258,18 +259,57 @@ class Validator:
             return
         path = self.d.source_path(t)
         try:
-            df = read_table(self.spark, path)
-            self.trees[t.name] = column_tree(self.spark, path)
-            self.counts[t.name] = df.count()
+            df, footers = self.open(t, path)
         except NotReadable as e:
             step.outcome = "fail"
             self.report("M05", KINDS["M05"], str(e), "The file named by `source` has to open as Parquet.", t, step, location=t.source_span)
             return
-        self.frames[t.name] = df
-        self.footers[t.name] = footer_table(self.spark, path) if self.level == "data" and (self.of(t, "D01") or self.of(t, "D02")) else {}
+        self.counts[t.name] = df.count() if footers is None else footers.rows
+        self.frames[t.name], self.footers[t.name] = df, footers
         self.settle(step)
         steps = {s.columns[0]: s for s in self.of(t, "M01")}
         self.compare(t, t.columns, self.trees[t.name], (), steps)
+        for shape in footers.shapes[1:] if footers else ():  # what the first file does not tell
+            self.deviations(t, t.columns, self.trees[t.name], shape.tree, (), steps, shape.file)
+
+    def open(self, t: Table, path: str) -> tuple[DataFrame, Footers | None]:
+        """A table's frame, and the footers of all its files where they can be read; its columns go to ``trees``."""
+        df = read_table(self.spark, path)
+        footers = read_footers(self.spark, path)
+        if footers is not None and footers.unread:
+            raise NotReadable(footers.unread)
+        if footers is not None and len(footers.shapes) > 1:
+            df, conflicts = unified(self.spark, path, footers, {c.name for c in t.columns})
+            if conflicts:
+                name, file, stored, first = conflicts[0]
+                raise NotReadable(f"`{name}` is stored as {stored} in {file}, but as {first} before")
+        self.trees[t.name] = column_tree(self.spark, path, footers)
+        return df, footers
+
+    def deviations(self, t: Table, declared: list[Column], known: list[Leaf], found: list[Leaf], above: tuple[str, ...], steps: dict[str, Step], file: str) -> None:
+        """M01 and M02 of a further schema of the table, for columns of which nothing has been reported yet."""
+        for c in declared:
+            path = (*above, c.name)
+            name, leaf, first = ".".join(path), next((x for x in found if x.name == c.name), None), next((x for x in known if x.name == c.name), None)
+            if first is None or not self.usable(t, path):
+                continue
+            step = steps[name]
+            wrong = leaf is not None and c.type is not None and not compatible(c.type, leaf)
+            if leaf is None or wrong:
+                step.outcome, step.failed = "fail", 0
+                self.bad.add((t.name, name))
+            if leaf is None:
+                self.report("M02", KINDS["M02"], f"is not in the data of {file}", "What the dictionary lists has to be stored in every file.", t, step, [name], c.span)
+            elif wrong:
+                kind = c.node.get("type")
+                self.report("M01", KINDS["M01"], f"is declared {c.type}, but the data is {leaf.label()} in {file}", "Declared and stored types have to agree in every file.", t, step, [name], kind.span, (c.span,), declared=c.type, actual=leaf.label())
+            elif c.fields:
+                self.deviations(t, c.fields, inside(first), inside(leaf), path, steps, file)
+
+    def stats(self, t: Table, name: str):
+        """What the footers tell of a column; None if they don't."""
+        footers = self.footers[t.name]
+        return footers.columns.get(name) if footers is not None else None
 
     def compare(self, t: Table, declared: list[Column], found: list[Leaf], above: tuple[str, ...], steps: dict[str, Step]) -> None:
         for c in declared:
@@ -289,10 +329,7 @@ class Validator:
                 continue
             self.settle(step)
             if c.fields:
-                inner = leaf
-                while inner.type == "list" and inner.children:
-                    inner = inner.children[0]
-                self.compare(t, c.fields, inner.children, path, steps)
+                self.compare(t, c.fields, inside(leaf), path, steps)
         names = {c.name for c in declared}
         for leaf in found:
             if leaf.name not in names:
@@ -311,10 +348,8 @@ class Validator:
         live, prepared, tops = self.prepared(t)
         by_row = any(p.by_row and p.barrier is None for p in prepared)
         metrics = [m.alias(f"m{k}_{i}") for k, c in enumerate(checks) for i, m in enumerate(c.metrics)]
-        df = base
-        if prepared:
-            shown = dict.fromkeys([*tops, *(x for c in checks for x in c.tops)])
-            df = with_rows(base, list(shown)) if by_row else base
+        shown = list(dict.fromkeys([*tops, *(x for c in checks for x in c.tops)]))
+        df = with_rows(base, shown) if by_row else narrowed(base, shown)
         verdicts, folded, judged, found = assertions.evaluate(df, prepared, self.now, metrics)
         for k, c in enumerate(checks):
             c.count, c.failed = found[f"m{k}_0"] or 0, found[f"m{k}_{len(c.metrics) - 1}"] or 0
@@ -335,7 +370,7 @@ class Validator:
         out = []
         for s in self.of(t, "D01"):
             if self.usable(t, (s.subject.name,)):
-                known = self.footers[t.name].get(s.subject.name)
+                known = self.stats(t, s.subject.name)
                 if known is not None and known.nulls == 0:  # nulls are located by a scan; their absence needs none
                     self.settle(s)
                     continue
@@ -398,12 +433,12 @@ class Validator:
             if barrier is not None:
                 self.report("D03", KINDS["D03"], f"uniqueness was not checked: {barrier.reason}", "Duplicates can only be looked for among values that compare.", t, s, s.columns, at, (cols[0].span,), "warning", reason=barrier.reason)
                 continue
-            known = self.footers[t.name].get(cols[0].name) if len(cols) == 1 else None
+            known = self.stats(t, cols[0].name) if len(cols) == 1 else None
             if known is not None and known.nulls == 0 and known.distinct == known.rows:
                 self.settle(s)
                 continue
             keyed = [spark_path((c.name,)) for c in cols]
-            count = keys.duplicate_count(self.frames[t.name], keyed).first()["duplicates"]
+            count = keys.duplicate_count(narrowed(self.frames[t.name], [c.name for c in cols]), keyed).first()["duplicates"]
             self.settle(s, count)
             if count:
                 df = with_rows(self.frames[t.name], [c.name for c in cols])
@@ -425,7 +460,7 @@ class Validator:
                     continue
                 try:
                     path = self.d.source_path(target)
-                    self.frames[target.name], self.trees[target.name] = read_table(self.spark, path), column_tree(self.spark, path)
+                    self.frames[target.name], _ = self.open(target, path)
                 except NotReadable:
                     continue
             if not self.usable(target, (key.name,)) or self.leaf(target, key.name) is None:
@@ -436,12 +471,12 @@ class Validator:
             if barrier is not None:
                 self.report("D06", KINDS["D06"], f"the reference was not checked: {barrier.reason}", "References can only be followed between values that compare.", t, s, s.columns, at, (c.span,), "warning", column=c.name, references=refers, reason=barrier.reason)
                 continue
-            child, parent = self.frames[t.name], self.frames[target.name]
+            child, parent = narrowed(self.frames[t.name], [c.name]), narrowed(self.frames[target.name], [key.name])
             pair = (spark_path((c.name,)), child.schema[c.name].dataType, parent, spark_path((key.name,)), parent.schema[key.name].dataType)
             count = keys.orphan_count(child, *pair).first()["orphans"]
             self.settle(s, count)
             if count:
-                lost = keys.orphans(with_rows(child, [c.name]), *pair, [spark_path((c.name,)).alias("v")])
+                lost = keys.orphans(with_rows(self.frames[t.name], [c.name]), *pair, [spark_path((c.name,)).alias("v")])
                 rows = lost.orderBy(ROW).limit(self.sample).collect()
                 values = None if c.restricted else [{c.name: rendered(r["v"])} for r in rows]
                 self.report("D05", KINDS["D05"], f"has {count} value(s) that `{target.name}.{key.name}` lacks", "Each value needs its row in the table referred to.", t, s, s.columns, at, (c.span,), column=c.name, references=refers, count=count, rows=[r[ROW] for r in rows], values=values, redacted=c.restricted)
@@ -505,6 +540,13 @@ class Validator:
         return not bare(typed.tree)
 
 
+def inside(leaf: Leaf) -> list[Leaf]:
+    """The fields of a struct, or of the structs of a list."""
+    while leaf.type == "list" and leaf.children:
+        leaf = leaf.children[0]
+    return leaf.children
+
+
 def compatible(declared: str, leaf: Leaf) -> bool:
     if declared.startswith("list("):
         return leaf.type == "list" and bool(leaf.children) and compatible(declared[5:-1], leaf.children[0])

@@ -5,22 +5,20 @@ splits files. Row numbers are 1-based and run over the table's files in path
 order: within a file they come from ``_metadata.row_index``, and the rows of
 earlier files are added from one count per file (a scan without columns).
 
-Footers are read where Spark's schema says too little: annotations that it
-erases (ENUM, JSON, BSON, UUID) and unsigned 64-bit integers. Tables with half
-floats, times of day or nanosecond timestamps, which Spark's reader refuses, are
-read by Arrow in tasks.
+Footers (:mod:`.footers`) are read where Spark's schema says too little:
+annotations that it erases (ENUM, JSON, BSON, UUID), unsigned 64-bit integers,
+and files whose schemas differ. Tables with half floats, times of day or
+nanosecond timestamps, which Spark's reader refuses, are read by Arrow in tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .footers import DRIVER_FILES, TASK_FILES, Footers, FooterStats, Leaf, file_names, open_file, read_footers
+
 ROW = "__row__"
-#: Footers of up to so many files are read for statistics.
-FOOTER_FILES = 64
 #: Of tables read by Arrow: each row's file, and its number there.
 FILE, IN_FILE = "__path__", "__in_file__"
 #: Up to so many files (a checked number of rows of about 200 bytes) their first row numbers are broadcast.
@@ -31,26 +29,6 @@ class NotReadable(ValueError):
     """The source can't be read."""
 
 
-@dataclass
-class Leaf:
-    """A column or field as it is stored."""
-
-    name: str
-    type: str  # a dictionary type, or what it is if it has none
-    comparable: bool = True
-    reason: str | None = None
-    readable: bool = True
-    children: list[Leaf] = field(default_factory=list)
-
-    def child(self, name: str) -> Leaf | None:
-        return next((c for c in self.children if c.name == name), None)
-
-    def label(self) -> str:
-        if self.type == "list":
-            return f"list({self.children[0].label()})" if self.children else "list"
-        return self.type
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The table at ``path``; columns whose stored types Spark's reader refuses come through Arrow (:func:`arrow_table`)."""
     try:
@@ -63,7 +41,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _readable_type(kind):
-    """What a column is read as where Spark's reader refuses its stored type; else None."""
+    """What a column is read as where Spark's reader refuses its stored type, nested or not; else the type itself."""
     import pyarrow as pa
 
     if pa.types.is_float16(kind):
@@ -72,62 +50,105 @@ def _readable_type(kind):
         return pa.int64()  # microseconds or nanoseconds of the day, as stored
     if pa.types.is_timestamp(kind) and kind.unit == "ns":
         return pa.timestamp("us", kind.tz)
-    return None
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _readable_type(f.type)) for f in kind])
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return pa.list_(_readable_type(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(_readable_type(kind.key_type), _readable_type(kind.item_type))
+    return kind
 
 
 def _as_readable(column, kind):
+    """An Arrow array as ``kind``, the readable type of its own."""
     import pyarrow as pa
 
-    if kind is None:
+    if column.type == kind:
         return column
+    if pa.types.is_struct(kind):
+        inner = [_as_readable(column.field(k), f.type) for k, f in enumerate(kind)]
+        return pa.StructArray.from_arrays(inner, fields=list(kind), mask=column.is_null())
+    if pa.types.is_list(kind):
+        at = column.offsets.cast(pa.int32())
+        offsets = pa.array([None if gone else n for n, gone in zip(at.to_pylist(), [*column.is_null().to_pylist(), False], strict=True)], pa.int32()) if column.null_count else at
+        return pa.ListArray.from_arrays(offsets, _as_readable(column.values, kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.array(column.to_pylist(), kind)
     if pa.types.is_time32(column.type):
         return column.cast(pa.int32()).cast(kind)
     return column.cast(kind, safe=False) if pa.types.is_timestamp(kind) else column.cast(kind)
 
 
-def arrow_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table with half floats, times of day or nanosecond timestamps, read row group by row group with Arrow.
+#: Tasks of a scan by Arrow, at most.
+ARROW_TASKS = 4096
+
+
+def arrow_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame | None:
+    """A table with half floats, times of day or nanosecond timestamps, read by Arrow: a task per row group.
 
     Half floats become floats, times of day whole numbers, and nanoseconds are
-    cut to microseconds. Each row has its file and its number in it, so row
-    numbers work as for Spark's own scans. None where the files can't be opened
-    from here, or where such a type is nested.
+    cut to microseconds, at any depth. Only ``columns`` are decoded
+    (:func:`narrowed` chooses them later). Each row has its file and its number
+    in it, so row numbers work as for Spark's own scans. None where the files
+    can't be opened from here.
     """
     import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import from_arrow_type
 
-    names = sorted(spark.read.schema("nothing int").parquet(path).inputFiles())
+    names = file_names(spark, path)
     try:
-        system, first = fs.FileSystem.from_uri(names[0])
-        with system.open_input_file(first) as f:
-            schema = pq.ParquetFile(f).schema_arrow
-        fields = [T.StructField(x.name, from_arrow_type(_readable_type(x.type) or x.type, prefer_timestamp_ntz=True)) for x in schema]
-    except Exception:  # noqa: BLE001 - a store that only Spark reads, or a nested type without a counterpart
+        schema = open_file(names[0]).schema_arrow
+        chosen = [f for f in schema if columns is None or f.name in columns]
+        fields = [T.StructField(f.name, from_arrow_type(_readable_type(f.type), prefer_timestamp_ntz=True)) for f in chosen]
+    except Exception:  # noqa: BLE001 - a store that only Spark reads
         return None
     held = T.StructType([*fields, T.StructField(FILE, T.StringType()), T.StructField(IN_FILE, T.LongType())])
+    wanted = [f.name for f in chosen]
 
-    def read(batches):
+    def split(batches):
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                system, at = fs.FileSystem.from_uri(name)
-                with system.open_input_file(at) as f:
-                    start = 0
-                    for rows in pq.ParquetFile(f).iter_batches(8192):
-                        columns = [_as_readable(c, _readable_type(c.type)) for c in rows.columns]
-                        numbers = pa.array(range(start + 1, start + rows.num_rows + 1), pa.int64())
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * rows.num_rows), numbers], names=held.names)
-                        start += rows.num_rows
+                meta, before, rows = open_file(name).metadata, 0, []
+                for g in range(meta.num_row_groups):
+                    rows.append((name, g, before))
+                    before += meta.row_group(g).num_rows
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["name", "part", "before"])
 
-    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names))
-    return files.mapInArrow(read, held)
+    def read(batches):
+        for batch in batches:
+            for name, g, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for rows in open_file(name).iter_batches(8192, row_groups=[g], columns=wanted):
+                    cells = [_as_readable(rows.column(rows.schema.get_field_index(n)), _readable_type(rows.schema.field(n).type)) for n in wanted]
+                    numbers = pa.array(range(before + 1, before + rows.num_rows + 1), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*cells, pa.array([name] * rows.num_rows), numbers], names=held.names)
+                    before += rows.num_rows
+
+    if len(names) <= DRIVER_FILES:
+        found = [(n, g, sum(m.row_group(i).num_rows for i in range(g))) for n in names for m in [open_file(n).metadata] for g in range(m.num_row_groups)]
+        tasks = max(1, min(ARROW_TASKS, len(found)))
+        placed = spark.createDataFrame([(*f, k % tasks) for k, f in enumerate(found)], "name string, part long, before long, place int")
+    else:  # the row groups are listed in tasks too
+        files = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(ARROW_TASKS, -(-len(names) // TASK_FILES)))
+        tasks = ARROW_TASKS
+        placed = files.mapInArrow(split, "name string, part long, before long").withColumn("place", F.pmod(F.xxhash64("name", "part"), F.lit(tasks)).cast("int"))
+    out = placed.repartitionById(tasks, "place").drop("place").mapInArrow(read, held)
+    out._arrow_path = path
+    return out
+
+
+def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A table that Arrow reads, with the decoding of ``columns`` only; Spark's own scans are pruned by Spark."""
+    path = getattr(df, "_arrow_path", None)
+    return df if path is None else arrow_table(df.sparkSession, path, columns)
 
 
 def with_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of a Parquet frame and their row number in ``ROW``."""
     read_by_arrow = FILE in df.columns
+    if read_by_arrow and columns is not None:
+        df = narrowed(df, columns)
     chosen = [F.col("`" + c.replace("`", "``") + "`") for c in ([c for c in df.columns if c not in (FILE, IN_FILE)] if columns is None else columns)]
     local = F.col(IN_FILE) if read_by_arrow else F.col("_metadata.row_index").cast("bigint") + 1
     path = F.col(FILE) if read_by_arrow else F.col("_metadata.file_path")
@@ -143,68 +164,50 @@ def with_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return placed.join(starts, placed["__file__"] == starts["__of__"]).select(*chosen, (F.col("__local__") + F.col("__before__")).alias(ROW))
 
 
-def _arrow_schema(spark: SparkSession, path: str):
-    """The footer's Arrow and Parquet schemas of one file of the table, or None if it can't be opened from here."""
-    try:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        first = sorted(spark.read.schema("nothing int").parquet(path).inputFiles())[0]
-        system, name = fs.FileSystem.from_uri(first)
-        with system.open_input_file(name) as f:
-            file = pq.ParquetFile(f)
-            return file.schema_arrow, file.schema
-    except Exception:  # noqa: BLE001 - stores that only Spark reads: its own schema has to do
-        return None
+def unified(spark: SparkSession, path: str, footers: Footers, names: set[str]) -> tuple[DataFrame, list[tuple[str, str, str, str]]]:
+    """A table whose files have different schemas: with the columns of all files, whole numbers and floats as wide as the widest.
 
+    Also the conflicts: (column, file, its stored type, the first file's) of the
+    columns ``names`` that no one type reads, though their dictionary types agree.
+    """
+    from pyspark.sql import types as T
 
-def column_tree(spark: SparkSession, path: str) -> list[Leaf]:
-    """The stored columns with their dictionary types; footer annotations where they can be read."""
-    found = _arrow_schema(spark, path)
-    if found is not None:
-        arrow, parquet = found
-        annotations = {}
-        for k in range(len(parquet)):
-            c = parquet.column(k)
-            annotations[c.path] = (c.logical_type.type, c.physical_type, c.converted_type)
-        return [_from_arrow(f.name, f.type, f.name, annotations) for f in arrow]
+    ladders = [[T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()], [T.FloatType(), T.DoubleType()]]
+    fields: dict[str, T.StructField] = {}
+    first: dict[str, tuple[Leaf, str]] = {}
+    conflicts = []
+    for shape in footers.shapes:  # bounded: SHAPES
+        leaves = {x.name: x for x in shape.tree}
+        for f in spark.read.parquet(shape.file).schema.fields:
+            seen = fields.get(f.name)
+            if seen is None:
+                fields[f.name], first[f.name] = f, (leaves[f.name], shape.file)
+                continue
+            if seen.dataType == f.dataType:
+                continue
+            ladder = next((x for x in ladders if seen.dataType in x and f.dataType in x), None)
+            if ladder is not None:
+                fields[f.name] = T.StructField(f.name, max(seen.dataType, f.dataType, key=ladder.index))
+            elif f.name in names and first[f.name][0].label() == leaves[f.name].label():
+                conflicts.append((f.name, shape.file, leaves[f.name].stored, first[f.name][0].stored))
+    return spark.read.schema(T.StructType(list(fields.values()))).parquet(path), conflicts
+
+
+def column_tree(spark: SparkSession, path: str, footers: Footers | None = None) -> list[Leaf]:
+    """The stored columns with their dictionary types; footer annotations where they can be read.
+
+    Of files with different schemas: the columns of all, each as the first file that has it stores it.
+    """
+    footers = footers or read_footers(spark, path)
+    if footers is not None:
+        merged: dict[str, Leaf] = {}
+        for shape in footers.shapes:
+            for leaf in shape.tree:
+                merged.setdefault(leaf.name, leaf)
+        return list(merged.values())
     return [_from_spark(f.name, f.dataType) for f in read_table(spark, path).schema.fields]
 
 
-def _from_arrow(name: str, kind, path: str, annotations: dict) -> Leaf:
-    import pyarrow as pa
-
-    if pa.types.is_struct(kind):
-        return Leaf(name, "struct", False, "structs are not compared", children=[_from_arrow(f.name, f.type, f"{path}.{f.name}", annotations) for f in kind])
-    if pa.types.is_map(kind):
-        return Leaf(name, "map", False, "maps are not compared")
-    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
-        below = [p for p in annotations if p.startswith(path + ".")]
-        inner = f"{path}.list.element" if any(p.startswith(f"{path}.list.element") for p in below) else f"{path}.list.item" if any(p.startswith(f"{path}.list.item") for p in below) else path
-        return Leaf(name, "list", False, "lists are not compared", children=[_from_arrow("element", kind.value_type, inner, annotations)])
-    logical, physical, converted = annotations.get(path, ("NONE", "", "NONE"))
-    if logical in ("JSON", "BSON") or converted in ("JSON", "BSON"):
-        what = logical if logical in ("JSON", "BSON") else converted
-        return Leaf(name, "string", False, f"{what} values can't be compared by their bytes")
-    if logical in ("UNKNOWN", "NULL") or pa.types.is_null(kind):
-        return Leaf(name, "unknown", False, "the logical type is unknown")
-    if pa.types.is_uint64(kind):
-        return Leaf(name, "number", True, None, readable=False)
-    if pa.types.is_time(kind):
-        return Leaf(name, "number", True, None, readable=False)
-    if pa.types.is_integer(kind) or pa.types.is_floating(kind):
-        return Leaf(name, "number")
-    if pa.types.is_decimal(kind):
-        return Leaf(name, "number", readable=kind.precision <= 15)
-    if pa.types.is_boolean(kind):
-        return Leaf(name, "boolean")
-    if pa.types.is_date(kind):
-        return Leaf(name, "date")
-    if pa.types.is_timestamp(kind):
-        return Leaf(name, "datetime")
-    return Leaf(name, "string")
-
-
 def _from_spark(name: str, kind) -> Leaf:
     from pyspark.sql import types as T
 
@@ -225,48 +228,10 @@ def _from_spark(name: str, kind) -> Leaf:
     return Leaf(name, "string")
 
 
-@dataclass(frozen=True)
-class FooterStats:
-    rows: int
-    nulls: int | None
-    distinct: int | None  # known only if one row group covers the file
-
-
-def footer_table(spark: SparkSession, path: str, most_files: int = FOOTER_FILES) -> dict[str, FooterStats]:
-    """What the footers alone say about each flat column: rows, nulls, and sometimes distinct values.
-
-    Footers are read one after another from here, so only of tables of up to
-    ``most_files`` files; nothing is known of others, and they are scanned.
-    """
-    try:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        names = spark.read.schema("nothing int").parquet(path).inputFiles()
-        if len(names) > most_files:
-            return {}
-        out: dict[str, FooterStats] = {}
-        rows, groups = 0, 0
-        for name in names:
-            system, p = fs.FileSystem.from_uri(name)
-            with system.open_input_file(p) as f:
-                meta = pq.ParquetFile(f).metadata
-            rows += meta.num_rows
-            for g in range(meta.num_row_groups):
-                groups += 1
-                for k in range(meta.num_columns):
-                    c = meta.row_group(g).column(k)
-                    s, seen = c.statistics, out.get(c.path_in_schema, FooterStats(0, 0, None))
-                    nulls = seen.nulls + s.null_count if s is not None and s.has_null_count and seen.nulls is not None else None
-                    out[c.path_in_schema] = FooterStats(0, nulls, s.distinct_count if s is not None and s.has_distinct_count else None)
-        return {n: FooterStats(rows, s.nulls, s.distinct if groups == 1 else None) for n, s in out.items()}
-    except Exception:  # noqa: BLE001 - no footer from here: the caller scans
-        return {}
-
-
 def footer_stats(spark: SparkSession, path: str, column: str) -> FooterStats | None:
-    """:func:`footer_table` of one column."""
-    return footer_table(spark, path).get(column)
+    """What the footers of all files say about a column."""
+    footers = read_footers(spark, path)
+    return None if footers is None else footers.columns.get(column)
 
 
 def row_count(spark: SparkSession, path: str) -> int:

@@ -198,7 +198,8 @@ def test_patterns_from_rows_obey_the_rules_of_literal_ones(spark, tmp_path):
 def test_footers_settle_what_they_can(spark, tmp_path, monkeypatch):
     """Columns without nulls need no scan; nulls are located by one; statistics that are absent say nothing."""
     from pactum.plans import validate as module
-    from pactum.sources.parquet import FooterStats, footer_stats, footer_table
+    from pactum.sources.footers import Footers, FooterStats, read_footers
+    from pactum.sources.parquet import footer_stats
 
     t = pa.table({"id": [1, 2, 3, 4], "x": pa.array([1, None, 3, None], pa.int64())})
     columns = [f"{{name: id, {NUM}, constraints: [required, unique]}}", f"{{name: x, {NUM}, constraints: [required]}}"]
@@ -206,10 +207,11 @@ def test_footers_settle_what_they_can(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module.columns, "count_where", lambda c, real=module.columns.count_where: scanned.append(c) or real(c))
     assert found(run(spark, tmp_path, t, columns)) == [("D01", ("x",), {"count": 2, "rows": [2, 4]})] and len(scanned) == 1
     path = str(tmp_path / "t.parquet")
-    assert footer_table(spark, path)["x"] == FooterStats(4, 2, None) and footer_table(spark, path, most_files=0) == {}
+    assert read_footers(spark, path).columns["x"] == read_footers(spark, path, driver_files=0).columns["x"] == FooterStats(4, 2, None, 1, 3)
     pq.write_table(t, path, write_statistics=False)
     assert footer_stats(spark, path, "x").nulls is None
     # one row group whose writer gives distinct counts
-    monkeypatch.setattr(module, "footer_table", lambda *_: {"id": FooterStats(4, 0, 4), "x": FooterStats(4, 2, 2)})
+    shapes = read_footers(spark, path).shapes
+    monkeypatch.setattr(module, "read_footers", lambda *_: Footers(4, 1, {"id": FooterStats(4, 0, 4), "x": FooterStats(4, 2, 2)}, shapes))
     monkeypatch.setattr(module.keys, "duplicate_count", None)  # must not be asked
     assert found(run(spark, tmp_path, t, columns)) == [("D01", ("x",), {"count": 2, "rows": [2, 4]})]
