@@ -1,35 +1,39 @@
-"""Profiles of columns: one fused aggregate for all columns of a table, then per-column distinct counts and histograms.
-
-* nulls, least and greatest finite value and the three non-finite tallies of
-  every column come from one aggregate pass;
-* frequent values of all columns come from one more aggregate with a sketch of
-  ``TRACKED`` items per column. Up to ``EXACT_DISTINCT`` distinct values it holds
-  every value with its exact count, so the exact distinct count falls out of it;
-  beyond, it gives the values that are frequent for certain, with estimated
-  counts, and an approximate distinct count with about 1 % error is reported;
-* representative samples come from the same aggregate: they are spread over at
-  most ``SAMPLE_POOL`` distinct values with the least hashes, of which a task
-  keeps only those below the bound that the distinct count leads to expect;
-* histograms of all binnable columns come from one more aggregate pass, with
-  right-closed bins of equal width (whole-number width for whole numbers).
+"""Profiles of columns, however many, in one pass over the table; in two where no footer tells the range of a histogram.
+
+Tasks summarise their rows (:mod:`.sketches`), a task and column sending one
+summary of bounded size; summaries of one column are merged as they stream
+through a task, and only the merged ones come to the driver.
+
+* Frequent values have a count and an error; both are exact up to
+  ``EXACT_DISTINCT`` distinct values, and so is the distinct count.
+* Samples are spread over at most ``SAMPLE_POOL`` distinct values, those with
+  the least hashes.
+* Histograms have right-closed bins of equal width (whole-number width for whole
+  numbers), as many as the number of rows asks for. Ranges that the footers of
+  all files tell exactly (``ranges``) let them join the first pass.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import pickle
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_DISTINCT = 1000
+from .sketches import POOL as SAMPLE_POOL
+from .sketches import TRACKED as EXACT_DISTINCT
+from .sketches import Bins, Summary
+
 TOP_VALUES = 20
-SAMPLE_POOL = 128
-TRACKED = 10_000
 SAMPLES = 20
-RELATIVE_ERROR = 0.0081
-DAY = 86_400_000_000
+#: Beyond so many files, summaries are merged in two steps.
+MERGED_AT_ONCE = 256
+#: Kinds that are laid out in bins.
+BINNED = ("integer", "float", "date", "datetime")
 
 
 @dataclass
@@ -50,7 +54,7 @@ class Profile:
     high: object = None
     distinct: int | None = None
     approximate: bool = False
-    top: list[tuple[object, int]] = field(default_factory=list)
+    top: list[tuple[object, int, int]] = field(default_factory=list)  # value, count, error
     samples: list = field(default_factory=list)
     bins: list[Bin] = field(default_factory=list)
     nans: int = 0
@@ -79,20 +83,14 @@ def kind_of(data_type: T.DataType) -> tuple[str, bool]:
 
 
 def bin_count(n: int, most: int) -> int:
-    """Twice the cube root of the values (Rice's rule), between 5 and ``most``."""
+    """The cube root of twice the rows (Terrell and Scott's rule), between 5 and ``most``."""
     return max(5, min(most, round((2 * n) ** (1 / 3) if n else 0)))
 
 
-def scale(kind: str, c: Column) -> Column:
-    """A value as a number on which bins are laid out."""
-    if kind == "date":
-        return F.unix_date(c).cast("bigint")
-    if kind == "datetime":
-        return F.unix_micros(c.cast("timestamp"))
-    return c.cast("bigint") if kind == "integer" else c.cast("double")
-
-
 def unscale(kind: str, x):
+    """A summarised number as the value it stands for."""
+    if kind == "boolean":
+        return bool(x)
     if kind == "date":
         return dt.date(1970, 1, 1) + dt.timedelta(days=int(x))
     if kind == "datetime":
@@ -111,17 +109,6 @@ def layout(kind: str, low, high, n: int, most: int) -> tuple[object, int]:
     return width, -(-(high - low) // width)
 
 
-def bin_of(c: Column, low, width, bins: int) -> Column:
-    """0-based number of the right-closed bin of a value; the first also holds its lower end."""
-    if not width:
-        return F.lit(0)
-    if isinstance(width, int):
-        whole = F.floor((c - F.lit(low) + F.lit(width - 1)) / F.lit(width)) - 1
-    else:
-        whole = F.ceil((c - F.lit(low)) / F.lit(width)) - 1
-    return F.least(F.greatest(whole, F.lit(0)), F.lit(bins - 1)).cast("int")
-
-
 def spread(values: list, n: int = SAMPLES) -> list:
     """Up to ``n`` of sorted values, evenly spread, both ends included."""
     if len(values) <= n:
@@ -130,115 +117,102 @@ def spread(values: list, n: int = SAMPLES) -> list:
     return [values[round(i * last / (n - 1))] for i in range(n)]
 
 
-def frequent(df: DataFrame, c: Column) -> DataFrame:
-    """(value, n) of the most frequent values; ties by value."""
-    return df.select(c.alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("value")).limit(TOP_VALUES)
-
-
-def sample_pool(df: DataFrame, c: Column) -> DataFrame:
-    """At most ``SAMPLE_POOL`` distinct values: those with the least hashes."""
-    return df.select(c.alias("value")).where("value is not null").distinct().orderBy(F.xxhash64("value"), "value").limit(SAMPLE_POOL)
-
-
-def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, values: set[str] | None = None) -> dict[str, Profile]:
-    """Profiles by name; ``columns`` are expressions over ``df``. ``values`` names the columns whose values may be shown (all by default)."""
-    types = {n: df.select(c).schema.fields[0].dataType for n, c in columns.items()}
-    for n, kind in types.items():  # bytes without an annotation are text if all of them are
-        if isinstance(kind, T.BinaryType):
-            columns, types[n] = columns | {n: columns[n].cast("string")}, T.StringType()
+def summaries(df: DataFrame, columns: dict[str, Column], plans: dict[str, tuple]) -> dict[str, Summary]:
+    """The summaries of all columns; ``plans`` are the arguments of each :class:`Summary`."""
+    names = list(columns)
+    known = [c.isNull() if plans[n][0] == "other" else c for n, c in columns.items()]
+
+    def summarise(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        held = [Summary(*plans[n]) for n in names]
+        for batch in batches:
+            for summary, column in zip(held, batch.columns, strict=True):
+                summary.add(column)
+        part = TaskContext.get().partitionId() % MERGED_AT_ONCE
+        blobs = [zlib.compress(pickle.dumps(x), 1) for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array([part] * len(held), pa.int32()), pa.array(blobs, pa.binary())], names=["k", "part", "summary"])
+
+    def merge(batches):
+        import pyarrow as pa
+
+        held: dict[int, Summary] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                one = pickle.loads(zlib.decompress(blob.as_py()))
+                if k in held:
+                    held[k].merge(one)
+                else:
+                    held[k] = one
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([zlib.compress(pickle.dumps(x), 1) for x in held.values()], pa.binary())], names=["k", "part", "summary"])
+
+    schema = "k int, part int, summary binary"
+    parts = df.select(*[c.alias(f"c{k}") for k, c in enumerate(known)]).mapInArrow(summarise, schema)
+    if len(df.inputFiles()) > MERGED_AT_ONCE:
+        parts = parts.repartition("k", "part").mapInArrow(merge, schema)
+    merged = parts.repartition("k").mapInArrow(merge, schema)
+    found = {k: pickle.loads(zlib.decompress(blob)) for k, blob in merged.select("k", "summary").collect()}  # one of bounded size per column
+    return {n: found.get(k) or Summary(*plans[n]) for k, n in enumerate(names)}
+
+
+def bins_for(kind: str, low, high, rows: int, most: int) -> Bins:
+    width, count = layout(kind, low, high, rows, most)
+    return Bins(low, high, width, count)
+
+
+def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, values: set[str] | None = None, ranges: dict[str, tuple] | None = None, rows: int | None = None, samples: int = SAMPLES) -> dict[str, Profile]:
+    """Profiles by name; ``columns`` are expressions over ``df``.
+
+    ``values`` names the columns whose values may be shown (all by default).
+    ``ranges`` are exact extremes as numbers (days, microseconds) and ``rows``
+    the number of rows, where they are known before.
+    """
+    types = {n: f.dataType for n, f in zip(columns, df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns.values())]).schema.fields, strict=True)}
     shown = set(columns) if values is None else values
-    metrics = [F.count(F.lit(1)).alias("rows")]
-    for k, (name, c) in enumerate(columns.items()):
-        kind, ok = kind_of(types[name])
-        metrics.append(F.count_if(c.isNull()).alias(f"nulls{k}"))
-        if not ok:
-            continue
-        if kind == "float":
-            finite = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-            metrics += [F.count_if(F.isnan(c)).alias(f"nan{k}"), F.count_if(c == float("-inf")).alias(f"neg{k}"), F.count_if((c == float("inf")) & ~F.isnan(c)).alias(f"pos{k}"), F.count(finite).alias(f"held{k}")]
-            metrics += [F.min(finite).alias(f"low{k}"), F.max(finite).alias(f"high{k}")]
-        elif kind != "boolean":
-            metrics += [F.min(c).alias(f"low{k}"), F.max(c).alias(f"high{k}")]
-        if kind == "text":
-            metrics.append(F.count_if(~F.is_valid_utf8(c)).alias(f"invalid{k}"))
-        # of floats it is not reported: it only bounds the pool of samples
-        metrics.append(F.approx_count_distinct(c, 0.05 if kind == "float" else RELATIVE_ERROR).alias(f"about{k}"))
-    found = df.agg(*metrics).first()
-    out: dict[str, Profile] = {}
-    binned = []
-    for k, (name, c) in enumerate(columns.items()):
-        kind, ok = kind_of(types[name])
-        p = out[name] = Profile(kind, ok, found["rows"], found[f"nulls{k}"])
-        if kind == "text" and found[f"invalid{k}"]:  # bytes that are no text: rows and nulls are all that is told
-            p.kind, p.supported, ok = "binary", False, False
-        if not ok:
-            continue
-        if kind == "float":
-            p.nans, p.negative_infinities, p.positive_infinities = found[f"nan{k}"], found[f"neg{k}"], found[f"pos{k}"]
-        if kind != "boolean":
-            p.low, p.high = found[f"low{k}"], found[f"high{k}"]
-        if kind != "float":
-            p.distinct, p.approximate = found[f"about{k}"], True
-        if name in shown and kind in ("integer", "float", "date", "datetime") and p.low is not None:
-            binned.append((name, c, kind, found[f"held{k}"] if kind == "float" else p.rows - p.nulls))
-    of_values(df, columns, out, {n: found[f"about{k}"] for k, n in enumerate(columns) if out[n].supported}, shown)
-    if binned:
-        histograms(df, out, binned, most_bins)
-    return out
-
-
-def pool_bound(about: int) -> int:
-    """Of hashes: about two and a half times the pool lies at or below it."""
-    share = min(1.0, (2.5 * SAMPLE_POOL + 64) / max(1, about))
-    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-
-
-def of_values(df: DataFrame, columns: dict[str, Column], out: dict[str, Profile], about: dict[str, int], shown: set[str]) -> None:
-    """Frequent values, samples and exact distinct counts of all columns, in one aggregate of bounded size."""
-    metrics = []
-    for k, (name, c) in enumerate(columns.items()):
-        if name not in about:
-            continue
-        few = about[name] <= EXACT_DISTINCT * 1.05
-        if out[name].kind != "float" and (few or name in shown and out[name].kind == "text"):
-            metrics.append(F.call_function("approx_top_k", c, F.lit(int(EXACT_DISTINCT * 1.2)), F.lit(TRACKED)).alias(f"top{k}"))
-        if name in shown:
-            digest = F.xxhash64(c)
-            metrics.append(F.collect_set(F.when(c.isNotNull() & (digest <= pool_bound(about[name])), F.struct(digest.alias("h"), c.alias("v")))).alias(f"pool{k}"))
-    if not metrics:
-        return
-    found = df.agg(*metrics).first().asDict()
-    for k, name in enumerate(columns):
-        p = out[name]
-        counted = sorted(((r["item"], r["count"]) for r in found.get(f"top{k}") or () if r["item"] is not None), key=lambda r: r[0])
-        if name in about and about[name] <= EXACT_DISTINCT * 1.05 and f"top{k}" in found and len(counted) <= EXACT_DISTINCT:
-            p.distinct, p.approximate = len(counted), False
-        if name in shown:
-            if p.kind in ("text", "boolean") or not p.approximate:
-                p.top = sorted(counted, key=lambda r: -r[1])[:TOP_VALUES]
-            pool = sorted((r["h"], r["v"]) for r in found.get(f"pool{k}") or () if r["v"] == r["v"])[:SAMPLE_POOL]
-            p.samples = spread(sorted(v for _, v in pool))
-
-
-def histograms(df: DataFrame, out: dict[str, Profile], binned: list, most: int) -> None:
-    """One pass: every row gives its bin in every column, counted by (column, bin)."""
-    ends = [x for name, _, kind, _ in binned for x in (scale(kind, F.lit(out[name].low)), scale(kind, F.lit(out[name].high)))]
-    numbers = df.sparkSession.range(1).select(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).first()
-    pairs, shapes = [], []
-    for k, (name, c, kind, n) in enumerate(binned):
-        low, high = numbers[f"e{2 * k}"], numbers[f"e{2 * k + 1}"]
-        width, bins = layout(kind, low, high, n, most)
-        shapes.append((low, high, width, bins))
-        x = scale(kind, c)
-        usable = c.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
-        pairs.append(F.when(usable, F.struct(F.lit(k).alias("k"), bin_of(x, low, width, bins).alias("bin"))))
-    counted = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).groupBy("p.k", "p.bin").agg(F.count(F.lit(1)).alias("n")).collect()  # bins, not rows
-    tally = {(r["k"], r["bin"]): r["n"] for r in counted}
-    for k, (name, _, kind, _) in enumerate(binned):
-        low, high, width, bins = shapes[k]
-        for b in range(bins):
-            start, stop = low + b * width, high if b == bins - 1 else low + (b + 1) * width
-            out[name].bins.append(Bin(unscale(kind, start), unscale(kind, stop), tally.get((k, b), 0), "both" if b == 0 else "right"))
+    plans: dict[str, tuple] = {}
+    for n, kind_type in types.items():
+        kind, ok = kind_of(T.StringType() if isinstance(kind_type, T.BinaryType) else kind_type)  # bytes are text if all of them are
+        ends = (ranges or {}).get(n)
+        bins = bins_for(kind, *ends, rows, most_bins) if ok and n in shown and kind in BINNED and rows is not None and ends is not None else None
+        plans[n] = (kind if ok else "other", bins, n in shown)
+    found = summaries(df, columns, plans)
+    later = {}
+    for n, s in found.items():
+        if s.kind in BINNED and n in shown and s.low is not None and s.bins is None:
+            later[n] = (s.kind, bins_for(s.kind, s.low, s.high, s.rows, most_bins), False, True)
+    if later:
+        for n, s in summaries(df, {n: columns[n] for n in later}, later).items():
+            found[n].bins, found[n].binned = s.bins, s.binned
+    return {n: _finished(s, types[n], n in shown, samples) for n, s in found.items()}
+
+
+def _finished(s: Summary, data_type: T.DataType, shown: bool, samples: int) -> Profile:
+    if s.kind == "other" or s.invalid:
+        return Profile("binary" if s.invalid else kind_of(data_type)[0], False, s.rows, s.nulls)
+    p = Profile(s.kind, True, s.rows, s.nulls, nans=s.nans, negative_infinities=s.negative, positive_infinities=s.positive)
+    value = lambda x: unscale(s.kind, x)
+    if s.kind != "boolean" and s.low is not None:
+        p.low, p.high = value(s.low), value(s.high)
+    if s.kind != "float":
+        exact = not s.frequent.floor and len(s.frequent.values) <= EXACT_DISTINCT
+        p.distinct, p.approximate = (len(s.frequent.values), False) if exact else (s.registers.estimate(), True)
+    if shown:
+        p.top = [(value(v), n, e) for v, n, e in s.frequent.top(TOP_VALUES)]
+        p.samples = spread([value(v) for v in sorted(s.pool.values.tolist())], samples)
+        if s.bins is not None and s.low is not None:
+            b = s.bins
+            for k, n in enumerate(s.binned.tolist()):
+                start, stop = b.low + k * b.width, b.high if k == b.count - 1 else b.low + (k + 1) * b.width
+                p.bins.append(Bin(value(start), value(stop), n, "both" if k == 0 else "right"))
+    return p
+
+
+def footer_ranges(footers, names) -> dict[str, tuple]:
+    """Of the columns ``names``: extremes that the footers of all files tell exactly."""
+    known = {} if footers is None else footers.columns
+    return {n: (known[n].low, known[n].high) for n in names if n in known and known[n].low is not None}
 
 
 def element_column(df: DataFrame, column: Column, steps: list) -> tuple[DataFrame, Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import checking, compiling, syntax
 from ..operators import assertions, columns, keys, profiling
+from ..sources.footers import read_footers
 from ..sources.parquet import ROW, read_table, with_rows
 
 NOW = dt.datetime(2024, 6, 1)
@@ -377,12 +378,22 @@ def _profile_temporal(spark, sf_dir):
 
 @query("profile_text", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, value LIMIT 20")
 def _profile_text(spark, sf_dir):
-    return profiling.frequent(table(spark, sf_dir, "part"), F.col("p_brand"))
+    p = profiling.profile(table(spark, sf_dir, "part").select("p_brand"), {"x": F.col("p_brand")})["x"]
+    return spark.createDataFrame([x[:2] for x in p.top], "value string, n long")
 
 
 @query("profile_boolean", "SELECT l_returnflag = 'R' AS value, count(*) AS n FROM lineitem GROUP BY 1")
 def _profile_boolean(spark, sf_dir):
-    return profiling.frequent(table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R")
+    p = profiling.profile(table(spark, sf_dir, "lineitem").select("l_returnflag"), {"x": F.col("l_returnflag") == "R"})["x"]
+    return spark.createDataFrame([x[:2] for x in p.top], "value boolean, n long")
+
+
+def _bins(spark, sf_dir, name, column):
+    """The filled bins of a column's profile; its table has rows for at least 20 bins from sf0.01 on, so 20 are asked for."""
+    footers = read_footers(spark, f"{sf_dir}/{name}.parquet")
+    ranges = profiling.footer_ranges(footers, [column])
+    p = profiling.profile(table(spark, sf_dir, name).select(column), {column: F.col(column)}, 20, None, ranges, max(footers.rows, 10**6) if footers else None)[column]
+    return spark.createDataFrame([(k, b.count) for k, b in enumerate(p.bins) if b.count], "bin int, n long")
 
 
 @query(
@@ -391,10 +402,8 @@ def _profile_boolean(spark, sf_dir):
     SELECT CAST(least(greatest(ceil((l_quantity - lo) / ((hi - lo) / 20)) - 1, 0), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1""",
 )
 def _histogram(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    ends = df.agg(F.min("l_quantity"), F.max("l_quantity")).first()
-    width, bins = profiling.layout("float", ends[0], ends[1], 10**6, 20)
-    return df.select(profiling.bin_of(F.col("l_quantity"), ends[0], width, bins).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    """The bins of a profile whose range the footers tell before."""
+    return _bins(spark, sf_dir, "lineitem", "l_quantity")
 
 
 @query(
@@ -403,10 +412,7 @@ def _histogram(spark, sf_dir):
     SELECT CAST(greatest(CAST(ceil((p_size - lo) / CAST(width AS DOUBLE)) AS INTEGER) - 1, 0) AS INTEGER) AS bin, count(*) AS n FROM part, w GROUP BY 1""",
 )
 def _histogram_integers(spark, sf_dir):
-    df = table(spark, sf_dir, "part")
-    ends = df.agg(F.min("p_size"), F.max("p_size")).first()
-    width, bins = profiling.layout("integer", ends[0], ends[1], 10**6, 20)
-    return df.select(profiling.bin_of(F.col("p_size").cast("bigint"), ends[0], width, bins).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return _bins(spark, sf_dir, "part", "p_size")
 
 
 @query(
@@ -422,15 +428,43 @@ def _non_finite(spark, sf_dir):
 
 @query("export_profile_nested", "SELECT min(x) AS low, max(x) AS high, count(*) AS n FROM (SELECT unnest(embedding) AS x FROM embeddings)")
 def _profile_nested(spark, sf_dir):
+    """The ends of the histogram of a list's elements, and how many are in it."""
     elements, x = profiling.element_column(table(spark, sf_dir, "embeddings"), F.col("embedding"), [None])
-    return elements.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(F.lit(1)).alias("n"))
+    bins = profiling.profile(elements, {"x": x})["x"].bins
+    return spark.createDataFrame([(bins[0].low, bins[-1].high, sum(b.count for b in bins))], "low float, high float, n long")
 
 
 @query("profile_samples", "SELECT DISTINCT p_name AS value FROM part")
 def _samples(spark, sf_dir):
     """All values: ``part`` has fewer distinct names than the pool may hold."""
-    pool = profiling.sample_pool(table(spark, sf_dir, "part"), F.col("p_name"))
-    return pool.orderBy("value")
+    p = profiling.profile(table(spark, sf_dir, "part").select("p_name"), {"x": F.col("p_name")}, samples=profiling.SAMPLE_POOL)["x"]
+    return spark.createDataFrame([(v,) for v in p.samples], "value string")
+
+
+@query(
+    "profile_frequent_counts",
+    """SELECT 'p_size' AS name, CAST(p_size AS VARCHAR) AS value, n, CAST(0 AS BIGINT) AS error FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_size LIMIT 20)
+    UNION ALL SELECT 'p_type', p_type, n, 0 FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 20)
+    UNION ALL SELECT 'l_suppkey', CAST(l_suppkey AS VARCHAR), n, 0 FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 20)""",
+)
+def _frequent_counts(spark, sf_dir):
+    """Frequent values of texts and numbers with their errors: 0, since there are at most 1000 distinct ones."""
+    rows = []
+    for name, columns in (("part", ("p_size", "p_type")), ("lineitem", ("l_suppkey",))):
+        for c, p in profiling.profile(table(spark, sf_dir, name).select(*columns), {c: F.col(c) for c in columns}).items():
+            rows += [(c, str(v), n, e) for v, n, e in p.top]
+    return spark.createDataFrame(rows, "name string, value string, n long, error long")
+
+
+@query(
+    "profile_sample_spread",
+    """WITH v AS (SELECT p_size AS value, row_number() OVER (ORDER BY p_size) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT p_size FROM part)), i AS (SELECT unnest(range(20)) AS i)
+    SELECT DISTINCT value FROM v, i WHERE n <= 20 OR pos = CAST(round_even(i * (n - 1) / 19.0, 0) AS BIGINT)""",
+)
+def _sample_spread(spark, sf_dir):
+    """Samples are spread evenly over the sorted distinct values, of which there are more than samples here."""
+    p = profiling.profile(table(spark, sf_dir, "part").select("p_size"), {"x": F.col("p_size")})["x"]
+    return spark.createDataFrame([(v,) for v in p.samples], "value int")
 
 
 @query(

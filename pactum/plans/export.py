@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import checking, syntax
 from ..functions.compiling import column_ref
-from ..operators.profiling import Profile, element_column, profile
+from ..operators.profiling import Profile, element_column, footer_ranges, profile
 from ..sources import dictionary as source
 from ..sources.dictionary import Assertion, Column, Dictionary, Table
-from ..sources.parquet import read_table
+from ..sources.footers import Footers, read_footers
+from ..sources.parquet import FILE, IN_FILE, read_table
 from .relationships import normalized
 from .spec_checks import check_spec, reference_of, scope_of
 from .translate import EXPORTED, translation
@@ -191,7 +192,7 @@ def profile_json(p: Profile, c: Column | None = None) -> dict:
         out["sample_values"] = [scalar(v) for v in p.samples]
     if p.kind in ("text", "boolean"):
         if p.top:
-            out["common_values"] = {"approximate": p.approximate, "values": [{"value": scalar(v), "count": n} for v, n in p.top]}
+            out["common_values"] = {"approximate": p.approximate, "values": [{"value": scalar(v), "count": n, **({"error": e} if e else {})} for v, n, e in p.top]}
         return out
     if p.low is not None:
         out["range"] = {"min": scalar(p.low), "max": scalar(p.high)}
@@ -202,8 +203,11 @@ def profile_json(p: Profile, c: Column | None = None) -> dict:
     return out
 
 
-def profile_table(df: DataFrame, t: Table, bins: int = EXPORT_BINS) -> dict[str, dict]:
-    """Profiles of declared columns by dotted name; fields below lists are profiled per element."""
+def profile_table(df: DataFrame, t: Table, bins: int = EXPORT_BINS, footers: Footers | None = None) -> dict[str, dict]:
+    """Profiles of declared columns by dotted name; fields below lists are profiled per element.
+
+    Footers, where given, tell the ranges of histograms before the pass.
+    """
     flat: dict[str, tuple] = {}
     nested: dict[str, tuple] = {}
     lists: dict[str, object] = {}
@@ -232,7 +236,7 @@ def profile_table(df: DataFrame, t: Table, bins: int = EXPORT_BINS) -> dict[str,
     chosen = {n: col for n, (_, col) in flat.items()} | lists
     if chosen:
         shown = {n for n, (c, _) in flat.items() if not c.restricted}
-        for n, p in profile(df, chosen, bins, shown).items():
+        for n, p in profile(df, chosen, bins, shown, footer_ranges(footers, flat), footers.rows if footers else None).items():
             out[n] = profile_json(p, flat[n][0] if n in flat else None)
     for n, (c, steps) in nested.items():
         elements, x = element_column(df, column_ref((n.split(".")[0],)), steps)
@@ -244,9 +248,9 @@ def export_data(spark: SparkSession, d: Dictionary, bins: int = EXPORT_BINS) ->
     profiles, rows = {}, {}
     for t in d.tables:
         if t.source is not None:
-            df = read_table(spark, d.source_path(t))
-            rows[t.name] = df.count()
-            profiles[t.name] = profile_table(df, t, bins)
+            df, footers = read_table(spark, d.source_path(t)), read_footers(spark, d.source_path(t))
+            rows[t.name] = footers.rows if footers else df.count()
+            profiles[t.name] = profile_table(df, t, bins, footers)
     return export_spec(d, profiles, rows)
 
 
@@ -259,11 +263,18 @@ def to_json(value, indent: int | None = 2) -> str:
 _CELLS = " ▏▎▍▌▋▊▉█"
 
 
+def whole_profile(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Profile], int]:
+    """A table, the profiles of all its columns and its number of rows."""
+    df, footers = read_table(spark, path), read_footers(spark, path)
+    names = [c for c in df.columns if c not in (FILE, IN_FILE)]
+    found = profile(df, {c: column_ref((c,)) for c in names}, DESCRIBE_BINS, None, footer_ranges(footers, names), footers.rows if footers else None)
+    return df, found, footers.rows if footers else df.count()
+
+
 def describe(spark: SparkSession, path: str) -> dict:
     """All columns of a Parquet table, profiled."""
-    df = read_table(spark, path)
-    found = profile(df, {c: column_ref((c,)) for c in df.columns}, DESCRIBE_BINS)
-    return {"rows": df.count(), "columns": [{"name": n, "type": df.schema[n].dataType.simpleString(), **profile_json(p)} for n, p in found.items()]}
+    df, found, rows = whole_profile(spark, path)
+    return {"rows": rows, "columns": [{"name": n, "type": df.schema[n].dataType.simpleString(), **profile_json(p)} for n, p in found.items()]}
 
 
 def bar(n: int, most: int, width: int = 20) -> str:
@@ -299,7 +310,7 @@ def draft_column(name: str, data_type: str, p: Profile) -> list[str]:
     all_distinct = p.distinct is not None and n and (p.distinct == n if not p.approximate else abs(p.distinct - n) <= 0.02 * n)
     like_id = re.search(r"(?:^id|_id|key|_code)$", name.lower()) is not None
     if p.kind == "text" and p.distinct is not None and not p.approximate and 0 < p.distinct <= ENUM_VALUES and 2 * p.distinct < n:
-        lines += ["  type: enum", f"  values: [{', '.join(quote(v) for v in sorted(v for v, _ in p.top))}]"]
+        lines += ["  type: enum", f"  values: [{', '.join(quote(v) for v in sorted(v for v, *_ in p.top))}]"]
     elif p.kind == "text":
         lines += ["  type: string", f"  examples: [{', '.join(quote(v) for v in p.samples[:3])}]"]
     elif p.kind == "boolean":
@@ -327,8 +338,7 @@ def draft_column(name: str, data_type: str, p: Profile) -> list[str]:
 
 def draft_table(spark: SparkSession, name: str, path: str) -> str:
     """A drafted table, as the lines of a list entry."""
-    df = read_table(spark, path)
-    found = profile(df, {c: column_ref((c,)) for c in df.columns}, DESCRIBE_BINS)
+    df, found, _ = whole_profile(spark, path)
     lines = [f"- name: {name}", "  source:", f"    parquet: {path}", "  todo: describe this table", "  columns:"]
     for c, p in found.items():
         lines += ["    " + x for x in draft_column(c, df.schema[c].dataType.simpleString(), p)]

@@ -169,8 +169,8 @@ def test_profile_of_many_distinct_values_is_bounded(spark):
     assert len(sc.statusTracker().getJobIdsForGroup("profile-twice")) == few_jobs  # jobs don't grow with columns
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert p["s"].approximate and p["s"].top[0][0] == "heavy" and abs(p["s"].top[0][1] - 10_000) < 100 and abs(p["s"].distinct - 10_001) < 300
-    assert not p["few"].approximate and p["few"].distinct == 900 and p["few"].top[0] == (0, 23) and len(p["few"].top) == 20
-    assert sorted(p["flag"].top) == [(False, 6667), (True, 6666)] and p["flag"].nulls == 6667
+    assert not p["few"].approximate and p["few"].distinct == 900 and p["few"].top[0] == (0, 23, 0) and len(p["few"].top) == 20
+    assert sorted(p["flag"].top) == [(False, 6667, 0), (True, 6666, 0)] and p["flag"].nulls == 6667
     assert len(p["s"].samples) == len(p["x"].samples) == SAMPLES and p["x"].samples == sorted(p["x"].samples) and set(p["whole"].samples) <= set(range(20_000))
 
 
