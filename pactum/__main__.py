@@ -31,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
     v = verbs.add_parser("draft", help="draft a dictionary of Parquet tables")
     v.add_argument("tables", nargs="+", metavar="NAME=PATH")
     v.add_argument("--append-to", help="a dictionary to add missing tables to")
+    v = verbs.add_parser("render", help="the dictionary as one HTML page, with profiles of the data that is there")
+    v.add_argument("dictionary", nargs="?")
+    v.add_argument("--output", help="where to write; standard output without it")
     v = verbs.add_parser("translate", help="assertions in other languages")
     v.add_argument("dictionary", nargs="?")
     v.add_argument("--table")
@@ -72,6 +75,15 @@ def main(argv: list[str] | None = None) -> int:
             print(export.to_json(export.export_spec(loaded(a.dictionary))))
         elif a.verb == "export-data":
             print(export.to_json(export.export_data(session(), loaded(a.dictionary))))
+        elif a.verb == "render":
+            from .plans.page import render
+
+            text = render(session, loaded(a.dictionary))
+            if a.output:
+                with open(a.output, "w", encoding="utf-8") as f:
+                    f.write(text)
+            else:
+                print(text, end="")
         elif a.verb == "describe":
             found = export.describe(session(), a.parquet)
             print(export.to_json(found) if a.json else export.describe_text(found))

@@ -307,11 +307,12 @@ def _unique_null(spark, sf_dir):
     return keys.duplicate_count(df, [F.col("o_custkey"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))])
 
 
-def _orphans(spark, sf_dir, child, key, parent, target, carry, cast=None):
+def _orphans(spark, sf_dir, child, key, parent, target, carry, cast=None, change=None):
     c, p = with_rows(table(spark, sf_dir, child), list(dict.fromkeys([key, *carry]))), table(spark, sf_dir, parent)
     k, kind = F.col(key), c.schema[key].dataType
     if cast is not None:
         k, kind = k.cast(cast), cast
+    k = k if change is None else change(k)
     return keys.orphans(c, k, kind, p, F.col(target), p.schema[target].dataType, [F.col(x) for x in carry]).drop(ROW)
 
 
@@ -323,6 +324,9 @@ query("d05_fk_integer_widths", "SELECT l_orderkey, l_linenumber, l_partkey, l_su
 query("d05_fk_cross_type", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE CAST(l_quantity AS DOUBLE) NOT IN (SELECT CAST(s_suppkey AS DOUBLE) FROM supplier)")(
     lambda s, d: _orphans(s, d, "lineitem", "l_quantity", "supplier", "s_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 )
+query("d05_fk_cross_type_orphans", "SELECT o_orderkey, o_custkey FROM orders WHERE CAST(floor(o_totalprice / 100) AS DOUBLE) NOT IN (SELECT CAST(c_custkey AS DOUBLE) FROM customer)")(
+    lambda s, d: _orphans(s, d, "orders", "o_totalprice", "customer", "c_custkey", ["o_orderkey", "o_custkey"], change=lambda c: F.floor(c / 100).cast("double"))
+)
 query("d05_fk_no_common_type", "SELECT c_custkey FROM customer")(lambda s, d: _orphans(s, d, "customer", "c_mktsegment", "orders", "o_orderkey", ["c_custkey"]))
 query("d05_fk_null_exempt", "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels)")(
     lambda s, d: keys.orphans(
@@ -534,6 +538,31 @@ def _validate_data(spark, sf_dir):
     return problems_frame(spark, run).where("severity = 'error'").select("code", "columns", "count")
 
 
+@query(
+    "validate_data_rows",
+    """WITH l AS (SELECT *, row_number() OVER () AS r FROM lineitem), o AS (SELECT *, row_number() OVER () AS r FROM orders),
+    f AS (
+        SELECT 'D02' AS code, 'l_orderkey,l_linenumber' AS columns, r AS row_, concat_ws(',', 'l_linenumber=' || l_linenumber, 'l_orderkey=' || l_orderkey) AS shown
+            FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY r) AS again FROM l) WHERE again > 1
+        UNION ALL SELECT 'D02', 'o_custkey', r, 'o_custkey=' || o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY r) AS again FROM o) WHERE again > 1
+        UNION ALL SELECT 'D04', 'l_returnflag', r, 'l_returnflag=' || l_returnflag FROM l WHERE l_returnflag NOT IN ('A', 'N')
+        UNION ALL SELECT 'D07', 'l_quantity', r, 'l_quantity=' || CAST(l_quantity AS INTEGER) FROM l WHERE l_quantity >= 40
+    )
+    SELECT code, columns, row_, shown FROM f QUALIFY row_number() OVER (PARTITION BY code, columns ORDER BY row_) <= 5""",
+)
+def _validate_data_rows(spark, sf_dir):
+    """The offending rows that a validation reports, with the values that it shows."""
+    from .validate import validate
+
+    run = validate(spark, text=DICTIONARY.format(dir=sf_dir), now=NOW)
+    rows = []
+    for p in run.problems:
+        more = dict(p.extra)
+        if p.severity == "error" and more.get("rows") and more.get("assertion") in (None, "l_quantity < 40"):
+            rows += [(p.code, ",".join(p.columns), r, ",".join(f"{k}={v[k]}" for k in sorted(v))) for r, v in zip(more["rows"], more["values"], strict=True)]
+    return spark.createDataFrame(rows, "code string, columns string, row_ long, shown string")
+
+
 @query(
     "validate_meta_undocumented",
     """SELECT 'M03' AS code, 'lineitem' AS "table", column_name AS columns FROM (DESCRIBE lineitem) WHERE column_name NOT IN ('l_orderkey', 'l_linenumber', 'l_returnflag', 'l_quantity')

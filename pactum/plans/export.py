@@ -244,10 +244,11 @@ def profile_table(df: DataFrame, t: Table, bins: int = EXPORT_BINS, footers: Foo
     return out
 
 
-def export_data(spark: SparkSession, d: Dictionary, bins: int = EXPORT_BINS) -> dict:
+def export_data(spark: SparkSession, d: Dictionary, bins: int = EXPORT_BINS, tables: set[str] | None = None) -> dict:
+    """The dictionary with profiles of the tables that have a source (of those in ``tables``, if given)."""
     profiles, rows = {}, {}
     for t in d.tables:
-        if t.source is not None:
+        if t.source is not None and (tables is None or t.name in tables):
             df, footers = read_table(spark, d.source_path(t)), read_footers(spark, d.source_path(t))
             rows[t.name] = footers.rows if footers else df.count()
             profiles[t.name] = profile_table(df, t, bins, footers)

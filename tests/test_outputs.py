@@ -182,3 +182,64 @@ def test_bytes_that_are_no_text_are_not_summarised(spark):
     p = profile(df, {c: df[c] for c in df.columns})
     assert p["good"].supported and (p["good"].low, p["good"].distinct, p["good"].nulls) == ("otter", 2, 1)
     assert [(p[c].kind, p[c].supported, p[c].nulls, p[c].top, p[c].low) for c in ("bad", "worse")] == [("binary", False, 1, [], None)] * 2
+
+
+PAGE = """
+$version: "0.1.0"
+$learn_more: https://example.org
+tables:
+  - name: t
+    description: Otters & <friends>
+    source: {parquet: t.parquet}
+    columns:
+      - {name: id, type: number(id), examples: [1], constraints: [primary_key], description: The "key"}
+      - {name: kind, type: enum, values: [a, b]}
+      - {name: secret, type: string, examples: [x], display: restricted}
+      - {name: x, type: number, examples: [1.5], todo: units}
+    constraints: [{assert: x < 3}]
+relationships: []
+glossary: {otter: A swimmer.}
+"""
+
+
+def test_the_page_holds_tables_columns_profiles_and_no_restricted_value(spark, tmp_path):
+    from html.parser import HTMLParser
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pactum.plans.page import render
+    from pactum.sources.dictionary import load_text
+
+    d, _ = load_text(PAGE, str(tmp_path / "d.yaml"))
+    plain = render(None, d)  # no data: no session is asked for
+    assert "Otters &amp; &lt;friends&gt;" in plain and 'class="bars"' not in plain
+    pq.write_table(pa.table({"id": range(60), "kind": ["a", "b"] * 30, "secret": [f"undisclosed{k}" for k in range(60)], "x": [k / 2 for k in range(60)]}), tmp_path / "t.parquet")
+    text = render(lambda: spark, d)
+    assert "60 rows" in text and 'class="bars"' in text and "60 distinct" in text and "undisclosed" not in text and "A swimmer." in text and "x &lt; 3" in text
+
+    class Balance(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.ids = [], []
+
+        def handle_starttag(self, tag, attributes):
+            self.ids += [v for k, v in attributes if k == "id"]
+            if tag not in ("meta", "input", "br"):
+                self.open.append(tag)
+
+        def handle_endtag(self, tag):
+            assert self.open.pop() == tag
+
+    for page in (plain, text):
+        seen = Balance()
+        seen.feed(page)
+        assert not seen.open and {"t", "t.id", "t.kind", "t.secret", "t.x"} <= set(seen.ids)
+
+
+def test_the_verb_render_writes_a_file(spark, tmp_path, capsys):
+    from pactum.__main__ import main
+
+    (tmp_path / "d.yaml").write_text(PAGE)
+    assert main(["render", str(tmp_path / "d.yaml"), "--output", str(tmp_path / "d.html")]) == 0
+    assert (tmp_path / "d.html").read_text().startswith("<!doctype html>") and capsys.readouterr().out == ""
