@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,37 +118,60 @@ def judge(p: Prepared, schema: T.StructType, now: dt.datetime, folded: Folded) -
     return Judged(violated, fault)
 
 
-def evaluate(df: DataFrame, prepared: list[Prepared], now: dt.datetime, others_metrics: list[Column] = ()) -> tuple[list[Verdict], Folded, list[Judged | None], Row | None]:
-    """Verdicts in order; ``df`` has ``ROW`` if there are assertions of rows. Two jobs for any number of assertions.
+#: Blocks of rows that a table is divided into to find where a check first fails.
+BLOCKS, BLOCK_ROWS = 10_000, 1 << 16
 
-    ``others_metrics`` are aggregates of other checks that share the row pass;
-    they come back in its row.
+
+def evaluate(df: DataFrame, prepared: list[Prepared], now: dt.datetime, others: list[list[Column]] = (), rows: int = 0, shown: int = 5) -> tuple[list[Verdict], Folded, list[Judged | None], list[tuple[list[int], list[int]]], int]:
+    """Verdicts in order; ``df`` has ``ROW`` if anything is checked by row. Two jobs for any number of assertions.
+
+    ``others`` are other checks that share the row pass: for each its sums, the
+    last of which counts the rows that fail. Returned as well: for the others
+    and then the assertions, (sums, the first blocks of rows that have
+    ``shown`` failing ones), and the rows of a block. A table of about ``rows`` rows has at most
+    ``BLOCKS`` blocks, so that what is gathered of a check is bounded.
     """
     folded = fold_all(df, prepared, now)
     judged = [judge(p, df.schema, now, folded) if p.barrier is None else None for p in prepared]
-    rows = [k for k, p in enumerate(prepared) if p.barrier is None and p.by_row]
-    others = [k for k, p in enumerate(prepared) if p.barrier is None and not p.by_row]
+    by_row = [k for k, p in enumerate(prepared) if p.barrier is None and p.by_row]
+    alone = [k for k, p in enumerate(prepared) if p.barrier is None and not p.by_row]
     verdicts = [Verdict("unreadable", barrier=p.barrier) if p.barrier else Verdict("holds") for p in prepared]
-    found = None
-    if rows or others_metrics:
-        metrics = list(others_metrics)
-        for k in rows:
-            metrics += [
-                F.count_if(judged[k].violated).alias(f"n{k}"),
-                F.min(F.when(judged[k].fault != 0, F.struct(F.col(ROW), judged[k].fault.alias("fault")))).alias(f"f{k}"),
-            ]
-        found = (folded.onto(df) if rows else df).agg(*metrics).first()
-        for k in rows:
+    size = max(BLOCK_ROWS, -(-rows // BLOCKS))
+    sums = [list(o) for o in others] + [[F.count_if(judged[k].violated)] for k in by_row]
+    located = {}
+    if sums:
+        faults = [F.min(F.when(judged[k].fault != 0, F.struct(F.col(ROW), judged[k].fault.alias("fault")))).alias(f"f{k}") for k in by_row]
+        names = [[f"n{i}_{j}" for j in range(len(x))] for i, x in enumerate(sums)]
+        counted = [m.alias(n) for x, y in zip(sums, names, strict=True) for m, n in zip(x, y, strict=True)]
+        blocks = (folded.onto(df) if by_row else df).groupBy(F.floor((F.col(ROW) - 1) / size).alias("block")).agg(*counted, *faults)
+        first = [F.slice(F.sort_array(F.collect_list(F.when(F.col(y[-1]) > 0, F.struct("block", F.col(y[-1]).alias("n"))))), 1, shown).alias(f"b{i}") for i, y in enumerate(names)]
+        found = blocks.agg(*[F.sum(n).alias(n) for y in names for n in y], *[F.min(f"f{k}").alias(f"f{k}") for k in by_row], *first).first()
+        for i, y in enumerate(names):
+            located[i] = ([found[n] or 0 for n in y], _enough(found[f"b{i}"] or [], shown))
+        for i, k in enumerate(by_row, len(others)):
             if found[f"f{k}"] is not None:
                 row, fault = found[f"f{k}"]
                 verdicts[k] = Verdict("bad_pattern" if fault == BAD_PATTERN else "overflow", row=row)
+            elif located[i][0][0]:
+                verdicts[k] = Verdict("violated", located[i][0][0])
+    if alone:
+        found = folded.alone(df.sparkSession).select(*[x for k in alone for x in (judged[k].violated.alias(f"n{k}"), judged[k].fault.alias(f"f{k}"))]).first()
+        for k in alone:
+            if found[f"f{k}"]:
+                verdicts[k] = Verdict("bad_pattern" if found[f"f{k}"] == BAD_PATTERN else "overflow")
             elif found[f"n{k}"]:
-                verdicts[k] = Verdict("violated", found[f"n{k}"])
-    if others:
-        alone = folded.alone(df.sparkSession).select(*[x for k in others for x in (judged[k].violated.alias(f"n{k}"), judged[k].fault.alias(f"f{k}"))]).first()
-        for k in others:
-            if alone[f"f{k}"]:
-                verdicts[k] = Verdict("bad_pattern" if alone[f"f{k}"] == BAD_PATTERN else "overflow")
-            elif alone[f"n{k}"]:
                 verdicts[k] = Verdict("false")
-    return verdicts, folded, judged, found
+    places = {k: i for i, k in enumerate(by_row, len(others))}
+    told = [located[i] for i in range(len(others))] + [located[places[k]] if k in places else ([0], []) for k in range(len(prepared))]
+    return verdicts, folded, judged, told, size
+
+
+def _enough(blocks: list, rows: int) -> list[int]:
+    """The first of sorted (block, failing rows) that hold ``rows`` failing ones."""
+    out = []
+    for block, n in blocks:
+        if rows <= 0:
+            break
+        out.append(block)
+        rows -= n
+    return out

@@ -60,22 +60,23 @@ def first_rows(df: DataFrame, condition: Column, carry: list[Column], limit: int
     return df.where(condition).select(F.col(ROW), *carry).orderBy(ROW).limit(limit)
 
 
-def first_rows_each(df: DataFrame, checks: list[tuple[Column, list[Column]]], limit: int) -> list[list[Row]]:
-    """For each (condition, columns to show): its first offending rows by number, with ``ROW`` and the columns as ``v0``, ``v1``, ...
+def first_rows_each(df: DataFrame, checks: list[tuple[Column, list[Column], list[int]]], limit: int, block: int) -> list[list[Row]]:
+    """For each (condition, columns to show, blocks of ``block`` rows to look in): its first offending rows by number, with ``ROW`` and the columns as ``v0``, ``v1``, ...
 
-    One pass for all checks. Each task keeps the first ``limit`` rows of a check
-    before anything is shuffled.
+    One pass for all checks, of which only rows of the blocks go on. Each task
+    keeps the first ``limit`` rows of a check before anything is shuffled.
     """
     if not checks:
         return []
-    names = [[f"c{k}_{i}" for i in range(len(carry))] for k, (_, carry) in enumerate(checks)]
-    types = {n: f.dataType for n, f in zip([n for row in names for n in row], df.select(*[c for _, carry in checks for c in carry]).schema.fields, strict=True)}
+    names = [[f"c{k}_{i}" for i in range(len(carry))] for k, (_, carry, _) in enumerate(checks)]
+    types = {n: f.dataType for n, f in zip([n for row in names for n in row], df.select(*[c for _, carry, _ in checks for c in carry]).schema.fields, strict=True)}
     found = []
-    for k, (condition, carry) in enumerate(checks):
+    at = F.floor((F.col(ROW) - 1) / block)
+    for k, (condition, carry, blocks) in enumerate(checks):
         own = dict(zip(names[k], carry, strict=True))
         values = [own.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in types.items()]
-        found.append(F.when(condition, F.struct(F.lit(k).alias("k"), *values)))
-    each = df.select(F.col(ROW), F.explode(F.array_compact(F.array(*found))).alias("x")).select(ROW, "x.*")
+        found.append(F.when(at.isin(blocks) & condition, F.struct(F.lit(k).alias("k"), *values)))
+    each = df.where(at.isin(sorted({b for *_, blocks in checks for b in blocks}))).select(F.col(ROW), F.explode(F.array_compact(F.array(*found))).alias("x")).select(ROW, "x.*")
     first = each.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(ROW))).where(F.col("at") <= limit)
     out: list[list[Row]] = [[] for _ in checks]
     for r in sorted(first.collect(), key=lambda r: r["at"]):  # limit rows a check

@@ -80,8 +80,18 @@ def whole(df: DataFrame, keys: list[Column]) -> list[Column] | None:
     return out
 
 
-def dense(df: DataFrame, keys: list[Column]) -> Dense | None:
-    """Whether whole-numbered keys are dense, found by one pass that sends a row a task.
+@dataclass(frozen=True)
+class Known:
+    """What is known of a whole-numbered key before any pass: its extremes, its rows and the words that tasks would send."""
+
+    low: int
+    high: int
+    rows: int
+    words: float
+
+
+def dense(df: DataFrame, keys: list[Column], known: Known | None = None) -> Dense | None:
+    """Whether whole-numbered keys are dense: as ``known`` of a single key, or found by one pass that sends a row a task.
 
     A task sends at most as many words as its keys' own range has, whatever the
     table's, so keys that are clustered in files count as dense however sparse
@@ -89,6 +99,9 @@ def dense(df: DataFrame, keys: list[Column]) -> Dense | None:
     send few. (Of composite keys this is an estimate: a task never sends more
     words than keys.)
     """
+    if known is not None and len(keys) == 1:
+        small = known.words <= WORDS_A_KEY * known.rows + 100_000
+        return Dense([known.low], [known.high - known.low + 1]) if small and known.high - known.low + 1 < 1 << 62 else None
     n, ends = len(keys), [x for i, k in enumerate(keys) for x in (F.min(k).alias(f"l{i}"), F.max(k).alias(f"h{i}"))]
     tasks = df.where(_known(keys)).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), *ends)
     span = F.lit(1.0)
@@ -109,14 +122,14 @@ def _bit(index: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), index.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def duplicate_count(df: DataFrame, keys: list[Column]) -> DataFrame:
+def duplicate_count(df: DataFrame, keys: list[Column], known: Known | None = None) -> DataFrame:
     """One row: how many rows repeat a key that an earlier row has.
 
     Only the keys are shuffled, or their bits, without row numbers: rows are
     located later, and only where the count is not 0.
     """
     numbers = whole(df, keys)
-    shape = dense(df, numbers) if numbers is not None else None
+    shape = dense(df, numbers, known) if numbers is not None else None
     if shape is not None:
         held = df.where(_known(numbers)).select(shape.index(numbers).alias("i"))
         counted = held.groupBy(F.shiftright("i", 6).alias(_WORD)).agg(F.bit_or(_bit(F.col("i"))).alias(_BITS), F.count(F.lit(1)).alias("n"))
@@ -176,9 +189,9 @@ def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFra
     return _without_parent(child, key, key_type, parent, target, target_type, [*carry, F.col(ROW)])
 
 
-def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType) -> DataFrame:
-    """One row: how many rows of ``child`` are orphans; only keys are shuffled, or their bits where the parent's are dense."""
-    shape = _dense_reference(child, key, key_type, parent, target, target_type)
+def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, known: tuple[Known | None, Known | None] = (None, None)) -> DataFrame:
+    """One row: how many rows of ``child`` are orphans; only keys are shuffled, or their bits where the parent's are dense. ``known`` are the child's key and the parent's."""
+    shape = _dense_reference(child, key, key_type, parent, target, target_type, known)
     if shape is not None:
         compared = _compared_words(shape, child, key, parent, target)
         if compared.agg(F.coalesce(F.sum(F.bit_count(_BITS)), F.lit(0)).alias("lost")).first()["lost"] == 0:
@@ -187,12 +200,12 @@ def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: Da
     return _without_parent(child, key, key_type, parent, target, target_type, [F.lit(1).alias("one")], shape).agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def _dense_reference(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType) -> Dense | None:
+def _dense_reference(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, known: tuple[Known | None, Known | None] = (None, None)) -> Dense | None:
     """The parent's range, if its keys and the child's within it are dense."""
     if not (isinstance(key_type, _INTEGERS) and isinstance(target_type, _INTEGERS)):
         return None
-    shape = dense(parent, [target.cast("long")])
-    if shape is None or dense(child.where(shape.within([key.cast("long")])), [key.cast("long")]) is None:
+    shape = dense(parent, [target.cast("long")], known[1])
+    if shape is None or dense(child.where(shape.within([key.cast("long")])), [key.cast("long")], known[0]) is None:
         return None
     return shape
 

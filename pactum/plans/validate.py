@@ -339,6 +339,13 @@ class Validator:
     def usable(self, t: Table, path: tuple[str, ...]) -> bool:
         return not any((t.name, ".".join(path[:k])) in self.bad for k in range(1, len(path) + 1))
 
+    def known(self, t: Table, name: str) -> keys.Known | None:
+        """What the footers tell of a whole-numbered column's range."""
+        s = self.stats(t, name)
+        if s is None or s.words is None or not isinstance(s.low, int) or self.frames[t.name].schema[name].dataType.typeName() not in ("long", "integer", "short", "byte"):
+            return None
+        return keys.Known(s.low, s.high, s.rows, s.words)
+
     # ------------------------------------------------- checks of rows
 
     def rows(self, t: Table) -> list[Result]:
@@ -346,23 +353,22 @@ class Validator:
         base = self.frames[t.name]
         checks = [*self.nulls(t), *self.outsiders(t)]
         live, prepared, tops = self.prepared(t)
-        by_row = any(p.by_row and p.barrier is None for p in prepared)
-        metrics = [m.alias(f"m{k}_{i}") for k, c in enumerate(checks) for i, m in enumerate(c.metrics)]
+        by_row = bool(checks) or any(p.by_row and p.barrier is None for p in prepared)
         shown = list(dict.fromkeys([*tops, *(x for c in checks for x in c.tops)]))
         df = with_rows(base, shown) if by_row else narrowed(base, shown)
-        verdicts, folded, judged, found = assertions.evaluate(df, prepared, self.now, metrics)
-        for k, c in enumerate(checks):
-            c.count, c.failed = found[f"m{k}_0"] or 0, found[f"m{k}_{len(c.metrics) - 1}"] or 0
+        verdicts, folded, judged, told, block = assertions.evaluate(df, prepared, self.now, [c.metrics for c in checks], self.counts[t.name], self.sample)
+        for c, (sums, _) in zip(checks, told, strict=False):
+            c.count, c.failed = sums[0], sums[-1]
         for s, p, v, j in zip(live, prepared, verdicts, judged, strict=True):
             shown = [path for path in p.typed.columns if not t.column(path[0]).restricted]
             checks.append(Result(s, [], j.violated if j else None, [path[0] for path in p.typed.columns], [spark_path(path) for path in shown], v.count, v.count, p, v, shown))
-        lost = [c for c in checks if c.count]
+        lost = [(c, blocks) for c, (_, blocks) in zip(checks, told, strict=True) if c.count]
         if lost:
-            shown = dict.fromkeys(x for c in lost for x in c.tops)
-            numbered = with_rows(base, list(shown))
-            if any(c.verdict for c in lost):
+            numbered = with_rows(base, list(dict.fromkeys(x for c, _ in lost for x in c.tops)))
+            if any(c.verdict for c, _ in lost):
                 numbered = folded.onto(numbered)
-            for c, rows in zip(lost, columns.first_rows_each(numbered, [(c.condition, c.carry) for c in lost], self.sample), strict=True):
+            first = columns.first_rows_each(numbered, [(c.condition, c.carry, blocks) for c, blocks in lost], self.sample, block)
+            for (c, _), rows in zip(lost, first, strict=True):
                 c.rows = rows
         return checks
 
@@ -438,7 +444,7 @@ class Validator:
                 self.settle(s)
                 continue
             keyed = [spark_path((c.name,)) for c in cols]
-            count = keys.duplicate_count(narrowed(self.frames[t.name], [c.name for c in cols]), keyed).first()["duplicates"]
+            count = keys.duplicate_count(narrowed(self.frames[t.name], [c.name for c in cols]), keyed, self.known(t, cols[0].name)).first()["duplicates"]
             self.settle(s, count)
             if count:
                 df = with_rows(self.frames[t.name], [c.name for c in cols])
@@ -460,7 +466,7 @@ class Validator:
                     continue
                 try:
                     path = self.d.source_path(target)
-                    self.frames[target.name], _ = self.open(target, path)
+                    self.frames[target.name], self.footers[target.name] = self.open(target, path)
                 except NotReadable:
                     continue
             if not self.usable(target, (key.name,)) or self.leaf(target, key.name) is None:
@@ -473,7 +479,7 @@ class Validator:
                 continue
             child, parent = narrowed(self.frames[t.name], [c.name]), narrowed(self.frames[target.name], [key.name])
             pair = (spark_path((c.name,)), child.schema[c.name].dataType, parent, spark_path((key.name,)), parent.schema[key.name].dataType)
-            count = keys.orphan_count(child, *pair).first()["orphans"]
+            count = keys.orphan_count(child, *pair, (self.known(t, c.name), self.known(target, key.name))).first()["orphans"]
             self.settle(s, count)
             if count:
                 lost = keys.orphans(with_rows(self.frames[t.name], [c.name]), *pair, [spark_path((c.name,)).alias("v")])

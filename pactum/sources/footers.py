@@ -22,7 +22,7 @@ TASK_FILES, TASKS = 32, 4096
 #: So many distinct schemas of one table are told apart; the number of all is known.
 SHAPES = 64
 
-_ROW = "kind string, name string, file string, files long, rows long, groups long, nulls long, unknown_nulls long, distinct_values long, low double, high double, low_long long, high_long long, unknown_range long"
+_ROW = "kind string, name string, file string, files long, rows long, groups long, nulls long, unknown_nulls long, distinct_values long, low double, high double, low_long long, high_long long, unknown_range long, words double"
 _FIELDS = [f.split()[0] for f in _ROW.split(", ")]
 
 
@@ -61,6 +61,7 @@ class FooterStats:
     distinct: int | None  # known only if one row group covers the table
     low: object = None  # exact extremes of numbers, in the stored unit; None if a row group lacks them
     high: object = None
+    words: float | None = None  # of 64 whole numbers each: how many the row groups' own ranges have together, or their rows
 
 
 @dataclass
@@ -172,7 +173,7 @@ def footer_rows(names: Iterable[str]) -> Iterator[tuple]:
         seen[0] = min(seen[0], name)
         seen[1], seen[2], seen[3] = seen[1] + 1, seen[2] + meta.num_rows, seen[3] + meta.num_row_groups
         for top, leaves, flat in _leaves(schema, file.schema):
-            c = columns.setdefault(top, [0, 0, 0, 0, None, None, 0, 0, None])
+            c = columns.setdefault(top, [0, 0, 0, 0, None, None, 0, 0, None, 0.0])
             c[0], c[1], c[2] = c[0] + 1, c[1] + meta.num_rows, c[2] + meta.num_row_groups
             for g in range(meta.num_row_groups):
                 group = meta.row_group(g)
@@ -191,16 +192,17 @@ def footer_rows(names: Iterable[str]) -> Iterator[tuple]:
                     if found is None:
                         c[7] += 1
                     else:
+                        c[9] += min(group.num_rows, (found[1] - found[0]) / 64 + 1)
                         c[4], c[5] = (found if c[4] is None else (min(c[4], found[0]), max(c[5], found[1])))
                 else:
                     c[7] += 1
     if unread is not None:
-        yield ("unread", unread[1], unread[0], *[0] * 6, None, None, None, None, 0)
+        yield ("unread", unread[1], unread[0], *[0] * 6, None, None, None, None, 0, 0.0)
     for tree, (first, files, rows, groups) in shapes.items():
-        yield ("shape", tree, first, files, rows, groups, 0, 0, None, None, None, None, None, 0)
-    for top, (files, rows, groups, nulls, low, high, no_nulls, no_range, distinct) in columns.items():
+        yield ("shape", tree, first, files, rows, groups, 0, 0, None, None, None, None, None, 0, 0.0)
+    for top, (files, rows, groups, nulls, low, high, no_nulls, no_range, distinct, words) in columns.items():
         whole = isinstance(low, int)
-        yield ("column", top, None, files, rows, groups, nulls, no_nulls, distinct, None if whole else low, None if whole else high, low if whole else None, high if whole else None, no_range)
+        yield ("column", top, None, files, rows, groups, nulls, no_nulls, distinct, None if whole else low, None if whole else high, low if whole else None, high if whole else None, no_range, words)
 
 
 def _leaves(arrow, parquet) -> Iterator[tuple[str, list[int], bool]]:
@@ -217,7 +219,7 @@ def _leaves(arrow, parquet) -> Iterator[tuple[str, list[int], bool]]:
 
 
 def _combined(rows: DataFrame) -> DataFrame:
-    total = [F.sum(c).alias(c) for c in ("files", "rows", "groups", "nulls", "unknown_nulls", "distinct_values", "unknown_range")]
+    total = [F.sum(c).alias(c) for c in ("files", "rows", "groups", "nulls", "unknown_nulls", "distinct_values", "unknown_range", "words")]
     ends = [f(c).alias(c) for f, cs in ((F.min, ("file", "low", "low_long")), (F.max, ("high", "high_long"))) for c in cs]
     return rows.groupBy("kind", "name").agg(*total, *ends)
 
@@ -272,7 +274,7 @@ def _put_together(found: list[dict], files: int) -> Footers | None:
         ranged = everywhere and not r["unknown_range"] and not mixed
         columns[r["name"]] = FooterStats(
             r["rows"], r["nulls"] if everywhere and not r["unknown_nulls"] else None, r["distinct_values"] if everywhere and r["groups"] == 1 else None,
-            low if ranged else None, high if ranged else None,
+            low if ranged else None, high if ranged else None, r["words"] if ranged else None,
         )
     whole = [Shape(tree_from(r["name"]), r["file"], r["files"]) for r in shapes]
     return Footers(sum(r["rows"] for r in shapes), files, columns, whole, f"{bad[0][0]}: {bad[0][1]}" if bad else None)
