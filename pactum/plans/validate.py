@@ -7,8 +7,10 @@ all checks that failed. Keys and references are grouped and joined.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column as SparkColumn
@@ -162,6 +164,18 @@ def spark_path(path: tuple[str, ...]) -> SparkColumn:
     return compiling.column_ref(path)
 
 
+@contextlib.contextmanager
+def in_utc(spark: SparkSession) -> Iterator[None]:
+    """Dates and times are compared in UTC; the session's own zone is back afterwards."""
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Validator:
     """Validates one dictionary at a level: ``spec``, ``meta`` or ``data``."""
 
@@ -179,25 +193,28 @@ class Validator:
     def run(self) -> Run:
         self.problems += check_spec(self.d)
         if self.level != "spec" and not any(p.severity == "error" for p in self.problems):
-            self.spark.conf.set("spark.sql.session.timeZone", "UTC")
-            tables = [t for t in self.d.tables if self.only in (None, t.name)]
+            with in_utc(self.spark):
+                self.checks()
+        return Run(self.d.path or source.DEFAULT_NAME, self.level, self.only, dt.datetime.now(dt.UTC), self.steps, self.problems)
+
+    def checks(self) -> None:
+        tables = [t for t in self.d.tables if self.only in (None, t.name)]
+        for t in tables:
+            self.plan(t)
+        for k, s in enumerate(self.steps, 1):
+            s.id = k
+        for t in tables:
+            self.meta(t)
+        if self.level == "data":
             for t in tables:
-                self.plan(t)
-            for k, s in enumerate(self.steps, 1):
-                s.id = k
+                if t.name in self.frames:
+                    checks = self.rows(t)
+                    self.scan(t, checks)
+                    self.unique(t)
+                    self.asserts(t, checks)
             for t in tables:
-                self.meta(t)
-            if self.level == "data":
-                for t in tables:
-                    if t.name in self.frames:
-                        checks = self.rows(t)
-                        self.scan(t, checks)
-                        self.unique(t)
-                        self.asserts(t, checks)
-                for t in tables:
-                    if t.name in self.frames:
-                        self.references(t)
-        return Run(self.d.path or source.DEFAULT_NAME, self.level, self.only, dt.datetime.now(dt.UTC), self.steps, self.problems)
+                if t.name in self.frames:
+                    self.references(t)
 
     # ------------------------------------------------------------ steps
 

@@ -215,3 +215,13 @@ def test_footers_settle_what_they_can(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module, "read_footers", lambda *_: Footers(4, 1, {"id": FooterStats(4, 0, 4), "x": FooterStats(4, 2, 2)}, shapes))
     monkeypatch.setattr(module.keys, "duplicate_count", None)  # must not be asked
     assert found(run(spark, tmp_path, t, columns)) == [("D01", ("x",), {"count": 2, "rows": [2, 4]})]
+
+
+def test_the_session_keeps_its_time_zone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        run(spark, tmp_path, pa.table({"id": [1]}), [f"{{name: id, {NUM}}}"])
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
