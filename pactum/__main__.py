@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     v = verbs.add_parser("render", help="the dictionary as one HTML page, with profiles of the data that is there")
     v.add_argument("dictionary", nargs="?")
     v.add_argument("--output", help="where to write; standard output without it")
+    for verb, what in (("spec", "the format of a dictionary"), ("skill-read", "how to read one"), ("skill-create", "how to write one")):
+        verbs.add_parser(verb, help=f"print {what}")
     v = verbs.add_parser("translate", help="assertions in other languages")
     v.add_argument("dictionary", nargs="?")
     v.add_argument("--table")
@@ -75,6 +77,10 @@ def main(argv: list[str] | None = None) -> int:
             print(export.to_json(export.export_spec(loaded(a.dictionary))))
         elif a.verb == "export-data":
             print(export.to_json(export.export_data(session(), loaded(a.dictionary))))
+        elif a.verb in ("spec", "skill-read", "skill-create"):
+            from .plans.guide import TEXTS
+
+            print(TEXTS[a.verb](), end="")
         elif a.verb == "render":
             from .plans.page import render
 

@@ -243,3 +243,16 @@ def test_the_verb_render_writes_a_file(spark, tmp_path, capsys):
     (tmp_path / "d.yaml").write_text(PAGE)
     assert main(["render", str(tmp_path / "d.yaml"), "--output", str(tmp_path / "d.html")]) == 0
     assert (tmp_path / "d.html").read_text().startswith("<!doctype html>") and capsys.readouterr().out == ""
+
+
+@pytest.mark.parametrize("verb", ["spec", "skill-read", "skill-create"])
+def test_the_verbs_that_print_a_guide(verb, capsys):
+    from pactum.__main__ import main
+    from pactum.functions.checking import AGGREGATES, SCALAR_FUNCTIONS
+    from pactum.plans.validate import KINDS
+
+    assert main([verb]) == 0
+    text = capsys.readouterr().out
+    assert text.startswith("# ") and len(text.splitlines()) > 5
+    if verb == "spec":
+        assert all(f"`{x}`" in text for x in [*SCALAR_FUNCTIONS, *AGGREGATES, *(k for k in KINDS if " " not in k)]) and "{" not in text.replace("{parquet: path}", "")
