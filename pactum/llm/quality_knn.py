@@ -76,12 +76,15 @@ def vote(x: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int = NEIGHB
     """
     k = min(k, len(vectors))
     cos = x @ vectors.T
-    last = np.partition(cos, len(vectors) - k, axis=1)[:, len(vectors) - k, None]
-    near = (cos > last + TIE).astype(np.float32)
-    tied = np.abs(cos - last) <= TIE
-    near += tied * ((k - near.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True))
-    near *= np.maximum(cos, 0) ** 2
-    return (prior * labels.mean() + near @ labels) / (prior + near.sum(axis=1))
+    last = np.partition(cos, len(vectors) - k, axis=1)[:, len(vectors) - k]
+    row, at = np.nonzero(cos >= (last - TIE)[:, None])  # hardly more than k a row
+    near = cos[row, at]
+    above = near > last[row] + TIE
+    places = lambda which: np.bincount(row[which], minlength=len(x))
+    share = (k - places(above)) / np.maximum(places(~above), 1)
+    weight = np.where(above, 1, share[row]) * np.maximum(near, 0) ** 2
+    total = lambda w: np.bincount(row, w, minlength=len(x))
+    return (prior * labels.mean() + total(weight * labels[at])) / (prior + total(weight))
 
 
 def latent_basis(x: np.ndarray, dimensions: int) -> np.ndarray:
