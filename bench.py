@@ -28,15 +28,14 @@ def main() -> None:
 
     from pactum.operators import keys
     from pactum.plans import catalogue
+    from pactum.sources.footers import read_footers
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-        # partitions that are small when they are read are joined by hashing instead of sorting
-        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     made = tempfile.mkdtemp(prefix="pactum-bench-")
@@ -45,12 +44,16 @@ def main() -> None:
     )
     generated.write.mode("overwrite").parquet(f"{made}/keys")  # a file per core, so that all of them have rows
     path = f"{made}/keys"
-    unique = lambda *c: keys.duplicate_count(spark.read.parquet(path), [F.col(x) for x in c])
+
+    def unique(*columns: str):
+        footers = read_footers(spark, path)
+        return keys.duplicate_count(spark.read.parquet(path), [F.col(x) for x in columns], [keys.known_range(footers, x) for x in columns])
 
     def reference(column: str):
         child, parent = spark.read.parquet(path), spark.read.parquet(path)
         kind = parent.schema[column].dataType
-        return keys.orphan_count(child, F.col(column), kind, parent, F.col(column), kind)
+        known = keys.known_range(read_footers(spark, path), column)
+        return keys.orphan_count(child, F.col(column), kind, parent, F.col(column), kind, (known, known))
 
     q = catalogue.queries()
     runs = {

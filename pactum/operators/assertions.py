@@ -56,8 +56,17 @@ class Folded:
         return df
 
     def alone(self, spark) -> DataFrame:
-        out = spark.range(1).select(F.lit(1).alias("__one__"))
-        return self.onto(out)
+        """One row with the aggregates."""
+        return self.onto(spark.sql("SELECT * FROM VALUES (1) AS t(__one__)"))
+
+    def settled(self, spark) -> Folded:
+        """The aggregates computed, as literals: passes that use them do not compute them again."""
+        if not self.frames:
+            return self
+        frame = self.alone(spark)
+        row, types = frame.first(), {f.name: f.dataType for f in frame.schema.fields}
+        fixed = {n: F.lit(row[n]).cast(t) for n, t in types.items()}
+        return Folded([], {k: Compiled(fixed[f"__v{i}"], c.kind, None if c.fault is None else fixed[f"__f{i}"]) for i, (k, c) in enumerate(self.values.items())})
 
 
 def prepare(typed: checking.Typed, scope: checking.Scope, schema: T.StructType, now: dt.datetime) -> Prepared:
@@ -131,7 +140,7 @@ def evaluate(df: DataFrame, prepared: list[Prepared], now: dt.datetime, others:
     ``shown`` failing ones), and the rows of a block. A table of about ``rows`` rows has at most
     ``BLOCKS`` blocks, so that what is gathered of a check is bounded.
     """
-    folded = fold_all(df, prepared, now)
+    folded = fold_all(df, prepared, now).settled(df.sparkSession)
     judged = [judge(p, df.schema, now, folded) if p.barrier is None else None for p in prepared]
     by_row = [k for k, p in enumerate(prepared) if p.barrier is None and p.by_row]
     alone = [k for k, p in enumerate(prepared) if p.barrier is None and not p.by_row]

@@ -90,8 +90,24 @@ class Known:
     words: float
 
 
-def dense(df: DataFrame, keys: list[Column], known: Known | None = None) -> Dense | None:
-    """Whether whole-numbered keys are dense: as ``known`` of a single key, or found by one pass that sends a row a task.
+def known_range(footers, name: str) -> Known | None:
+    """What the footers of all files tell of a whole-numbered column."""
+    s = None if footers is None else footers.columns.get(name)
+    if s is None or s.words is None or not (isinstance(s.low, int) and isinstance(s.high, int)):
+        return None
+    return Known(s.low, s.high, s.rows, s.words)
+
+
+def _settled(low: list[int], high: list[int], rows: int, words: float) -> Dense | None:
+    size, total = [b - a + 1 for a, b in zip(low, high, strict=True)], 1
+    for x in size:
+        total *= x
+    few = min(words, rows) <= WORDS_A_KEY * rows + 100_000
+    return Dense(low, size) if rows and few and total < 1 << 62 else None
+
+
+def dense(df: DataFrame, keys: list[Column], known: list[Known | None] = ()) -> Dense | None:
+    """Whether whole-numbered keys are dense: by what is ``known`` of all of them, or by one pass that sends a row a task.
 
     A task sends at most as many words as its keys' own range has, whatever the
     table's, so keys that are clustered in files count as dense however sparse
@@ -99,9 +115,11 @@ def dense(df: DataFrame, keys: list[Column], known: Known | None = None) -> Dens
     send few. (Of composite keys this is an estimate: a task never sends more
     words than keys.)
     """
-    if known is not None and len(keys) == 1:
-        small = known.words <= WORDS_A_KEY * known.rows + 100_000
-        return Dense([known.low], [known.high - known.low + 1]) if small and known.high - known.low + 1 < 1 << 62 else None
+    if len(known) == len(keys) and None not in known:
+        words = known[0].words
+        for k in known[1:]:
+            words *= k.high - k.low + 1
+        return _settled([k.low for k in known], [k.high for k in known], known[0].rows, words)
     n, ends = len(keys), [x for i, k in enumerate(keys) for x in (F.min(k).alias(f"l{i}"), F.max(k).alias(f"h{i}"))]
     tasks = df.where(_known(keys)).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), *ends)
     span = F.lit(1.0)
@@ -109,12 +127,9 @@ def dense(df: DataFrame, keys: list[Column], known: Known | None = None) -> Dens
         span = span * (F.col(f"h{i}").cast("double") - F.col(f"l{i}") + 1)
     words = F.sum(F.least(F.col("n").cast("double"), span / 64 + 1))
     found = tasks.agg(F.sum("n").alias("n"), words.alias("words"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(n)], *[F.max(f"h{i}").alias(f"h{i}") for i in range(n)]).first()
-    if not found["n"] or found["words"] > WORDS_A_KEY * found["n"] + 100_000:
+    if not found["n"]:
         return None
-    low, size, total = [found[f"l{i}"] for i in range(n)], [found[f"h{i}"] - found[f"l{i}"] + 1 for i in range(n)], 1
-    for x in size:
-        total *= x
-    return Dense(low, size) if total < 1 << 62 else None
+    return _settled([found[f"l{i}"] for i in range(n)], [found[f"h{i}"] for i in range(n)], found["n"], found["words"])
 
 
 def _bit(index: Column) -> Column:
@@ -122,7 +137,7 @@ def _bit(index: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), index.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def duplicate_count(df: DataFrame, keys: list[Column], known: Known | None = None) -> DataFrame:
+def duplicate_count(df: DataFrame, keys: list[Column], known: list[Known | None] = ()) -> DataFrame:
     """One row: how many rows repeat a key that an earlier row has.
 
     Only the keys are shuffled, or their bits, without row numbers: rows are
@@ -180,23 +195,24 @@ def common_type(child: T.DataType, parent: T.DataType) -> T.DataType | None:
     return None
 
 
-def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, carry: list[Column]) -> DataFrame:
+def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, carry: list[Column], known: tuple[Known | None, Known | None] = (None, None)) -> DataFrame:
     """Rows of ``child`` whose non-null key is not among the parent's: ``carry`` and ``ROW``.
 
     Without a common type every non-null key is an orphan; so is a value that
     the common type can't represent.
     """
-    return _without_parent(child, key, key_type, parent, target, target_type, [*carry, F.col(ROW)])
+    shape = _dense_reference(child, key, key_type, parent, target, target_type, known)
+    return _without_parent(child, key, key_type, parent, target, target_type, [*carry, F.col(ROW)], shape)
 
 
 def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, known: tuple[Known | None, Known | None] = (None, None)) -> DataFrame:
     """One row: how many rows of ``child`` are orphans; only keys are shuffled, or their bits where the parent's are dense. ``known`` are the child's key and the parent's."""
     shape = _dense_reference(child, key, key_type, parent, target, target_type, known)
     if shape is not None:
-        compared = _compared_words(shape, child, key, parent, target)
-        if compared.agg(F.coalesce(F.sum(F.bit_count(_BITS)), F.lit(0)).alias("lost")).first()["lost"] == 0:
-            outside = child.where(key.isNotNull() & ~shape.within([key.cast("long")]))
-            return outside.agg(F.count(F.lit(1)).alias("orphans"))
+        lost = F.sum(F.when(F.col(_WORD).isNotNull(), F.bit_count(_BITS)))
+        found = _compared_words(shape, child, key, parent, target).agg(lost.alias("lost"), F.sum(F.when(F.col(_WORD).isNull(), F.col("n"))).alias("outside")).first()
+        if not found["lost"]:  # all orphans are outside the parent's range
+            return child.sparkSession.sql(f"SELECT * FROM VALUES (CAST({found['outside'] or 0} AS BIGINT)) AS t(orphans)")
     return _without_parent(child, key, key_type, parent, target, target_type, [F.lit(1).alias("one")], shape).agg(F.count(F.lit(1)).alias("orphans"))
 
 
@@ -204,22 +220,24 @@ def _dense_reference(child: DataFrame, key: Column, key_type: T.DataType, parent
     """The parent's range, if its keys and the child's within it are dense."""
     if not (isinstance(key_type, _INTEGERS) and isinstance(target_type, _INTEGERS)):
         return None
-    shape = dense(parent, [target.cast("long")], known[1])
-    if shape is None or dense(child.where(shape.within([key.cast("long")])), [key.cast("long")], known[0]) is None:
+    shape = dense(parent, [target.cast("long")], [known[1]])
+    if shape is None:
         return None
-    return shape
+    if known[0] is not None:  # no more words than within the child's own range
+        return shape if _settled([known[0].low], [known[0].high], known[0].rows, known[0].words) else None
+    return shape if dense(child.where(shape.within([key.cast("long")])), [key.cast("long")]) else None
 
 
 def _compared_words(shape: Dense, child: DataFrame, key: Column, parent: DataFrame, target: Column) -> DataFrame:
-    """Words with the bits of keys that children have and parents lack; children outside the parent's range are not in it."""
+    """Words with the bits of keys that children have and parents lack; the null word counts (``n``) the children outside the parent's range."""
     long = key.cast("long")
-    of_child = child.where(shape.within([long])).select(shape.index([long]).alias("i"), F.lit(True).alias("child"))
+    of_child = child.where(key.isNotNull()).select(F.when(shape.within([long]), shape.index([long])).alias("i"), F.lit(True).alias("child"))
     of_parent = parent.where(target.isNotNull()).select(shape.index([target.cast("long")]).alias("i"), F.lit(False).alias("child"))
     bit, none = _bit(F.col("i")), F.lit(0).cast("long")
     words = of_child.unionAll(of_parent).groupBy(F.shiftright("i", 6).alias(_WORD)).agg(
-        F.bit_or(F.when(F.col("child"), bit).otherwise(none)).alias("c"), F.bit_or(F.when(F.col("child"), none).otherwise(bit)).alias("p")
+        F.bit_or(F.when(F.col("child"), bit).otherwise(none)).alias("c"), F.bit_or(F.when(F.col("child"), none).otherwise(bit)).alias("p"), F.count(F.lit(1)).alias("n")
     )
-    return words.select(_WORD, F.col("c").bitwiseAND(F.bitwise_not("p")).alias(_BITS))
+    return words.select(_WORD, F.col("c").bitwiseAND(F.bitwise_not("p")).alias(_BITS), "n")
 
 
 def _without_parent(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFrame, target: Column, target_type: T.DataType, carry: list[Column], shape: Dense | None = None) -> DataFrame:
@@ -227,11 +245,10 @@ def _without_parent(child: DataFrame, key: Column, key_type: T.DataType, parent:
     to = common_type(key_type, target_type)
     if to is None:
         return held.select(*carry)
-    shape = shape or _dense_reference(child, key, key_type, parent, target, target_type)
     if shape is not None:
         # children meet only words in which the parent lacks something, few where references hold
         long = key.cast("long")
-        lost = _compared_words(shape, child, key, parent, target).where(F.col(_BITS) != 0)
+        lost = _compared_words(shape, child, key, parent, target).where((F.col(_BITS) != 0) & F.col(_WORD).isNotNull()).select(_WORD, _BITS)
         probe = held.select(*carry, F.when(shape.within([long]), shape.index([long])).alias("__key__"))
         has_bit = F.col(_BITS).bitwiseAND(_bit(F.col("__key__"))) != 0
         found = probe.where("__key__ is not null").join(lost, (F.shiftright("__key__", 6) == F.col(_WORD)) & has_bit).drop("__key__", _WORD, _BITS)

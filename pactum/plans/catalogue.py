@@ -276,19 +276,25 @@ def _enum_nested(spark, sf_dir):
     return df.agg(F.sum(n).alias("outside_values"), columns.count_where(n > 0).alias("failed_rows"))
 
 
+def _known(spark, sf_dir, name, *columns):
+    """What the footers tell of the ranges of keys, as a validation asks them."""
+    footers = read_footers(spark, f"{sf_dir}/{name}.parquet")
+    return [keys.known_range(footers, c) for c in columns]
+
+
 @query("d02_unique_column", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def _unique(spark, sf_dir):
-    return keys.duplicate_count(with_rows(table(spark, sf_dir, "orders"), ["o_custkey"]), [F.col("o_custkey")])
+    return keys.duplicate_count(with_rows(table(spark, sf_dir, "orders"), ["o_custkey"]), [F.col("o_custkey")], _known(spark, sf_dir, "orders", "o_custkey"))
 
 
 @query("d02_unique_key", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)")
 def _unique_key(spark, sf_dir):
-    return keys.duplicate_count(with_rows(table(spark, sf_dir, "orders"), ["o_orderkey"]), [F.col("o_orderkey")])
+    return keys.duplicate_count(with_rows(table(spark, sf_dir, "orders"), ["o_orderkey"]), [F.col("o_orderkey")], _known(spark, sf_dir, "orders", "o_orderkey"))
 
 
 @query("d02_composite_key", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 def _composite(spark, sf_dir):
-    return keys.duplicate_count(with_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]), [F.col("l_orderkey"), F.col("l_linenumber")])
+    return keys.duplicate_count(with_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]), [F.col("l_orderkey"), F.col("l_linenumber")], _known(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"))
 
 
 @query(
@@ -312,8 +318,9 @@ def _orphans(spark, sf_dir, child, key, parent, target, carry, cast=None, change
     k, kind = F.col(key), c.schema[key].dataType
     if cast is not None:
         k, kind = k.cast(cast), cast
+    known = (None, None) if change or cast else (*_known(spark, sf_dir, child, key), *_known(spark, sf_dir, parent, target))
     k = k if change is None else change(k)
-    return keys.orphans(c, k, kind, p, F.col(target), p.schema[target].dataType, [F.col(x) for x in carry]).drop(ROW)
+    return keys.orphans(c, k, kind, p, F.col(target), p.schema[target].dataType, [F.col(x) for x in carry], known).drop(ROW)
 
 
 query("d05_fk_orphans", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: _orphans(s, d, "documents", "doc_id", "labels", "doc_id", ["doc_id"]))

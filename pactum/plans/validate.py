@@ -358,10 +358,8 @@ class Validator:
 
     def known(self, t: Table, name: str) -> keys.Known | None:
         """What the footers tell of a whole-numbered column's range."""
-        s = self.stats(t, name)
-        if s is None or s.words is None or not isinstance(s.low, int) or self.frames[t.name].schema[name].dataType.typeName() not in ("long", "integer", "short", "byte"):
-            return None
-        return keys.Known(s.low, s.high, s.rows, s.words)
+        whole = self.frames[t.name].schema[name].dataType.typeName() in ("long", "integer", "short", "byte")
+        return keys.known_range(self.footers[t.name], name) if whole else None
 
     # ------------------------------------------------- checks of rows
 
@@ -461,7 +459,7 @@ class Validator:
                 self.settle(s)
                 continue
             keyed = [spark_path((c.name,)) for c in cols]
-            count = keys.duplicate_count(narrowed(self.frames[t.name], [c.name for c in cols]), keyed, self.known(t, cols[0].name)).first()["duplicates"]
+            count = keys.duplicate_count(narrowed(self.frames[t.name], [c.name for c in cols]), keyed, [self.known(t, c.name) for c in cols]).first()["duplicates"]
             self.settle(s, count)
             if count:
                 df = with_rows(self.frames[t.name], [c.name for c in cols])
