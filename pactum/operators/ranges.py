@@ -40,9 +40,7 @@ def between_join(points: DataFrame, point: Column, bands: DataFrame, low: Column
 
     Null points and bounds match nothing; a band whose bounds are the wrong way round is empty.
     """
-    n = points.count()  # of a plain scan: from the footers
-    if n <= leaf:  # as few as one leaf's: no more comparisons than there
-        return bands.join(F.broadcast(points), reduce(and_, conditions))
+    n = max(1, points.count())  # of a plain scan: from the footers
     placed, cut = in_leaves(points, point, bands, low, high, n, leaf, fan)
     return placed.join(cut, reduce(and_, [F.col(PATH) == F.col(PATH_OF), *conditions])).drop(PATH, PATH_OF)
 
