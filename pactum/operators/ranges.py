@@ -64,9 +64,13 @@ def in_leaves(points: DataFrame, point: Column, bands: DataFrame, low: Column, h
         splits = held.select(NODE, F.filter("v", lambda _, i: i % every == every - 1).alias(SPLITS))  # noqa: B023 - used at once
         of_points, of_bands = (splits.select(F.col(NODE).alias(f"{NODE}{side}"), F.col(SPLITS).alias(f"{SPLITS}{side}")) for side in "pb")
         steps = range(children.bit_length(), -1, -1)
-        placed = placed.join(of_points, F.col(PATH) == F.col(f"{NODE}p"), "left")
+        if level:
+            placed = placed.join(of_points, F.col(PATH) == F.col(f"{NODE}p"), "left")
+            cut = cut.join(of_bands, F.col(PATH_OF) == F.col(f"{NODE}b"), "left")
+        else:  # the root is one row
+            placed = placed.withColumn(f"{SPLITS}p", splits.select(SPLITS).scalar())
+            cut = cut.withColumn(f"{SPLITS}b", splits.select(SPLITS).scalar())
         placed = placed.withColumn(PATH, F.col(PATH) * (2 * children + 2) + _number(F.col(f"{SPLITS}p"), point, steps)).drop(f"{NODE}p", f"{SPLITS}p")
-        cut = cut.join(of_bands, F.col(PATH_OF) == F.col(f"{NODE}b"), "left")
         touched = F.sequence(_number(F.col(f"{SPLITS}b"), low, steps), _number(F.col(f"{SPLITS}b"), high, steps))
         cut = cut.withColumn(f"{NODE}t", F.explode(touched))
         cut = cut.withColumn(PATH_OF, F.col(PATH_OF) * (2 * children + 2) + F.col(f"{NODE}t")).drop(f"{NODE}b", f"{SPLITS}b", f"{NODE}t")
