@@ -57,20 +57,32 @@ def slot(word: str, bits: int) -> int:
 class Path:
     """What is told of a block's open elements: the hashed names of all, the last name, and whether one is set apart or main.
 
-    An element whose names occur above it already shares its parent's set, so
-    paths take memory by their different names, however deep they are.
+    An element knows its parent, and shares its parent's set if its names occur
+    above it already, so paths take memory by their different names, however
+    deep they are. ``path[k]`` is the k-th of all names, found by going up.
     """
 
-    __slots__ = ("slots", "last", "apart", "main")
+    __slots__ = ("slots", "last", "apart", "main", "parent", "own")
 
-    def __init__(self, slots: frozenset[int], last: str, apart: bool, main: bool):
-        self.slots, self.last, self.apart, self.main = slots, last, apart, main
+    def __init__(self, slots: frozenset[int], last: str, apart: bool, main: bool, parent: Path | None = None, own: tuple[str, ...] = ()):
+        self.slots, self.last, self.apart, self.main, self.parent, self.own = slots, last, apart, main, parent, own
+
+    def names(self) -> list[str]:
+        """The names of all open elements, outermost first."""
+        out, at = [], self
+        while at is not None:
+            out += reversed(at.own)
+            at = at.parent
+        return out[::-1]
+
+    def __getitem__(self, k: int) -> str:
+        return self.names()[k]
 
     def below(self, tag: str, names: tuple[str, ...]) -> Path:
         own = {slot(x, PATH_BITS) for x in (tag, *names)}
         slots = self.slots if own <= self.slots else self.slots | own
         every = {tag, *names}
-        return Path(slots, names[-1] if names else tag, self.apart or not APART.isdisjoint(every), self.main or not MAIN.isdisjoint(every))
+        return Path(slots, names[-1] if names else tag, self.apart or not APART.isdisjoint(every), self.main or not MAIN.isdisjoint(every), self, (tag, *names))
 
 
 ROOT = Path(frozenset(), "", False, False)
