@@ -189,19 +189,28 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
     """Write one shard per range of ids under ``uri``; returns a lazy frame of the shards written.
 
     Texts travel compressed to the task of their range and become ids there.
+    The ranges are cut by percentiles of the ids alone, so texts are read and
+    compressed once.
     """
     vocabulary = vocabulary or default_vocabulary()
     end = int(end_id).to_bytes(4, "little")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     tasks = min(MAX_TASKS, max(1, -(-total // shard_text_bytes)))
 
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / tasks for k in range(1, tasks)], 20 * tasks)).first()[0] if tasks > 1 else None
+    bounds = np.array(cuts or [], np.int64)  # at most MAX_TASKS
+
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0)
             for a, b in text_slices(batch):
                 held = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts_of(batch, a, b)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(held, pa.binary())], names=["doc_id", "packed"])
+                own = ids.slice(a, b - a)
+                place = np.searchsorted(bounds, own.fill_null(0).to_numpy())
+                place[own.is_null().to_numpy(zero_copy_only=False)] = 0  # nulls come first
+                yield pa.RecordBatch.from_arrays([own, pa.array(held, pa.binary()), pa.array(place, pa.int32())], names=["doc_id", "packed", "place"])
 
     def write(batches):
         from pyspark import TaskContext
@@ -229,8 +238,8 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
         if held:
             yield out(held)
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, packed binary")
-    ordered = packed.repartitionByRange(int(tasks), "doc_id").sortWithinPartitions("doc_id", "packed")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(squeeze, "doc_id long, packed binary, place int")
+    ordered = packed.repartitionById(int(tasks), "place").drop("place").sortWithinPartitions("doc_id", "packed")
     return ordered.mapInArrow(write, SHARD_SCHEMA)
 
 
