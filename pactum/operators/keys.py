@@ -202,6 +202,8 @@ def orphans(child: DataFrame, key: Column, key_type: T.DataType, parent: DataFra
     the common type can't represent.
     """
     shape = _dense_reference(child, key, key_type, parent, target, target_type, known)
+    if shape is not None and not _lost(shape, child, key, parent, target)["lost"]:  # all orphans are outside the parent's range
+        return child.where(key.isNotNull() & ~shape.within([key.cast("long")])).select(*carry, F.col(ROW))
     return _without_parent(child, key, key_type, parent, target, target_type, [*carry, F.col(ROW)], shape)
 
 
@@ -209,8 +211,7 @@ def orphan_count(child: DataFrame, key: Column, key_type: T.DataType, parent: Da
     """One row: how many rows of ``child`` are orphans; only keys are shuffled, or their bits where the parent's are dense. ``known`` are the child's key and the parent's."""
     shape = _dense_reference(child, key, key_type, parent, target, target_type, known)
     if shape is not None:
-        lost = F.sum(F.when(F.col(_WORD).isNotNull(), F.bit_count(_BITS)))
-        found = _compared_words(shape, child, key, parent, target).agg(lost.alias("lost"), F.sum(F.when(F.col(_WORD).isNull(), F.col("n"))).alias("outside")).first()
+        found = _lost(shape, child, key, parent, target)
         if not found["lost"]:  # all orphans are outside the parent's range
             return child.sparkSession.sql(f"SELECT * FROM VALUES (CAST({found['outside'] or 0} AS BIGINT)) AS t(orphans)")
     return _without_parent(child, key, key_type, parent, target, target_type, [F.lit(1).alias("one")], shape).agg(F.count(F.lit(1)).alias("orphans"))
@@ -228,6 +229,12 @@ def _dense_reference(child: DataFrame, key: Column, key_type: T.DataType, parent
     return shape if dense(child.where(shape.within([key.cast("long")])), [key.cast("long")]) else None
 
 
+def _lost(shape: Dense, child: DataFrame, key: Column, parent: DataFrame, target: Column):
+    """How many keys of children the parent lacks within its range (``lost``), and how many children are outside it (``outside``)."""
+    keys_lost = F.sum(F.when(F.col(_WORD).isNotNull(), F.bit_count(_BITS)))
+    return _compared_words(shape, child, key, parent, target).agg(keys_lost.alias("lost"), F.sum(F.when(F.col(_WORD).isNull(), F.col("n"))).alias("outside")).first()
+
+
 def _compared_words(shape: Dense, child: DataFrame, key: Column, parent: DataFrame, target: Column) -> DataFrame:
     """Words with the bits of keys that children have and parents lack; the null word counts (``n``) the children outside the parent's range."""
     long = key.cast("long")
