@@ -67,6 +67,14 @@ class Path:
     def __init__(self, slots: frozenset[int], last: str, apart: bool, main: bool, parent: Path | None = None, own: tuple[str, ...] = ()):
         self.slots, self.last, self.apart, self.main, self.parent, self.own = slots, last, apart, main, parent, own
 
+    @staticmethod
+    def of(names: tuple[str, ...]) -> Path:
+        """The path of elements without names of their own."""
+        out = ROOT
+        for name in names:
+            out = out.below(name, ())
+        return out
+
     def names(self) -> list[str]:
         """The names of all open elements, outermost first."""
         out, at = [], self

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fit_in_task, one_blas_thread, sample_rows, text_slices, texts_of
-from .html_blocks import PATH_BITS, Block, Path, leaf_blocks, slot
+from .html_blocks import PATH_BITS, Block, Path, leaf_blocks
+from .html_blocks import slot as _slot
 from .ngrams import SparseRows
 
 WORD_BITS, MEASURES = 6, 8
@@ -59,12 +60,13 @@ def block_rows(blocks: list[Block]) -> SparseRows:
     for k, b in enumerate(blocks):
         held = seen_path.get(b.path)
         if held is None:
-            held = seen_path[b.path] = sorted(b.path.slots | ({slot("in " + b.path.last, PATH_BITS)} if b.path.slots else set()))
+            path = b.path if isinstance(b.path, Path) else Path.of(b.path)
+            held = seen_path[b.path] = sorted(path.slots | ({_slot("in " + path.last, PATH_BITS)} if path.slots else set()))
         words, n = b.text.lower().split(), len(b.text)
         weight = 1 / math.sqrt(len(words))
         features.extend(held)
         values.extend([1.0] * len(held))
-        features.extend([words_at + slot(w, WORD_BITS) for w in words])
+        features.extend([words_at + _slot(w, WORD_BITS) for w in words])
         values.extend([weight] * len(words))
         features.extend(range(measures_at, measures_at + MEASURES))
         values.extend((
