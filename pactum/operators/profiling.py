@@ -5,7 +5,9 @@ summary of bounded size; summaries of one column are merged as they stream
 through a task, and only the merged ones come to the driver.
 
 * Frequent values have a count and an error; both are exact up to
-  ``EXACT_DISTINCT`` distinct values, and so is the distinct count.
+  ``EXACT_DISTINCT`` distinct values, and so is the distinct count. Where
+  ``exact_top`` asks for it, columns of which summaries dropped values are
+  counted once more, by a shuffle of each task's distinct values.
 * Samples are spread over at most ``SAMPLE_POOL`` distinct values, those with
   the least hashes.
 * Histograms have right-closed bins of equal width (whole-number width for whole
@@ -162,12 +164,13 @@ def bins_for(kind: str, low, high, rows: int, most: int) -> Bins:
     return Bins(low, high, width, count)
 
 
-def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, values: set[str] | None = None, ranges: dict[str, tuple] | None = None, rows: int | None = None, samples: int = SAMPLES) -> dict[str, Profile]:
+def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, values: set[str] | None = None, ranges: dict[str, tuple] | None = None, rows: int | None = None, samples: int = SAMPLES, exact_top: bool = False) -> dict[str, Profile]:
     """Profiles by name; ``columns`` are expressions over ``df``.
 
     ``values`` names the columns whose values may be shown (all by default).
     ``ranges`` are exact extremes as numbers (days, microseconds) and ``rows``
-    the number of rows, where they are known before.
+    the number of rows, where they are known before. With ``exact_top`` the
+    frequent values have no errors, however many distinct ones there are.
     """
     types = {n: f.dataType for n, f in zip(columns, df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns.values())]).schema.fields, strict=True)}
     shown = set(columns) if values is None else values
@@ -185,7 +188,21 @@ def profile(df: DataFrame, columns: dict[str, Column], most_bins: int = 20, valu
     if later:
         for n, s in summaries(df, {n: columns[n] for n in later}, later).items():
             found[n].bins, found[n].binned = s.bins, s.binned
-    return {n: _finished(s, types[n], n in shown, samples) for n, s in found.items()}
+    out = {n: _finished(s, types[n], n in shown, samples) for n, s in found.items()}
+    if exact_top:
+        for n, p in out.items():
+            if p.top and found[n].frequent.floor:
+                p.top = counted_top(df, columns[n], types[n])
+    return out
+
+
+def counted_top(df: DataFrame, column: Column, data_type: T.DataType) -> list[tuple[object, int, int]]:
+    """The most frequent values by exact counts, ties by value."""
+    instant = isinstance(data_type, T.TimestampType)
+    value = F.unix_micros(column) if instant else column.cast("string") if isinstance(data_type, T.BinaryType) else column
+    counted = df.select(value.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.orderBy(F.desc("n"), "v").limit(TOP_VALUES).collect()
+    return [(unscale("datetime", v) if instant else v, n, 0) for v, n in found]
 
 
 def _finished(s: Summary, data_type: T.DataType, shown: bool, samples: int) -> Profile:

@@ -459,10 +459,10 @@ def _samples(spark, sf_dir):
     UNION ALL SELECT 'l_suppkey', CAST(l_suppkey AS VARCHAR), n, 0 FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 20)""",
 )
 def _frequent_counts(spark, sf_dir):
-    """Frequent values of texts and numbers with their errors: 0, since there are at most 1000 distinct ones."""
+    """Frequent values of texts and numbers with their errors: 0, since what the summaries could not hold is counted again."""
     rows = []
     for name, columns in (("part", ("p_size", "p_type")), ("lineitem", ("l_suppkey",))):
-        for c, p in profiling.profile(table(spark, sf_dir, name).select(*columns), {c: F.col(c) for c in columns}).items():
+        for c, p in profiling.profile(table(spark, sf_dir, name).select(*columns), {c: F.col(c) for c in columns}, exact_top=True).items():
             rows += [(c, str(v), n, e) for v, n, e in p.top]
     return spark.createDataFrame(rows, "name string, value string, n long, error long")
 
