@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from pactum.operators import ranges
 from pactum.operators.ranges import between_join, in_leaves
 from pactum.plans.relationships import join_tables
 
@@ -60,3 +61,25 @@ def test_empty_sides(spark):
     points, bands = spark.createDataFrame([], "x string"), spark.createDataFrame([("a", "b")], "lo string, hi string")
     assert join_tables("p.x >= b.lo AND p.x < b.hi", {"p": points, "b": bands}).collect() == []
     assert join_tables("p.x >= b.lo AND p.x < b.hi", {"p": spark.createDataFrame([("a",)], "x string"), "b": bands.limit(0)}).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_joins_that_are_dealt_out_equal_all_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(ranges, "MOST_TASKS", 12)
+    rng, make = random.Random(2), MAKE[kind]
+    points = [(k, None if k % 20 == 0 else make(500 if k % 2 else rng.randrange(900))) for k in range(500)]
+    bands = [(k, *((make(0), make(899)) if k % 3 == 0 else sorted((make(rng.randrange(900)), make(rng.randrange(900)))))) for k in range(150)]
+    left, right = spark.createDataFrame(points, f"i int, x {kind}").repartition(3), spark.createDataFrame(bands, f"j int, lo {kind}, hi {kind}")
+    expected = sorted((i, j) for i, x in points for j, lo, hi in bands if x is not None and lo <= x < hi)
+    for leaf, fan, block in ((1000, 8, 16), (16, 5, 5)):
+        found = between_join(left, left["x"], right, right["lo"], right["hi"], [left["x"] >= right["lo"], left["x"] < right["hi"]], leaf, fan, block)
+        assert found.columns == ["i", "x", "j", "lo", "hi"] and sorted(map(tuple, found.select("i", "j").collect())) == expected
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_many_pairs_of_few_rows_are_dealt_over_many_tasks(spark, hot):
+    points = spark.range(4000).select("id", (F.lit(7) if hot else F.pmod(F.xxhash64("id"), F.lit(1000))).alias("x"))
+    bands = spark.range(1000).select(F.col("id").alias("j"), F.lit(0).alias("lo"), F.lit(999).alias("hi"))
+    found = between_join(points, points["x"], bands, bands["lo"], bands["hi"], [points["x"] >= bands["lo"], points["x"] <= bands["hi"]], block=128)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 4_000_000 and max(tasks) < 4_000_000 / 12 and len(tasks) > 50
