@@ -5,7 +5,9 @@ can fail, a *fault*: an integer column, 0 for none, ``OVERFLOW`` or
 ``BAD_PATTERN``. Faults are data, never exceptions: integer arithmetic uses the
 ``try_*`` functions, so evaluation order does not matter, and ``AND``, ``OR``
 and ``CASE`` let through only the faults of operands that a left-to-right
-reading would have evaluated.
+reading would have evaluated. Spark's ``try_*`` functions throw and catch an
+exception for each row that overflows, which takes far longer than the rest of
+the row, so they see only operands that :func:`fits` lets pass.
 
 Plain Spark operators are wrapped where they differ from the language: NaN in
 comparisons, nulls in ``BETWEEN``, zero divisors, floored ``MOD``, rounding by
@@ -31,7 +33,7 @@ from . import syntax as s
 from .checking import AGGREGATES, UNITS, Typed, regex_problem
 
 OVERFLOW, BAD_PATTERN = 1, 2
-LONG_MIN = -(1 << 63)
+LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 DAY = 86_400_000_000
 EPOCH = dt.datetime(1970, 1, 1)
 #: Decimals with more digits than this can't be read as floats without loss.
@@ -136,6 +138,35 @@ def as_micros(c: Compiled) -> Column:
     return F.unix_date(c.value).cast("bigint") * F.lit(DAY) if c.kind == "date" else c.value
 
 
+#: Products of 64-bit numbers as floats: what is below may fit, for rounding moves it by less than the excess over 2**63.
+PRODUCT = 2.0**63 + 2.0**13
+
+
+def fits(op: str, a: Column, b: Column) -> Column:
+    """Whether a sum, difference or product of two longs is one; null for a null operand.
+
+    Exact for sums and differences; products that are too large by less than 1
+    in 2**50 pass. Nothing in it can overflow, whatever is evaluated, and ``a``
+    is named once, so that chains of operators do not grow faster than they did.
+    """
+    if op == "*":
+        return F.abs(a.cast("double") * b.cast("double")) <= F.lit(PRODUCT)
+    zero, negative = F.lit(0).cast("bigint"), F.shiftright(b, 63)  # -1 where b is negative, else 0
+    room = F.lit(LONG_MAX).cast("bigint") - F.greatest(b, zero) + F.least(b, zero)
+    # a <= room on the side that b moves it to; the other side is mirrored by ~x, which is -x - 1
+    return a.bitwiseXOR(negative if op == "+" else F.bitwise_not(negative)) <= room
+
+
+def attempt(op: str, a: Column, b: Column) -> tuple[Column, Column | None]:
+    """A sum, difference or product of two longs, null if it overflows; and whether it does, where that takes less than to ask for the null."""
+    fit = fits(op, a, b)
+    return F.when(fit, {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)), None if op == "*" else ~fit
+
+
+def _size(n: s.Node) -> int:
+    return 1 + sum(map(_size, n.children()))
+
+
 def _any_null(*values: Column) -> Column:
     out = values[0].isNull()
     for v in values[1:]:
@@ -198,12 +229,12 @@ class Compiler:
     def on_negative(self, n: s.Negative) -> Compiled:
         c = _plain(self(n.operand))
         if c.kind == "int":
-            value = F.try_subtract(F.lit(0).cast("bigint"), c.value)
-            return self.overflowing(value, c)
+            return self.overflowing(*attempt("-", F.lit(0).cast("bigint"), c.value), c)
         return Compiled(-as_float(c), "float", c.fault)
 
-    def overflowing(self, value: Column, *operands: Compiled) -> Compiled:
-        lost = value.isNull() & ~_any_null(*(c.value for c in operands))
+    def overflowing(self, value: Column, lost: Column | None, *operands: Compiled) -> Compiled:
+        if lost is None:
+            lost = value.isNull() & ~_any_null(*(c.value for c in operands))
         return Compiled(value, "int", _faults(*(c.fault for c in operands), F.when(lost, OVERFLOW).otherwise(0)))
 
     def on_arithmetic(self, n: s.Arithmetic) -> Compiled:
@@ -211,15 +242,14 @@ class Compiler:
         if "interval" in (a.kind, b.kind):
             if a.kind == "interval":
                 a, b = b, a
-            value = (F.try_add if n.op == "+" else F.try_subtract)(as_micros(a).cast("bigint"), b.value)
-            out = self.overflowing(value, a, b)
+            out = self.overflowing(*attempt(n.op, as_micros(a).cast("bigint"), b.value), a, b)
             return Compiled(out.value, "datetime", out.fault)
         a, b = _plain(a), _plain(b)
         fault = _faults(a.fault, b.fault)
         if n.op != "/" and a.kind == b.kind == "int":
-            # The optimizer would regroup a chain of sums or products, and other partial results can overflow.
-            v, w = (F.when(c.value.isNotNull(), c.value) if isinstance(m, s.Arithmetic) else c.value for m, c in ((n.left, a), (n.right, b)))
-            return self.overflowing({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[n.op](v, w), a, b)
+            # The optimizer would regroup a chain of sums or products, and other partial results can overflow; ``attempt`` keeps them apart.
+            larger = n.op != "-" and _size(n.right) > _size(n.left)
+            return self.overflowing(*attempt(n.op, *((b.value, a.value) if larger else (a.value, b.value))), a, b)
         x, y = as_float(a), as_float(b)
         if n.op == "/":
             return Compiled(F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(F.try_divide(x, y)), "float", fault)
@@ -350,7 +380,7 @@ class Compiler:
         if c.kind == "float":
             whole = F.when(F.abs(c.value) < 2.0**63, F.when(c.value < 0, F.ceil(c.value)).otherwise(F.floor(c.value)))
             c = Compiled(whole.cast("bigint"), "int", _faults(c.fault, F.when(c.value.isNotNull() & whole.isNull(), OVERFLOW).otherwise(0)))
-        out = self.overflowing(F.try_multiply(c.value, F.lit(unit).cast("bigint")), c)
+        out = self.overflowing(*attempt("*", c.value, F.lit(unit).cast("bigint")), c)
         return Compiled(out.value, "interval", out.fault)
 
     def on_call(self, n: s.Call) -> Compiled:
@@ -382,7 +412,7 @@ class Compiler:
     def fn_abs(self, x, fault, node):
         x = _plain(x)
         if x.kind == "int":
-            out = self.overflowing(F.when(x.value < 0, F.try_subtract(F.lit(0).cast("bigint"), x.value)).otherwise(x.value), Compiled(x.value, "int"))
+            out = self.overflowing(F.abs(F.when(x.value != LONG_MIN, x.value)), None, Compiled(x.value, "int"))
             return Compiled(out.value, "int", _faults(fault, out.fault))
         return Compiled(F.abs(as_float(x)), "float", fault)
 
